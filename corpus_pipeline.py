@@ -6,15 +6,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marlstone.llm import packing, quality_rules, secret_scan
+from marlstone.llm import language_id, near_dedup, packing, quality_rules, secret_scan
 from marlstone.llm.common import materialize, table
 
 
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is known from text, declared language and host."""
+    return language_id.keep_identified(docs)
+
+
 def rate_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and are no outliers of their language and source."""
     return quality_rules.keep_good(docs)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near duplicates."""
+    return near_dedup.keep_first(docs)
+
+
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with every secret masked."""
     return secret_scan.masked(docs)
@@ -26,7 +36,9 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language_id", identify_language),
     ("quality_rules", rate_quality),
+    ("near_dedup", drop_near_copies),
     ("secret_scan", mask_secrets),
     ("packing", pack),
 ]

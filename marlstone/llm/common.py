@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import pickle
 import tempfile
 import uuid
 
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,3 +60,12 @@ def content_key(column: str | Column) -> Column:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def share(spark: SparkSession, value: object) -> Broadcast:
+    """Broadcasts an object together with its class, so that workers need no package; read it with ``shared``."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
+def shared(value: Broadcast) -> object:
+    return pickle.loads(value.value)  # noqa: S301  made by ``share``

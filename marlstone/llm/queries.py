@@ -5,9 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import chat_format, media_columns, packing, quality_rules, secret_scan
+from marlstone.llm import chat_format, html_extract, language_id, media_columns, near_dedup, packing, quality_rules, secret_scan, sentencepiece_bpe, toxicity
 from marlstone.llm.common import table
 
+#: The vocabulary file of the installed public tokenizers; read by the driver only.
+PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html_extract.extract(pages, html_extract.train(spark)).withColumn("n_chars", F.length("text").cast("long"))
+
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
@@ -30,6 +38,14 @@ def op3_length_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    m = toxicity.fit(toxicity.training_rows(docs, table(spark, sf_dir, "labels")))
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(toxicity.FOLDS)) == 0
+    scored = toxicity.score(docs, m)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("passages").alias("n_passages"))
+
+
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
@@ -42,11 +58,38 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rated.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
 
 
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.deduplicate(table(spark, sf_dir, "documents"))
+
+
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_bpe.round_trip(table(spark, sf_dir, "documents"), PIECE_MODEL)
+
+
 def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_columns.store_texts(table(spark, sf_dir, "documents")).drop("tile")
 
 
-QUERIES = {f.__name__: f for f in (op2_secret_scan, op3_length_packing, op5_chat_format, op6_quality_rules, op9_media_columns)}
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = language_id.identify(table(spark, sf_dir, "documents"), keep=["doc_id", "lang", "source"])
+    return found.select("doc_id", F.col("lang").alias("declared"), "source", F.col("__language").alias("language"), F.col("__posterior").alias("posterior"), F.col("__kept").alias("kept"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_html_extract,
+        op2_secret_scan,
+        op3_length_packing,
+        op4_toxicity,
+        op5_chat_format,
+        op6_quality_rules,
+        op7_near_dedup,
+        op8_sentencepiece,
+        op9_media_columns,
+        op10_language_id,
+    )
+}
 
 _ASSIGN = r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 _RULES_SQL = (

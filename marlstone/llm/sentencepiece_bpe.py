@@ -21,6 +21,7 @@ from __future__ import annotations
 import codecs
 import hashlib
 import re
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import groupby
@@ -28,10 +29,11 @@ from itertools import groupby
 import ahocorasick
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import text_of
+from marlstone.llm.common import share, shared, text_of
 
 SPACE_SIGN = "▁"
 REMEMBERED = 400_000
@@ -239,24 +241,23 @@ class Encoder:
         return self.bytes[np.repeat(self.starts[ids] - (ends - sizes), sizes) + np.arange(int(ends[-1]))].tobytes()
 
 
-def _encoder(broadcast: object) -> Encoder:
-    """The encoder of this worker process, made once for each vocabulary."""
-    import sys
-
+def _encoder(given: Broadcast) -> Encoder:
+    """The encoder of this worker process, made once for each vocabulary and kept for later tasks."""
     made = sys.__dict__.setdefault("_marlstone_encoders", {})
-    key = broadcast.value.pieces.__len__(), hash(tuple(broadcast.value.pieces))
+    key = hash(given.value)
     if key not in made:
-        made[key] = Encoder(broadcast.value)
+        made.clear()
+        made[key] = Encoder(shared(given))
     return made[key]
 
 
 def encode_texts(df: DataFrame, path: str, text: str = "text", out: str = "ids") -> DataFrame:
     """``df`` with a column of ids (array<int>), begin and end included."""
-    shared = df.sparkSession.sparkContext.broadcast(Vocabulary.load(path))
+    given = share(df.sparkSession, Vocabulary.load(path))
 
     @F.pandas_udf("array<int>")
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        e = _encoder(shared)
+        e = _encoder(given)
         for texts in batches:
             yield pd.Series([np.frombuffer(e.encode(t), "<u4").astype("i4") for t in texts])
 
@@ -265,11 +266,11 @@ def encode_texts(df: DataFrame, path: str, text: str = "text", out: str = "ids")
 
 def decode_ids(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """``df`` with the text of a column of ids; null ids give a null text."""
-    shared = df.sparkSession.sparkContext.broadcast(Vocabulary.load(path))
+    given = share(df.sparkSession, Vocabulary.load(path))
 
     @F.pandas_udf("string")
     def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        e = _encoder(shared)
+        e = _encoder(given)
         for column in batches:
             yield pd.Series([None if x is None else e.decode(np.asarray(x, "i8")) for x in column], dtype=object)
 
@@ -278,11 +279,11 @@ def decode_ids(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded")
 
 def round_trip(df: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Encodes, then decodes the ids: key, n_tokens, ids_sha256, decoded_sha256."""
-    shared = df.sparkSession.sparkContext.broadcast(Vocabulary.load(path))
+    given = share(df.sparkSession, Vocabulary.load(path))
 
     @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
     def work(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        e = _encoder(shared)
+        e = _encoder(given)
         for texts in batches:
             rows = []
             for t in texts:
