@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import pairwise
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -100,7 +101,7 @@ def interaction(columns: Sequence[str], separator: str = "_") -> Column:
 def binned(column: str, edges: Sequence[float], labels: Sequence[object]) -> Column:
     """Right-closed bins (a, b]; outside of all is null."""
     out = F.when(F.lit(False), F.lit(labels[0]))
-    for low, high, label in zip(edges, edges[1:], labels, strict=True):
+    for (low, high), label in zip(pairwise(edges), labels, strict=True):
         out = out.when((F.col(column) > low) & (F.col(column) <= high), F.lit(label))
     return out
 
