@@ -48,6 +48,12 @@ def discard(df: DataFrame) -> None:
         where.getFileSystem(jsc.hadoopConfiguration()).delete(where, True)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of a few MB, so that a Python worker's memory follows neither row counts nor text lengths."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+
+
 def text_of(column: str | Column) -> Column:
     """The text, a null as the empty text."""
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
