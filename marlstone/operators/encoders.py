@@ -8,7 +8,7 @@ from itertools import pairwise
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.operators.ordering import running
+from marlstone.operators.ordering import running, text_position
 
 
 def _back(df: DataFrame, table: DataFrame, column: str, *values: str) -> DataFrame:
@@ -49,12 +49,12 @@ def first_appearance(df: DataFrame, column: str, order: Sequence[str], name: str
 def dense_ids(df: DataFrame, column: str, name: str) -> DataFrame:
     """Sorted factorisation: position of the value among all distinct values, from 0.
 
-    Values are cut into ranges by an approximate order of their first signs and
-    numbered range by range, so the dictionary is never sorted in one task.
+    Values are cut into ranges (texts by the bytes behind their common beginning)
+    and numbered range by range, so the dictionary is never sorted in one task.
     """
     table = df.where(F.col(column).isNotNull()).select(column).distinct()
     text = dict(df.dtypes)[column] == "string"
-    key = F.conv(F.hex(F.substring(F.rpad(F.col(column), 6, "\x00"), 1, 6)), 16, 10).cast("double") if text else F.col(column)
+    key = text_position(table, column) if text else F.col(column)
     ids = running(table.withColumn("__order", key), "__order", {}, [column]).select(column, (F.col("__row") - 1).alias(name))
     return _back(df, ids, column, name)
 

@@ -1,37 +1,51 @@
 """Global order without one task: rows are cut into value ranges, ranges get offsets.
 
-Bounds are approximate percentiles (a bounded number of values); equal values
-share a range, so ties never straddle two of them.
+The bounds are approximate percentiles, as many as the number of rows asks for
+(one range for ``RANGE_ROWS`` rows, at most ``RANGES``), from one aggregation.
+Equal values share a range, so ties never straddle two of them.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-RANGES = 64
+RANGES = 4096
+RANGE_ROWS = 20_000
 
 
-def ranged(df: DataFrame, column: str, ranges: int = RANGES) -> DataFrame:
-    """Adds __range, rising with the column; nulls are in range -1."""
-    shares = F.array(*[F.lit(k / ranges) for k in range(1, ranges)])
-    bounds = df.agg(F.array_distinct(F.percentile_approx(column, shares, 10_000)).alias("b")).first()["b"] or []
+def ranged(df: DataFrame, column: str, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """Adds __range, rising with the column; nulls are in range -1.
+
+    Values are compared as doubles here: different longs may share a double,
+    but their order is never turned around.
+    """
+    x = F.col(column)
+    kind = dict(df.dtypes)[column]
+    number = F.unix_micros(x.cast("timestamp")).cast("double") if kind.startswith(("timestamp", "date")) else x.cast("double")
+    shares = F.array(*[F.lit(k / RANGES) for k in range(1, RANGES)])
+    found = df.agg(F.count(x).alias("n"), F.percentile_approx(number, shares, 10 * RANGES).alias("b")).first()
+    wanted = min(RANGES, found["n"] // range_rows)
+    step = -(-RANGES // wanted) if wanted else RANGES
+    bounds = sorted(set((found["b"] or [])[step - 1 :: step]))
+    none = F.when(x.isNull(), -1)
     if not bounds:
-        return df.withColumn("__range", F.when(F.col(column).isNull(), -1).otherwise(0))
-    spot = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b < F.col(column)))
-    return df.withColumn("__range", F.when(F.col(column).isNull(), -1).otherwise(spot))
+        return df.withColumn("__range", none.otherwise(0))
+    cut = Bucketizer(splits=[-float("inf"), *bounds, float("inf")], inputCol="__number", outputCol="__cut", handleInvalid="keep")
+    return cut.transform(df.withColumn("__number", number)).withColumn("__range", none.otherwise(F.col("__cut").cast("int"))).drop("__number", "__cut")
 
 
-def running(df: DataFrame, order: str, sums: dict[str, Column], ties: Sequence[str] = (), descending: bool = False, ranges: int = RANGES) -> DataFrame:
+def running(df: DataFrame, order: str, sums: dict[str, Column], ties: Sequence[str] = (), descending: bool = False, range_rows: int = RANGE_ROWS) -> DataFrame:
     """Adds running totals (and __row, from 1) over the global order of ``order``, then ``ties``."""
-    cut = ranged(df, order, ranges).withColumns({f"__v_{n}": c for n, c in sums.items()}).withColumn("__v___row", F.lit(1))
+    cut = ranged(df, order, range_rows).withColumns({f"__v_{n}": c for n, c in sums.items()}).withColumn("__v___row", F.lit(1))
     names = [*sums, "__row"]
     totals = cut.groupBy("__range").agg(*[F.sum(f"__v_{n}").alias(f"__t_{n}") for n in names])
     before = Window.orderBy(F.desc("__range") if descending else F.asc("__range")).rowsBetween(Window.unboundedPreceding, -1)
-    # at most RANGES + 1 rows
+    # at most RANGES + 2 rows
     starts = totals.select("__range", *[F.coalesce(F.sum(f"__t_{n}").over(before), F.lit(0)).alias(f"__s_{n}") for n in names])
     first = F.desc_nulls_last(order) if descending else F.asc_nulls_first(order)
     own = Window.partitionBy("__range").orderBy(first, *ties).rowsBetween(Window.unboundedPreceding, 0)
@@ -40,6 +54,15 @@ def running(df: DataFrame, order: str, sums: dict[str, Column], ties: Sequence[s
     return out.drop("__range", *[f"__v_{n}" for n in names], *[f"__s_{n}" for n in names])
 
 
+def text_position(df: DataFrame, column: str) -> Column:
+    """A number that rises (not strictly) with a text: six bytes behind what the least and the greatest text share."""
+    edge = df.agg(F.min(column).alias("a"), F.max(column).alias("b")).first()
+    a, b = (edge["a"] or "").encode(), (edge["b"] or "").encode()
+    same = next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+    six = F.substring(F.col(column).cast("binary"), same + 1, 6)
+    return F.conv(F.rpad(F.hex(six), 12, "0"), 16, 10).cast("double")
+
+
 def average_rank(df: DataFrame, column: str, name: str = "rank") -> DataFrame:
     """Rank from 1 with ties averaged: values are counted, counts are accumulated, ranks are joined back."""
     counts = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("__n"))

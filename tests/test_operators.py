@@ -60,7 +60,8 @@ def test_components_and_reach(spark):
 
 def test_global_order(spark):
     df = spark.range(1000).select((F.col("id") % 37).alias("x"), "id")
-    t = ordering.running(df, "x", {"s": F.col("x")}, ["id"], ranges=7)
+    t = ordering.running(df, "x", {"s": F.col("x")}, ["id"], range_rows=100)
+    assert ordering.ranged(df, "x", 100).select("__range").distinct().count() > 5
     rows = sorted(t.collect(), key=lambda r: (r.x, r.id))
     total = 0
     for k, r in enumerate(rows):
@@ -70,6 +71,15 @@ def test_global_order(spark):
     assert ranks == {1: 1.5, 2: 3.0}
 
 
+def test_dictionary_of_texts(spark):
+    texts = ["", "a", "ab", "abc", "field_a", "field_b", "field_é", "z", "Z"]
+    df = spark.createDataFrame([(t,) for t in [*texts, None, "a"]], "t string")
+    got = {r.t: r.i for r in encoders.dense_ids(df, "t", "i").collect()}
+    assert got == {None: None} | {t: k for k, t in enumerate(sorted(texts, key=str.encode))}
+    same = df.where("t like 'field%'")
+    assert {r.t: r.i for r in encoders.dense_ids(same, "t", "i").collect()} == {"field_a": 0, "field_b": 1, "field_é": 2}
+
+
 def test_metrics(spark):
     df = spark.createDataFrame([(0.1, 0), (0.4, 0), (0.35, 1), (0.8, 1), (0.8, 0)], "s double, y int")
     assert metrics.roc_auc(df, "s", "y").first().auc == pytest.approx((1 + 0 + 0 + 1 + 1 + 0.5) / 6)
