@@ -32,9 +32,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import share, shared, text_of
+from marlstone.llm.common import share, shared, small_batches, text_of
 
-TRAIN_PAGES = 400
+TRAIN_PAGES = 1500
 SMOOTH = 0.5
 #: Content probability of what stands outside of everything, before the page is seen.
 ROOT = 0.2
@@ -247,9 +247,9 @@ def fit(labelled: DataFrame) -> Model:
 CONTENT_NAMES = "content post entry article story main body text maincontent articlebody postcontent entrycontent page".split()
 MENU_NAMES = "nav menu navbar navigation breadcrumb breadcrumbs topbar toc tabs pager pagination".split()
 AD_NAMES = "ad ads advert advertisement banner sponsor sponsored promo promotion adsense".split()
-SIDE_NAMES = "sidebar side aside widget related recommended trending popular rail secondary".split()
-FOOT_NAMES = "footer foot copyright legal bottom colophon disclaimer".split()
-HEAD_NAMES = "header head masthead logo site branding top".split()
+SIDE_NAMES = "sidebar side aside widget related recommended trending popular rail secondary complementary".split()
+FOOT_NAMES = "footer foot copyright legal bottom colophon disclaimer contentinfo".split()
+HEAD_NAMES = "header head masthead logo site branding top banner".split()
 NOTICE_NAMES = "notice cookie cookies consent gdpr alert popup modal newsletter subscribe signup overlay share social".split()
 COMMENT_NAMES = "comment comments reply replies discussion respond disqus commentlist reader".split()
 SYLLABLES = "ba de li mo ru ta ne so vi ka er on the in re st au ment que ción heit".split()
@@ -265,9 +265,12 @@ def labelled_pages(n: int = TRAIN_PAGES, seed: int = 7) -> list[str]:
     def links(low: int, high: int) -> str:
         return "".join(f'<li><a href="/">{words(1, 2)}</a></li>' for _ in range(rng.randint(low, high)))
 
+    def paragraphs(low: int, high: int) -> str:
+        return "".join(f"<p>{words(low, high)}</p>" for _ in range(rng.randint(1, 3)))
+
     def part(tags: list[str], names: list[str], inside: str, named: float = 0.8) -> str:
         tag = rng.choice(tags)
-        name = f' {rng.choice(["class", "class", "id"])}="{rng.choice(names)}{rng.choice(["", "", "-" + rng.choice(["box", "wrap", "area", "1"])])}"' if rng.random() < named or tag == "div" else ""
+        name = f' {rng.choice(["class", "class", "id", "role"])}="{rng.choice(names)}{rng.choice(["", "", "-" + rng.choice(["box", "wrap", "area", "1"])])}"' if rng.random() < named or tag == "div" else ""
         return f'<{tag}{name} data-label="boilerplate">{inside}</{tag}>'
 
     def prose(low: int, high: int) -> str:
@@ -287,7 +290,7 @@ def labelled_pages(n: int = TRAIN_PAGES, seed: int = 7) -> list[str]:
             elif kind < 0.34:
                 out.append(f"<figure><figcaption>{words(3, 12)}</figcaption></figure>")
             else:
-                body = words(1, 4) if rng.random() < 0.12 else words(8, 120)
+                body = words(1, 4) if rng.random() < 0.15 else words(*rng.choice([(4, 40), (20, 120), (20, 120), (100, 500)]))
                 if rng.random() < 0.15:
                     body += f' <a href="/">{words(1, 3)}</a> {words(3, 20)}'
                 out.append(f"<p>{body}{rng.choice(['</p>', '</p>', '</p>', '<br>'])}")
@@ -299,24 +302,25 @@ def labelled_pages(n: int = TRAIN_PAGES, seed: int = 7) -> list[str]:
         if rng.random() < 0.8:
             before.append(part(["nav", "div"], MENU_NAMES, f"<ul>{links(2, 9)}</ul>"))
         if rng.random() < 0.6:
-            before.append(part(["header", "div"], HEAD_NAMES, f"<h{(tall := rng.choice('122'))}>{words(1, 4)}</h{tall}>" + rng.choice(["", f"<p>{words(2, 9)}</p>", f"<ul>{links(2, 5)}</ul>"])))
+            before.append(part(["header", "div"], HEAD_NAMES, f"<h{(tall := rng.choice('122'))}>{words(1, 4)}</h{tall}>" + rng.choice(["", paragraphs(2, 40), f"<ul>{links(2, 5)}</ul>"])))
         for where, chance in ((before, 0.5), (after, 0.3), (inner, 0.15)):
             if rng.random() < chance:
-                where.append(part(["div", "aside", "section"], AD_NAMES, rng.choice([words(3, 40), f"<p>{words(3, 40)}</p>"])))
+                where.append(part(["div", "aside", "section"], AD_NAMES, rng.choice([words(3, 60), paragraphs(3, 60)])))
         for where in (before, after):
             if rng.random() < 0.3:
-                where.append(part(["div", "section", "dialog"], NOTICE_NAMES, rng.choice([words(4, 30), f"<p>{words(4, 30)}</p>"])))
+                where.append(part(["div", "section", "dialog"], NOTICE_NAMES, rng.choice([words(4, 60), paragraphs(4, 60)])))
         if rng.random() < 0.4:
-            after.append(part(["aside", "div"], SIDE_NAMES, rng.choice([f"<h3>{words(1, 3)}</h3><ul>{links(2, 8)}</ul>", f"<p>{words(5, 40)}</p>"])))
+            after.append(part(["aside", "div"], SIDE_NAMES, rng.choice([f"<h3>{words(1, 3)}</h3><ul>{links(2, 8)}</ul>", paragraphs(5, 60), f"<h3>{words(1, 3)}</h3>{paragraphs(5, 60)}"])))
         if rng.random() < 0.3:
-            after.append(part(["form"], NOTICE_NAMES, f"<p>{words(2, 12)}</p><label>{words(1, 3)}</label><input>", 0.3))
+            after.append(part(["form"], NOTICE_NAMES, f"{paragraphs(2, 40)}<label>{words(1, 3)}</label><input>", 0.3))
         if rng.random() < 0.35:
             said = "".join(rng.choice([f"<li><p>{words(3, 60)}</p></li>", f'<div class="comment"><p>{words(3, 60)}</p></div>']) for _ in range(rng.randint(1, 5)))
             (inner if rng.random() < 0.4 else after).append(part(["div", "section", "ol", "ul"], COMMENT_NAMES, f"<h3>{words(1, 3)}</h3>{said}", 1.0))
         if rng.random() < 0.85:
-            after.append(part(["footer", "footer", "div"], FOOT_NAMES, rng.choice([words(3, 30), f"<p>{words(3, 30)}</p>", f"<ul>{links(2, 6)}</ul>"])))
+            after.append(part(["footer", "footer", "div"], FOOT_NAMES, rng.choice([words(3, 40), paragraphs(3, 40), f"<ul>{links(2, 6)}</ul>"])))
         rng.shuffle(inner)
-        text = f"<h1>{words(2, 10)}</h1>{prose(1, 9)}" + "".join(inner)
+        prosaic = prose(1, 9) if rng.random() < 0.9 else "".join(f"<p>{words(1, 6)}</p>" for _ in range(rng.randint(10, 60)))
+        text = f"<h1>{words(1, 10)}</h1>{prosaic}" + "".join(inner)
         kind = rng.random()
         if kind < 0.45:
             body = f'<article data-label="content">{text}</article>'
@@ -325,7 +329,8 @@ def labelled_pages(n: int = TRAIN_PAGES, seed: int = 7) -> list[str]:
         elif kind < 0.7:
             body = f'<main data-label="content"><article>{text}</article></main>'
         elif kind < 0.92:
-            body = f'<div {rng.choice(["class", "id"])}="{rng.choice(CONTENT_NAMES)}" data-label="content">{text}</div>'
+            tag = rng.choice(["div", "div", "section"])
+            body = f'<{tag} {rng.choice(["class", "id", "role"])}="{rng.choice(CONTENT_NAMES)}" data-label="content">{text}</{tag}>'
         elif kind < 0.96:
             body = f'<div data-label="content">{text}</div>'
         else:
@@ -343,6 +348,7 @@ def train(spark: SparkSession, n: int = TRAIN_PAGES) -> Model:
 
 def extract(pages: DataFrame, m: Model, column: str = "html", out: str = "text") -> DataFrame:
     """``pages`` with the main text in place of the html column."""
+    small_batches(pages.sparkSession)
     given = share(pages.sparkSession, m)
 
     @F.pandas_udf("string")
