@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import text_of
+from marlstone.llm.common import small_batches, text_of
 
 # The control strings of the template. Other roles are written between [ROLE] and [/ROLE].
 START, END = "<s>", "</s>"
@@ -124,6 +124,7 @@ def format_turns(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", ro
     only part. The span [loss_start, loss_end) of ``formatted`` (escaped text of
     an assistant) is under the loss mask; it is empty for other roles.
     """
+    small_batches(turns.sparkSession)
     one = F.array(F.struct(F.lit("text").alias("type"), text_of(text).alias("text"), *[F.lit(None).cast(t).alias(n) for n, t in (("ref", "string"), ("width", "int"), ("height", "int"), ("seconds", "double"), ("pages", "int"))]))
     content = one if parts is None else F.coalesce(F.col(parts), F.array().cast(f"array<{PART}>"))
 

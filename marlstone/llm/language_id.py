@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import materialize, share, shared, text_of
+from marlstone.llm.common import materialize, share, shared, small_batches, text_of
 
 TRAIN_ROWS = 8_000
 LEAST_ROWS = 5
@@ -183,6 +183,7 @@ def identify(docs: DataFrame, text: str = "text", declared: str = "lang", host:
     priors and the fusion; without, whole rows pass by twice and nothing but
     host counts is written.
     """
+    small_batches(docs.sparkSession)
     names = [f"__c{i}" for i in range(len(docs.columns))]
     plain = docs.toDF(*names)
     col = lambda c: F.col(names[docs.columns.index(c)])

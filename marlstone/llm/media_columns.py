@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import text_of
+from marlstone.llm.common import small_batches, text_of
 
 WIDTH = 64
 HASH_ROWS, HASH_COLUMNS = 8, 9
@@ -150,6 +150,8 @@ def tile(media: bytes | None, rows: int | None = None, columns: int | None = Non
 def tiles(df: DataFrame, media: str, rows: int | None = None, columns: int | None = None) -> DataFrame:
     """``df`` with columns tile (NPY bytes) and dhash in place of the media column."""
 
+    small_batches(df.sparkSession)
+
     @F.pandas_udf("tile binary, dhash string")
     def make(column: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([tile(None if x is None else bytes(x), rows, columns) for x in column], columns=["tile", "dhash"])
@@ -176,6 +178,7 @@ def store_texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
                 out.append((k, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(stored), hashlib.sha256(stored).hexdigest(), f"{back.shape[0]}x{back.shape[1]}:{dhash}", stored))
             yield pd.DataFrame(out, columns=["k", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "tile"])
 
+    small_batches(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(f"`{key}`").alias("k"), text_of(text).alias("t"))
     made = rows.mapInPandas(work, f"k {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, tile binary")

@@ -33,7 +33,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import share, shared, text_of
+from marlstone.llm.common import share, shared, small_batches, text_of
 
 SPACE_SIGN = "▁"
 REMEMBERED = 400_000
@@ -253,6 +253,7 @@ def _encoder(given: Broadcast) -> Encoder:
 
 def encode_texts(df: DataFrame, path: str, text: str = "text", out: str = "ids") -> DataFrame:
     """``df`` with a column of ids (array<int>), begin and end included."""
+    small_batches(df.sparkSession)
     given = share(df.sparkSession, Vocabulary.load(path))
 
     @F.pandas_udf("array<int>")
@@ -266,6 +267,7 @@ def encode_texts(df: DataFrame, path: str, text: str = "text", out: str = "ids")
 
 def decode_ids(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """``df`` with the text of a column of ids; null ids give a null text."""
+    small_batches(df.sparkSession)
     given = share(df.sparkSession, Vocabulary.load(path))
 
     @F.pandas_udf("string")
@@ -279,6 +281,7 @@ def decode_ids(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded")
 
 def round_trip(df: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Encodes, then decodes the ids: key, n_tokens, ids_sha256, decoded_sha256."""
+    small_batches(df.sparkSession)
     given = share(df.sparkSession, Vocabulary.load(path))
 
     @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import share, shared, text_of
+from marlstone.llm.common import share, shared, small_batches, text_of
 
 TRAIN_ROWS = 10_000
 PREFIXES = (3, 4, 5, 6, 7, 8)
@@ -152,6 +152,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_ROWS) -
 
 def fit(train: DataFrame) -> Model:
     """The model from (t, y) rows; what reaches the driver is the chosen units and bounded summaries."""
+    small_batches(train.sparkSession)
     train = train.persist()
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -240,6 +241,7 @@ def squeeze(x: np.ndarray | float) -> np.ndarray:
 
 def score(docs: DataFrame, m: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, score, statistic, passages (start, end, score, evalue) of every row."""
+    small_batches(docs.sparkSession)
     given = share(docs.sparkSession, m)
 
     @F.pandas_udf("score double, statistic double, passages array<struct<start:int,end:int,score:double,evalue:double>>")
