@@ -27,8 +27,9 @@ def ranged(df: DataFrame, column: str, range_rows: int = RANGE_ROWS) -> DataFram
     x = F.col(column)
     kind = dict(df.dtypes)[column]
     number = F.unix_micros(x.cast("timestamp")).cast("double") if kind.startswith(("timestamp", "date")) else x.cast("double")
-    shares = F.array(*[F.lit(k / RANGES) for k in range(1, RANGES)])
-    found = df.agg(F.count(x).alias("n"), F.percentile_approx(number, shares, 10 * RANGES).alias("b")).first()
+    shares = ",".join(f"{k / RANGES}D" for k in range(1, RANGES))
+    percentiles = F.expr(f"percentile_approx(x, array({shares}), {10 * RANGES})")
+    found = df.select(number.alias("x")).agg(F.count("x").alias("n"), percentiles.alias("b")).first()
     wanted = min(RANGES, found["n"] // range_rows)
     step = -(-RANGES // wanted) if wanted else RANGES
     bounds = sorted(set((found["b"] or [])[step - 1 :: step]))
