@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 # Fixed value: the white space that separates words.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
+SMALL_TABLE = 64 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -75,3 +76,16 @@ def share(spark: SparkSession, value: object) -> Broadcast:
 
 def shared(value: Broadcast) -> object:
     return pickle.loads(value.value)  # noqa: S301  made by ``share``
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small table in fewer files than there are cores, dealt out anew; any other as it is.
+
+    Rows of one row group are read by one task, which for a table of a few MB
+    leaves most cores idle. Only where rows are computed changes.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size <= SMALL_TABLE and len(df.inputFiles()) < cores:
+        return df.repartition(cores)
+    return df

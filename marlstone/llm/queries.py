@@ -6,14 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.llm import chat_format, html_extract, language_id, media_columns, near_dedup, packing, quality_rules, secret_scan, sentencepiece_bpe, toxicity
-from marlstone.llm.common import table
+from marlstone.llm.common import spread, table
 
 #: The vocabulary file of the installed public tokenizers; read by the driver only.
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 
 def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    pages = spread(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return html_extract.extract(pages, html_extract.train(spark)).withColumn("n_chars", F.length("text").cast("long"))
 
 
@@ -39,7 +39,7 @@ def op3_length_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     m = toxicity.fit(toxicity.training_rows(docs, table(spark, sf_dir, "labels")))
     held_out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(toxicity.FOLDS)) == 0
     scored = toxicity.score(docs, m)
@@ -54,24 +54,24 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rated = quality_rules.rate(table(spark, sf_dir, "documents"), ["doc_id"])
+    rated = quality_rules.rate(spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")), ["doc_id"])
     return rated.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
 
 
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.deduplicate(table(spark, sf_dir, "documents"))
+    return near_dedup.deduplicate(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sentencepiece_bpe.round_trip(table(spark, sf_dir, "documents"), PIECE_MODEL)
+    return sentencepiece_bpe.round_trip(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), PIECE_MODEL)
 
 
 def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media_columns.store_texts(table(spark, sf_dir, "documents")).drop("tile")
+    return media_columns.store_texts(spread(table(spark, sf_dir, "documents").select("doc_id", "text"))).drop("tile")
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = language_id.identify(table(spark, sf_dir, "documents"), keep=["doc_id", "lang", "source"])
+    found = language_id.identify(spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")), keep=["doc_id", "lang", "source"])
     return found.select("doc_id", F.col("lang").alias("declared"), "source", F.col("__language").alias("language"), F.col("__posterior").alias("posterior"), F.col("__kept").alias("kept"))
 
 
