@@ -349,3 +349,108 @@ def h05_table_function(spark: SparkSession, d: str) -> DataFrame:
 def h04_group_apply(spark: SparkSession, d: str) -> DataFrame:
     w = Window.partitionBy("user_id").orderBy("value", "event_id")
     return read(spark, d, "events").select("user_id", "event_id", F.row_number().over(w).cast("long").alias("place"))
+
+
+@query(f"select event_id, replace(replace(x || ' :) :(', ':)', 'happy_face'), ':(', 'sad_face') as x from ({_SAID})")
+def t32_emoticon_names(spark: SparkSession, d: str) -> DataFrame:
+    t = said(spark, d).select("event_id", F.concat("x", F.lit(" :) :(")).alias("x"))
+    return t.select("event_id", tx.rewrite("x", ((":)", "happy_face"), (":(", "sad_face"))).alias("x"))
+
+
+@query("select item_id, length(lower(text)) - length(replace(lower(text), 'th', 'h')) as th, (length(lower(text)) - length(replace(lower(text), 'er', 'e'))) as er from benchmark")
+def t45_ngram_counts(spark: SparkSession, d: str) -> DataFrame:
+    low = F.lower("text")
+    return read(spark, d, "benchmark").select("item_id", tx.count_of(low, "th").cast("long").alias("th"), tx.count_of(low, "er").cast("long").alias("er"))
+
+
+@query("""with w as (select distinct item_id, unnest(list_filter(string_split_regex(lower(text), '[^a-z]+'), lambda x: x <> '')) as word from benchmark), e as (select word, item_id from w where length(word) = 4)
+select count(*) as words, count(*) filter (word in (select word from e)) as known from (select distinct word from w)""")
+def t50_embedding_lookup(spark: SparkSession, d: str) -> DataFrame:
+    from marlstone.operators import vocabulary as voc
+
+    rows = voc.tokens(read(spark, d, "benchmark").select("item_id", "text"), "item_id", F.split(F.lower("text"), "[^a-z]+")).select("word").distinct()
+    table = rows.where("length(word) = 4").select("word", F.array(F.lit(1.0)).alias("vector"))
+    return rows.join(table, "word", "left").agg(F.count("*").alias("words"), F.count("vector").alias("known"))
+
+
+@query("""with w as (select item_id, unnest(list_filter(string_split_regex(lower(text), '[^a-z]+'), lambda x: x <> '')) as word from benchmark), v as (select word, count(*) as n from w group by 1)
+select item_id, count(*) as kept from w join v using (word) where n between 3 and 40 group by 1""")
+def t53_drop_frequent_and_rare(spark: SparkSession, d: str) -> DataFrame:
+    from marlstone.operators import vocabulary as voc
+
+    rows = voc.tokens(read(spark, d, "benchmark").select("item_id", "text"), "item_id", F.split(F.lower("text"), "[^a-z]+"))
+    good = voc.vocabulary(rows, "item_id").where("n between 3 and 40").select("word")
+    return rows.join(good, "word", "left_semi").groupBy("item_id").agg(F.count("*").alias("kept"))
+
+
+@query("select p_partkey, contains(lower(p_type), 'pro') or contains(lower(p_type), 'eco') as wanted from part")
+def t56_substring_family(spark: SparkSession, d: str) -> DataFrame:
+    t = F.lower("p_type")
+    return read(spark, d, "part").select("p_partkey", (t.contains("pro") | t.contains("eco")).alias("wanted"))
+
+
+@query(f"""with w as (select unnest(string_split(lower(x), ' ')) as word from ({_SAID})) select word, count(*) as n from w where word in ('good', 'bad', 'great', 'so') group by 1""")
+def t59_keyword_frequency(spark: SparkSession, d: str) -> DataFrame:
+    w = said(spark, d).select(F.explode(F.split(F.lower("x"), " ")).alias("word"))
+    return w.where(F.col("word").isin("good", "bad", "great", "so")).groupBy("word").agg(F.count("*").alias("n"))
+
+
+@query("select o_orderkey, cast(floor(dayofyear(o_orderdate) / 7.0) as bigint) as week, round(year(o_orderdate) + (dayofyear(o_orderdate) - 1) / 365.0, 6) as fraction from orders")
+def y19_year_fraction(spark: SparkSession, d: str) -> DataFrame:
+    day = F.dayofyear("o_orderdate")
+    return read(spark, d, "orders").select("o_orderkey", F.floor(day / 7.0).alias("week"), rounded(F.year("o_orderdate") + (day - 1) / 365.0, 6).alias("fraction"))
+
+
+@query("select p_partkey, round(0.5 * p_size + 0.25 * p_retailprice + 10, 4) as score, cast(round_even(ln(1 + p_retailprice), 0) as int) as bucket from part")
+def v05_linear_score(spark: SparkSession, d: str) -> DataFrame:
+    s, p = F.col("p_size"), F.col("p_retailprice")
+    return read(spark, d, "part").select("p_partkey", rounded(0.5 * s + 0.25 * p + 10, 4).alias("score"), num.half_even(F.log1p(p)).cast("int").alias("bucket"))
+
+
+@query("""with e as (select user_id, event_type, list(event_id order by event_id) as a from events group by all) select user_id, cast(max(len(a)) as int) as most, cast(sum(len(a)) as bigint) as total, cast(count(*) as int) as kinds from e group by 1""")
+def q04_nested_lengths(spark: SparkSession, d: str) -> DataFrame:
+    t = read(spark, d, "events").groupBy("user_id", "event_type").agg(F.collect_list("event_id").alias("a"))
+    sizes = F.transform("g", F.size)
+    t = t.groupBy("user_id").agg(F.collect_list("a").alias("g"))
+    return t.select("user_id", F.array_max(sizes).alias("most"), F.aggregate(sizes, F.lit(0).cast("long"), lambda a, x: a + x).alias("total"), F.size("g").alias("kinds"))
+
+
+@query(f"select o_custkey, round(list_sum(list_transform(a, lambda x: x.p)), 2) as sum_p, cast(list_sum(list_transform(a, lambda x: x.k)) as bigint) as sum_k, len(list_filter(a, lambda x: x.s = 'P')) > 0 as has_p from ({_NEST})")
+def q06_struct_sums(spark: SparkSession, d: str) -> DataFrame:
+    total = lambda f, kind: F.aggregate("a", F.lit(0).cast(kind), lambda s, x: s + x[f])
+    return nested(spark, d).select("o_custkey", rounded(total("p", "double"), 2).alias("sum_p"), total("k", "long").alias("sum_k"), F.exists("a", lambda x: x["s"] == "P").alias("has_p"))
+
+
+@query("select n_name as name, n_nationkey as code from nation")
+def q14_inverted_dictionary(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "nation").select(F.col("n_name").alias("name"), F.col("n_nationkey").alias("code"))
+
+
+@query("with e as (select n_nationkey as a, n_regionkey + 100 as b from nation), t as (select a, b from e union all select b, a from e) select a as node, string_agg(cast(b as varchar), ',' order by b) as near from t group by 1")
+def q15_adjacency(spark: SparkSession, d: str) -> DataFrame:
+    e = read(spark, d, "nation").select(F.col("n_nationkey").alias("a"), (F.col("n_regionkey") + 100).alias("b"))
+    both = e.union(e.select("b", "a"))
+    return both.groupBy(F.col("a").alias("node")).agg(F.array_join(F.array_sort(F.collect_list("b")), ",").alias("near"))
+
+
+@query("""with s as (select epoch(min(ts)) as t0 from events), e as (select event_id, epoch(ts) - t0 as x from events, s), f(fold, a, b, c, d) as (values (0, 0, 600000, 700000, 1300000), (1, 300000, 900000, 1000000, 1600000), (2, 600000, 1200000, 1300000, 1900000))
+select fold, count(*) filter (x between a and b) as train, count(*) filter (x between c and d) as valid from e, f group by 1""")
+def f07_second_folds(spark: SparkSession, d: str) -> DataFrame:
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    t = tabular.with_scalars(read(spark, d, "events").select("event_id", us.alias("us")), t0=F.min("us"))
+    t = t.select("event_id", ((F.col("us") - F.col("t0")) / 1e6).alias("x"))
+    plan = folds.sliding(0, 2_000_000, 600_000, 100_000, 600_000, 300_000)
+    return folds.in_folds(t, "x", plan).groupBy("fold").agg(F.count_if(F.col("part") == "train").alias("train"), F.count_if(F.col("part") == "valid").alias("valid"))
+
+
+@query("with r as (select o_orderkey, row_number() over (order by o_orderkey) as i, count(*) over () as n from orders) select o_orderkey, case when i <= floor(n * 0.8) then 'train' else 'valid' end as part from r")
+def f11_positional_split(spark: SparkSession, d: str) -> DataFrame:
+    t = ordering.running(read(spark, d, "orders").select("o_orderkey"), "o_orderkey", {})
+    t = tabular.with_scalars(t, n=F.count("*"))
+    return t.select("o_orderkey", F.when(F.col("__row") <= F.floor(F.col("n") * 0.8), "train").otherwise("valid").alias("part"))
+
+
+@query("select quality as actual, count(*) filter (toxic = 0) as predicted_0, count(*) filter (toxic = 1) as predicted_1 from labels group by 1")
+def x07_confusion_report(spark: SparkSession, d: str) -> DataFrame:
+    t = read(spark, d, "labels").groupBy(F.col("quality").alias("actual")).pivot("toxic", [0, 1]).agg(F.count(F.lit(1)))
+    return t.select("actual", F.coalesce("0", F.lit(0)).alias("predicted_0"), F.coalesce("1", F.lit(0)).alias("predicted_1"))
