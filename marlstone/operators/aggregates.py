@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.functions.numeric import rounded
+from marlstone.operators.joins import attach
 
 
 def skewness(column: str | Column) -> Column:
@@ -75,13 +76,11 @@ def first_by(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFr
 
 
 def join_back(df: DataFrame, keys: Sequence[str], *aggregates: Column, null_safe: bool = False) -> DataFrame:
-    """Group statistics on every detail row. The statistics side is small; large sides are split where keys are skewed."""
-    stats = df.groupBy(*keys).agg(*aggregates)
-    if not null_safe:
-        return df.join(stats, list(keys), "left")
-    named = stats.withColumnsRenamed({k: f"__k_{k}" for k in keys})
-    on = [df[k].eqNullSafe(named[f"__k_{k}"]) for k in keys]
-    return df.join(named, on, "left").drop(*[f"__k_{k}" for k in keys])
+    """Group statistics on every detail row; without ``null_safe`` rows with a null key get nulls."""
+    rows = df
+    for k in () if null_safe else keys:
+        rows = rows.where(F.col(k).isNotNull())
+    return attach(df, rows.groupBy(*keys).agg(*aggregates), keys)
 
 
 def profile(df: DataFrame) -> DataFrame:

@@ -15,6 +15,18 @@ def null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str =
     return left.join(other, on, how).drop(*[f"__k_{k}" for k in keys])
 
 
+def attach(df: DataFrame, table: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Left join with a table that has one row for each key, nulls matching nulls.
+
+    The null-safe condition makes both sides shuffle for the join, even where
+    the table comes from an aggregation by the same keys. That small shuffle lets
+    adaptive execution split the detail rows of a hot key (or broadcast the table).
+    """
+    other = table.withColumnsRenamed({k: f"__k_{k}" for k in keys})
+    on = [df[k].eqNullSafe(other[f"__k_{k}"]) for k in keys]
+    return df.join(other, on, "left").drop(*[f"__k_{k}" for k in keys])
+
+
 def overlapping(left: DataFrame, right: DataFrame, lo: str, hi: str, other_lo: str, other_hi: str, width: float) -> DataFrame:
     """All pairs of closed intervals that overlap, through an equi join on cells of ``width``.
 

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from marlstone.operators.joins import attach
+
 
 def prefixed(df: DataFrame, prefix: str, keep: Sequence[str] = ()) -> DataFrame:
     """All columns renamed by a prefix, but for ``keep``."""
@@ -46,14 +48,14 @@ def null_count(columns: Sequence[str]) -> Column:
 def fill_group_median(df: DataFrame, value: str, group: Sequence[str]) -> DataFrame:
     """Nulls replaced by the median of their group (joined back, so a large group is never held by one task)."""
     medians = df.groupBy(*group).agg(F.median(value).alias("__median"))
-    return df.join(medians, list(group), "left").withColumn(value, F.coalesce(value, "__median")).drop("__median")
+    return attach(df, medians, group).withColumn(value, F.coalesce(value, "__median")).drop("__median")
 
 
 def fill_from_dependency(df: DataFrame, keys: Sequence[str], target: str, least: int = 2) -> DataFrame:
     """Null targets filled where the keys determine one single target seen at least ``least`` times."""
     known = df.where(F.col(target).isNotNull()).groupBy(*keys).agg(F.min(target).alias("__low"), F.max(target).alias("__high"), F.count("*").alias("__n"))
     known = known.where((F.col("__low") == F.col("__high")) & (F.col("__n") >= least)).select(*keys, "__low")
-    return df.join(known, list(keys), "left").withColumn(target, F.coalesce(target, "__low")).drop("__low")
+    return attach(df, known, keys).withColumn(target, F.coalesce(target, "__low")).drop("__low")
 
 
 def forward_fill(column: str, group: Sequence[str], order: Sequence[str], backward: bool = False) -> Column:
@@ -71,8 +73,8 @@ def row_forward_fill(columns: Sequence[str]) -> list[Column]:
 
 def mask_rare(df: DataFrame, column: str, least: int) -> DataFrame:
     """Values seen fewer than ``least`` times become null; counts are joined back."""
-    common = df.where(F.col(column).isNotNull()).groupBy(column).count().where(F.col("count") >= least).select(F.col(column).alias("__v"))
-    return df.join(common, F.col(column) == F.col("__v"), "left").withColumn(column, F.col("__v")).drop("__v")
+    common = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("__n")).where(F.col("__n") >= least)
+    return attach(df, common, [column]).withColumn(column, F.when(F.col("__n").isNotNull(), F.col(column))).drop("__n")
 
 
 def keep_top(df: DataFrame, column: str, k: int, other: object) -> DataFrame:
