@@ -101,21 +101,21 @@ def scan(history: DataFrame, path: str = "doc_id", content: str = "text", ledger
     return materialize(rows, "secret-ledger")
 
 
-def findings(history: DataFrame, ledger: DataFrame, path: str = "doc_id", content: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """One row (path, spans) for every row of ``history``; only blobs with findings take part in the join.
+def found_in(ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """(blob, spans) of the blobs in which the rules found something, as a written table with one row for each blob.
 
-    The ledger is a written table, so both sides of the join are plain shuffles
-    and the side with a hot blob can be split by adaptive execution.
+    A join with it is a join of two plain shuffles, of which the side with a hot
+    blob can be split by adaptive execution.
     """
     known = ledger.where((F.size("spans") > 0) & F.col("rule_version").isin([r.version for r in rules]))
-    # one row for each blob and version: the few versions of a blob are put side by side without another grouping
-    out = address(history, path, content)
-    parts = []
-    for k, version in enumerate(dict.fromkeys(r.version for r in rules)):
-        own = known.where(F.col("rule_version") == version).select("blob", F.col("spans").alias(f"spans_{k}"))
-        out = out.join(own, "blob", "left")
-        parts.append(F.coalesce(F.col(f"spans_{k}"), F.array().cast(SPANS)))
-    return out.select("path", F.array_sort(F.concat(*parts)).alias("spans"))
+    rows = known.groupBy("blob").agg(F.collect_list("spans").alias("spans"))  # as many rows as rule versions
+    return materialize(rows.select("blob", F.array_sort(F.flatten("spans")).alias("spans")), "secret-findings")
+
+
+def findings(history: DataFrame, ledger: DataFrame, path: str = "doc_id", content: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """One row (path, spans) for every row of ``history``; spans are empty where nothing was found."""
+    joined = address(history, path, content).join(found_in(ledger, rules), "blob", "left")
+    return joined.select("path", F.coalesce("spans", F.array().cast(SPANS)).alias("spans"))
 
 
 def render(spans: Column, rules: tuple[Rule, ...] = RULES) -> Column:
@@ -143,12 +143,8 @@ def masked(docs: DataFrame, content: str = "text", rules: tuple[Rule, ...] = RUL
     Reads and writes through the ledger: only blobs with findings are joined
     back, the others keep their text. A null text stays null.
     """
-    ledger = scan(docs, docs.columns[0], content, rules=rules)
-    out = docs.withColumn("__blob", F.unhex(F.sha2(F.encode(text_of(content), "UTF-8"), 256)))
-    parts = []
-    for k, version in enumerate(dict.fromkeys(r.version for r in rules)):
-        own = ledger.where((F.col("rule_version") == version) & (F.size("spans") > 0)).select(F.col("blob").alias("__blob"), F.col("spans").alias(f"__spans_{k}"))
-        out = out.join(own, "__blob", "left")
-        parts.append(F.coalesce(F.col(f"__spans_{k}"), F.array().cast(SPANS)))
-    spans = F.array_sort(F.concat(*parts))
+    found = found_in(scan(docs, content=content, rules=rules), rules).select(F.col("blob").alias("__blob"), F.col("spans").alias("__spans"))
+    rows = docs.withColumn("__key", F.unhex(F.sha2(F.encode(text_of(content), "UTF-8"), 256)))
+    out = rows.join(found, F.col("__key") == F.col("__blob"), "left")
+    spans = F.coalesce("__spans", F.array().cast(SPANS))
     return out.withColumn(content, F.when(F.col(content).isNull(), F.col(content)).otherwise(mask(F.col(content), spans))).select(*[F.col(f"`{c}`") for c in docs.columns])
