@@ -5,6 +5,8 @@ from __future__ import annotations
 import pickle
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark import Broadcast, cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -37,9 +39,35 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._marlstone_path = path
+    if _SCRATCH:
+        _SCRATCH[-1].append(out)
     return out
 
 
+#: Tables written inside the scratch blocks that are open now, innermost last.
+_SCRATCH: list[list[DataFrame]] = []
+
+
+@contextmanager
+def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """A block whose written tables are deleted at its end, but for those passed to the function it gives."""
+    kept: list[DataFrame] = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(df)
+        return df
+
+    _SCRATCH.append([])
+    try:
+        yield keep
+    finally:
+        for df in _SCRATCH.pop():
+            if not any(df is k for k in kept):
+                discard(df)
+        if _SCRATCH:
+            _SCRATCH[-1].extend(kept)
+
+
 def discard(df: DataFrame) -> None:
     """Delete a table that ``materialize`` wrote, when nothing reads it any more."""
     path = getattr(df, "_marlstone_path", None)

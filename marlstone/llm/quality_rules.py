@@ -21,7 +21,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import SPACE, WORD, materialize, text_of
+from marlstone.llm.common import SPACE, WORD, materialize, scratch, text_of
 
 WINDOW = 5
 SUBSET = 0.75
@@ -139,6 +139,11 @@ def fit(stats: DataFrame, group: tuple[str, ...] = GROUP, steps: int = STEPS) ->
 
     ``stats`` is read several times and should be a written table itself.
     """
+    with scratch() as keep:
+        return keep(_fit(stats, group, steps))
+
+
+def _fit(stats: DataFrame, group: tuple[str, ...], steps: int) -> DataFrame:
     p = len(X)
     rows = stats.where("n_words > 0").select(*group, *X)
     middle = rows.groupBy(*group).agg(*[F.percentile_approx(x, 0.5, 10000).alias(f"m{i}") for i, x in enumerate(X)])
@@ -173,10 +178,11 @@ def rate(docs: DataFrame, keep: list[str], text: str = "text", group: tuple[str,
 
 def keep_good(docs: DataFrame, text: str = "text", group: tuple[str, ...] = GROUP) -> DataFrame:
     """The rows of ``docs`` that are kept, with their own columns."""
-    stats = materialize(statistics(docs, list(group), text), "quality-stats")
+    with scratch() as keep:
+        params = keep(fit(materialize(statistics(docs, list(group), text), "quality-stats"), group))
     names = [f"c{i}" for i in range(len(docs.columns))]
     plain = docs.toDF(*[f"__{n}" for n in names])
     where = {c: f"__{n}" for c, n in zip(docs.columns, names, strict=True)}
     named = plain.select("*", *[F.col(where[g]).alias(g) for g in group], F.col(where[text]).alias("__body"))
     full = statistics(named, [*where.values(), *group], "__body")
-    return judge(full, fit(stats, group), group).where("kept").select(*[F.col(where[c]).alias(c) for c in docs.columns])
+    return judge(full, params, group).where("kept").select(*[F.col(where[c]).alias(c) for c in docs.columns])

@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import materialize, text_of
+from marlstone.llm.common import materialize, scratch, text_of
 
 SPANS = "array<struct<start:int,rank:int,end:int>>"
 
@@ -143,7 +143,9 @@ def masked(docs: DataFrame, content: str = "text", rules: tuple[Rule, ...] = RUL
     Reads and writes through the ledger: only blobs with findings are joined
     back, the others keep their text. A null text stays null.
     """
-    found = found_in(scan(docs, content=content, rules=rules), rules).select(F.col("blob").alias("__blob"), F.col("spans").alias("__spans"))
+    with scratch() as keep:
+        table = keep(found_in(scan(docs, content=content, rules=rules), rules))
+    found = table.select(F.col("blob").alias("__blob"), F.col("spans").alias("__spans"))
     rows = docs.withColumn("__key", F.unhex(F.sha2(F.encode(text_of(content), "UTF-8"), 256)))
     out = rows.join(found, F.col("__key") == F.col("__blob"), "left")
     spans = F.coalesce("__spans", F.array().cast(SPANS))
