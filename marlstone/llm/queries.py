@@ -41,7 +41,8 @@ def op3_length_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     m = toxicity.fit(toxicity.training_rows(docs, table(spark, sf_dir, "labels")))
-    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(toxicity.FOLDS)) == 0
+    # a document without an id is in no fold
+    held_out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(toxicity.FOLDS)) == 0, F.lit(False))
     scored = toxicity.score(docs, m)
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("passages").alias("n_passages"))
 

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from marlstone.llm.common import materialize, scratch, text_of
 
 SPANS = "array<struct<start:int,rank:int,end:int>>"
+BROADCAST_ROWS, BROADCAST_SPANS = 100_000, 400_000
 
 
 @dataclass(frozen=True)
@@ -112,9 +113,15 @@ def found_in(ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     return materialize(rows.select("blob", F.array_sort(F.flatten("spans")).alias("spans")), "secret-findings")
 
 
+def light(found: DataFrame) -> DataFrame:
+    """The findings marked for broadcast if their counted rows and spans are few, else as they are, for a shuffle join."""
+    size = found.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.size("spans")), F.lit(0)).alias("spans")).first()
+    return F.broadcast(found) if size["rows"] <= BROADCAST_ROWS and size["spans"] <= BROADCAST_SPANS else found
+
+
 def findings(history: DataFrame, ledger: DataFrame, path: str = "doc_id", content: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """One row (path, spans) for every row of ``history``; spans are empty where nothing was found."""
-    joined = address(history, path, content).join(found_in(ledger, rules), "blob", "left")
+    joined = address(history, path, content).join(light(found_in(ledger, rules)), "blob", "left")
     return joined.select("path", F.coalesce("spans", F.array().cast(SPANS)).alias("spans"))
 
 
@@ -145,7 +152,7 @@ def masked(docs: DataFrame, content: str = "text", rules: tuple[Rule, ...] = RUL
     """
     with scratch() as keep:
         table = keep(found_in(scan(docs, content=content, rules=rules), rules))
-    found = table.select(F.col("blob").alias("__blob"), F.col("spans").alias("__spans"))
+    found = light(table).select(F.col("blob").alias("__blob"), F.col("spans").alias("__spans"))
     rows = docs.withColumn("__key", F.unhex(F.sha2(F.encode(text_of(content), "UTF-8"), 256)))
     out = rows.join(found, F.col("__key") == F.col("__blob"), "left")
     spans = F.coalesce("__spans", F.array().cast(SPANS))

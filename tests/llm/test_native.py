@@ -5,6 +5,7 @@ import itertools
 import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from marlstone.llm import packing, quality_rules, secret_scan
@@ -64,7 +65,9 @@ def test_ledger_scans_only_unseen_pairs(spark):
     assert joined.count() == 5
 
 
-def test_masking(spark):
+@pytest.mark.parametrize("most", [100_000, 0])
+def test_masking(spark, monkeypatch, most):
+    monkeypatch.setattr(secret_scan, "BROADCAST_ROWS", most)
     d = docs(spark, TEXTS)
     out = secret_scan.masked(d)
     assert out.columns == d.columns
