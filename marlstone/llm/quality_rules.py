@@ -2,9 +2,10 @@
 
 Every document gets a vector of transformed statistics. Per (language, source)
 a minimum-covariance-determinant estimate of their centre and scatter is
-computed by concentration steps: start from coordinate-wise medians and MADs,
-keep the ``SUBSET`` share of rows nearest by Mahalanobis distance, take mean and
-covariance of those, repeat. Documents beyond the chi-square quantile ``CUTOFF``
+computed by concentration steps: keep the ``SUBSET`` share of rows nearest by
+Mahalanobis distance, take mean and covariance of those, repeat until the
+determinant stops falling. Of three starts the one with the least determinant
+is taken. Documents beyond the chi-square quantile ``CUTOFF``
 are rejected. Each step is a grouped aggregation of fixed-size states (partial
 before the shuffle), so one source with a third of all rows is no hot group.
 
@@ -26,10 +27,11 @@ from marlstone.llm.common import SPACE, WORD, materialize, scratch, text_of
 WINDOW = 5
 SUBSET = 0.75
 CUTOFF = 0.9999
-STEPS = 3
+#: A start is done when its log determinant falls by no more than this.
+LEAST_FALL = 1e-3
 GROUP = ("lang", "source")
 #: Least standard deviation of each transformed statistic: below it, differences say nothing about quality.
-FLOOR = {"x1": 0.15, "x2": 0.05, "x3": 0.20, "x4": 0.15}
+FLOOR = {"x1": 0.15, "x2": 0.05, "x3": 0.05, "x4": 0.05}
 X = tuple(FLOOR)
 
 
@@ -61,6 +63,16 @@ def repeat_words(words: Column) -> Column:
     return F.when(F.size(words) <= WINDOW, F.lit(0).cast("long")).otherwise(let(hashes, covered))
 
 
+def longest_repeated(lines: Column) -> Column:
+    """Most words of a line that the array holds twice or more; 0 without one."""
+
+    def most(s: Column) -> Column:
+        twice = F.filter(s, lambda x, k: (k > 0) & F.coalesce(F.get(s, k - 1) == x, F.lit(False)))
+        return F.array_max(F.transform(twice, lambda x: F.size(F.array_remove(F.split(x, SPACE), ""))))
+
+    return F.when(F.size(F.array_distinct(lines)) == F.size(lines), 0).otherwise(let(F.array_sort(lines), most))
+
+
 def statistics(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     """``keep`` columns, base statistics, base verdict and the vector x1..x4 of every row."""
     t = text_of(text)
@@ -72,7 +84,7 @@ def statistics(docs: DataFrame, keep: list[str], text: str = "text") -> DataFram
         F.length(F.regexp_replace("__t", SPACE, "")).cast("long").alias("word_chars"),
         F.length("__t").alias("__chars"),
         (F.length("__t") - F.length(F.regexp_replace("__t", r"[#*$%&|<>]+", ""))).cast("long").alias("n_symbols"),
-        let(lines, lambda x: F.struct(F.size(x).alias("n"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("dup"))).alias("__lines"),
+        let(lines, lambda x: F.struct(F.size(x).alias("n"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("dup"), longest_repeated(x).alias("longest"))).alias("__lines"),
         repeat_words(F.col("__w")).alias("n_repeat_words"),
     )
     n = F.greatest(F.col("n_words"), F.lit(1)).cast("double")
@@ -84,8 +96,9 @@ def statistics(docs: DataFrame, keep: list[str], text: str = "text") -> DataFram
         ((F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))).alias("base_failed"),
         F.log(F.greatest(F.col("word_chars"), F.lit(1)) / n).alias("x1"),
         F.sqrt(F.col("n_symbols") / F.greatest(F.col("__chars"), F.lit(1))).alias("x2"),
-        F.sqrt(F.col("__lines.dup") / F.greatest(F.col("__lines.n"), F.lit(1))).alias("x3"),
-        F.sqrt(F.col("n_repeat_words") / n).alias("x4"),
+        # a passage of two lines, or a line or window of words, that stands twice says nothing, however short the text
+        F.sqrt(F.greatest(F.col("__lines.dup") - 2, F.lit(0)) / F.greatest(F.col("__lines.n"), F.lit(1))).alias("x3"),
+        F.sqrt(F.greatest(F.col("n_repeat_words") - 2 * F.greatest(F.col("__lines.longest"), F.lit(WINDOW)), F.lit(0)) / n).alias("x4"),
     )
 
 
@@ -121,7 +134,7 @@ def distance(prefix: str = "m", lower: str = "l") -> Column:
 
 
 def _factor(params: DataFrame, group: tuple[str, ...]) -> DataFrame:
-    """Adds the Cholesky factor of the covariance c_ij (with the floor on its diagonal)."""
+    """The Cholesky factor of the covariance c_ij (with the floor on its diagonal) and its log determinant."""
     out = params
     for i, x in enumerate(X):
         for j in range(i + 1):
@@ -131,35 +144,60 @@ def _factor(params: DataFrame, group: tuple[str, ...]) -> DataFrame:
             for k in range(j):
                 value = value - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
             out = out.withColumn(f"l{i}{j}", F.sqrt(F.greatest(value, F.lit(FLOOR[x] ** 2 / 4))) if i == j else value / F.col(f"l{j}{j}"))
-    return out.select(*group, *[f"m{i}" for i in range(len(X))], *[f"l{i}{j}" for i in range(len(X)) for j in range(i + 1)])
+    size = sum((2 * F.log(f"l{i}{i}") for i in range(1, len(X))), 2 * F.log("l00"))
+    return out.select(*group, *[f"m{i}" for i in range(len(X))], *[f"l{i}{j}" for i in range(len(X)) for j in range(i + 1)], size.alias("logdet"))
 
 
-def fit(stats: DataFrame, group: tuple[str, ...] = GROUP, steps: int = STEPS) -> DataFrame:
+def fit(stats: DataFrame, group: tuple[str, ...] = GROUP) -> DataFrame:
     """Centre and Cholesky factor of the scatter of every group, as a written table.
 
     ``stats`` is read several times and should be a written table itself.
     """
     with scratch() as keep:
-        return keep(_fit(stats, group, steps))
+        return keep(_fit(stats, group))
 
 
-def _fit(stats: DataFrame, group: tuple[str, ...], steps: int) -> DataFrame:
+def _moments(rows: DataFrame, keys: tuple[str, ...], widen: float = 1.0) -> DataFrame:
     p = len(X)
-    rows = stats.where("n_words > 0").select(*group, *X)
-    middle = rows.groupBy(*group).agg(*[F.percentile_approx(x, 0.5, 10000).alias(f"m{i}") for i, x in enumerate(X)])
-    middle = materialize(middle, "quality-middle")
+    return rows.groupBy(*keys).agg(*[F.avg(x).alias(f"m{i}") for i, x in enumerate(X)], *[(F.covar_pop(X[i], X[j]) * widen).alias(f"c{i}{j}") for i in range(p) for j in range(i + 1)])
+
+
+def _starts(rows: DataFrame, group: tuple[str, ...]) -> DataFrame:
+    """Three first estimates of every group: medians and MADs, all rows, rows near the median in every coordinate."""
+    p = len(X)
+    middle = materialize(rows.groupBy(*group).agg(*[F.percentile_approx(x, 0.5, 10000).alias(f"m{i}") for i, x in enumerate(X)]), "quality-middle")
     off = _grouped(rows, middle, group).groupBy(*group).agg(*[F.percentile_approx(F.abs(F.col(x) - F.col(f"m{i}")), 0.5, 10000).alias(f"s{i}") for i, x in enumerate(X)])
+    spread = materialize(_grouped(off, middle, group), "quality-spread")
     zero = F.lit(0.0)
-    first = _grouped(off, middle, group).select(*group, *[f"m{i}" for i in range(p)], *[(F.pow(1.4826 * F.col(f"s{i}"), 2) if i == j else zero).alias(f"c{i}{j}") for i in range(p) for j in range(i + 1)])
-    params = materialize(_factor(first, group), "quality-params")
-    widen = SUBSET / chi2_share(chi2_quantile(SUBSET, p), p + 2)
-    for _ in range(steps):
-        rated = _grouped(rows, params, group).select(*group, *X, distance().alias("d"))
-        edge = rated.groupBy(*group).agg(F.percentile_approx("d", SUBSET, 10000).alias("edge"))
-        near = _grouped(rated, edge, group).where(F.col("d") <= F.col("edge"))
-        moments = near.groupBy(*group).agg(*[F.avg(x).alias(f"m{i}") for i, x in enumerate(X)], *[(F.covar_pop(X[i], X[j]) * widen).alias(f"c{i}{j}") for i in range(p) for j in range(i + 1)])
-        params = materialize(_factor(moments, group), "quality-params")
-    return params
+    medians = spread.select(*group, *[f"m{i}" for i in range(p)], *[(F.pow(1.4826 * F.col(f"s{i}"), 2) if i == j else zero).alias(f"c{i}{j}") for i in range(p) for j in range(i + 1)])
+    near = _grouped(rows, spread, group)
+    for i, x in enumerate(X):
+        near = near.where(F.abs(F.col(x) - F.col(f"m{i}")) <= 2 * 1.4826 * F.col(f"s{i}"))
+    parts = [medians, _moments(rows, group), _moments(near.select(*group, *X), group)]
+    first = [part.withColumn("__start", F.lit(k)) for k, part in enumerate(parts)]
+    return materialize(_factor(first[0].unionByName(first[1]).unionByName(first[2]), (*group, "__start")), "quality-params")
+
+
+def _fit(stats: DataFrame, group: tuple[str, ...]) -> DataFrame:
+    rows = stats.where("n_words > 0").select(*group, *X)
+    keys = (*group, "__start")
+    widen = SUBSET / chi2_share(chi2_quantile(SUBSET, len(X)), len(X) + 2)
+
+    def step(params: DataFrame) -> DataFrame:
+        """One concentration step of every (group, start) of ``params``."""
+        own = params.withColumnsRenamed({g: f"__g_{g}" for g in group})
+        rated = rows.join(own, [F.col(g).eqNullSafe(F.col(f"__g_{g}")) for g in group]).select(*keys, *X, distance().alias("d"))
+        edge = rated.groupBy(*keys).agg(F.percentile_approx("d", SUBSET, 10000).alias("edge"))
+        return _factor(_moments(_grouped(rated, edge, keys).where(F.col("d") <= F.col("edge")), keys, widen), keys)
+
+    # the first estimates are no subsets: their determinants are not compared
+    now = best = materialize(step(_starts(rows, group)), "quality-params")
+    while now.limit(1).count():
+        before = now.select(*keys, F.col("logdet").alias("__before"))
+        now = materialize(_grouped(step(now), before, keys).where(F.col("logdet") < F.col("__before") - LEAST_FALL).drop("__before"), "quality-params")
+        best = best.unionByName(now)
+    names = [c for c in best.columns if c not in keys]
+    return materialize(best.groupBy(*group).agg(F.min_by(F.struct(*names), F.struct("logdet", "__start")).alias("b")).select(*group, *[f"b.{c}" for c in names if c != "logdet"]), "quality-params")
 
 
 def judge(stats: DataFrame, params: DataFrame, group: tuple[str, ...] = GROUP, cutoff: float = CUTOFF) -> DataFrame:

@@ -120,6 +120,27 @@ def test_quality_outliers(spark):
     assert quality_rules.keep_good(d.limit(0)).count() == 0
 
 
+def test_quality_repeated_lines(spark):
+    rng = random.Random(6)
+    line = lambda n: " ".join("".join(rng.choices("abcdefgh", k=rng.randint(3, 9))) for _ in range(n))
+    page = lambda unique, more: "\n".join([line(8) for _ in range(unique)] + ["Read more"] * more)
+    between = lambda n: "\n".join(f"{line(8)}\nRead more" for _ in range(n))
+    good = [(i, page(12, 0), "en", "a") for i in range(200)] + [(200 + i, page(k, 2), "en", "a") for i, k in enumerate((2, 3, 5, 12, 40))]
+    bad = [(1000 + i, between(k), "en", "a") for i, k in enumerate((5, 6, 10, 20, 40))]
+    # one line, a passage of two lines or five words that stand twice are kept, more words that stand twice are not
+    long, short = line(9), line(2)
+    good += [(310, "\n".join([line(60), long, line(60), long]), "en", "a"), (311, "\n".join([line(60), long, short, line(60), long, short]), "en", "a")]
+    window, passage = line(5), line(9)
+    good += [(300, f"{line(30)} {window} {line(30)} {window} {line(30)}", "en", "a")]
+    bad += [(1100, f"{line(40)} {passage} {line(40)} {passage} {line(10)}", "en", "a")]
+    # where every document repeats lines, that is no outlier
+    usual = [(2000 + i, page(10, 3 + i % 5), "en", "b") for i in range(60)]
+    d = spark.createDataFrame(good + bad + usual, "doc_id long, text string, lang string, source string")
+    rows = {r.doc_id: r for r in quality_rules.rate(d, ["doc_id"]).collect()}
+    assert not any(r.base_failed for r in rows.values())
+    assert {i for i, r in rows.items() if r.kept} == {g[0] for g in good + usual}
+
+
 def test_chi_square():
     assert abs(quality_rules.chi2_quantile(0.95, 4) - 9.4877) < 1e-3
 
