@@ -6,8 +6,9 @@ address, and a prior of the host. Host priors are hierarchically smoothed:
 host towards its domain, domain towards the whole table; their counts are sums
 of text posteriors, made by grouped aggregation over all rows.
 
-The trigram model is trained here on a bounded sample of rows with a declared
-language (``TRAIN_ROWS`` in expectation, chosen by a hash). Declared languages
+The trigram model is trained here on a bounded sample of the distinct texts of
+each declared language with ``LEAST_ROWS`` rows or more in the whole table
+(``TRAIN_ROWS`` of each in expectation, chosen by a hash). Declared languages
 are evidence of limited weight, never an answer.
 
 Defined results: a null text is empty; a text without letters has language
@@ -33,6 +34,7 @@ from marlstone.llm.common import materialize, share, shared, small_batches, text
 TRAIN_ROWS = 8_000
 LEAST_ROWS = 5
 BITS = 14
+HASHES = 1 << 40
 SMOOTH = 0.5
 EFFECTIVE = 200.0
 DECLARED_TRUST = 0.9
@@ -69,31 +71,36 @@ def language_code(column: Column) -> Column:
 
 
 def fit(docs: DataFrame, text: str, declared: Column, bound: int = TRAIN_ROWS) -> Model:
-    """Trigram log probabilities of each declared language; counts of at most 2^BITS buckets a language reach the driver."""
-    rows = docs.select(text_of(text).alias("t"), language_code(declared).alias("l")).where("l is not null")
-    share = min(1.0, bound / max(1, rows.count()))
-    rows = rows.where(F.pmod(F.xxhash64("t", "l"), F.lit(1_000_000)) < int(math.ceil(share * 1_000_000)))
+    """Trigram log probabilities of each declared language; counts of at most 2^BITS buckets a language reach the driver.
+
+    A language is known by its count over all rows. Of each known one, distinct
+    texts are taken by their hash, ``bound`` in expectation, so neither frequent
+    languages nor copies of a text displace others.
+    """
+    rows = docs.select(text_of(text).alias("t"), language_code(declared).alias("l")).where("l is not null").withColumn("h", F.xxhash64("t"))
+    sizes = rows.groupBy("l", "h").agg(F.count("*").alias("n")).groupBy("l").agg(F.sum("n").alias("n"), F.count("*").alias("texts")).where(F.col("n") >= LEAST_ROWS).collect()
+    languages = sorted(r["l"] for r in sizes)
+    if not languages:
+        return Model([], np.zeros((1 << BITS, 0), "f4"))
+    place = {v: k for k, v in enumerate(languages)}
+    most = [(r["l"], place[r["l"]], math.ceil(min(1.0, bound / r["texts"]) * HASHES)) for r in sizes]
+    known = docs.sparkSession.createDataFrame(most, "l string, k int, most long")
+    rows = rows.join(F.broadcast(known), "l").where(F.pmod("h", F.lit(HASHES)) < F.col("most")).groupBy("k", "h").agg(F.min("t").alias("t"))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: dict[str, np.ndarray] = {}
-        n: dict[str, int] = {}
+        seen: dict[int, np.ndarray] = {}
         for batch in batches:
-            for t, lang in zip(batch["t"], batch["l"], strict=True):
-                own = seen.setdefault(lang, np.zeros(1 << BITS, "i8"))
-                n[lang] = n.get(lang, 0) + 1
+            for k, t in zip(batch["k"], batch["t"], strict=True):
+                own = seen.setdefault(k, np.zeros(1 << BITS, "i8"))
                 for buckets in trigrams(t):
                     own += np.bincount(buckets, minlength=1 << BITS)
-        for lang, own in seen.items():
+        for k, own in seen.items():
             at = np.flatnonzero(own)
-            yield pd.DataFrame({"l": lang, "b": np.concatenate([[-1], at]), "n": np.concatenate([[n[lang]], own[at]])})
+            yield pd.DataFrame({"k": k, "b": at, "n": own[at]})
 
-    counts = rows.mapInPandas(count, "l string, b int, n long").groupBy("l", "b").agg(F.sum("n").alias("n")).collect()
-    languages = sorted(r["l"] for r in counts if r["b"] < 0 and r["n"] >= LEAST_ROWS)
+    counts = rows.select("k", "t").mapInPandas(count, "k int, b int, n long").groupBy("k", "b").agg(F.sum("n").alias("n")).toArrow()
     full = np.zeros((1 << BITS, len(languages)))
-    place = {v: k for k, v in enumerate(languages)}
-    for r in counts:
-        if r["b"] >= 0 and r["l"] in place:
-            full[r["b"], place[r["l"]]] = r["n"]
+    full[counts["b"].to_numpy(), counts["k"].to_numpy()] = counts["n"].to_numpy()
     smoothed = full + SMOOTH
     return Model(languages, np.log(smoothed / smoothed.sum(0)).astype("f4"))
 

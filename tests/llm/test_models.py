@@ -86,6 +86,20 @@ def test_language(spark):
     assert small.columns == ["doc_id", "__language", "__posterior", "__kept"]
 
 
+def test_rare_languages_and_copies(spark):
+    rng = random.Random(4)
+    rows = [(" ".join(words(rng, 20, "aeiouthnsr")), "en") for _ in range(1500)]
+    rows += [(" ".join(words(rng, 20, "éèçuaqxzvl")), "fr") for _ in range(6)] + [(" ".join(words(rng, 20, "wkzyj")), "pl") for _ in range(4)]
+    copies = [(rows[0][0], "en")] * 800
+    fit = lambda r, bound: language_id.fit(spark.createDataFrame(r, "text string, lang string"), "text", F.col("lang"), bound)
+    m = fit(rows + copies, 40)
+    assert m.languages == ["en", "fr"]  # by all rows, not by those of a sample of 40
+    for bound in (40, 10_000):
+        assert np.array_equal(fit(rows + copies, bound).table, fit(rows, bound).table)
+    # all six texts of the rare language are counted
+    assert np.allclose(m.table[:, 1], fit(rows[1500:1506], 40).table[:, 0])
+
+
 def shingle_weights(text, df, n):
     w = text.split()
     out = {}
