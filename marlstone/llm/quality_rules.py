@@ -196,6 +196,8 @@ def _fit(stats: DataFrame, group: tuple[str, ...]) -> DataFrame:
         before = now.select(*keys, F.col("logdet").alias("__before"))
         now = materialize(_grouped(step(now), before, keys).where(F.col("logdet") < F.col("__before") - LEAST_FALL).drop("__before"), "quality-params")
         best = best.unionByName(now)
+        # the driver drops what each step has broadcast, and executors with it, only when it collects garbage
+        rows.sparkSession._jvm.System.gc()
     names = [c for c in best.columns if c not in keys]
     return materialize(best.groupBy(*group).agg(F.min_by(F.struct(*names), F.struct("logdet", "__start")).alias("b")).select(*group, *[f"b.{c}" for c in names if c != "logdet"]), "quality-params")
 
