@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import gc
 import pickle
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark import Broadcast, cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,10 +24,13 @@ SMALL_TABLE = 64 << 20
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Where the session has none (tests on one machine), one is made and set.
+    Where a session on one machine has none, one is made and set; on a cluster
+    that is an error, as executors do not see each other's folders.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="marlstone-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -39,13 +45,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._marlstone_path = path
-    if _SCRATCH:
-        _SCRATCH[-1].append(out)
+    block = _SCRATCH.get()
+    if block is not None:
+        block.append(out)
     return out
 
 
-#: Tables written inside the scratch blocks that are open now, innermost last.
-_SCRATCH: list[list[DataFrame]] = []
+#: Tables written inside the scratch block that is open in this thread.
+_SCRATCH: ContextVar[list[DataFrame] | None] = ContextVar("scratch", default=None)
 
 
 @contextmanager
@@ -57,15 +64,18 @@ def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
         kept.append(df)
         return df
 
-    _SCRATCH.append([])
+    written: list[DataFrame] = []
+    token = _SCRATCH.set(written)
     try:
         yield keep
     finally:
-        for df in _SCRATCH.pop():
+        _SCRATCH.reset(token)
+        for df in written:
             if not any(df is k for k in kept):
                 discard(df)
-        if _SCRATCH:
-            _SCRATCH[-1].extend(kept)
+        outer = _SCRATCH.get()
+        if outer is not None:
+            outer.extend(kept)
 
 
 def discard(df: DataFrame) -> None:
@@ -77,10 +87,21 @@ def discard(df: DataFrame) -> None:
         where.getFileSystem(jsc.hadoopConfiguration()).delete(where, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets the driver drop what finished steps have shuffled and broadcast: it does so only when it collects garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of a few MB, so that a Python worker's memory follows neither row counts nor text lengths."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+    """Arrow batches of a few MB, so that a Python worker's memory follows neither row counts nor text lengths.
+
+    A lazy plan reads these settings when it runs, so they stay set; values that the caller has chosen are left alone.
+    """
+    for name, usual, value in (("maxRecordsPerBatch", "10000", "2000"), ("maxBytesPerBatch", str(64 << 20), str(4 << 20))):
+        key = f"spark.sql.execution.arrow.{name}"
+        if spark.conf.get(key, usual) in (usual, "64MB", "67108864b"):
+            spark.conf.set(key, value)
 
 
 def text_of(column: str | Column) -> Column:

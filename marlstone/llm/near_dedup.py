@@ -1,53 +1,69 @@
 """Near duplicates by improved consistent weighted sampling over TF-IDF shingles.
 
-1. Word shingles (five words) are hashed to 64 bits. A shingle weighs
-   (1 + ln tf) * (1 + ln(1 / max(df / N, SHARE))); only shingles in at least a
-   ``SHARE`` of all documents differ in their second factor, and at most (mean
-   shingles a document) / SHARE of these can exist, so their exact counts fit a
-   broadcast at any size of the corpus.
+1. Equal texts share one content key and take part once. Their word shingles
+   (five words) are hashed to 64 bits. A shingle weighs (1 + ln tf) *
+   (1 + ln(N / df) / ln N) / 2, with its own document frequency df among the N
+   distinct texts. Shingles in at least a ``SHARE`` of all texts are named by
+   blocks of texts and counted exactly; there are at most (mean shingles a
+   text) / SHARE of them, so they fit a broadcast at any size of the corpus.
+   All others are counted by a shuffle on the shingle, in which no key has more
+   than a ``SHARE`` of the texts; counts of two and more go back to their texts.
 2. Improved consistent weighted sampling gives ``BANDS * ROWS`` samples a
    document; equal samples have the weighted Jaccard similarity as probability.
 3. Documents that share a band meet in a bucket. No bucket is expanded into all
    pairs: first each member is compared with one leader, verified links are
    merged into components, and buckets inside one component are done. In the
    other buckets every pair of different components is compared, so no link is
-   lost: small buckets (``SMALL``) by a join, larger ones in blocks of ``BLOCK``
-   documents inside the tasks. The largest component of a bucket is never
-   compared with itself.
-4. Candidates whose samples agree too rarely are passed over (a pair at the
-   threshold is, with a probability below 1e-4); the others are verified by the
-   exact weighted Jaccard similarity of their whole texts.
-
-Equal texts share one content key and take part once. Defined results: a null
-text is the empty text; texts without words are in a class only with equal
-texts; texts of one to four words have one shingle; a null doc_id is a row of
-its class, and the class id is the least doc_id that is not null; repeated rows
-are members of one class; an empty table gives an empty table.
+   lost: small buckets (``SMALL``) by a join, larger ones in blocks inside the
+   tasks. The largest component of a bucket is never compared with itself.
+4. Before two texts are compared, their similarity is bounded from above by the
+   sums of weights in ``PROFILE`` classes of shingles: sum of minima over sum of
+   maxima. No pair at the threshold is passed over. Blocks are first compared by
+   these profiles; whole vectors travel only for members that have a partner in
+   the other block. What the bound lets through is verified by the exact
+   weighted Jaccard similarity of the whole texts.
+
+Defined results: a null text is the empty text; texts without words are in a
+class only with equal texts; texts of one to four words have one shingle; a text
+longer than ``SLICE`` is cut into overlapping pieces, which changes memory only;
+a null doc_id is a row of its class, and the class id is the least doc_id that
+is not null; repeated rows are members of one class, of which one is kept; an
+empty table gives an empty table; other columns, whatever their names, are
+ignored.
 """
 
 from __future__ import annotations
 
+import math
+import re
 import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from marlstone.llm.common import content_key, discard, materialize, scratch, small_batches, text_of
+from marlstone.llm.common import content_key, discard, materialize, release, scratch, small_batches, text_of
 
 WORDS = 5
 THRESHOLD = 0.8
-SHARE = 0.1
+#: Weights are kept with 32 bits; a similarity that is the threshold but for rounding reaches it.
+CLOSE = THRESHOLD - 1e-6
+SHARE = 0.005
 BANDS, ROWS = 12, 4
-AGREE = 0.58
+PROFILE = 128
 SMALL = 64
-BLOCK = 256
+#: Documents, and shingles of them, in a block.
+BLOCK, BLOCK_SHINGLES = 512, 1_000_000
 SLICE = 1 << 20
 HELD = 2_000_000
 BROADCAST_KEYS = 250_000
 U = np.uint64
+SPACES = re.compile(rb"[\x20\x09-\x0D]")
+Counts = tuple[np.ndarray, np.ndarray]  # sorted hashes, their document frequencies
 
 
 def tables() -> dict[str, np.ndarray]:
@@ -89,8 +105,32 @@ def slices(texts: list[str]) -> Iterator[tuple[int, list[bytes]]]:
         yield start, held
 
 
+def pieces(data: bytes) -> Iterator[bytes]:
+    """A long text in pieces of about ``SLICE`` bytes; each begins with the last ``WORDS - 1`` words of the one before."""
+    at, end = 0, SLICE
+    while True:
+        cut = SPACES.search(data, end)
+        if not cut:
+            yield data[at:]
+            return
+        tail = data[at : cut.start()].rsplit(None, WORDS - 1)
+        end = cut.start() + SLICE
+        if len(tail) == WORDS:  # else the piece has too few words and grows
+            yield data[at : cut.start()]
+            at += len(tail[0])
+
+
 def shingles(docs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct shingle hashes of every document: (document, hash, times), sorted by document and hash."""
+    if len(docs) == 1 and len(docs[0]) > SLICE:
+        parts = [few_shingles([x]) for k, x in enumerate(pieces(docs[0])) if not k or len(x.split(None, WORDS)) >= WORDS]
+        h, back = np.unique(np.concatenate([x[1] for x in parts]), return_inverse=True)
+        times = np.bincount(back, np.concatenate([x[2] for x in parts]), len(h)).astype("i8")
+        return np.zeros(len(h), "i8"), h, times
+    return few_shingles(docs)
+
+
+def few_shingles(docs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     t = tables()
     data = np.frombuffer(b" ".join(docs) + b" ", "u1")
     space = (data == 32) | ((data >= 9) & (data <= 13))
@@ -135,31 +175,37 @@ def shingles(docs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return d[spots], h[spots], np.diff(np.append(spots, len(h)))
 
 
-def log_weights(h: np.ndarray, times: np.ndarray, heavy: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """ln of the weights, 0 for a shingle that occurs once and is in less than ``SHARE`` of all documents."""
+def log_weights(h: np.ndarray, times: np.ndarray, known: Counts, n: int) -> np.ndarray:
+    """ln of the weights; 0 for a shingle that occurs once, in one text only."""
     out = np.zeros(len(h))
     many = times > 1
     out[many] = np.log1p(np.log(times[many]))
-    if len(heavy[0]):
-        spot = np.minimum(np.searchsorted(heavy[0], h), len(heavy[0]) - 1)
-        found = heavy[0][spot] == h
-        out[found] += heavy[1][spot[found]]
+    if len(known[0]) and n > 1:
+        spot = np.minimum(np.searchsorted(known[0], h), len(known[0]) - 1)
+        found = known[0][spot] == h
+        out[found] += np.log1p(-np.log(known[1][spot[found]]) / (2 * math.log(n)))
     return out
 
 
-def sample(docs: list[bytes], heavy: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """(documents, samples) 32-bit marks of the consistent weighted samples; all 0 without words.
+def merged(heavy: Counts, h: list[np.ndarray], n: list[np.ndarray]) -> Counts:
+    """The counts of some texts' own light shingles beside those of the heavy ones."""
+    if not h:
+        return heavy
+    whole, at = np.unique(np.concatenate([heavy[0], *[x.view("u8") for x in h]]), return_index=True)
+    return whole, np.concatenate([heavy[1], *n])[at]
+
+
+def sample(owner: np.ndarray, h: np.ndarray, lnw: np.ndarray, n: int) -> np.ndarray:
+    """(documents, samples) 32-bit marks of the consistent weighted samples of ``n`` documents; all 0 without words.
 
     For weight w: t = floor(ln w / r + beta), ln y = r (t - beta), and the
     shingle with the least a = c / (y exp(r)) is the sample, marked by (a,
     shingle, t). The random numbers of a shingle are drawn from a table by its hash.
     """
     t = tables()
-    owner, h, times = shingles(docs)
-    out = np.zeros((len(docs), BANDS * ROWS), "u4")
+    out = np.zeros((n, BANDS * ROWS), "u4")
     if not len(h):
         return out
-    lnw = log_weights(h, times, heavy)
     odd = np.flatnonzero(lnw != 0)
     begins = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
     have = owner[begins]
@@ -178,15 +224,13 @@ def sample(docs: list[bytes], heavy: tuple[np.ndarray, np.ndarray]) -> np.ndarra
     return out
 
 
-def heavy_shingles(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles in at least ``SHARE`` of all documents (column t), with the ln of their weight.
+def heavy_shingles(texts: DataFrame, n: int) -> Counts:
+    """Shingles in at least ``SHARE`` of the ``n`` distinct texts (column t), with their document frequencies.
 
     A shingle with that share has it in at least one block of documents, so
     each block names its own; then these are counted exactly. Within a block a
     table of counts by hash tells which shingles can reach the share at all.
     """
-    n = texts.count()
-    nothing = np.zeros(0, "u8"), np.zeros(0)
 
     def name(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, size, seen, rough = [], 0, 0, np.zeros(1 << 20, "i8")
@@ -209,14 +253,14 @@ def heavy_shingles(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
                     rough[:] = 0
         yield close()
 
-    named = materialize(texts.mapInPandas(name, "h long").distinct(), "shingle-names")
+    named = materialize(texts.select("t").mapInPandas(name, "h long").distinct(), "shingle-names")
     parts = -(-named.count() // HELD)
     found = []
     for part in range(parts):  # one, unless blocks are tiny
         some = named.where(F.pmod(F.col("h"), F.lit(parts)) == part).toPandas()["h"].to_numpy("i8").view("u8")
         shared = texts.sparkSession.sparkContext.broadcast(np.sort(some))
 
-        def count(batches: Iterator[pd.DataFrame], shared: object = shared) -> Iterator[pd.DataFrame]:
+        def count(batches: Iterator[pd.DataFrame], shared: Broadcast = shared) -> Iterator[pd.DataFrame]:
             names = shared.value
             total = np.zeros(len(names), "i8")
             for batch in batches:
@@ -227,78 +271,124 @@ def heavy_shingles(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             some = np.flatnonzero(total)
             yield pd.DataFrame({"h": names[some].view("i8"), "n": total[some]})
 
-        rows = texts.mapInPandas(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= SHARE * n)
+        rows = texts.select("t").mapInPandas(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= SHARE * n)
         found += [(r["h"], r["n"]) for r in rows.collect()]
     discard(named)
-    if not found:
-        return nothing
     h = np.array([x[0] for x in found], "i8").view("u8")
-    top = 1 + np.log(1 / SHARE)
-    weight = np.log((1 - np.log(np.minimum(np.array([x[1] for x in found]) / n, 1.0))) / top)
     order = np.argsort(h)
-    return h[order], weight[order]
+    return h[order], np.array([x[1] for x in found], "i8")[order]
+
 
+def light_counts(texts: DataFrame, heavy: Broadcast) -> DataFrame:
+    """d (a 32-bit hash of the content key), hs, ns: the light shingles of a text that two texts or more have, with their document frequencies.
 
-def signatures(rows: DataFrame, heavy: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """key, sig (4 bytes a sample, null without words) from rows of key and t."""
-    shared = rows.sparkSession.sparkContext.broadcast(heavy)
+    The rows of a shingle meet in one task, a ``SHARE`` of all texts at most.
+    Texts whose keys agree in d get each other's shingles too, which changes nothing.
+    """
 
-    @F.pandas_udf("binary")
-    def sign(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            out: list[bytes | None] = []
-            for _, docs in slices(texts.tolist()):
-                out += [row.tobytes() if row[0] else None for row in sample(docs, shared.value)]
-            yield pd.Series(out, dtype=object)
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = heavy.value[0]
+        for batch in batches:
+            own = batch["d"].to_numpy("i4")
+            for first, docs in slices(batch["t"].tolist()):
+                owner, h, _ = shingles(docs)
+                if len(names):
+                    light = names[np.minimum(np.searchsorted(names, h), len(names) - 1)] != h
+                    owner, h = owner[light], h[light]
+                yield pd.DataFrame({"h": h.view("i8"), "d": own[first + owner]})
 
-    return rows.select("key", sign("t").alias("sig"))
+    counted = texts.select("d", "t").mapInPandas(rows, "h long, d int").withColumn("n", F.count("*").over(Window.partitionBy("h"))).where("n > 1")
+    return counted.groupBy("d").agg(F.collect_list(F.struct("h", "n")).alias("x")).select("d", F.col("x.h").alias("hs"), F.col("x.n").alias("ns"))
 
 
-def agreeing(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose samples agree often enough to be verified."""
+def weighted(texts: DataFrame, light: DataFrame) -> DataFrame:
+    """Texts with the counts of their light shingles."""
+    return texts.join(light.withColumnRenamed("d", "__d"), F.col("d") == F.col("__d"), "left").drop("__d")
 
-    @F.pandas_udf("boolean")
-    def often(a: pd.Series, b: pd.Series) -> pd.Series:
-        left, right = (np.frombuffer(b"".join(x), "u4").reshape(-1, BANDS * ROWS) for x in (a, b))
-        return pd.Series((left == right).mean(1) >= AGREE)
 
-    both = pairs.join(sigs.select(F.col("key").alias("a"), F.col("sig").alias("sa")), "a").join(sigs.select(F.col("key").alias("b"), F.col("sig").alias("sb")), "b")
-    return both.where(often("sa", "sb")).select("a", "b")
+def vectors_of(batch: tuple[pd.Series, pd.Series, pd.Series], heavy: Counts, n: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(documents, owner, hash, ln weight) for every run of documents of a batch of texts, hs, ns."""
+    texts, hs, ns = (x.tolist() for x in batch)
+    for first, docs in slices(texts):
+        at = [k for k in range(first, first + len(docs)) if hs[k] is not None]
+        known = merged(heavy, [np.asarray(hs[k], "i8") for k in at], [np.asarray(ns[k], "i8") for k in at])
+        owner, h, times = shingles(docs)
+        yield len(docs), owner, h, log_weights(h, times, known, n)
+
+
+def profiles(owner: np.ndarray, h: np.ndarray, w: np.ndarray, n: int) -> np.ndarray:
+    """(documents, PROFILE) sums of the weights of each class of shingles."""
+    place = owner * PROFILE + (h >> U(32)).astype("i8") % PROFILE
+    return np.bincount(place, w, n * PROFILE).reshape(n, PROFILE).astype("f4")
+
+
+def signatures(rows: DataFrame, heavy: Broadcast, n: int) -> DataFrame:
+    """key, sig (4 bytes a sample, null without words), profile and shingles (their number) from rows of key, t, hs, ns."""
+
+    @F.pandas_udf("sig binary, profile binary, shingles long")
+    def sign(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out: list[tuple[bytes | None, bytes, int]] = []
+            for docs, owner, h, lnw in vectors_of(batch, heavy.value, n):
+                marks, sums, size = sample(owner, h, lnw, docs), profiles(owner, h, np.exp(lnw), docs), np.bincount(owner, minlength=docs)
+                out += [(m.tobytes() if m[0] else None, p.tobytes(), int(k)) for m, p, k in zip(marks, sums, size, strict=True)]
+            yield pd.DataFrame(out, columns=["sig", "profile", "shingles"])
+
+    return rows.select("key", sign("t", "hs", "ns").alias("__s")).select("key", "__s.*")
+
+
+def vectors(rows: DataFrame, heavy: Broadcast, n: int) -> DataFrame:
+    """key, h, w: sorted hashes (8 bytes) and weights (4 bytes) of every text."""
+
+    @F.pandas_udf("h binary, w binary")
+    def make(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out: list[tuple[bytes, bytes]] = []
+            for docs, owner, h, lnw in vectors_of(batch, heavy.value, n):
+                cuts, w = np.searchsorted(owner, np.arange(docs + 1)), np.exp(lnw).astype("f4")
+                out += [(h[a:b].tobytes(), w[a:b].tobytes()) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+            yield pd.DataFrame(out, columns=["h", "w"])
+
+    return rows.select("key", make("t", "hs", "ns").alias("__v")).select("key", "__v.*")
 
 
-def vector(text: str, heavy: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    _, h, times = shingles([text.encode("utf-8", "surrogatepass")])
-    return h, np.exp(log_weights(h, times, heavy))
+def able(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether documents with these profiles (broadcast against each other) can reach ``THRESHOLD``."""
+    low, high = np.minimum(a, b).sum(-1), np.maximum(a, b).sum(-1)
+    return low * (1 + 1e-4) >= THRESHOLD * high
+
+
+def promising(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
+    """Pairs (a, b) that their profiles do not rule out."""
+
+    @F.pandas_udf("boolean")
+    def can(a: pd.Series, b: pd.Series) -> pd.Series:
+        left, right = (np.frombuffer(b"".join(x), "f4").reshape(-1, PROFILE) for x in (a, b))
+        return pd.Series(able(left, right))
+
+    both = pairs.join(sigs.select(F.col("key").alias("a"), F.col("profile").alias("pa")), "a").join(sigs.select(F.col("key").alias("b"), F.col("profile").alias("pb")), "b")
+    return both.where(can("pa", "pb")).select("a", "b")
 
 
 def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
     _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
-    common = np.minimum(a[1][i], b[1][j]).sum()
-    whole = a[1].sum() + b[1].sum() - common
+    common = np.minimum(a[1][i], b[1][j]).sum(dtype="f8")
+    whole = a[1].sum(dtype="f8") + b[1].sum(dtype="f8") - common
     return float(common / whole) if whole else 0.0
 
 
-def verified(pairs: DataFrame, texts: DataFrame, heavy: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+def verified(pairs: DataFrame, vecs: DataFrame) -> DataFrame:
     """The pairs (a, b) whose weighted Jaccard similarity reaches ``THRESHOLD``."""
-    shared = pairs.sparkSession.sparkContext.broadcast(heavy)
 
     @F.pandas_udf("boolean")
-    def close(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for left, right in batches:
-            known: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-            out = []
-            for a, b in zip(left, right, strict=True):
-                for t in (a, b):
-                    if t not in known:
-                        if len(known) > 2000:
-                            known.clear()
-                        known[t] = vector(t, shared.value)
-                va = known.get(a) or vector(a, shared.value)
-                out.append(weighted_jaccard(va, known[b]) >= THRESHOLD)
-            yield pd.Series(out)
-
-    both = pairs.join(texts.select(F.col("key").alias("a"), F.col("t").alias("ta")), "a").join(texts.select(F.col("key").alias("b"), F.col("t").alias("tb")), "b")
-    return both.where(close("ta", "tb")).select("a", "b")
+    def close(ha: pd.Series, wa: pd.Series, hb: pd.Series, wb: pd.Series) -> pd.Series:
+        of = lambda h, w: (np.frombuffer(h, "u8"), np.frombuffer(w, "f4"))
+        return pd.Series([weighted_jaccard(of(a, b), of(c, d)) >= CLOSE for a, b, c, d in zip(ha, wa, hb, wb, strict=True)])
+
+    both = pairs
+    for side in "ab":
+        both = both.join(vecs.select(F.col("key").alias(side), F.col("h").alias(f"h{side}"), F.col("w").alias(f"w{side}")), side)
+    return both.where(close("ha", "wa", "hb", "wb")).select("a", "b")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -325,18 +415,24 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def buckets(sigs: DataFrame) -> DataFrame:
-    """(bucket, key): one row for each band of each signature."""
+    """(bucket, key, shingles): one row for each band of each signature."""
     band = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring(F.col("sig"), i * (4 * ROWS) + 1, F.lit(4 * ROWS))))
-    return sigs.where("sig is not null").select(F.explode(band).alias("bucket"), "key")
+    return sigs.where("sig is not null").select(F.explode(band).alias("bucket"), "key", "shingles")
 
 
 def open_buckets(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """(bucket, key, label, size, giant) of buckets in several components; giant is the label of the most members."""
+    """(bucket, key, label, shingles, size, giant, inner, outer) of buckets in several components.
+
+    ``giant`` is the label of the most members; ``inner`` and ``outer`` are the
+    numbers of blocks for its members and for the others.
+    """
     own = labels.select(F.col("node").alias("key"), F.col("label").alias("__l"))
-    rows = materialize(members.join(own, "key", "left").select("bucket", "key", F.coalesce("__l", "key").alias("label")), "dedup-members")
-    parts = rows.groupBy("bucket", "label").agg(F.count("*").alias("n"))
-    mixed = parts.groupBy("bucket").agg(F.sum("n").alias("size"), F.max(F.struct("n", "label")).alias("top"), F.count("*").alias("kinds")).where("kinds > 1")
-    mixed = materialize(mixed.select("bucket", "size", F.col("top.label").alias("giant"), F.col("top.n").alias("giant_size")), "dedup-open")
+    rows = materialize(members.join(own, "key", "left").select("bucket", "key", "shingles", F.coalesce("__l", "key").alias("label")), "dedup-members")
+    parts = rows.groupBy("bucket", "label").agg(F.count("*").alias("n"), F.sum("shingles").alias("s"))
+    mixed = parts.groupBy("bucket").agg(F.sum("n").alias("size"), F.sum("s").alias("whole"), F.max(F.struct("n", "label", "s")).alias("top"), F.count("*").alias("kinds")).where("kinds > 1")
+    blocks = lambda n, s: F.greatest(F.ceil(n / BLOCK), F.ceil(s / BLOCK_SHINGLES))
+    inner, outer = blocks(F.col("top.n"), F.col("top.s")), blocks(F.col("size") - F.col("top.n"), F.col("whole") - F.col("top.s"))
+    mixed = materialize(mixed.select("bucket", "size", F.col("top.label").alias("giant"), inner.alias("inner"), outer.alias("outer")), "dedup-open")
     return materialize(rows.join(mixed, "bucket"), "dedup-left")
 
 
@@ -357,36 +453,29 @@ def small_pairs(left: DataFrame) -> DataFrame:
     return ordered(some.withColumnRenamed("key", "a").join(other, "bucket").where("label < lb").select("a", "b"))
 
 
-def close_pairs(texts: list[str], side: np.ndarray, labels: np.ndarray, heavy: tuple[np.ndarray, np.ndarray]) -> list[tuple[int, int]]:
-    """Links that join documents with different labels: pairs, not both of side 0, that reach ``THRESHOLD``.
+def partners(p: np.ndarray, side: np.ndarray, label: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """For each row of the first side, the rows of the second with another label that their profiles do not rule out.
+
+    ``side`` is 0 or 1; if all rows are of one side, each is compared with those behind it.
+    """
+    left, right = np.flatnonzero(side == side.min()), np.flatnonzero(side == side.max())
+    one = side.min() == side.max()
+    for k, i in enumerate(left):
+        others = right[k + 1 :] if one else right
+        others = others[label[others] != label[i]]
+        if len(others):
+            yield i, others[able(p[i], p[others])]
+
+
+def close_pairs(vecs: list[tuple[np.ndarray, np.ndarray]], side: np.ndarray, label: np.ndarray) -> list[tuple[int, int]]:
+    """Links between the two sides that join documents with different labels and reach ``THRESHOLD``.
 
-    A pair that the links found before have joined already is not looked at. The weight that two documents share is bounded from above by a matrix
-    product over the shingles that several of them have; only pairs that this
-    bound lets through are compared exactly.
+    A pair that the links found before have joined already is not looked at.
     """
-    vectors = [vector(t, heavy) for t in texts]
-    n = len(vectors)
-    owner = np.repeat(np.arange(n), [len(v[0]) for v in vectors])
-    values, column, times = np.unique(np.concatenate([v[0] for v in vectors]), return_inverse=True, return_counts=True)
-    weight = np.concatenate([v[1] for v in vectors])
-    most = np.zeros(len(values))
-    np.maximum.at(most, column, weight)
-    again = times > 1
-    place = np.cumsum(again) - 1
-    use = again[column]
-    owner, at, mark = owner[use], place[column[use]], np.sqrt(most[column[use]])
-    order = np.argsort(at, kind="stable")
-    owner, at, mark = owner[order], at[order], mark[order]
-    shared = np.zeros((n, n), "f4")
-    for low in range(0, int(again.sum()), 4096):
-        first, last = np.searchsorted(at, [low, low + 4096])
-        dense = np.zeros((n, 4096), "f4")
-        dense[owner[first:last], at[first:last] - low] = mark[first:last]
-        shared += dense @ dense.T
-    whole = np.array([v[1].sum() for v in vectors])
-    able = shared * (1 + THRESHOLD) >= THRESHOLD * (whole[:, None] + whole[None, :]) * (1 - 1e-4)
-    able &= (labels[:, None] != labels[None, :]) & ((side[:, None] + side[None, :]) > 0)
-    root = list(range(int(labels.max()) + 1))
+    n = len(vecs)
+    owner = np.repeat(np.arange(n), [len(v[0]) for v in vecs])
+    p = profiles(owner, np.concatenate([v[0] for v in vecs]), np.concatenate([v[1] for v in vecs]), n)
+    root = list(range(int(label.max()) + 1))
 
     def find(x: int) -> int:
         while root[x] != x:
@@ -394,70 +483,85 @@ def close_pairs(texts: list[str], side: np.ndarray, labels: np.ndarray, heavy: t
         return x
 
     out = []
-    for i, j in zip(*np.nonzero(np.triu(able, 1)), strict=True):
-        x, y = find(labels[i]), find(labels[j])
-        if x != y and weighted_jaccard(vectors[i], vectors[j]) >= THRESHOLD:
-            root[x] = y
-            out.append((i, j))
+    for i, others in partners(p, side, label):
+        for j in others.tolist():
+            x, y = find(label[i]), find(label[j])
+            if x != y and weighted_jaccard(vecs[i], vecs[j]) >= CLOSE:
+                root[x] = y
+                out.append((i, j))
     return out
 
 
-def block_links(left: DataFrame, texts: DataFrame, heavy: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+def block_links(left: DataFrame, sigs: DataFrame, vecs: DataFrame) -> DataFrame:
     """Verified links between different components in buckets of more than ``SMALL`` members.
 
-    The giant component of a bucket is cut into blocks 0..g-1, the others into
-    g..g+s-1; each task compares two blocks of which one at least is of the
-    others. A block holds about ``BLOCK`` documents, whatever the bucket's size.
+    The giant component of a bucket is cut into blocks 0..inner-1, the others
+    into inner..inner+outer-1; each task compares two blocks of which one at
+    least is of the others, first by profiles, then, where those leave partners,
+    by vectors. A block holds about ``BLOCK`` documents and ``BLOCK_SHINGLES``
+    shingles, whatever the bucket's size.
     """
-    given = left.sparkSession.sparkContext.broadcast(heavy)
-    g, s = F.ceil(F.col("giant_size") / BLOCK), F.ceil((F.col("size") - F.col("giant_size")) / BLOCK)
+    g, s = F.col("inner"), F.col("outer")
     inside = F.col("label") == F.col("giant")
     block = F.when(inside, F.pmod(F.xxhash64("key"), g)).otherwise(g + F.pmod(F.xxhash64("key"), s))
-    placed = left.where(F.col("size") > SMALL).withColumns({"g": g, "last": g + s - 1, "block": block})
-    others = F.sequence(F.when(inside, F.col("g")).otherwise(F.lit(0)), F.col("last"))
-    rows = placed.select("bucket", "key", "label", inside.alias("inside"), "block", F.explode(others).alias("other"))
-    rows = rows.select("bucket", "key", "label", "inside", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
+    others = F.sequence(F.when(inside, g).otherwise(F.lit(0)), g + s - 1)
+    rows = left.where(F.col("size") > SMALL).select("bucket", "key", "label", block.alias("block"), F.explode(others).alias("other"))
+    rows = rows.select("bucket", "key", "label", "block", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
+
+    def hopeful(group: pd.DataFrame) -> pd.DataFrame:
+        """The members with a partner."""
+        p = np.frombuffer(b"".join(group["profile"]), "f4").reshape(-1, PROFILE)
+        found = np.zeros(len(group), bool)
+        for i, others in partners(p, group["block"].to_numpy(), pd.factorize(group["label"])[0]):
+            found[others] = True
+            found[i] |= len(others) > 0
+        return group[found].drop(columns="profile")
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
-        label = pd.factorize(group["label"])[0]
-        found = close_pairs(group["t"].tolist(), (~group["inside"]).to_numpy("i8"), label, given.value)
+        vecs = [(np.frombuffer(h, "u8"), np.frombuffer(w, "f4")) for h, w in zip(group["h"], group["w"], strict=True)]
+        found = close_pairs(vecs, group["block"].to_numpy(), pd.factorize(group["label"])[0])
         key = group["key"].tolist()
         return pd.DataFrame([tuple(sorted((bytes(key[i]), bytes(key[j])))) for i, j in found], columns=["a", "b"])
 
-    return rows.join(texts, "key").groupBy("bucket", "x", "y").applyInPandas(compare, "a binary, b binary").distinct()
+    cells = ["bucket", "x", "y"]
+    some = rows.join(sigs.select("key", "profile"), "key").groupBy(*cells).applyInPandas(hopeful, "key binary, bucket long, label binary, block long, x long, y long")
+    some = materialize(some, "dedup-hopeful")
+    return some.join(vecs, "key").groupBy(*cells).applyInPandas(compare, "a binary, b binary").distinct()
 
 
-def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """content (16 bytes), class_id, class_size, first_content of every distinct text, as a written table.
-
-    ``class_id`` is the least key of the class, ``first_content`` the content of that document.
-    """
-    with scratch() as keep:
-        return keep(_classes(docs, key, text))
-
-
-def _classes(docs: DataFrame, key: str, text: str) -> DataFrame:
+def _classes(rows: DataFrame, docs: DataFrame, text: str) -> DataFrame:
     small_batches(docs.sparkSession)
-    heavy = heavy_shingles(docs.select(text_of(text).alias("t")))
-    rows = docs.select(content_key(text).alias("key"), text_of(text).alias("t"))
-    sigs = materialize(signatures(rows, heavy).groupBy("key").agg(F.first("sig").alias("sig")), "dedup-signatures")
+    spark = docs.sparkSession
+    # equal texts meet in one row before the shuffle
+    texts = materialize(docs.select(content_key(text).alias("key"), text_of(text).alias("t")).groupBy("key").agg(F.first("t").alias("t")), "dedup-texts")
+    texts = texts.withColumn("d", F.hash("key"))
+    n = texts.count()
+    known = heavy_shingles(texts, n)
+    heavy = spark.sparkContext.broadcast(known)
+    light = materialize(light_counts(texts, heavy), "dedup-light")
+    release(spark)
+    sigs = materialize(signatures(weighted(texts, light), heavy, n), "dedup-signatures")
     shared = materialize(buckets(sigs).groupBy("bucket").agg(F.min("key").alias("x"), F.max("key").alias("y")).where("x != y").select("bucket"), "dedup-buckets")
     members = materialize(buckets(sigs).join(shared, "bucket", "left_semi"), "dedup-members")
     needed = materialize(members.select("key").distinct(), "dedup-needed")
     if needed.count() <= BROADCAST_KEYS:
         needed = F.broadcast(needed)  # its size was just counted
-    texts = materialize(rows.join(needed, "key", "left_semi").groupBy("key").agg(F.first("t").alias("t")), "dedup-texts")
+    vecs = materialize(vectors(weighted(texts.join(needed, "key", "left_semi"), light), heavy, n), "dedup-vectors")
+    discard(texts)
+    discard(light)
+    release(spark)
 
     def checked(pairs: DataFrame) -> DataFrame:
-        return materialize(verified(materialize(agreeing(materialize(pairs, "dedup-pairs"), sigs), "dedup-agreeing"), texts, heavy), "dedup-links")
+        return materialize(verified(materialize(promising(materialize(pairs, "dedup-pairs"), sigs), "dedup-promising"), vecs), "dedup-links")
 
     first = checked(star_pairs(members))
     labels = components(first)
     left = open_buckets(members, labels)
-    more = checked(small_pairs(left)).union(materialize(block_links(left, texts, heavy), "dedup-links"))
+    more = checked(small_pairs(left)).union(materialize(block_links(left, sigs, vecs), "dedup-links"))
     if more.limit(1).count():
         labels = components(first.union(more))
-    contents = docs.select(F.col(f"`{key}`").alias("id"), content_key(text).alias("key")).groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("id"))
+    release(spark)
+    contents = rows.groupBy("key").agg(F.sum("m").alias("n"), F.min("id").alias("id"))
     contents = contents.join(labels.select(F.col("node").alias("key"), "label"), "key", "left").withColumn("label", F.coalesce("label", "key"))
     contents = materialize(contents, "dedup-contents")
     whole = materialize(contents.groupBy("label").agg(F.sum("n").alias("class_size"), F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("m")), "dedup-classes")
@@ -465,19 +569,38 @@ def _classes(docs: DataFrame, key: str, text: str) -> DataFrame:
     return materialize(out, "dedup-result")
 
 
+def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Two written tables: the classes, and the rows of ``docs`` in short.
+
+    The classes have content (16 bytes), class_id, class_size, first_content of
+    every distinct text: ``class_id`` is the least key of the class,
+    ``first_content`` the content of that document. The rows have id, key
+    (content), part and m: so many equal rows of that part of the input.
+    """
+    with scratch() as keep:
+        rows = docs.select(F.col(f"`{key}`").alias("id"), content_key(text).alias("key"), F.spark_partition_id().alias("part"))
+        rows = keep(materialize(rows.groupBy("id", "key", "part").agg(F.count("*").alias("m")), "dedup-rows"))
+        return keep(_classes(rows, docs, text)), rows
+
+
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row for each document: key, class_id, class_size, kept (the first of its class)."""
-    found = classes(docs, key, text)
-    rows = docs.select(F.col(f"`{key}`").alias(key), content_key(text).alias("content"))
-    kept = F.col(key).eqNullSafe(F.col("class_id")) & (F.col("content") == F.col("first_content"))
-    return rows.join(found, "content").select(key, "class_id", "class_size", kept.alias("kept"))
+    """One row for each document: key, class_id, class_size, kept (one row of its class, with the least key)."""
+    found, rows = classes(docs, key, text)
+    is_first = F.col("id").eqNullSafe(F.col("class_id")) & (F.col("key") == F.col("first_content"))
+    both = rows.join(found, F.col("key") == F.col("content")).select("id", "class_id", "class_size", "part", "m", "key", is_first.alias("first"))
+    # of equal rows, those of the least part hold the one that is kept
+    least = both.where("first").groupBy("key").agg(F.min("part").alias("__part")).withColumnRenamed("key", "__key")
+    marked = both.join(least, F.col("first") & (F.col("key") == F.col("__key")) & (F.col("part") == F.col("__part")), "left")
+    each = marked.select("id", "class_id", "class_size", F.col("__key").isNotNull().alias("one"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("m"))).alias("i"))
+    return each.select(F.col("id").alias(key), "class_id", "class_size", (F.col("one") & (F.col("i") == 1)).alias("kept"))
 
 
 def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of ``docs`` for each class, with its own columns."""
-    found = classes(docs, key, text)
-    first = materialize(found.where(F.col("content") == F.col("first_content")).select(F.col("content").alias("__content"), F.col("class_id").alias("__id")), "dedup-first")
-    names = [F.col(f"`{c}`") for c in docs.columns]
-    rows = docs.select(*names, content_key(text).alias("__key"))
-    mine = rows.join(first, (F.col("__key") == F.col("__content")) & F.col(f"`{key}`").eqNullSafe(F.col("__id")), "left_semi")
-    return mine.dropDuplicates(["__key", key]).select(*names)
+    found, _ = classes(docs, key, text)
+    first = found.where(F.col("content") == F.col("first_content")).select(F.col("content").alias("__content"), F.col("class_id").alias("__id"))
+    names = [f"__c{i}" for i in range(len(docs.columns))]
+    plain = docs.toDF(*names)
+    own, body = names[docs.columns.index(key)], names[docs.columns.index(text)]
+    mine = plain.withColumn("__key", content_key(body)).join(first, (F.col("__key") == F.col("__content")) & F.col(own).eqNullSafe(F.col("__id")), "left_semi")
+    return mine.dropDuplicates(["__key", own]).select(*names).toDF(*docs.columns)

@@ -105,7 +105,7 @@ def shingle_weights(text, df, n):
     out = {}
     for i in range(max(1, len(w) - 4) if w else 0):
         out[tuple(w[i : i + 5])] = out.get(tuple(w[i : i + 5]), 0) + 1
-    return {s: (1 + np.log(t)) * (1 + np.log(1 / max(df.get(s, 0) / n, near_dedup.SHARE))) for s, t in out.items()}
+    return {s: (1 + np.log(t)) * (1 + np.log(n / df.get(s, 1)) / np.log(n)) for s, t in out.items()}
 
 
 def near_texts():
@@ -128,6 +128,8 @@ def test_near_duplicates(spark, monkeypatch, small):
     monkeypatch.setattr(near_dedup, "SMALL", small)
     if small == 4:  # many blocks, several passes over named shingles, no broadcast
         monkeypatch.setattr(near_dedup, "BLOCK", 32)
+        monkeypatch.setattr(near_dedup, "SLICE", 300)
+        monkeypatch.setattr(near_dedup, "SHARE", 0.2)
         monkeypatch.setattr(near_dedup, "HELD", 700)
         monkeypatch.setattr(near_dedup, "BROADCAST_KEYS", 0)
     texts = near_texts()
@@ -136,10 +138,10 @@ def test_near_duplicates(spark, monkeypatch, small):
     assert len(rows) == len(texts) + 2
     got = {r.doc_id: r.class_id for r in rows if r.doc_id is not None}
     plain = [t or "" for t in texts]
-    n = len(texts) + 2
+    n = len(set(plain))
     df = {}
-    for t in [*plain, plain[3], plain[2]]:
-        for s in shingle_weights(t, {}, 1):
+    for t in set(plain):
+        for s in shingle_weights(t, {}, 2):
             df[s] = df.get(s, 0) + 1
     weights = [shingle_weights(t, df, n) for t in plain]
     parent = list(range(len(texts)))
@@ -154,10 +156,12 @@ def test_near_duplicates(spark, monkeypatch, small):
             a, b = weights[i], weights[j]
             both = sum(min(a[s], b[s]) for s in a.keys() & b.keys())
             whole = sum(a.values()) + sum(b.values()) - both
-            if plain[i] == plain[j] or (whole and both / whole >= near_dedup.THRESHOLD):
+            if plain[i] == plain[j] or (whole and both / whole >= near_dedup.CLOSE):
                 x, y = find(i), find(j)
                 parent[max(x, y)] = min(x, y)
     assert got == {i: find(i) for i in range(len(texts))}
+    assert sum(r.kept for r in rows) == len(set(got.values()))  # one of the two rows (3, texts[3]) at most
+    assert all(r.doc_id == r.class_id for r in rows if r.kept)
     kept = near_dedup.keep_first(d)
     assert kept.columns == d.columns
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(got.values()))
@@ -166,15 +170,78 @@ def test_near_duplicates(spark, monkeypatch, small):
 
 def test_samples_estimate_similarity():
     rng = random.Random(5)
-    base = words(rng, 400)
-    other = list(base)
-    for k in range(0, 400, 40):
-        other[k] = "changed"
-    docs = [" ".join(base).encode(), " ".join(other).encode()]
-    nothing = np.zeros(0, "u8"), np.zeros(0)
-    hits = np.mean(near_dedup.sample(docs, nothing)[0] == near_dedup.sample(docs, nothing)[1])
-    true = near_dedup.weighted_jaccard(near_dedup.vector(docs[0].decode(), nothing), near_dedup.vector(docs[1].decode(), nothing))
-    assert abs(hits - true) < 0.25
+    nothing = np.zeros(0, "u8"), np.zeros(0, "i8")
+    pairs = []
+    for step in (200, 40, 20):
+        base = words(rng, 400)
+        other = list(base)
+        for k in range(0, 400, step):
+            other[k] = "changed"
+        owner, h, times = near_dedup.shingles([" ".join(base).encode(), " ".join(other).encode()])
+        weights = near_dedup.log_weights(h, times, nothing, 10)
+        marks = near_dedup.sample(owner, h, weights, 2)
+        vecs = [(h[owner == k], np.exp(weights[owner == k])) for k in (0, 1)]
+        true = near_dedup.weighted_jaccard(*vecs)
+        assert abs((marks[0] == marks[1]).mean() - true) < 0.25
+        p = near_dedup.profiles(owner, h, np.exp(weights), 2)
+        bound = np.minimum(*p).sum() / np.maximum(*p).sum()
+        assert true <= bound + 1e-6  # never rules out what reaches the threshold
+        pairs.append((true, bound))
+    assert near_dedup.able(p[0], p[1]) == (pairs[-1][1] >= near_dedup.THRESHOLD)
+
+
+@pytest.mark.parametrize("size", [40, 7])
+def test_pieces_have_the_same_shingles(monkeypatch, size):
+    rng = random.Random(8)
+    texts = [" ".join(words(rng, n, "ab")) for n in (0, 1, 4, 5, 6, 200)] + ["x" * 90 + " a b c d e  " + "y" * 50, " \n a b c d \n", "a b c d e" + " " * 60]
+    for t in texts:
+        want = near_dedup.few_shingles([t.encode()])
+        monkeypatch.setattr(near_dedup, "SLICE", size)
+        got = near_dedup.shingles([t.encode()])
+        assert all(np.array_equal(a, b) for a, b in zip(got[1:], want[1:], strict=True))
+
+
+@pytest.mark.parametrize("unlike", [True, False])
+def test_large_buckets(spark, monkeypatch, unlike):
+    """One bucket of many members that are unlike each other, or of which many are near the threshold; one is very long."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 100)
+    rng = random.Random(11)
+    shared = words(rng, 80)
+    texts = []
+    for _ in range(300):
+        own = list(shared)
+        for k in rng.sample(range(80), 40 if unlike else rng.choice([1, 2, 3, 4])):
+            own[k] = words(rng, 1)[0]
+        texts.append(" ".join(own))
+    texts.append(" ".join(words(rng, 30_000)))
+    vecs = spark.createDataFrame([(bytes([k >> 8, k & 255]) * 8, t) for k, t in enumerate(texts)], "key binary, t string").withColumns({"hs": F.lit(None).cast("array<long>"), "ns": F.lit(None).cast("array<long>")})
+    heavy = spark.sparkContext.broadcast((np.zeros(0, "u8"), np.zeros(0, "i8")))
+    sigs = materialize(near_dedup.signatures(vecs, heavy, len(texts)), "t")
+    made = materialize(near_dedup.vectors(vecs, heavy, len(texts)), "t")
+    members = sigs.select(F.lit(1).cast("long").alias("bucket"), "key", "shingles")
+    labels = spark.createDataFrame([], "node binary, label binary")
+    left = near_dedup.open_buckets(members, labels)
+    links = [(bytes(r.a), bytes(r.b)) for r in near_dedup.block_links(left, sigs, made).collect()]
+    by = {bytes(r.key): (np.frombuffer(r.h, "u8"), np.frombuffer(r.w, "f4")) for r in made.collect()}
+    keys = sorted(by)
+    parent = {k: k for k in keys}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    def classes(pairs):
+        parent.update({k: k for k in keys})
+        for a, b in pairs:
+            x, y = find(a), find(b)
+            parent[max(x, y)] = min(x, y)
+        return [find(k) for k in keys]
+
+    got = classes(links)
+    want = classes((a, b) for i, a in enumerate(keys) for b in keys[:i] if near_dedup.weighted_jaccard(by[a], by[b]) >= near_dedup.CLOSE)
+    assert got == want
+    assert (len(set(got)) == len(texts)) == unlike
 
 
 def test_pipeline_stages(spark):
