@@ -87,6 +87,11 @@ def discard(df: DataFrame) -> None:
         where.getFileSystem(jsc.hadoopConfiguration()).delete(where, True)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
 def release(spark: SparkSession) -> None:
     """Lets the driver drop what finished steps have shuffled and broadcast: it does so only when it collects garbage."""
     gc.collect()

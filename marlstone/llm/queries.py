@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.llm import chat_format, html_extract, language_id, media_columns, near_dedup, packing, quality_rules, secret_scan, sentencepiece_bpe, toxicity
-from marlstone.llm.common import spread, table
+from marlstone.llm.common import scratch, spread, table
 
 #: The vocabulary file of the installed public tokenizers; read by the driver only.
+#: The setting that names the folder of the durable ledger of secret scans; unset, each run has one of its own.
+LEDGER = "spark.marlstone.secretLedger"
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 
@@ -18,9 +20,13 @@ def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With a folder in ``LEDGER``, only what its ledger lacks is scanned, and is appended there."""
     docs = table(spark, sf_dir, "documents")
-    ledger = secret_scan.scan(docs)
-    found = secret_scan.findings(docs, ledger)
+    folder = spark.conf.get(LEDGER, None)
+    with scratch() as keep:
+        ledger = secret_scan.record(docs, folder) if folder else secret_scan.scan(docs)
+        matches = keep(secret_scan.found_in(ledger))
+    found = secret_scan.attach(docs, matches)
     spans = F.col("spans")
     count = lambda rank: F.size(F.filter(spans, lambda s: s["rank"] == rank)).cast("long")
     base = F.filter(spans, lambda s: s["rank"] < 3)

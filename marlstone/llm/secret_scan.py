@@ -3,24 +3,31 @@
 Every historical version of every path is addressed by the SHA-256 of its
 content. A *ledger* says which (blob, rule version) pairs have been scanned and
 what was found there. A scan reads only pairs that the ledger lacks, and the
-findings of a blob are joined back to all paths that hold it.
+findings of a blob are joined back to all paths that hold it. ``record`` keeps
+the ledger in a folder: each call scans and appends what is new there.
+
+Spans have code points (start, end) and bytes (head, tail). Offsets are prefix
+sums by doubling, so a text with n matches costs n log n.
 
 Defined results: a null content counts as the empty text; a null path stays one
 path; repeated rows and ties give one finding list each, equal for equal
-contents; an empty table gives an empty table; columns besides path and content
-are ignored, whatever their names.
+contents; texts of any length and number of matches are scanned whole; an empty
+table gives an empty table; columns besides path and content are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import materialize, scratch, text_of
+from marlstone.llm.common import exists, materialize, scratch, text_of
 
-SPANS = "array<struct<start:int,rank:int,end:int>>"
+SPANS = "array<struct<start:int,rank:int,end:int,head:int,tail:int>>"
+LEDGER = f"blob binary, rule_version string, spans {SPANS}"
 BROADCAST_ROWS, BROADCAST_SPANS = 100_000, 400_000
 
 
@@ -46,32 +53,57 @@ RULES = (
 VERSIONS = tuple(dict.fromkeys(r.version for r in RULES))
 
 
-def rule_spans(text: Column, rule: Rule, rank: int) -> Column:
-    """The spans (code points, end exclusive) of one rule in order of their starts.
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once for a row, however often the body uses it."""
+    return F.transform(F.array(value), body)[0]
 
-    The pieces between matches and the matches themselves alternate; running
-    over their lengths gives the offsets.
-    """
-    matches = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
-    gaps = F.transform(F.split(text, rule.pattern, -1), F.length)
-    found = F.transform(matches, lambda m: F.struct(F.length(m).alias("n"), F.length(F.regexp_extract(m, rule.pattern, rule.group)).alias("value")))
-    steps = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, m: F.struct(g.alias("gap"), m["n"].alias("n"), (m["value"] >= rule.least).alias("ok")))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["gap"]
-        span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), (start + x["n"]).alias("end"))
-        return F.struct((start + x["n"]).alias("at"), F.when(x["ok"], F.array_append(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
+def scanned(values: Column, join: Callable[[Column, Column], Column]) -> Column:
+    """The array of ``join`` over each beginning of ``values``: for far = 1, 2, 4, ... each value is joined with the one ``far`` places before it."""
+
+    def step(v: Column, k: Column) -> Column:
+        far = F.pow(F.lit(2), k).cast("int")
+        return let(far, lambda f: F.transform(v, lambda x, i: F.when(i >= f, join(F.get(v, i - f), x)).otherwise(x)))
+
+    def loop(v: Column) -> Column:
+        # the number of binary digits of size - 1
+        steps = F.sequence(F.lit(0), F.length(F.bin(F.size(v) - 1)) - 1)
+        return F.when(F.size(v) > 1, F.aggregate(steps, v, step)).otherwise(v)
+
+    return let(values, loop)
+
 
-    nothing = F.array().cast(SPANS)
-    walked = F.aggregate(steps, F.struct(F.lit(0).alias("at"), nothing.alias("spans")), step, lambda acc: acc["spans"])
-    return F.when(text.rlike(rule.pattern), walked).otherwise(nothing)
+def rule_matches(text: Column, rule: Rule) -> Column:
+    """chars and bytes of each match and of the gap before it, and whether it counts.
+
+    The pieces between matches and the matches themselves alternate.
+    """
+    found = F.transform(
+        F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0)),
+        lambda m: F.struct(F.length(m).alias("n"), F.octet_length(m).alias("b"), (F.length(F.regexp_extract(m, rule.pattern, rule.group)) >= rule.least).alias("ok")),
+    )
+    gaps = F.transform(F.split(text, rule.pattern, -1), lambda g: F.struct(F.length(g).alias("n"), F.octet_length(g).alias("b")))
+    steps = F.zip_with(found, gaps, lambda m, g: F.struct(m["n"].alias("n"), m["b"].alias("b"), (m["n"] + g["n"]).alias("step_n"), (m["b"] + g["b"]).alias("step_b"), m["ok"].alias("ok")))
+    steps = F.filter(steps, lambda x: x["n"].isNotNull())  # the piece behind the last match
+    return F.when(text.rlike(rule.pattern), steps).otherwise(F.array().cast("array<struct<n:int,b:int,step_n:int,step_b:int,ok:boolean>>"))
 
 
 def all_spans(text: Column, missing: Column, rules: tuple[Rule, ...] = RULES) -> Column:
     """Spans of every rule whose version is among ``missing``, by start, then by rule."""
-    nothing = F.array().cast(SPANS)
-    parts = [F.when(F.array_contains(missing, r.version), rule_spans(text, r, k)).otherwise(nothing) for k, r in enumerate(rules)]
-    return F.array_sort(F.concat(*parts))
+    nothing = F.array().cast("array<struct<n:int,b:int,step_n:int,step_b:int,ok:boolean>>")
+    parts = F.array(*[F.when(F.array_contains(missing, r.version), rule_matches(text, r)).otherwise(nothing) for r in rules])
+    add = lambda x, y: F.struct((x["n"] + y["n"]).alias("n"), (x["b"] + y["b"]).alias("b"))
+
+    def spans(part: Column, rank: Column) -> Column:
+        ends = scanned(F.transform(part, lambda x: F.struct(x["step_n"].alias("n"), x["step_b"].alias("b"))), add)
+        made = F.zip_with(
+            part,
+            ends,
+            lambda x, e: F.struct((e["n"] - x["n"]).alias("start"), rank.alias("rank"), e["n"].alias("end"), (e["b"] - x["b"]).alias("head"), e["b"].alias("tail"), x["ok"].alias("ok")),
+        )
+        return F.transform(F.filter(made, lambda x: x["ok"]), lambda x: x.dropFields("ok"))
+
+    return F.array_sort(F.flatten(F.transform(parts, spans))).cast(SPANS)
 
 
 def address(history: DataFrame, path: str, content: str) -> DataFrame:
@@ -79,13 +111,12 @@ def address(history: DataFrame, path: str, content: str) -> DataFrame:
     return history.select(F.col(path).alias("path"), F.unhex(F.sha2(F.encode(text_of(content), "UTF-8"), 256)).alias("blob"))
 
 
-def scan(history: DataFrame, path: str = "doc_id", content: str = "text", ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def unseen_rows(history: DataFrame, content: str, ledger: DataFrame | None, rules: tuple[Rule, ...]) -> DataFrame:
     """The ledger rows that this history adds: blob, rule_version, spans.
 
     Equal contents meet in one row before the shuffle (partial aggregation), so a
     blob that a third of all paths hold costs no more than any other. Pairs that
-    ``ledger`` holds already are not scanned again. The rows are written to the
-    shared folder.
+    ``ledger`` holds already are not scanned again.
     """
     versions = list(dict.fromkeys(r.version for r in rules))
     blobs = history.select(F.unhex(F.sha2(F.encode(text_of(content), "UTF-8"), 256)).alias("blob"), text_of(content).alias("content")).groupBy("blob").agg(F.first("content").alias("content"))
@@ -93,13 +124,28 @@ def scan(history: DataFrame, path: str = "doc_id", content: str = "text", ledger
     if ledger is None:
         unseen = blobs.withColumn("missing", every)
     else:
-        seen = ledger.groupBy("blob").agg(F.collect_set("rule_version").alias("seen"))
+        seen = ledger.groupBy("blob").agg(F.collect_set("rule_version").alias("seen"))  # as many as rule versions
         unseen = blobs.join(seen, "blob", "left").withColumn("missing", F.array_except(every, F.coalesce("seen", F.array().cast("array<string>")))).where(F.size("missing") > 0)
     found = unseen.select("blob", "missing", all_spans(F.col("content"), F.col("missing"), rules).alias("spans"))
     of = F.array(*[F.lit(r.version) for r in rules])
     rows = found.select("blob", F.explode("missing").alias("rule_version"), "spans")
-    rows = rows.select("blob", "rule_version", F.filter("spans", lambda s: F.element_at(of, s["rank"] + 1) == F.col("rule_version")).alias("spans"))
-    return materialize(rows, "secret-ledger")
+    return rows.select("blob", "rule_version", F.filter("spans", lambda s: F.element_at(of, s["rank"] + 1) == F.col("rule_version")).alias("spans"))
+
+
+def scan(history: DataFrame, path: str = "doc_id", content: str = "text", ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """What this history adds to ``ledger``, as a written table."""
+    return materialize(unseen_rows(history, content, ledger, rules), "secret-ledger")
+
+
+def record(history: DataFrame, folder: str, content: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The ledger kept in ``folder`` (Parquet, any store), after the unseen pairs of this history were scanned and appended.
+
+    One writer at a time: two at once would scan, and append, the same pairs.
+    """
+    spark = history.sparkSession
+    known = spark.read.schema(LEDGER).parquet(folder) if exists(spark, folder) else None
+    unseen_rows(history, content, known, rules).write.mode("append").parquet(folder)
+    return spark.read.schema(LEDGER).parquet(folder)
 
 
 def found_in(ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -109,7 +155,8 @@ def found_in(ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     blob can be split by adaptive execution.
     """
     known = ledger.where((F.size("spans") > 0) & F.col("rule_version").isin([r.version for r in rules]))
-    rows = known.groupBy("blob").agg(F.collect_list("spans").alias("spans"))  # as many rows as rule versions
+    # pairs that two writers recorded count once; as many rows as rule versions remain
+    rows = known.groupBy("blob", "rule_version").agg(F.first("spans").alias("spans")).groupBy("blob").agg(F.collect_list("spans").alias("spans"))
     return materialize(rows.select("blob", F.array_sort(F.flatten("spans")).alias("spans")), "secret-findings")
 
 
@@ -119,12 +166,17 @@ def light(found: DataFrame) -> DataFrame:
     return F.broadcast(found) if size["rows"] <= BROADCAST_ROWS and size["spans"] <= BROADCAST_SPANS else found
 
 
-def findings(history: DataFrame, ledger: DataFrame, path: str = "doc_id", content: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def attach(history: DataFrame, found: DataFrame, path: str = "doc_id", content: str = "text") -> DataFrame:
     """One row (path, spans) for every row of ``history``; spans are empty where nothing was found."""
-    joined = address(history, path, content).join(light(found_in(ledger, rules)), "blob", "left")
+    joined = address(history, path, content).join(light(found), "blob", "left")
     return joined.select("path", F.coalesce("spans", F.array().cast(SPANS)).alias("spans"))
 
 
+def findings(history: DataFrame, ledger: DataFrame, path: str = "doc_id", content: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The findings of a ledger, joined back to every row (path, spans) of ``history``."""
+    return attach(history, found_in(ledger, rules), path, content)
+
+
 def render(spans: Column, rules: tuple[Rule, ...] = RULES) -> Column:
     """``kind:start:end`` of each span, joined by commas."""
     kinds = F.array(*[F.lit(r.kind) for r in rules])
@@ -132,16 +184,21 @@ def render(spans: Column, rules: tuple[Rule, ...] = RULES) -> Column:
 
 
 def mask(text: Column, spans: Column, by: str = "[SECRET]") -> Column:
-    """The text with each maximal run of overlapping spans replaced by ``by``."""
+    """The text with each maximal run of overlapping spans replaced by ``by``.
+
+    A span begins a run if it begins behind all spans before it; the pieces
+    between runs are cut out by their bytes, which needs no walk from the start.
+    """
 
-    def step(acc: Column, s: Column) -> Column:
-        fresh = s["start"] >= acc["at"]
-        piece = F.concat(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(by))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(fresh, F.array_append(acc["out"], piece)).otherwise(acc["out"]).alias("out"))
+    def pieces(data: Column, reached: Column) -> Column:
+        cuts = F.transform(spans, lambda s, i: F.struct(F.coalesce(F.get(reached, i - 1), F.lit(0)).alias("from"), s["head"].alias("to")))
+        runs = F.filter(cuts, lambda c: c["to"] >= c["from"])
+        texts = F.transform(runs, lambda c: F.substring(data, c["from"] + 1, c["to"] - c["from"]).cast("string"))
+        rest = F.substring(data, F.element_at(reached, -1) + 1, F.length(data)).cast("string")
+        return F.concat(F.array_join(texts, by), F.lit(by), rest)
 
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    done = F.aggregate(spans, start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text))))
-    return F.when(F.size(spans) > 0, done).otherwise(text)
+    tails = scanned(F.transform(spans, lambda s: s["tail"]), F.greatest)
+    return F.when(F.size(spans) > 0, let(text.cast("binary"), lambda data: let(tails, lambda reached: pieces(data, reached)))).otherwise(text)
 
 
 def masked(docs: DataFrame, content: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -153,7 +210,9 @@ def masked(docs: DataFrame, content: str = "text", rules: tuple[Rule, ...] = RUL
     with scratch() as keep:
         table = keep(found_in(scan(docs, content=content, rules=rules), rules))
     found = light(table).select(F.col("blob").alias("__blob"), F.col("spans").alias("__spans"))
-    rows = docs.withColumn("__key", F.unhex(F.sha2(F.encode(text_of(content), "UTF-8"), 256)))
+    names = [f"__c{i}" for i in range(len(docs.columns))]
+    body = names[docs.columns.index(content)]
+    rows = docs.toDF(*names).withColumn("__key", F.unhex(F.sha2(F.encode(text_of(body), "UTF-8"), 256)))
     out = rows.join(found, F.col("__key") == F.col("__blob"), "left")
     spans = F.coalesce("__spans", F.array().cast(SPANS))
-    return out.withColumn(content, F.when(F.col(content).isNull(), F.col(content)).otherwise(mask(F.col(content), spans))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return out.withColumn(body, F.when(F.col(body).isNotNull(), mask(F.col(body), spans))).select(*names).toDF(*docs.columns)

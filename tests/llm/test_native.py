@@ -78,6 +78,53 @@ def test_masking(spark, monkeypatch, most):
     assert not any(brute(t) for t in rows.values())
 
 
+def test_many_matches_in_one_text(spark):
+    key = lambda i: f"{i:016x}"
+    text = "é " + " ".join(key(i) for i in range(100_000)) + " 😀 password=abcdefghijklmnop"
+    d = docs(spark, [text, text, None])
+    ledger = secret_scan.scan(d)
+    spans = secret_scan.findings(d, ledger).where("path = 0").first().spans
+    assert len(spans) == 100_001
+    assert all(text[s.start : s.end] == key(i) for i, s in enumerate(spans[:-1]))
+    assert text.encode()[spans[-1].head : spans[-1].tail].decode() == "password=abcdefghijklmnop"
+    out = {r.doc_id: r.text for r in secret_scan.masked(d).collect()}
+    assert out[0] == out[1] == "é " + " ".join(["[SECRET]"] * 100_000) + " 😀 [SECRET]" and out[2] is None
+
+
+def test_ledger_that_lasts(spark, tmp_path):
+    folder = str(tmp_path / "ledger")
+    d = docs(spark, TEXTS)
+    first = secret_scan.record(d, folder)
+    n, files = first.count(), len(list((tmp_path / "ledger").glob("*.parquet")))
+    assert n == 2 * len({t or "" for t in TEXTS}) and files
+    assert secret_scan.unseen_rows(d, "text", first, secret_scan.RULES).count() == 0
+    assert secret_scan.record(d, folder).count() == n
+    more = secret_scan.record(docs(spark, [*TEXTS, "new text, secret=abcdefghijklmnop"]), folder)
+    assert more.count() == n + 2
+    base = F.filter("spans", lambda s: s["rank"] < 3)
+    got = {r.path: r.s for r in secret_scan.findings(d, more).select("path", secret_scan.render(base).alias("s")).collect()}
+    assert got == {i: brute(t) for i, t in enumerate(TEXTS)}
+
+
+def test_overlapping_spans_are_masked_once(spark):
+    rng = random.Random(4)
+    rows = []
+    for i in range(100):
+        text = "".join(rng.choices("aé😀b ", k=40))
+        spans = sorted((a, 0, a + rng.randint(1, 8)) for a in (rng.randint(0, 30) for _ in range(rng.randint(0, 6))))
+        byte = lambda k, t=text: len(t[:k].encode())
+        rows.append((i, text, [(s, r, min(e, 40), byte(s), byte(min(e, 40))) for s, r, e in spans]))
+    d = spark.createDataFrame(rows, f"i int, text string, spans {secret_scan.SPANS}")
+    got = {r.i: r.m for r in d.select("i", secret_scan.mask(F.col("text"), F.col("spans"), "X").alias("m")).collect()}
+    for i, text, spans in rows:
+        out, at = "", 0
+        for s, _, e, _, _ in spans:
+            if s >= at:
+                out += text[at:s] + "X"
+            at = max(at, e)
+        assert got[i] == out + text[at:]
+
+
 def test_secrets_empty_table(spark):
     d = docs(spark, TEXTS).limit(0)
     assert secret_scan.findings(d, secret_scan.scan(d)).count() == 0
