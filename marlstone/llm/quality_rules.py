@@ -10,8 +10,9 @@ are rejected. Each step is a grouped aggregation of fixed-size states (partial
 before the shuffle), so one source with a third of all rows is no hot group.
 
 Defined results: a null text has no words and fails the base rules; a null
-language or source is a group of its own; repeated rows are rated alike; an
-empty table gives an empty table; other columns are ignored.
+language or source is a group of its own; repeated rows are rated alike and
+count each; texts are read whole, whatever their length; an empty table gives
+an empty table; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import SPACE, WORD, materialize, scratch, text_of
+from marlstone.llm.common import SPACE, WORD, materialize, release, scratch, text_of
 
 WINDOW = 5
 SUBSET = 0.75
@@ -30,9 +31,9 @@ CUTOFF = 0.9999
 #: A start is done when its log determinant falls by no more than this.
 LEAST_FALL = 1e-3
 GROUP = ("lang", "source")
-#: Least standard deviation of each transformed statistic: below it, differences say nothing about quality.
-FLOOR = {"x1": 0.15, "x2": 0.05, "x3": 0.05, "x4": 0.05}
-X = tuple(FLOOR)
+#: Standard deviations whose squares are added to the variances, as in the regularized form of the estimate: statistics are no surer than this.
+RIDGE = {"x1": 0.15, "x2": 0.05, "x3": 0.05, "x4": 0.05}
+X = tuple(RIDGE)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -134,16 +135,20 @@ def distance(prefix: str = "m", lower: str = "l") -> Column:
 
 
 def _factor(params: DataFrame, group: tuple[str, ...]) -> DataFrame:
-    """The Cholesky factor of the covariance c_ij (with the floor on its diagonal) and its log determinant."""
+    """The Cholesky factor of the covariance c_ij and its log determinant.
+
+    ``RIDGE`` is added to the variances first, so the determinants that are
+    compared are those of the regularized matrix, which is never singular.
+    """
     out = params
     for i, x in enumerate(X):
         for j in range(i + 1):
             value = F.col(f"c{i}{j}")
             if i == j:
-                value = value + F.lit(FLOOR[x] ** 2)
+                value = value + F.lit(RIDGE[x] ** 2)
             for k in range(j):
                 value = value - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
-            out = out.withColumn(f"l{i}{j}", F.sqrt(F.greatest(value, F.lit(FLOOR[x] ** 2 / 4))) if i == j else value / F.col(f"l{j}{j}"))
+            out = out.withColumn(f"l{i}{j}", F.sqrt(F.greatest(value, F.lit(RIDGE[x] ** 2 / 4))) if i == j else value / F.col(f"l{j}{j}"))
     size = sum((2 * F.log(f"l{i}{i}") for i in range(1, len(X))), 2 * F.log("l00"))
     return out.select(*group, *[f"m{i}" for i in range(len(X))], *[f"l{i}{j}" for i in range(len(X)) for j in range(i + 1)], size.alias("logdet"))
 
@@ -196,8 +201,7 @@ def _fit(stats: DataFrame, group: tuple[str, ...]) -> DataFrame:
         before = now.select(*keys, F.col("logdet").alias("__before"))
         now = materialize(_grouped(step(now), before, keys).where(F.col("logdet") < F.col("__before") - LEAST_FALL).drop("__before"), "quality-params")
         best = best.unionByName(now)
-        # the driver drops what each step has broadcast, and executors with it, only when it collects garbage
-        rows.sparkSession._jvm.System.gc()
+        release(rows.sparkSession)
     names = [c for c in best.columns if c not in keys]
     return materialize(best.groupBy(*group).agg(F.min_by(F.struct(*names), F.struct("logdet", "__start")).alias("b")).select(*group, *[f"b.{c}" for c in names if c != "logdet"]), "quality-params")
 
@@ -211,18 +215,23 @@ def judge(stats: DataFrame, params: DataFrame, group: tuple[str, ...] = GROUP, c
 
 
 def rate(docs: DataFrame, keep: list[str], text: str = "text", group: tuple[str, ...] = GROUP) -> DataFrame:
-    """Statistics and verdict of every row, by estimates over all rows of ``docs``."""
-    stats = materialize(statistics(docs, [*keep, *[g for g in group if g not in keep]], text), "quality-stats")
-    return judge(stats, fit(stats, group), group)
+    """``keep`` columns, statistics and verdict of every row, by estimates over all rows of ``docs``."""
+    wanted = [*keep, *[g for g in group if g not in keep]]
+    names = [f"__c{i}" for i in range(len(wanted))]
+    rows = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(wanted, names, strict=True)], F.col(f"`{text}`").alias("__body"))
+    rows = rows.withColumns({g: F.col(names[wanted.index(g)]) for g in group})
+    stats = materialize(statistics(rows, [*names, *group], "__body"), "quality-stats")
+    rated = judge(stats, fit(stats, group), group)
+    return rated.drop(*group).withColumnsRenamed(dict(zip(names, wanted, strict=True)))
 
 
 def keep_good(docs: DataFrame, text: str = "text", group: tuple[str, ...] = GROUP) -> DataFrame:
-    """The rows of ``docs`` that are kept, with their own columns."""
-    with scratch() as keep:
-        params = keep(fit(materialize(statistics(docs, list(group), text), "quality-stats"), group))
-    names = [f"c{i}" for i in range(len(docs.columns))]
-    plain = docs.toDF(*[f"__{n}" for n in names])
-    where = {c: f"__{n}" for c, n in zip(docs.columns, names, strict=True)}
-    named = plain.select("*", *[F.col(where[g]).alias(g) for g in group], F.col(where[text]).alias("__body"))
-    full = statistics(named, [*where.values(), *group], "__body")
-    return judge(full, params, group).where("kept").select(*[F.col(where[c]).alias(c) for c in docs.columns])
+    """The rows of ``docs`` that are kept, with their own columns.
+
+    The statistics are computed once and written beside the rows; the estimates read only them.
+    """
+    names = [f"__c{i}" for i in range(len(docs.columns))]
+    place = dict(zip(docs.columns, names, strict=True))
+    named = docs.toDF(*names).select("*", *[F.col(place[g]).alias(g) for g in group], F.col(place[text]).alias("__body"))
+    full = materialize(statistics(named, [*names, *group], "__body"), "quality-rows")
+    return judge(full, fit(full, group), group).where("kept").select(*names).toDF(*docs.columns)

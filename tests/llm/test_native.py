@@ -5,6 +5,7 @@ import itertools
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -149,7 +150,7 @@ def test_quality_statistics(spark):
     texts = [None, "", " \n\t", "a b c d e", "a b c d e a b c d e", "x y   z", "q " * 3000, "one\n\none\n \none"]
     texts += ["".join(rng.choice(["a ", "b ", "c ", "\n", "é ", "#", "|"]) for _ in range(rng.randint(0, 80))) for _ in range(60)]
     d = spark.createDataFrame([(i, t, None if i % 3 else "en", "s", 1.0) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, x1 double")
-    rows = quality_rules.rate(d.drop("x1"), ["doc_id"]).collect()
+    rows = quality_rules.rate(d, ["doc_id"]).collect()
     got = {r.doc_id: (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in rows}
     assert got == {i: stats(t) for i, t in enumerate(texts)}
     assert all(not r.kept for r in rows if r.base_failed)
@@ -188,6 +189,43 @@ def test_quality_repeated_lines(spark):
     assert {i for i, r in rows.items() if r.kept} == {g[0] for g in good + usual}
 
 
+def best_subset(x):
+    """Centre and widened covariance, with its ridge, of the subset of least determinant, of all subsets of three quarters."""
+    ridge = np.diag(np.array(list(quality_rules.RIDGE.values())) ** 2)
+    share, p = quality_rules.SUBSET, x.shape[1]
+    widen = share / quality_rules.chi2_share(quality_rules.chi2_quantile(share, p), p + 2)
+    best = None
+    for some in itertools.combinations(range(len(x)), -(-3 * len(x) // 4)):
+        y = x[list(some)]
+        c = np.cov(y.T, bias=True) * widen + ridge
+        det = np.linalg.slogdet(c)[1]
+        if best is None or det < best[0]:
+            best = det, y.mean(0), c
+    return best
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_estimates_against_all_subsets(spark, seed):
+    rng = np.random.default_rng(seed)
+    rows, groups = [], {}
+    for g in range(4):
+        x = rng.normal(0, 1, (12, 4)) @ rng.normal(0, 0.6, (4, 4))
+        x[:3] += rng.choice([-1, 1], (3, 4)) * 12  # a quarter of outliers
+        groups["en", f"s{g}"] = x
+        rows += [("en", f"s{g}", 50, False, *map(float, r)) for r in x]
+    stats = spark.createDataFrame(rows, "lang string, source string, n_words long, base_failed boolean, x1 double, x2 double, x3 double, x4 double")
+    params = quality_rules.fit(stats)
+    judged = {(r.source, round(r.x1, 9)): r for r in quality_rules.judge(stats, params).collect()}
+    cut = quality_rules.chi2_quantile(quality_rules.CUTOFF, 4)
+    for (_, source), x in groups.items():
+        _, centre, c = best_subset(x)
+        want = np.einsum("ij,jk,ik->i", x - centre, np.linalg.inv(c), x - centre)
+        got = [judged[source, round(r[0], 9)] for r in x.tolist()]
+        assert np.allclose([r.distance for r in got], want)
+        assert [r.kept for r in got] == (want <= cut).tolist()
+        assert not any(r.kept for r in got[:3])
+
+
 def test_chi_square():
     assert abs(quality_rules.chi2_quantile(0.95, 4) - 9.4877) < 1e-3
 
