@@ -78,8 +78,11 @@ def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = language_id.identify(spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")), keep=["doc_id", "lang", "source"])
-    return found.select("doc_id", F.col("lang").alias("declared"), "source", F.col("__language").alias("language"), F.col("__posterior").alias("posterior"), F.col("__kept").alias("kept"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
+    evidence = language_id.page_evidence(table(spark, sf_dir, "pages"))
+    found = language_id.identify(docs, evidence=evidence, keep=["doc_id", "lang", "source"])
+    told = [F.col(f"__{c}").alias(c) for c in ("declared", "suffix", "host", "language", "posterior", "kept")]
+    return found.select("doc_id", F.col("lang").alias("label"), "source", *told)
 
 
 QUERIES = {

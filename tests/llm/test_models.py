@@ -83,7 +83,77 @@ def test_language(spark):
     assert language_id.keep_identified(d.limit(0)).count() == 0
     assert language_id.keep_identified(d.withColumn("lang", F.lit(None).cast("string"))).count() == 0
     small = language_id.identify(d, keep=["doc_id"])
-    assert small.columns == ["doc_id", "__language", "__posterior", "__kept"]
+    assert small.columns == ["doc_id", "__declared", "__suffix", "__host", "__language", "__posterior", "__kept"]
+
+
+def posterior(m, text, declared, suffix, host, hosts):
+    """Best language and its posterior by definition; ``hosts`` are the host and text posterior of every other row."""
+    n = len(m.languages)
+    pieces = list(language_id.trigrams(text or ""))
+    if not pieces:
+        return "und", 0.0
+    k = sum(len(p) for p in pieces)
+    logs = sum(m.table[p].sum(0, dtype="f8") for p in pieces) / (1 + k / language_id.EFFECTIVE)
+    prior = (sum((p for _, p in hosts), np.zeros(n)) + 1) / (len(hosts) + n)
+    labels = (host or "").split(".")
+    levels = sorted({".".join(labels[-j:]) for j in (2, 3)} | {host}, key=lambda x: len(x or ""))
+    for level in levels if host else []:
+        inside = [p for h, p in hosts if h and (h == level or level != host and h.endswith("." + level))]
+        prior = (sum(inside, np.zeros(n)) + language_id.STRENGTH * prior) / (len(inside) + language_id.STRENGTH)
+    logs = logs + np.log(prior)
+    for value, trust in ((declared, language_id.DECLARED_TRUST), (suffix, language_id.SUFFIX_TRUST)):
+        if value in m.languages:
+            logs += [np.log(trust if x == value else (1 - trust) / (n - 1)) for x in m.languages]
+    p = np.exp(logs - logs.max())
+    p /= p.sum()
+    return m.languages[int(p.argmax())], float(p.max())
+
+
+def test_language_posteriors(spark):
+    """All four kinds of evidence, fused, against the definition; texts are short, so that evidence decides."""
+    rng = random.Random(12)
+    signs = {"en": "aeiouthnsr", "fr": "aeiouéèçqr", "de": "aeiouäöüsh"}
+    hosts = ["a.site.example.net", "b.site.example.net", "c.other.example.net", "site.example.net", "example.org", "www.shop.example.de", "src1", None]
+    docs, pages = [], []
+    for i in range(90):
+        lang = rng.choice(["en", "fr", "de"])
+        docs.append((i, " ".join(words(rng, rng.choice([0, 1, 1, 2, 4]), signs[lang])), lang, rng.choice(["src1", "src2", None]), "x"))
+        if i % 3:
+            host = rng.choice(hosts[:6])
+            path = f"/{rng.choice(['en', 'fr', 'de', 'xx'])}" if rng.random() < 0.7 else ""
+            pages.append((i, f"https://{host}{path}/{i}{rng.choice(['', '/', '?q=1', '.html', '#top'])}", f'<!DOCTYPE html><html class="a" lang="{rng.choice(["en-US", "fr", "de", "zz", ""])}"><p>x'))
+    pages += [(1000, pages[0][1], "<html lang=de>"), (1001, None, None), (1002, "no address", ""), (1003, "http://x.example.fr/about", "<html>")]
+    docs += [(3, None, "en", "src1", "x"), (None, "the then", "en", "src1", "x"), (5, "", None, None, "x")]
+    d = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, host string")
+    evidence = language_id.page_evidence(spark.createDataFrame(pages, "page_id long, url string, html string"))
+    told = {r.key: r for r in evidence.collect()}
+    assert len(told) == 60 and told[pages[0][0]].host == pages[0][1].split("/")[2]
+    got = language_id.identify(d, evidence=evidence, keep=["doc_id", "text", "host"]).collect()
+    m = language_id.fit(d, "text", F.col("lang"))
+    rows = []
+    for i, t, _, source, _ in docs:
+        e = told.get(i)
+        host = e.host if e else source
+        suffix = (e.suffix if e else "") or ""
+        rows.append((i, t, e.declared if e else None, suffix if suffix in m.languages else language_id.SUFFIX.get(suffix), host))
+    post = []
+    for _, t, *_ in rows:
+        pieces = list(language_id.trigrams(t or ""))
+        if pieces:
+            logs = sum(m.table[p].sum(0, dtype="f8") for p in pieces) / (1 + sum(len(p) for p in pieces) / language_id.EFFECTIVE)
+            p = np.exp(logs - logs.max())
+            post.append(p / p.sum())
+        else:
+            post.append(None)
+    want = {}
+    for k, (i, t, declared, suffix, host) in enumerate(rows):
+        others = [(r[4], p) for j, (r, p) in enumerate(zip(rows, post, strict=True)) if j != k and p is not None]
+        want.setdefault((i, t), posterior(m, t, declared, suffix, host, others))
+    assert all(r.host == "x" for r in got)
+    for r in got:
+        language, p = want[r.doc_id, r.text]
+        assert (r["__language"], round(r["__posterior"], 9)) == (language, round(p, 9))
+    assert {r["__suffix"] for r in got} >= {"en", "fr", "de", None} and {r["__declared"] for r in got} >= {"en", "fr", "de", "zz", None}
 
 
 def test_rare_languages_and_copies(spark):
