@@ -7,12 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from marlstone.llm import language_id, near_dedup, packing, quality_rules, secret_scan
-from marlstone.llm.common import discard, materialize, table
+from marlstone.llm.common import discard, exists, materialize, scratch, table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is known from text, declared language and host."""
-    return language_id.keep_identified(docs)
+    """Documents whose language is known from text, markup, address and host; a corpus without pages has no markup."""
+    pages = f"{sf_dir}/pages.parquet"
+    evidence = language_id.page_evidence(spark.read.parquet(pages)) if exists(spark, pages) else None
+    return language_id.keep_identified(docs, evidence=evidence)
 
 
 def rate_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,14 +45,22 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("packing", pack),
 ]
 
-#: Robust estimates and verified similarity classes have no SQL; tests hold the stages against brute force.
+#: Robust estimates and verified similarity classes have no SQL; a test holds every stage against its brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages applied to ``documents``, each one's result written as Parquet and read again."""
+    """The stages applied to ``documents``, each one's result written as Parquet and read again.
+
+    What a stage has written on its way is deleted when its result is written.
+    Null, empty and very long texts, repeated rows, null ids and extra columns
+    pass through every stage by the rules that its operator states; an empty
+    table gives an empty table.
+    """
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        before, docs = docs, materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
-        discard(before)
+        with scratch() as keep:
+            after = keep(materialize(stage(spark, docs, sf_dir), f"pipeline-{name}"))
+        discard(docs)
+        docs = after
     return STAGES[-1][1](spark, docs, sf_dir)
