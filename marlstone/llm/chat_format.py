@@ -34,7 +34,8 @@ OPEN = {"user": "[INST] ", "assistant": "[ANS] ", "system": "[SYS] "}
 CLOSE = {"user": " [/INST]", "assistant": " [/ANS]", "system": " [/SYS]"}
 ROLE_OPEN, ROLE_CLOSE = "[ROLE]", "[/ROLE]"
 ESCAPED = re.compile(r"[\\<\[]")
-READ = re.compile(r"\\.|<s>|</s>|\[INST\] | \[/INST\]|\[ANS\] | \[/ANS\]|\[SYS\] | \[/SYS\]|\[ROLE\]|\[/ROLE\]|[^\\<\[ ]+|.", re.S)
+READ = re.compile(r"\\.|<s>|</s>|<[a-z]+:\d+>|\[INST\] | \[/INST\]|\[ANS\] | \[/ANS\]|\[SYS\] | \[/SYS\]|\[ROLE\]|\[/ROLE\]|[^\\<\[ ]+|.", re.S)
+PLACEHOLDER = re.compile(r"<([a-z]+):(\d+)>")
 PATCH, SECOND_TOKENS, PAGE_TOKENS = 14, 25, 600
 PART = "struct<type:string,text:string,ref:string,width:int,height:int,seconds:double,pages:int>"
 
@@ -81,40 +82,74 @@ def close_turn(role: str) -> str:
     return CLOSE.get(role, "") + END
 
 
+def read_body(body: str) -> list[tuple[str, str]]:
+    """The parts of escaped text in order: ("text", unescaped text), or (kind, place) of a placeholder."""
+    out: list[tuple[str, str]] = []
+    for token in READ.findall(body):
+        found = PLACEHOLDER.fullmatch(token)
+        if found:
+            out.append((found[1], found[2]))
+            continue
+        said = token[1:] if token[0] == "\\" else token
+        if out and out[-1][0] == "text":
+            said = out.pop()[1] + said
+        out.append(("text", said))
+    return out
+
+
+def read_turn(formatted: str, attachments: list[dict]) -> tuple[str, list[dict]]:
+    """Role and typed parts of one formatted turn: the inverse of the visitor, but for sizes, which became token counts."""
+    reader = Reader()
+    role, body = reader.turn_of(formatted)
+    parts = [{"type": kind, "text": said} if kind == "text" else {"type": kind, "ref": attachments[int(said)]["ref"], "tokens": attachments[int(said)]["tokens"]} for kind, said in read_body(body)]
+    return role, parts
+
+
 class Reader:
-    """Reads formatted text piece by piece and hashes what the turns say; memory does not grow with them."""
+    """Reads formatted turns one by one and hashes what they say; memory does not grow with their number.
+
+    The loss text is the unescaped slice of the recorded span, not that of a role.
+    A placeholder counts as itself behind a zero sign, so that no text equals it.
+    """
 
     def __init__(self) -> None:
         self.turns, self.loss, self.n_turns, self.loss_chars, self.chars = hashlib.sha256(), hashlib.sha256(), 0, 0, 0
 
-    def feed(self, formatted: str) -> None:
-        """One or more whole turns."""
-        self.chars += len(formatted)
-        role, text, naming = None, [], False
-        shut = {v: k for k, v in CLOSE.items()}
-        starts = {v: k for k, v in OPEN.items()}
-        for token in READ.findall(formatted):
-            if token == START:
-                role, text = None, []
-            elif role is None and not naming and token in starts:
-                role = starts[token]
-            elif token == ROLE_OPEN:
-                naming, text = True, []
-            elif token == ROLE_CLOSE and naming:
-                role, text, naming = "".join(text), [], False
-            elif token in shut and shut[token] == role:
-                pass
-            elif token == END:
-                self.turn(role or "", "".join(text))
-            else:
-                text.append(token[1:] if token[0] == "\\" else token)
-
-    def turn(self, role: str, text: str) -> None:
+    def turn_of(self, formatted: str) -> tuple[str, str]:
+        """Role and escaped text of one turn."""
+        if not formatted.startswith(START):
+            raise ValueError("a turn begins with its control string")
+        rest = formatted[len(START) :]
+        for role, head in OPEN.items():
+            if rest.startswith(head):
+                return role, rest[len(head) : len(rest) - len(close_turn(role))]
+        stop = rest.index(ROLE_CLOSE)  # an escaped [ does not begin it
+        while rest[stop - 1] == "\\" and not self.even(rest, stop):
+            stop = rest.index(ROLE_CLOSE, stop + 1)
+        role = said([("text", x) for _, x in read_body(rest[len(ROLE_OPEN) : stop])])
+        return role, rest[stop + len(ROLE_CLOSE) : len(rest) - len(close_turn(role))]
+
+    @staticmethod
+    def even(text: str, at: int) -> bool:
+        """Whether an even number of backslashes stands before this place."""
+        head = text[:at]
+        return (len(head) - len(head.rstrip("\\"))) % 2 == 0
+
+    def feed(self, formatted: str, start: int, end: int) -> None:
+        """One whole turn and the span of it under the loss mask."""
+        role, body = self.turn_of(formatted)
         self.n_turns += 1
-        self.turns.update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
-        if role == "assistant":
-            self.loss_chars += len(text)
-            self.loss.update(text.encode("utf-8", "surrogatepass"))
+        self.chars += len(formatted)
+        self.turns.update(f"{role}\n{said(read_body(body))}\n".encode("utf-8", "surrogatepass"))
+        if end > start:
+            loss = said(read_body(formatted[start:end]))
+            self.loss_chars += len(loss)
+            self.loss.update(loss.encode("utf-8", "surrogatepass"))
+
+
+def said(parts: list[tuple[str, str]]) -> str:
+    """Parts as one text."""
+    return "".join(x if kind == "text" else f"\0<{kind}:{x}>" for kind, x in parts)
 
 
 def format_turns(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", parts: str | None = None, text: str = "text") -> DataFrame:
@@ -159,13 +194,13 @@ def digest(formatted: DataFrame) -> DataFrame:
             out.append((now[0], reader.n_turns, reader.turns.hexdigest(), reader.loss_chars, reader.loss.hexdigest(), reader.chars))
 
         for batch in batches:
-            for none, conv, text in zip(batch["none"], batch["conv"], batch["formatted"], strict=True):
+            for none, conv, text, start, end in zip(batch["none"], batch["conv"], batch["formatted"], batch["loss_start"], batch["loss_end"], strict=True):
                 key = (None,) if none else (int(conv),)
                 if key != now:
                     if reader:
                         close()
                     now, reader = key, Reader()
-                reader.feed(text)
+                reader.feed(text, start, end)
             if len(out) > 5000:
                 yield pd.DataFrame(out, columns=NAMES).astype({"conv": "Int64"})
                 out.clear()
@@ -173,8 +208,8 @@ def digest(formatted: DataFrame) -> DataFrame:
             close()
         yield pd.DataFrame(out, columns=NAMES).astype({"conv": "Int64"})
 
-    rows = formatted.select("conv", "turn", "role", "__tie", "formatted").repartition("conv").sortWithinPartitions("conv", "turn", "role", "__tie")
-    rows = rows.select(F.coalesce("conv", F.lit(0)).cast("long").alias("conv"), F.col("conv").isNull().alias("none"), "formatted")
+    rows = formatted.select("conv", "turn", "role", "__tie", "formatted", "loss_start", "loss_end").repartition("conv").sortWithinPartitions("conv", "turn", "role", "__tie")
+    rows = rows.select(F.coalesce("conv", F.lit(0)).cast("long").alias("conv"), F.col("conv").isNull().alias("none"), "formatted", "loss_start", "loss_end")
     return rows.mapInPandas(work, "conv long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 

@@ -14,9 +14,11 @@ character references decoded, white space turned into one space, blocks joined
 by two newlines in page order.
 
 Defined results: null or empty html gives the empty text; broken markup is read
-as far as it goes (unclosed blocks end with their parents); plain text without
-any tag is one block of the root; equal pages give equal texts; an empty table
-gives an empty table.
+as far as it goes (unclosed elements end with their parents, an unclosed drawing
+at the next block); elements marked hidden have no text; plain text without any
+tag is one block of the root; pages of any length are read whole, in linear
+time; equal pages give equal texts; an empty table gives an empty table; other
+columns are kept.
 """
 
 from __future__ import annotations
@@ -41,12 +43,13 @@ ROOT = 0.2
 
 # Elements by their kind.
 BLOCKS = frozenset("html body article main section nav header footer aside div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd form fieldset table thead tbody tfoot tr td th caption blockquote pre figure figcaption address details summary dialog center hr".split())
-RAW = frozenset("script style title textarea noscript iframe template svg math xmp noembed noframes".split())
-SILENT = frozenset("select button option object audio video canvas map datalist".split())
+RAW = frozenset("script style title textarea noscript iframe template xmp noembed noframes".split())
+SILENT = frozenset("select button option object audio video canvas map datalist svg".split())
 CLOSED_BY_SAME = {"li": ("ul", "ol"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table")}
+ALIKE = {"td": ("td", "th"), "th": ("td", "th"), "dt": ("dt", "dd"), "dd": ("dt", "dd")}
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|<([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""", re.S)
-ATTRIBUTE = re.compile(r"""\b(class|id|role|data-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 NAME_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
@@ -60,9 +63,15 @@ class Node:
 
 
 def parse(page: str) -> list[Node]:
-    """Block elements of a page, parents before children, with the text that stands directly in them."""
+    """Block elements of a page, parents before children, with the text that stands directly in them.
+
+    The places of open blocks are kept by their tags, so an end tag costs no
+    search; the work is linear in the page.
+    """
     nodes = [Node("#root", -1, frozenset(), None)]
-    stack, order, silent, link, at = [0], 0, 0, False, 0
+    stack, order, link, at = [0], 0, False, 0
+    where: dict[str, list[int]] = {}  # tag -> places in the stack of its open blocks
+    silent: list[tuple[str, int]] = []  # elements without text of their own that are open: tag, size of the stack inside
     fresh = True  # whether the next text begins a new segment
     end = len(page)
 
@@ -79,6 +88,16 @@ def parse(page: str) -> list[Node]:
         node.size += n
         node.linked += n * link
 
+    def close(depth: int) -> None:
+        """Closes the blocks from this place of the stack on, and what is open inside."""
+        while len(stack) > depth:
+            where[nodes[stack.pop()].tag].pop()
+        while silent and silent[-1][1] > depth:
+            silent.pop()
+
+    def last(*tags: str) -> int:
+        return max((where[t][-1] for t in tags if where.get(t)), default=0)
+
     while at < end:
         found = TAG.search(page, at)
         say(html.unescape(page[at : found.start() if found else end]))
@@ -90,14 +109,16 @@ def parse(page: str) -> list[Node]:
         if closing:
             tag = closing.lower()
             if tag in SILENT:
-                silent = max(0, silent - 1)
+                if any(t == tag for t, _ in silent):
+                    while silent.pop()[0] != tag:
+                        pass
             elif tag == "a":
                 link = False
             elif tag in BLOCKS:
-                depth = next((k for k in range(len(stack) - 1, 0, -1) if nodes[stack[k]].tag == tag), 0)
+                depth = last(tag)
                 if depth:
-                    del stack[depth:]
-                    link, silent = False, 0
+                    close(depth)
+                    link = False
                 fresh = True
             continue
         if not opening:
@@ -110,30 +131,36 @@ def parse(page: str) -> list[Node]:
                 at = stop.start() if stop else end
             continue
         if tag in SILENT:
-            silent += not attributes.endswith("/")
+            if tag == "option" and silent and silent[-1][0] == tag:
+                silent.pop()
+            if not attributes.endswith("/"):
+                silent.append((tag, len(stack)))
         elif tag == "a":
             link = True
         elif tag in ("br", "wbr"):
             say(" ")
         elif tag in BLOCKS:
+            while silent and silent[-1][0] == "svg":  # a block ends a drawing that was left open
+                silent.pop()
             if nodes[stack[-1]].tag == "p":
-                stack.pop()
+                close(len(stack) - 1)
             if tag in CLOSED_BY_SAME:
-                for k in range(len(stack) - 1, 0, -1):
-                    own = nodes[stack[k]].tag
-                    if own in CLOSED_BY_SAME[tag]:
-                        break
-                    if own == tag or {own, tag} == {"td", "th"} or {own, tag} == {"dt", "dd"}:
-                        del stack[k:]
-                        break
-            link, silent, fresh = False, 0, True
+                own = last(*ALIKE.get(tag, (tag,)))
+                if own > last(*CLOSED_BY_SAME[tag]):
+                    close(own)
+            link, fresh = False, True
             if tag == "hr":
                 continue
-            told = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attributes)} if attributes else {}
+            told: dict[str, str] = {}
+            for m in ATTRIBUTE.finditer(attributes):
+                told.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
             names = frozenset(w.lower() for k in ("class", "id", "role") for w in NAME_WORD.findall(told.get(k, "")))
             nodes.append(Node(tag, stack[-1], names, told.get("data-label")))
             nodes[stack[-1]].children += 1
+            where.setdefault(tag, []).append(len(stack))
             stack.append(len(nodes) - 1)
+            if "hidden" in told:
+                silent.append(("#hidden", len(stack)))
     return nodes
 
 
@@ -311,6 +338,9 @@ def labelled_pages(n: int = TRAIN_PAGES, seed: int = 7) -> list[str]:
                 where.append(part(["div", "section", "dialog"], NOTICE_NAMES, rng.choice([words(4, 60), paragraphs(4, 60)])))
         if rng.random() < 0.4:
             after.append(part(["aside", "div"], SIDE_NAMES, rng.choice([f"<h3>{words(1, 3)}</h3><ul>{links(2, 8)}</ul>", paragraphs(5, 60), f"<h3>{words(1, 3)}</h3>{paragraphs(5, 60)}"])))
+        if rng.random() < 0.2:
+            tall = rng.randint(2, 4)
+            inner.append(part(["aside", "div", "section"], SIDE_NAMES, f"<h{tall}>{words(1, 3)}</h{tall}>" + rng.choice([f"<ul>{links(1, 6)}</ul>", paragraphs(4, 30)])))
         if rng.random() < 0.3:
             after.append(part(["form"], NOTICE_NAMES, f"{paragraphs(2, 40)}<label>{words(1, 3)}</label><input>", 0.3))
         if rng.random() < 0.35:

@@ -3,7 +3,7 @@
 The work is row by row: Arrow batches go through one task each, no shuffle.
 
 Defined results: null media decode to a null tile and a null feature; media that
-are no Netpbm or BMP file give nulls too; an empty text becomes 64 zero bytes;
+are no whole Netpbm or BMP file (or name a maximum of 0) give nulls too; an empty text becomes 64 zero bytes;
 equal inputs give equal outputs; an empty table gives an empty table.
 """
 
@@ -40,6 +40,8 @@ def read_netpbm(data: bytes) -> np.ndarray | None:
         values.append(int(data[at:end]))
         at = end
     columns, rows, top = *values[:2], values[2] if need == 3 else 1
+    if not 0 < top < 65536:
+        return None
     shape = (rows, columns, 3) if kind in (b"P3", b"P6") else (rows, columns)
     count = int(np.prod(shape))
     if kind in (b"P5", b"P6"):
@@ -64,24 +66,79 @@ def read_netpbm(data: bytes) -> np.ndarray | None:
     return flat.reshape(shape).astype("u1") if top == 255 else (flat.reshape(shape).astype("f8") * 255 / top).round().astype("u1")
 
 
+def run_lengths(data: bytes, columns: int, rows: int, bits: int) -> np.ndarray:
+    """Colour numbers of run-length coded lines, bottom line first; what a file skips is colour 0."""
+    grid = np.zeros((rows, columns), "u1")
+    x = y = at = 0
+
+    def put(values: np.ndarray) -> None:
+        nonlocal x
+        if y < rows:
+            some = values[: max(0, columns - x)]
+            grid[y, x : x + len(some)] = some
+        x += len(values)
+
+    def split(part: bytes, n: int) -> np.ndarray:
+        found = np.frombuffer(part, "u1")
+        return found[:n] if bits == 8 else np.stack([found >> 4, found & 15], 1).ravel()[:n]
+
+    while at + 1 < len(data):
+        n, code = data[at], data[at + 1]
+        at += 2
+        if n:
+            put(split(bytes([code]) * n, n))
+        elif code == 0:
+            x, y = 0, y + 1
+        elif code == 1:
+            break
+        elif code == 2:
+            x, y, at = x + data[at], y + data[at + 1], at + 2
+        else:
+            size = code if bits == 8 else -(-code // 2)
+            put(split(data[at : at + size], code))
+            at += size + size % 2
+    return grid
+
+
 def read_bmp(data: bytes) -> np.ndarray | None:
-    """Uncompressed BMP with 8, 24 or 32 bits a pixel as 8-bit samples."""
+    """BMP as 8-bit samples: 1, 4 or 8 bits with a palette, plain or run-length coded; 16, 24 or 32 bits, also with masks."""
     number = lambda at, n, signed=False: int.from_bytes(data[at : at + n], "little", signed=signed)
-    start, columns, rows, bits = number(10, 4), number(18, 4, True), number(22, 4, True), number(28, 2)
-    if number(30, 4) not in (0, 3) or bits not in (8, 24, 32) or columns <= 0 or not rows:
+    start, head = number(10, 4), number(14, 4)
+    old = head == 12
+    columns, rows, bits = (number(18, 2), number(20, 2), number(24, 2)) if old else (number(18, 4, True), number(22, 4, True), number(28, 2))
+    packing = 0 if old else number(30, 4)
+    coded = (packing, bits) in ((1, 8), (2, 4))
+    if not (coded or packing in (0, 3, 6)) or bits not in (1, 4, 8, 16, 24, 32) or columns <= 0 or not rows or (packing in (3, 6) and bits not in (16, 32)):
         return None
-    line = -(-columns * bits // 32) * 4
-    body = data[start : start + line * abs(rows)]
-    if len(body) < line * abs(rows):
+    height, line = abs(rows), -(-columns * bits // 32) * 4
+    body = data[start:] if coded else data[start : start + line * height]
+    if not coded and len(body) < line * height:
         return None
-    grid = np.frombuffer(body, "u1").reshape(abs(rows), line)[:, : columns * bits // 8]
-    grid = grid[::-1] if rows > 0 else grid
-    if bits == 8:
-        first = 14 + number(14, 4)
-        palette = np.frombuffer(data[first:start], "u1").reshape(-1, 4)[:, 2::-1]
+    if bits <= 8:
+        if coded:
+            grid = run_lengths(body, columns, height, bits)
+        else:
+            raw = np.frombuffer(body, "u1").reshape(height, line)
+            places = np.arange(columns) * bits
+            grid = raw[:, places // 8] >> (8 - bits - places % 8).astype("u1") & ((1 << bits) - 1)
+        grid = grid[::-1] if rows > 0 else grid
+        wide, first = 3 if old else 4, 14 + head
+        count = (0 if old else number(46, 4)) or 1 << bits
+        palette = np.frombuffer(data[first : first + wide * count][: max(0, start - first) // wide * wide], "u1").reshape(-1, wide)[:, 2::-1]
+        if not len(palette):
+            return None
         colours = palette[np.minimum(grid, len(palette) - 1)]
         return colours[..., 0] if (palette == palette[:, :1]).all() else colours
-    return grid.reshape(abs(rows), columns, bits // 8)[..., 2::-1]
+    if bits == 24 or (bits == 32 and not packing):
+        grid = np.frombuffer(body, "u1").reshape(height, line)[:, : columns * bits // 8].reshape(height, columns, bits // 8)[..., 2::-1]
+        return grid[::-1] if rows > 0 else grid
+    pixels = np.frombuffer(body, f"<u{bits // 8}").reshape(height, -1)[:, :columns].astype("u4")
+    masks = [number(54 + 4 * k, 4) for k in range(3)] if packing else [0x7C00, 0x3E0, 0x1F]
+    if not all(masks):
+        return None
+    low = [m & -m for m in masks]
+    grid = np.stack([((pixels & m) // f * 255.0 / (m // f)).round().astype("u1") for m, f in zip(masks, low, strict=True)], -1)
+    return grid[::-1] if rows > 0 else grid
 
 
 def decode(data: bytes | None) -> np.ndarray | None:

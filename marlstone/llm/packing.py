@@ -5,13 +5,14 @@ number of distinct counts, bounded by the longest document). Dynamic
 programming over it chooses the bucket boundaries that minimise padding; each
 document is padded to the boundary of its bucket, so ``budget // boundary``
 documents fill a batch. Batches form inside (bucket, shard): shards hold about
-``SHARD_ROWS`` rows by a hash of the id, whatever the size of the table, so no
-task ever sorts a whole bucket.
+``SHARD_ROWS`` rows by a hash of id, text and part of the input, whatever the
+size of the table, so no task ever sorts a whole bucket, and null or repeated
+ids, even whole repeated rows, are spread over the shards.
 
 Defined results: a null text has no tokens and goes to the bucket of its
 length; a document longer than the budget is a batch of its own, whole; ties
 and repeated rows are kept and ordered by id and length; an empty table gives
-an empty table; other columns are ignored.
+an empty table; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -88,12 +89,13 @@ def pack(docs: DataFrame, key: str = "doc_id", length: Column | None = None, buc
     A batch is (bucket, shard, batch); the sum of its padded lengths is within
     ``budget`` unless it is one single longer document.
     """
-    sized = docs.select(F.col(f"`{key}`").alias(key), (token_count("text") if length is None else length).cast("long").alias("n_tokens"))
-    histogram = [(r[0], r[1]) for r in sized.groupBy("n_tokens").count().collect()]
+    spread = F.xxhash64(F.col(f"`{key}`"), F.col("`text`") if length is None else length, F.spark_partition_id())
+    sized = docs.select(F.col(f"`{key}`").alias(key), (token_count("text") if length is None else length).cast("long").alias("n_tokens"), spread.alias("__spread"))
+    histogram = [(r[0], r[1]) for r in sized.groupBy("n_tokens").agg(F.count("*")).collect()]
     spark = docs.sparkSession
     edges = best_boundaries(histogram, buckets)
     if not edges:
-        return sized.select("*", *[F.lit(None).cast("long").alias(c) for c in ("bucket", "shard", "batch", "slot", "padding")])
+        return sized.drop("__spread").select("*", *[F.lit(None).cast("long").alias(c) for c in ("bucket", "shard", "batch", "slot", "padding")])
     rows = dict.fromkeys(edges, 0)
     for v, c in histogram:
         rows[next(e for e in edges if v <= e)] += c
@@ -103,7 +105,7 @@ def pack(docs: DataFrame, key: str = "doc_id", length: Column | None = None, buc
     for e in reversed(edges[:-1]):
         chosen = F.when(F.col("n_tokens") <= e, F.lit(e).cast("long")).otherwise(chosen)
     placed = sized.withColumn("bucket", chosen).join(F.broadcast(plan), "bucket")  # at most BUCKETS rows
-    placed = placed.withColumn("shard", F.pmod(F.xxhash64(key, F.lit(7)), F.col("shards")))
+    placed = placed.withColumn("shard", F.pmod("__spread", F.col("shards")))
     order = Window.partitionBy("bucket", "shard").orderBy(key, "n_tokens")
     numbered = placed.withColumn("__n", F.row_number().over(order).cast("long") - 1)
     return numbered.select(key, "n_tokens", "bucket", "shard", F.expr("__n div fits").alias("batch"), F.expr("__n % fits").alias("slot"), (F.col("bucket") - F.col("n_tokens")).alias("padding"))

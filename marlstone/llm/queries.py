@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.llm import chat_format, html_extract, language_id, media_columns, near_dedup, packing, quality_rules, secret_scan, sentencepiece_bpe, toxicity
 from marlstone.llm.common import scratch, spread, table
 
-#: The vocabulary file of the installed public tokenizers; read by the driver only.
 #: The setting that names the folder of the durable ledger of secret scans; unset, each run has one of its own.
 LEDGER = "spark.marlstone.secretLedger"
-PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+#: The vocabulary file among the installed public tokenizers; read by the driver only.
+PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:

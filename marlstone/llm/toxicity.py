@@ -12,11 +12,13 @@ tokens of non-toxic training documents, a segment is significant where its
 E-value in a text of this length is small, and a logistic curve over the
 document's statistic, fitted on the same sample, gives the probability.
 
-Defined results: a null or empty text has no segment and gets the lowest
-statistic; documents without a label are only scored; several labels of one
-document are several training rows; where no usable label exists, every score
-is the prior 0.0; an empty table gives an empty table; equal texts get equal
-scores; language, source and id are never looked at.
+Defined results: a null or empty text has no segment and gets ``LOWEST``, below
+which no statistic goes; documents without a label are only scored; different
+labels of one document are a training row each, equal ones are one; of several
+texts with a labelled id the least is the training text; where no usable label
+exists, every score is the prior 0.0; an empty table gives an empty table; equal
+texts get equal scores; language, source and id are never looked at, other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -41,6 +43,7 @@ Z = 4.0
 TOP = 8.0
 DRIFT = -0.15
 SIGNIFICANT = 0.01
+LOWEST = -12.0
 FOLDS = 5
 TOKEN = re.compile(r"[^\W\d_]+")
 
@@ -124,9 +127,12 @@ def document_segments(text: str, scores: Scores) -> tuple[int, list[tuple[int, i
 
 
 def statistic(n: int, segments: list[tuple[int, int, float]], m: Model) -> float:
-    """Sum of the significance (minus log E-value) of the document's segments, best first, each at least its own cost."""
-    best = sorted((m.decay * s - math.log(max(m.scale * n, 1.0)) for _, _, s in segments), reverse=True)
-    return best[0] + sum(max(0.0, x) for x in best[1:]) if best else -math.log(max(m.scale * n, 1.0)) - 1.0
+    """Significance (minus log E-value) of the best segment of a document of ``n`` tokens, and that of all others that have some."""
+    if not n:
+        return LOWEST
+    cost = math.log(max(m.scale * n, 1.0))
+    best = sorted((m.decay * s - cost for _, _, s in segments), reverse=True)
+    return max(LOWEST, best[0] + sum(max(0.0, x) for x in best[1:]) if best else -cost - 1.0)
 
 
 def passages(text: str, scores: Scores, m: Model) -> tuple[float, list[tuple[int, int, float, float]]]:
@@ -145,9 +151,11 @@ def passages(text: str, scores: Scores, m: Model) -> tuple[float, list[tuple[int
 def training_rows(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_ROWS) -> DataFrame:
     """Texts and labels of at most ``bound`` labelled documents outside the held-out fold."""
     usable = labels.where(F.col("toxic").isNotNull() & (F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(FOLDS)) != 0))
-    chosen = usable.select(F.col("doc_id").alias("__id"), F.col("toxic").cast("int").alias("y")).orderBy(F.xxhash64("__id"), "__id", "y").limit(bound)
+    distinct = usable.select(F.col("doc_id").alias("__id"), F.col("toxic").cast("int").alias("y")).distinct()
+    chosen = distinct.orderBy(F.xxhash64("__id"), "__id", "y").limit(bound)
     texts = docs.select(F.col("doc_id").alias("__d"), text_of("text").alias("t"))
-    return texts.join(F.broadcast(chosen), F.col("__d") == F.col("__id")).select("t", "y")  # at most ``bound`` rows
+    both = texts.join(F.broadcast(chosen), F.col("__d") == F.col("__id"))  # at most ``bound`` rows
+    return both.groupBy("__id", "y").agg(F.min("t").alias("t")).select("t", "y")  # copies meet before the shuffle
 
 
 def fit(train: DataFrame) -> Model:
@@ -173,7 +181,8 @@ def fit(train: DataFrame) -> Model:
     odds = F.log(one / (n1 + PRIOR - one)) - F.log(two / (n0 + PRIOR - two))
     z = odds / F.sqrt(1 / one + 1 / two)
     chosen = counts.select("u", odds.alias("odds"), F.col("b").alias("b"), z.alias("z")).where(F.abs("z") >= Z).collect()
-    m = Model({r["u"]: min(TOP, max(-TOP, r["odds"])) for r in chosen if general(r["u"], chosen)})
+    kept = general({r["u"]: r["b"] for r in chosen})
+    m = Model({r["u"]: min(TOP, max(-TOP, r["odds"])) for r in chosen if r["u"] in kept})
 
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scores, found = Scores(m.units), Counter()
@@ -197,13 +206,15 @@ def fit(train: DataFrame) -> Model:
     return m
 
 
-def general(unit: str, chosen: list) -> bool:
-    """False for a prefix whose evidence is that of one or two chosen words: those words speak for themselves."""
-    if unit.endswith(" "):
-        return True
-    own = next(r["b"] for r in chosen if r["u"] == unit)
-    words = [r["b"] for r in chosen if r["u"].endswith(" ") and r["u"].startswith(unit)]
-    return not (0 < len(words) < 3 and sum(words) >= 0.8 * own)
+def general(toxic: dict[str, int]) -> set[str]:
+    """The units (with their toxic documents) without prefixes whose evidence is that of one or two chosen words: those words speak for themselves."""
+    words: dict[str, list[int]] = {}
+    for unit, n in toxic.items():
+        if unit.endswith(" "):
+            for prefix in units_of(unit[:-1])[1:]:
+                words.setdefault(prefix, []).append(n)
+    few = {u for u, n in words.items() if len(n) < 3 and sum(n) >= 0.8 * toxic.get(u, 0)}
+    return {u for u in toxic if u.endswith(" ") or u not in few}
 
 
 def extreme_values(null: list[tuple[float, int]]) -> tuple[float, float]:

@@ -62,6 +62,30 @@ def test_toxicity(spark):
     assert toxicity.score(d.limit(0), m).count() == 0
 
 
+def test_toxicity_training_rows_and_units(spark):
+    d = spark.createDataFrame([(1, "b", "x"), (1, "a", "x"), (2, None, "x"), (None, "c", "x")] + [(3, "t", "x")] * 50, "doc_id long, text string, y string")
+    labels = spark.createDataFrame([(1, 1), (1, 1), (1, 0), (2, 0), (3, 1), (None, 1)], "doc_id long, toxic int")
+    folds = {r.doc_id for r in labels.where(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) != 0).collect()}
+    want = sorted((t, y) for i, t, y in ((1, "a", 1), (1, "a", 0), (2, "", 0), (3, "t", 1)) if i in folds)
+    assert sorted((r.t, r.y) for r in toxicity.training_rows(d, labels).collect()) == want
+    toxic = {"grim ": 9, "grimly ": 1, "gri": 11, "vile ": 3, "vil": 20, "abcd": 4, "abcde ": 1, "abcdf ": 1, "abcdg ": 1}
+    slow = {u for u in toxic if u.endswith(" ") or not (0 < len(w := [n for v, n in toxic.items() if v.endswith(" ") and v.startswith(u)]) < 3 and sum(w) >= 0.8 * toxic[u])}
+    assert toxicity.general(toxic) == slow == set(toxic) - {"gri"}
+
+
+def test_toxicity_statistic():
+    m = toxicity.Model({}, decay=0.7, scale=0.2)
+    e = lambda s, n: 0.7 * s - np.log(max(0.2 * n, 1.0))
+    assert toxicity.statistic(0, [], m) == toxicity.LOWEST
+    assert np.isclose(toxicity.statistic(100, [(0, 1, 9.0), (3, 5, 2.0), (7, 9, 6.0)], m), e(9, 100) + max(0, e(2, 100)) + e(6, 100))
+    for n in (1, 50, 10**4, 10**9):
+        assert toxicity.statistic(n, [], m) >= toxicity.LOWEST
+        assert n > 10**5 or toxicity.statistic(n, [], m) < toxicity.statistic(n, [(0, 1, 0.1)], m)
+    null = [(-0.15, 900), (2.0, 20), (-3.0, 80)]
+    decay, scale = toxicity.extreme_values(null)
+    assert np.isclose(sum(n / 1000 * np.exp(decay * s) for s, n in null), 1) and decay > 0 < scale <= 1
+
+
 def test_language(spark):
     rng = random.Random(2)
     rows = []

@@ -256,3 +256,13 @@ def test_packing(spark):
         assert sorted(slots) == list(range(len(slots)))
         assert len(slots) * bucket <= 100 or len(slots) == 1
     assert packing.pack(d.limit(0)).count() == 0
+
+
+def test_packing_spreads_hot_keys(spark):
+    # null ids, one id on many texts, and whole repeated rows: none of them fills one shard
+    for rows in ([(None, f"w {i}") for i in range(4000)], [(7, f"w {i}") for i in range(4000)], [(7, "w w")] * 4000):
+        d = spark.createDataFrame(rows, "doc_id long, text string").repartition(16)
+        out = packing.pack(d, shard_rows=400)
+        sizes = [r["count"] for r in out.groupBy("bucket", "shard").count().collect()]
+        assert sum(sizes) == 4000 and max(sizes) <= 1600
+        assert out.select("bucket", "shard", "batch", "slot").distinct().count() == 4000
