@@ -42,7 +42,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     The result no longer depends on any executor or on the plan of ``df``.
     """
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._marlstone_path = path
     block = _SCRATCH.get()
@@ -94,8 +94,9 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 def release(spark: SparkSession) -> None:
     """Lets the driver drop what finished steps have shuffled and broadcast: it does so only when it collects garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # what the first frees may hold the rest
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
 
 
 def small_batches(spark: SparkSession) -> None:

@@ -3,11 +3,11 @@
 1. Equal texts share one content key and take part once. Their word shingles
    (five words) are hashed to 64 bits. A shingle weighs (1 + ln tf) *
    (1 + ln(N / df) / ln N) / 2, with its own document frequency df among the N
-   distinct texts. Shingles in at least a ``SHARE`` of all texts are named by
-   blocks of texts and counted exactly; there are at most (mean shingles a
-   text) / SHARE of them, so they fit a broadcast at any size of the corpus.
-   All others are counted by a shuffle on the shingle, in which no key has more
-   than a ``SHARE`` of the texts; counts of two and more go back to their texts.
+   distinct texts. Frequencies come from one exchange: each chunk of texts sends
+   the ranges of its sorted hashes, with its own counts, to the tasks of those
+   ranges, which add them up and answer each chunk with the hashes that two
+   texts or more have. A chunk sends a hash once, so no shingle is a hot key; a
+   range has about ``RANGE`` signs of text, whatever the size of the corpus.
 2. Improved consistent weighted sampling gives ``BANDS * ROWS`` samples a
    document; equal samples have the weighted Jaccard similarity as probability.
 3. Documents that share a band meet in a bucket. No bucket is expanded into all
@@ -37,14 +37,12 @@ from __future__ import annotations
 import math
 import re
 import sys
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from marlstone.llm.common import content_key, discard, materialize, release, scratch, small_batches, text_of
 
@@ -52,13 +50,14 @@ WORDS = 5
 THRESHOLD = 0.8
 #: Weights are kept with 32 bits; a similarity that is the threshold but for rounding reaches it.
 CLOSE = THRESHOLD - 1e-6
-SHARE = 0.005
 BANDS, ROWS = 12, 4
-PROFILE = 128
+PROFILE = 64
 SMALL = 64
 #: Documents, and shingles of them, in a block.
 BLOCK, BLOCK_SHINGLES = 512, 1_000_000
 SLICE = 1 << 20
+#: Signs of text for which there is a range of hashes, and a chunk of texts.
+RANGE = CHUNK = 1 << 24
 HELD = 2_000_000
 BROADCAST_KEYS = 250_000
 U = np.uint64
@@ -187,14 +186,6 @@ def log_weights(h: np.ndarray, times: np.ndarray, known: Counts, n: int) -> np.n
     return out
 
 
-def merged(heavy: Counts, h: list[np.ndarray], n: list[np.ndarray]) -> Counts:
-    """The counts of some texts' own light shingles beside those of the heavy ones."""
-    if not h:
-        return heavy
-    whole, at = np.unique(np.concatenate([heavy[0], *[x.view("u8") for x in h]]), return_index=True)
-    return whole, np.concatenate([heavy[1], *n])[at]
-
-
 def sample(owner: np.ndarray, h: np.ndarray, lnw: np.ndarray, n: int) -> np.ndarray:
     """(documents, samples) 32-bit marks of the consistent weighted samples of ``n`` documents; all 0 without words.
 
@@ -224,96 +215,100 @@ def sample(owner: np.ndarray, h: np.ndarray, lnw: np.ndarray, n: int) -> np.ndar
     return out
 
 
-def heavy_shingles(texts: DataFrame, n: int) -> Counts:
-    """Shingles in at least ``SHARE`` of the ``n`` distinct texts (column t), with their document frequencies.
+def ranges_of(h: np.ndarray, times: np.ndarray, bits: int) -> Iterator[tuple[int, bytes, bytes, bytes, bytes]]:
+    """Sorted hashes by the ranges of their first ``bits``: range, first 16 bits that occur, how often, the other 48 of each hash, times."""
+    part = (h >> U(64 - bits)).astype("i8") if bits else np.zeros(len(h), "i8")
+    cuts = np.flatnonzero(np.diff(part, prepend=-1))
+    for low, high in zip(cuts, [*cuts[1:], len(h)], strict=True):
+        some = h[low:high]
+        first, often = np.unique((some >> U(48)).astype("u2"), return_counts=True)
+        rest = some.astype("<u8").view("u1").reshape(-1, 8)[:, :6]
+        yield int(part[low]), first.tobytes(), often.astype("u4").tobytes(), rest.tobytes(), times[low:high].astype("u4").tobytes()
 
-    A shingle with that share has it in at least one block of documents, so
-    each block names its own; then these are counted exactly. Within a block a
-    table of counts by hash tells which shingles can reach the share at all.
-    """
 
-    def name(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, size, seen, rough = [], 0, 0, np.zeros(1 << 20, "i8")
+def hashes_of(first: bytes, often: bytes, rest: bytes) -> np.ndarray:
+    """The sorted hashes of one row of ``ranges_of``."""
+    out = np.zeros((len(rest) // 6, 8), "u1")
+    out[:, :6] = np.frombuffer(rest, "u1").reshape(-1, 6)
+    top = np.repeat(np.frombuffer(first, "u2"), np.frombuffer(often, "u4"))
+    return out.reshape(-1).view("<u8") | top.astype("u8") << U(48)
 
-        def close() -> pd.DataFrame:
-            able = [h[rough[h >> U(44)] >= SHARE * seen] for h in held]
-            own, times = np.unique(np.concatenate([np.zeros(0, "u8"), *able]), return_counts=True)
-            return pd.DataFrame({"h": own[times >= SHARE * seen].view("i8")})
 
-        for batch in batches:
-            for _, docs in slices(batch["t"].tolist()):
-                _, h, _ = shingles(docs)
-                held.append(h)
-                size += len(h)
-                seen += len(docs)
-                rough += np.bincount((h >> U(44)).astype("i8"), minlength=1 << 20)
-                if size > HELD:
-                    yield close()
-                    held, size, seen = [], 0, 0
-                    rough[:] = 0
-        yield close()
-
-    named = materialize(texts.select("t").mapInPandas(name, "h long").distinct(), "shingle-names")
-    parts = -(-named.count() // HELD)
-    found = []
-    for part in range(parts):  # one, unless blocks are tiny
-        some = named.where(F.pmod(F.col("h"), F.lit(parts)) == part).toPandas()["h"].to_numpy("i8").view("u8")
-        shared = texts.sparkSession.sparkContext.broadcast(np.sort(some))
-
-        def count(batches: Iterator[pd.DataFrame], shared: Broadcast = shared) -> Iterator[pd.DataFrame]:
-            names = shared.value
-            total = np.zeros(len(names), "i8")
-            for batch in batches:
-                for _, docs in slices(batch["t"].tolist()):
-                    _, h, _ = shingles(docs)
-                    spot = np.minimum(np.searchsorted(names, h), len(names) - 1)
-                    total += np.bincount(spot[names[spot] == h], minlength=len(names))
-            some = np.flatnonzero(total)
-            yield pd.DataFrame({"h": names[some].view("i8"), "n": total[some]})
+def frequencies(texts: DataFrame, bits: int) -> DataFrame:
+    """chunk, hs, ns: hashes of a chunk that two texts or more of all have, with their document frequencies; several rows a chunk."""
 
-        rows = texts.select("t").mapInPandas(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= SHARE * n)
-        found += [(r["h"], r["n"]) for r in rows.collect()]
-    discard(named)
-    h = np.array([x[0] for x in found], "i8").view("u8")
-    order = np.argsort(h)
-    return h[order], np.array([x[1] for x in found], "i8")[order]
+    def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[int, list[np.ndarray]] = {}
+        size = 0
 
+        def rows() -> pd.DataFrame:
+            out = []
+            for chunk, parts in held.items():
+                h, times = np.unique(np.concatenate(parts), return_counts=True)
+                out += [(r[0], chunk, *r[1:]) for r in ranges_of(h, times, bits)]
+            return pd.DataFrame(out, columns=["part", "chunk", "first", "often", "rest", "times"])
 
-def light_counts(texts: DataFrame, heavy: Broadcast) -> DataFrame:
-    """d (a 32-bit hash of the content key), hs, ns: the light shingles of a text that two texts or more have, with their document frequencies.
-
-    The rows of a shingle meet in one task, a ``SHARE`` of all texts at most.
-    Texts whose keys agree in d get each other's shingles too, which changes nothing.
+        for batch in batches:
+            for chunk, some in batch.groupby("chunk")["t"]:
+                for _, docs in slices(some.tolist()):
+                    _, h, _ = shingles(docs)
+                    held.setdefault(chunk, []).append(h)
+                    size += len(h)
+            if size > HELD:
+                yield rows()
+                held, size = {}, 0
+        if size:
+            yield rows()
+
+    def add(group: pd.DataFrame) -> pd.DataFrame:
+        parts = [hashes_of(*x) for x in zip(group["first"], group["often"], group["rest"], strict=True)]
+        h, back = np.unique(np.concatenate(parts), return_inverse=True)
+        n = np.bincount(back, np.concatenate([np.frombuffer(x, "u4") for x in group["times"]])).astype("u4")
+        out, at = [], 0
+        for chunk, part in zip(group["chunk"], parts, strict=True):
+            own = n[back[at : at + len(part)]]
+            at += len(part)
+            again = own > 1
+            if again.any():
+                out.append((chunk, part[again].tobytes(), own[again].tobytes()))
+        return pd.DataFrame(out, columns=["chunk", "hs", "ns"])
+
+    sent = texts.select("chunk", "t").mapInPandas(send, "part long, chunk long, first binary, often binary, rest binary, times binary")
+    return sent.groupBy("part").applyInPandas(add, "chunk long, hs binary, ns binary")
+
+
+def weighed(texts: DataFrame, light: DataFrame, n: int, work: Callable[[int, np.ndarray, np.ndarray, np.ndarray], list[tuple]], schema: str) -> DataFrame:
+    """``work`` (documents, owner, hash, ln weight) of runs of texts: a row (key, ...) for each.
+
+    Chunks come one after another, the counts of each before its texts, so a
+    task holds the counts of one chunk and one run of texts.
     """
+    none = lambda kind: F.lit(None).cast(kind)
+    both = light.select("chunk", F.lit(0).alias("kind"), none("binary").alias("key"), none("string").alias("t"), "hs", "ns")
+    both = both.unionByName(texts.select("chunk", F.lit(1).alias("kind"), "key", "t", none("binary").alias("hs"), none("binary").alias("ns")))
+    names = [x.split()[0] for x in schema.split(",")]
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = heavy.value[0]
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, told, known = None, [], None
         for batch in batches:
-            own = batch["d"].to_numpy("i4")
-            for first, docs in slices(batch["t"].tolist()):
-                owner, h, _ = shingles(docs)
-                if len(names):
-                    light = names[np.minimum(np.searchsorted(names, h), len(names) - 1)] != h
-                    owner, h = owner[light], h[light]
-                yield pd.DataFrame({"h": h.view("i8"), "d": own[first + owner]})
-
-    counted = texts.select("d", "t").mapInPandas(rows, "h long, d int").withColumn("n", F.count("*").over(Window.partitionBy("h"))).where("n > 1")
-    return counted.groupBy("d").agg(F.collect_list(F.struct("h", "n")).alias("x")).select("d", F.col("x.h").alias("hs"), F.col("x.n").alias("ns"))
-
-
-def weighted(texts: DataFrame, light: DataFrame) -> DataFrame:
-    """Texts with the counts of their light shingles."""
-    return texts.join(light.withColumnRenamed("d", "__d"), F.col("d") == F.col("__d"), "left").drop("__d")
-
-
-def vectors_of(batch: tuple[pd.Series, pd.Series, pd.Series], heavy: Counts, n: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(documents, owner, hash, ln weight) for every run of documents of a batch of texts, hs, ns."""
-    texts, hs, ns = (x.tolist() for x in batch)
-    for first, docs in slices(texts):
-        at = [k for k in range(first, first + len(docs)) if hs[k] is not None]
-        known = merged(heavy, [np.asarray(hs[k], "i8") for k in at], [np.asarray(ns[k], "i8") for k in at])
-        owner, h, times = shingles(docs)
-        yield len(docs), owner, h, log_weights(h, times, known, n)
+            out: list[tuple] = []
+            for (chunk, kind), rows in batch.groupby(["chunk", "kind"]):
+                if chunk != now:
+                    now, told, known = chunk, [], None
+                if not kind:
+                    told += [(np.frombuffer(h, "<u8"), np.frombuffer(k, "u4")) for h, k in zip(rows["hs"], rows["ns"], strict=True)]
+                    continue
+                if known is None:
+                    h, at = np.unique(np.concatenate([np.zeros(0, "u8"), *[x[0] for x in told]]), return_index=True)
+                    known, told = (h, np.concatenate([np.zeros(0, "u4"), *[x[1] for x in told]])[at]), []
+                keys = rows["key"].tolist()
+                for first, docs in slices(rows["t"].tolist()):
+                    owner, h, times = shingles(docs)
+                    made = work(len(docs), owner, h, log_weights(h, times, known, n))
+                    out += [(k, *x) for k, x in zip(keys[first : first + len(docs)], made, strict=True)]
+            yield pd.DataFrame(out, columns=names)
+
+    return both.repartition("chunk").sortWithinPartitions("chunk", "kind").mapInPandas(run, schema)
 
 
 def profiles(owner: np.ndarray, h: np.ndarray, w: np.ndarray, n: int) -> np.ndarray:
@@ -322,34 +317,24 @@ def profiles(owner: np.ndarray, h: np.ndarray, w: np.ndarray, n: int) -> np.ndar
     return np.bincount(place, w, n * PROFILE).reshape(n, PROFILE).astype("f4")
 
 
-def signatures(rows: DataFrame, heavy: Broadcast, n: int) -> DataFrame:
-    """key, sig (4 bytes a sample, null without words), profile and shingles (their number) from rows of key, t, hs, ns."""
+def signatures(texts: DataFrame, light: DataFrame, n: int) -> DataFrame:
+    """key, sig (4 bytes a sample, null without words), profile and shingles (their number) of every text."""
 
-    @F.pandas_udf("sig binary, profile binary, shingles long")
-    def sign(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out: list[tuple[bytes | None, bytes, int]] = []
-            for docs, owner, h, lnw in vectors_of(batch, heavy.value, n):
-                marks, sums, size = sample(owner, h, lnw, docs), profiles(owner, h, np.exp(lnw), docs), np.bincount(owner, minlength=docs)
-                out += [(m.tobytes() if m[0] else None, p.tobytes(), int(k)) for m, p, k in zip(marks, sums, size, strict=True)]
-            yield pd.DataFrame(out, columns=["sig", "profile", "shingles"])
+    def sign(docs: int, owner: np.ndarray, h: np.ndarray, lnw: np.ndarray) -> list[tuple]:
+        marks, sums, size = sample(owner, h, lnw, docs), profiles(owner, h, np.exp(lnw), docs), np.bincount(owner, minlength=docs)
+        return [(m.tobytes() if m[0] else None, p.tobytes(), int(k)) for m, p, k in zip(marks, sums, size, strict=True)]
 
-    return rows.select("key", sign("t", "hs", "ns").alias("__s")).select("key", "__s.*")
+    return weighed(texts, light, n, sign, "key binary, sig binary, profile binary, shingles long")
 
 
-def vectors(rows: DataFrame, heavy: Broadcast, n: int) -> DataFrame:
+def vectors(texts: DataFrame, light: DataFrame, n: int) -> DataFrame:
     """key, h, w: sorted hashes (8 bytes) and weights (4 bytes) of every text."""
 
-    @F.pandas_udf("h binary, w binary")
-    def make(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out: list[tuple[bytes, bytes]] = []
-            for docs, owner, h, lnw in vectors_of(batch, heavy.value, n):
-                cuts, w = np.searchsorted(owner, np.arange(docs + 1)), np.exp(lnw).astype("f4")
-                out += [(h[a:b].tobytes(), w[a:b].tobytes()) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-            yield pd.DataFrame(out, columns=["h", "w"])
+    def make(docs: int, owner: np.ndarray, h: np.ndarray, lnw: np.ndarray) -> list[tuple]:
+        cuts, w = np.searchsorted(owner, np.arange(docs + 1)), np.exp(lnw).astype("f4")
+        return [(h[a:b].tobytes(), w[a:b].tobytes()) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
-    return rows.select("key", make("t", "hs", "ns").alias("__v")).select("key", "__v.*")
+    return weighed(texts, light, n, make, "key binary, h binary, w binary")
 
 
 def able(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -532,24 +517,25 @@ def block_links(left: DataFrame, sigs: DataFrame, vecs: DataFrame) -> DataFrame:
 def _classes(rows: DataFrame, docs: DataFrame, text: str) -> DataFrame:
     small_batches(docs.sparkSession)
     spark = docs.sparkSession
-    # equal texts meet in one row before the shuffle
-    texts = materialize(docs.select(content_key(text).alias("key"), text_of(text).alias("t")).groupBy("key").agg(F.first("t").alias("t")), "dedup-texts")
-    texts = texts.withColumn("d", F.hash("key"))
-    n = texts.count()
-    known = heavy_shingles(texts, n)
-    heavy = spark.sparkContext.broadcast(known)
-    light = materialize(light_counts(texts, heavy), "dedup-light")
+    # equal texts meet in one row before the shuffle; a chunk is what one task writes, or a part of it chosen by the key
+    texts = docs.select(content_key(text).alias("key"), text_of(text).alias("t")).groupBy("key").agg(F.first("t").alias("t"))
+    texts = materialize(texts.select("key", "t", F.length("t").alias("signs"), F.spark_partition_id().alias("task")), "dedup-texts")
+    size = texts.agg(F.count("*").alias("n"), F.coalesce(F.sum("signs"), F.lit(0)).alias("signs"), F.count_distinct("task").alias("tasks")).first()
+    n, split = size["n"], max(1, math.ceil(size["signs"] / max(1, size["tasks"]) / CHUNK))
+    texts = texts.select("key", "t", (F.col("task").cast("long") * split + F.pmod(F.hash("key"), F.lit(split))).alias("chunk"))
+    release(spark)
+    light = materialize(frequencies(texts, math.ceil(math.log2(max(1, size["signs"] / RANGE)))), "dedup-frequencies")
+    release(spark)
+    sigs = materialize(signatures(texts, light, n), "dedup-signatures")
     release(spark)
-    sigs = materialize(signatures(weighted(texts, light), heavy, n), "dedup-signatures")
     shared = materialize(buckets(sigs).groupBy("bucket").agg(F.min("key").alias("x"), F.max("key").alias("y")).where("x != y").select("bucket"), "dedup-buckets")
     members = materialize(buckets(sigs).join(shared, "bucket", "left_semi"), "dedup-members")
     needed = materialize(members.select("key").distinct(), "dedup-needed")
     if needed.count() <= BROADCAST_KEYS:
         needed = F.broadcast(needed)  # its size was just counted
-    vecs = materialize(vectors(weighted(texts.join(needed, "key", "left_semi"), light), heavy, n), "dedup-vectors")
+    vecs = materialize(vectors(texts.join(needed, "key", "left_semi"), light, n), "dedup-vectors")
     discard(texts)
     discard(light)
-    release(spark)
 
     def checked(pairs: DataFrame) -> DataFrame:
         return materialize(verified(materialize(promising(materialize(pairs, "dedup-pairs"), sigs), "dedup-promising"), vecs), "dedup-links")

@@ -223,7 +223,8 @@ def test_near_duplicates(spark, monkeypatch, small):
     if small == 4:  # many blocks, several passes over named shingles, no broadcast
         monkeypatch.setattr(near_dedup, "BLOCK", 32)
         monkeypatch.setattr(near_dedup, "SLICE", 300)
-        monkeypatch.setattr(near_dedup, "SHARE", 0.2)
+        monkeypatch.setattr(near_dedup, "RANGE", 5000)
+        monkeypatch.setattr(near_dedup, "CHUNK", 20_000)
         monkeypatch.setattr(near_dedup, "HELD", 700)
         monkeypatch.setattr(near_dedup, "BROADCAST_KEYS", 0)
     texts = near_texts()
@@ -284,6 +285,14 @@ def test_samples_estimate_similarity():
     assert near_dedup.able(p[0], p[1]) == (pairs[-1][1] >= near_dedup.THRESHOLD)
 
 
+@pytest.mark.parametrize("bits", [0, 3, 18])
+def test_ranges_hold_whole_hashes(bits):
+    h = np.unique(np.random.default_rng(bits).integers(0, 2**64 - 1, 5000, dtype="u8"))
+    rows = list(near_dedup.ranges_of(h, np.ones(len(h), "i8"), bits))
+    assert np.array_equal(np.concatenate([near_dedup.hashes_of(*r[1:4]) for r in rows]), h)
+    assert len({r[0] for r in rows}) == len(rows) and (len(rows) == 1) == (bits == 0)
+
+
 @pytest.mark.parametrize("size", [40, 7])
 def test_pieces_have_the_same_shingles(monkeypatch, size):
     rng = random.Random(8)
@@ -308,10 +317,10 @@ def test_large_buckets(spark, monkeypatch, unlike):
             own[k] = words(rng, 1)[0]
         texts.append(" ".join(own))
     texts.append(" ".join(words(rng, 30_000)))
-    vecs = spark.createDataFrame([(bytes([k >> 8, k & 255]) * 8, t) for k, t in enumerate(texts)], "key binary, t string").withColumns({"hs": F.lit(None).cast("array<long>"), "ns": F.lit(None).cast("array<long>")})
-    heavy = spark.sparkContext.broadcast((np.zeros(0, "u8"), np.zeros(0, "i8")))
-    sigs = materialize(near_dedup.signatures(vecs, heavy, len(texts)), "t")
-    made = materialize(near_dedup.vectors(vecs, heavy, len(texts)), "t")
+    rows = spark.createDataFrame([(bytes([k >> 8, k & 255]) * 8, t, k % 3) for k, t in enumerate(texts)], "key binary, t string, chunk long")
+    light = spark.createDataFrame([], "chunk long, hs binary, ns binary")
+    sigs = materialize(near_dedup.signatures(rows, light, len(texts)), "t")
+    made = materialize(near_dedup.vectors(rows, light, len(texts)), "t")
     members = sigs.select(F.lit(1).cast("long").alias("bucket"), "key", "shingles")
     labels = spark.createDataFrame([], "node binary, label binary")
     left = near_dedup.open_buckets(members, labels)
