@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,8 +17,7 @@ PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 EXOTIC_SPACES = "       　"
 ZERO_WIDTH = "​‌‍﻿"
 CONTRACTIONS = (("won't", "will not"), ("can't", "can not"), ("n't", " not"), ("'re", " are"), ("'s", " is"), ("'d", " would"), ("'ll", " will"), ("'t", " not"), ("'ve", " have"), ("'m", " am"))
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY"
+PUNCTUATION_MAP = {"‘": "'", "’": "'", "“": '"', "”": '"', "´": "'", "`": "'", "–": "-", "—": "-", "…": "...", "«": '"', "»": '"', "•": "-", "×": "x", "−": "-"}
 HAPPY = (":)", ":-)", ":D", ";)", "=)")
 SAD = (":(", ":-(", ":'(", "=(")
 IPV4 = r"\b(?:\d{1,3}\.){3}\d{1,3}\b"
@@ -81,8 +81,19 @@ def rewrite(x: str | Column, rules: Sequence[tuple[str, str]] = CONTRACTIONS) ->
 
 
 def strip_accents(x: str | Column) -> Column:
-    """Western diacritics to plain letters."""
-    return F.translate(_col(x), ACCENTED, PLAIN)
+    """Compatibility decomposition without combining marks, for every script; built-ins have no Unicode normal forms, so Arrow batches do it."""
+    import unicodedata
+
+    @F.pandas_udf("string")
+    def plain(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c)), na_action=None)
+
+    return plain(_col(x))
+
+
+def plain_punctuation(x: str | Column, table: dict[str, str] | None = None) -> Column:
+    """Typographic signs replaced by plain ones."""
+    return rewrite(x, tuple((PUNCTUATION_MAP if table is None else table).items()))
 
 
 def plain_spaces(x: str | Column) -> Column:
@@ -105,10 +116,10 @@ def isolate_punctuation(x: str | Column) -> Column:
     return squeeze_blanks(F.regexp_replace(_col(x), r"([^\p{L}\p{N}\s])", " $1 "))
 
 
-def negated(x: str | Column) -> Column:
-    """Each word behind ``not`` or ``no`` joined to it; the first word is never negated."""
+def negated(x: str | Column, negators: Sequence[str] = ("not", "no")) -> Column:
+    """Each word behind a negator marked by ``not_``; the first word is never negated."""
     w = words(x)
-    return F.transform(w, lambda v, i: F.when((i > 0) & F.get(w, i - 1).isin("not", "no"), F.concat(F.lit("not_"), v)).otherwise(v))
+    return F.transform(w, lambda v, i: F.when((i > 0) & F.get(w, i - 1).isin(*negators), F.concat(F.lit("not_"), v)).otherwise(v))
 
 
 def ngrams(items: Column, low: int, high: int, separator: str = " ") -> Column:

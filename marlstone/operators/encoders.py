@@ -87,6 +87,50 @@ def out_of_fold_target(df: DataFrame, column: str, target: str, fold: str, name:
     return df.join(named, F.col(column).eqNullSafe(F.col("__v")) & (F.col(fold) == F.col("__f")), "left").drop("__v", "__f")
 
 
+def selected_flag(df: DataFrame, column: str, target: str, name: str, least_share: float, z: float) -> DataFrame:
+    """The value itself where it has ``least_share`` of all rows and a mean target farther from the whole than z * 0.5 / sqrt(n), else null."""
+    table = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.avg(target).alias("__own"), F.count("*").alias("__k"))
+    whole = df.agg(F.avg(target).alias("__m"), F.count("*").alias("__all"))
+    chosen = table.crossJoin(F.broadcast(whole)).where((F.col("__k") / F.col("__all") >= least_share) & (F.abs(F.col("__own") - F.col("__m")) > z * 0.5 / F.sqrt("__k")))  # one row
+    return _back(df, chosen.select(column, F.col(column).alias(name)), column, name)
+
+
+def frequency_cutoff(df: DataFrame, column: str, name: str, share: float) -> DataFrame:
+    """Labels of values in falling frequency: a new one begins after each value with more than ``share`` of all rows."""
+    table = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("__n"))
+    whole = df.agg(F.count("*").alias("__all"))
+    marked = table.crossJoin(F.broadcast(whole)).withColumn("__big", (F.col("__n") > share * F.col("__all")).cast("long"))  # one row
+    placed = running(marked, "__n", {"__labels": F.col("__big")}, [column], descending=True)
+    return _back(df, placed.select(column, (F.col("__labels") - F.col("__big")).alias(name)), column, name)
+
+
+def nested_impact(df: DataFrame, column: str, target: str, outer: str, inner: str, n_outer: int, n_inner: int, name: str) -> tuple[DataFrame, DataFrame, float]:
+    """Impact coding by nested folds: coded rows, key map, default.
+
+    For an outer fold, each inner fold gives the mean of the value's rows outside
+    of both; the code is the mean of these over the inner folds, the default (the
+    whole mean) standing in where no row is left. One aggregation by (value,
+    outer, inner) gives all of it. The key map is the mean over the outer folds.
+    """
+    default = df.agg(F.avg(target)).first()[0]
+    cells = df.where(F.col(column).isNotNull()).groupBy(column, outer, inner).agg(F.struct(F.sum(target).alias("s"), F.count(target).alias("n")).alias("c"))
+    # at most n_outer * n_inner cells a value
+    lists = cells.groupBy(column).agg(F.collect_list(F.struct(F.col(outer).alias("f"), F.col(inner).alias("g"), F.col("c.s").alias("s"), F.col("c.n").alias("n"))).alias("cells"))
+    add = lambda a, x: F.struct((a["s"] + x["s"]).alias("s"), (a["n"] + x["n"]).alias("n"))
+    zero = F.struct(F.lit(0.0).alias("s"), F.lit(0).cast("long").alias("n"))
+
+    def mean(f: Column, g: Column) -> Column:
+        left = F.aggregate(F.filter("cells", lambda x: (x["f"] != f) & (x["g"] != g)), zero, add)
+        return F.transform(F.array(left), lambda t: F.coalesce(F.try_divide(t["s"], t["n"]), F.lit(default)))[0]
+
+    folds = lambda n: F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))
+    total = lambda f: F.aggregate(F.transform(folds(n_inner), lambda g: mean(f, g)), F.lit(0.0), lambda a, x: a + x) / n_inner
+    codes = lists.select(column, F.posexplode(F.transform(folds(n_outer), total)).alias("__f", name))
+    named = codes.select(F.col(column).alias("__v"), F.col("__f"), name)
+    rows = df.join(named, F.col(column).eqNullSafe(F.col("__v")) & (F.col(outer) == F.col("__f")), "left").drop("__v", "__f")
+    return rows.withColumn(name, F.coalesce(name, F.lit(default))), codes.groupBy(column).agg(F.avg(name).alias(name)), default
+
+
 def one_hot(column: str, values: Sequence[object], drop_first: bool = False) -> list[Column]:
     """0/1 columns of the given values; null is 0 everywhere."""
     used = list(values)[1:] if drop_first else list(values)

@@ -8,6 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from marlstone.functions.numeric import rounded
+from marlstone.operators.joins import attach
+from marlstone.operators.ordering import running
+
 
 def hashed(key: str, salt: str = "") -> Column:
     """32 bits of the MD5 of an id, as a long."""
@@ -35,6 +39,13 @@ def stratified(df: DataFrame, key: str, stratum: str, k: int, name: str = "fold"
     return df.withColumn(name, F.pmod(F.row_number().over(w) - 1, F.lit(k)).cast("long"))
 
 
+def balanced_groups(df: DataFrame, group: str, target: str, k: int, name: str = "fold") -> DataFrame:
+    """Folds that keep groups whole and have groups of all mean targets: round robin in the order of the mean, then the group."""
+    means = df.groupBy(group).agg(rounded(F.avg(target), 6).alias("__mean"))
+    placed = running(means, "__mean", {}, [group]).select(group, F.pmod(F.col("__row") - 1, F.lit(k)).cast("long").alias(name))
+    return attach(df, placed, [group])
+
+
 def sliding(first: int, last: int, train: int, gap: int, valid: int, step: int) -> list[tuple[int, int, int, int, int]]:
     """(fold, train from, train to, validate from, validate to), all inclusive, while the validation fits."""
     out, at = [], first

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -14,6 +15,8 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="marlstone-")
         spark.conf.set("spark.checkpoint.dir", folder)
     path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -34,15 +37,26 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
             return labels.select("node", F.col("label").alias("component"))
 
 
-def reach(edges: DataFrame, a: str, b: str, start: DataFrame, node: str, most: int = 50) -> DataFrame:
-    """(node, hops) of all nodes that undirected edges connect to the start nodes, with the fewest hops."""
-    both = stored(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).union(edges.select(b, a)).distinct(), "edges")
-    seen = stored(start.select(F.col(node).alias("node"), F.lit(0).alias("hops")).distinct(), "seen")
-    front = seen
-    for hop in range(1, most + 1):
+def reach(edges: DataFrame, a: str, b: str, start: DataFrame, node: str, goals: DataFrame | None = None) -> DataFrame:
+    """(node, hops) of all nodes that undirected edges connect to the start nodes, with the fewest hops.
+
+    With ``goals`` (nodes that have an attribute) the walk ends at the first
+    front that holds one; ``nearest`` takes it from the result.
+    """
+    both = stored(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).union(edges.select(b, a)).where("u is not null and v is not null").distinct(), "edges")
+    seen = front = stored(start.select(F.col(node).alias("node"), F.lit(0).alias("hops")).distinct(), "seen")
+    hop = 0
+    while front.limit(1).count():
+        if goals is not None and front.join(goals.select(F.col(node).alias("node")), "node", "left_semi").limit(1).count():
+            break
+        hop += 1
         fresh = front.join(both, F.col("node") == F.col("u")).select(F.col("v").alias("node")).distinct().join(seen, "node", "left_anti")
         front = stored(fresh.withColumn("hops", F.lit(hop)), "front")
-        if not front.limit(1).count():
-            break
         seen = stored(seen.unionByName(front), "seen")
     return seen
+
+
+def nearest(edges: DataFrame, a: str, b: str, start: DataFrame, node: str, goals: DataFrame) -> DataFrame:
+    """(node, hops): the goal with the fewest hops from a start node, the least one of several; no row if none is connected."""
+    found = reach(edges, a, b, start, node, goals).join(goals.select(F.col(node).alias("node")).distinct(), "node", "left_semi")
+    return found.orderBy("hops", "node").limit(1)

@@ -64,6 +64,26 @@ def text_position(df: DataFrame, column: str) -> Column:
     return F.conv(F.rpad(F.hex(six), 12, "0"), 16, 10).cast("double")
 
 
+def percentiles(df: DataFrame, column: str, shares: dict[str, float], interpolate: bool = True) -> DataFrame:
+    """One row with percentiles of a column by name, exact; nulls are left out.
+
+    Values are counted, counts accumulated over ranges, and the neighbours of each
+    place picked by a filter, so no task holds all values. Between two neighbours
+    the value is interpolated, or else the least value that covers the share.
+    """
+    counts = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("__n"))
+    placed = running(counts, column, {"__up": F.col("__n")})
+    whole = counts.agg(F.sum("__n").alias("__all"))
+    x, up, below = F.col(column), F.col("__up"), F.col("__up") - F.col("__n")
+    out = []
+    for name, share in shares.items():
+        at = (F.col("__all") - 1) * F.lit(float(share)) if interpolate else F.greatest(F.ceil(F.col("__all") * F.lit(float(share))), F.lit(1)).cast("double") - 1
+        low, high = F.floor(at), F.ceil(at)
+        left, right = F.max(F.when((below <= low) & (low < up), x)), F.max(F.when((below <= high) & (high < up), x))
+        out.append((left + (right - left) * F.max(at - low) if interpolate else left).alias(name))
+    return placed.crossJoin(F.broadcast(whole)).agg(*out)  # one row
+
+
 def average_rank(df: DataFrame, column: str, name: str = "rank") -> DataFrame:
     """Rank from 1 with ties averaged: values are counted, counts are accumulated, ranks are joined back."""
     counts = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("__n"))

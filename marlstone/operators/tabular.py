@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from marlstone.operators.joins import attach
+from marlstone.operators.ordering import percentiles
 
 
 def prefixed(df: DataFrame, prefix: str, keep: Sequence[str] = ()) -> DataFrame:
@@ -85,15 +86,15 @@ def keep_top(df: DataFrame, column: str, k: int, other: object) -> DataFrame:
 
 def within_percentiles(df: DataFrame, column: str, low: float, high: float) -> DataFrame:
     """Rows between two percentiles (linear interpolation), bounds included."""
-    edges = df.agg(F.percentile(column, F.array(F.lit(low), F.lit(high))).alias("__p"))
-    return df.crossJoin(F.broadcast(edges)).where(F.col(column).between(F.col("__p")[0], F.col("__p")[1])).drop("__p")
+    edges = percentiles(df, column, {"__low": low, "__high": high})
+    return df.crossJoin(F.broadcast(edges)).where(F.col(column).between(F.col("__low"), F.col("__high"))).drop("__low", "__high")
 
 
 def winsorise(df: DataFrame, column: str, low: float, high: float) -> DataFrame:
     """Values moved to the nearer of two percentiles where they lie outside."""
-    edges = df.agg(F.percentile(column, F.array(F.lit(low), F.lit(high))).alias("__p"))
-    capped = F.least(F.greatest(F.col(column), F.col("__p")[0]), F.col("__p")[1])
-    return df.crossJoin(F.broadcast(edges)).withColumn(column, capped).drop("__p")
+    edges = percentiles(df, column, {"__low": low, "__high": high})
+    capped = F.when(F.col(column).isNotNull(), F.least(F.greatest(F.col(column), F.col("__low")), F.col("__high")))
+    return df.crossJoin(F.broadcast(edges)).withColumn(column, capped).drop("__low", "__high")
 
 
 def smallest_type(low: float | None, high: float | None) -> str:

@@ -26,6 +26,11 @@ def coverage(vocab: DataFrame, known: DataFrame) -> DataFrame:
     return marked.agg(F.avg(hit).alias("types"), (F.sum(hit * F.col("n")) / F.sum("n")).alias("tokens"))
 
 
+def vectors(rows: DataFrame, table: DataFrame) -> DataFrame:
+    """word, vector, unknown for every word of the rows; ``table`` has a vector (or none) for a word."""
+    return rows.select("word").distinct().join(table.select("word", "vector"), "word", "left").withColumn("unknown", F.col("vector").isNull())
+
+
 def tfidf(rows: DataFrame, key: str, least_df: int = 1) -> DataFrame:
     """key, word, tfidf: (1 + ln tf) * (ln((1 + N) / (1 + df)) + 1), each document scaled to length one."""
     tf = rows.groupBy(key, "word").agg(F.count("*").alias("k"))

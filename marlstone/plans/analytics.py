@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from marlstone.functions import dates
 from marlstone.functions import numeric as num
 from marlstone.functions.numeric import rounded
+from marlstone.operators import userfuncs
 from marlstone.operators import folds, graph, metrics, ordering, tabular
 from marlstone.plans.registry import query
 from marlstone.sources.tables import read
@@ -271,25 +272,37 @@ def b07_submission_correlation(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "events").agg(rounded(F.corr("value", "user_id"), 8).alias("r"))
 
 
-_EDGES = "(select distinct user_id as a, user_id + cast(floor(value) as bigint) % 3 * 7 as b from events where value < 20 and user_id % 4 <> 0)"
+_EDGES = "(select distinct user_id as a, user_id + cast(floor(value) as bigint) * 7 as b from events)"
+_BOTH = f"e as (select a, b from {_EDGES} union select b, a from {_EDGES})"
+_HOPS = """r(node, hops) using key (node) as (select 1::bigint, 0 union
+           (select e.b, min(r.hops) + 1 from r join e on r.node = e.a left join recurring.r k on k.node = e.b where k.node is null group by e.b))"""
 
 
 def edges(spark: SparkSession, d: str) -> DataFrame:
-    e = read(spark, d, "events").where("value < 20 and user_id % 4 != 0")
-    return e.select(F.col("user_id").alias("a"), (F.col("user_id") + F.floor("value") % 3 * 7).alias("b")).distinct()
+    return read(spark, d, "events").select(F.col("user_id").alias("a"), (F.col("user_id") + F.floor("value") * 7).alias("b")).distinct()
 
 
-@query(f"""with recursive e as (select a, b from {_EDGES} union select b, a from {_EDGES}), r(node, x) as (select a, a from e union select r.node, e.b from r join e on r.x = e.a) select node, min(x) as component from r group by node""")
+@query(f"""with recursive {_BOTH}, r(node, component) using key (node) as (select a, a from e union
+           (select e.b, min(r.component) from r join e on r.node = e.a join recurring.r k on k.node = e.b where r.component < k.component group by e.b))
+select node, component from r""")
 def g01_components(spark: SparkSession, d: str) -> DataFrame:
     return graph.components(edges(spark, d), "a", "b")
 
 
-@query(f"""with recursive e as (select a, b from {_EDGES} union select b, a from {_EDGES}), r(node, hops) as (select 1::bigint, 0 union select e.b, r.hops + 1 from r join e on r.node = e.a where r.hops < 50) select node, min(hops) as hops from r group by node""")
+@query(f"with recursive {_BOTH}, {_HOPS} select node, hops from r")
 def g02_reach(spark: SparkSession, d: str) -> DataFrame:
     start = spark.createDataFrame([(1,)], "node long")
     return graph.reach(edges(spark, d), "a", "b", start, "node")
 
 
+@query(f"""with recursive {_BOTH}, {_HOPS}, g as (select distinct user_id as node from events where value > 99.5)
+select node, hops from r where node in (select node from g) order by hops, node limit 1""")
+def g02_nearest_goal(spark: SparkSession, d: str) -> DataFrame:
+    start = spark.createDataFrame([(1,)], "node long")
+    goals = read(spark, d, "events").where("value > 99.5").select(F.col("user_id").alias("node"))
+    return graph.nearest(edges(spark, d), "a", "b", start, "node", goals)
+
+
 @query("select n_name as a, r_name as b from nation join region on n_regionkey = r_regionkey union select r_name, n_name from nation join region on n_regionkey = r_regionkey")
 def g03_two_way_dictionary(spark: SparkSession, d: str) -> DataFrame:
     t = read(spark, d, "nation").join(read(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
@@ -302,10 +315,11 @@ def h01_row_functions(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "events").select("event_id", (F.col("value") * 2 + F.col("user_id")).alias("v"))
 
 
-@query("select user_id, round(quantile_cont(value, 0.9) - quantile_cont(value, 0.1), 4) as spread from events group by 1")
+@query("select user_id, round(max(value) - avg(value), 4) as spread, count(*) as n from events group by 1")
 def h03_user_aggregate(spark: SparkSession, d: str) -> DataFrame:
-    p = F.percentile("value", F.array(F.lit(0.1), F.lit(0.9)))
-    return read(spark, d, "events").groupBy("user_id").agg(rounded(p[1] - p[0], 4).alias("spread"))
+    t = read(spark, d, "events").select("user_id", "value")
+    spread = userfuncs.Aggregate(partial=lambda x: [x.max(), x.sum(), len(x)], merge=lambda a, b: [max(a[0], b[0]), a[1] + b[1], a[2] + b[2]], finish=lambda s: s[0] - s[1] / s[2])
+    return userfuncs.aggregate(t, ["user_id"], "value", spread, "spread").select("user_id", rounded("spread", 4).alias("spread"), F.col("n"))
 
 
 @query("select event_id, cast(length(props) + 1 as bigint) as n from events")

@@ -24,11 +24,11 @@ def e03_relative_frequency(spark: SparkSession, d: str) -> DataFrame:
     return enc.relative_frequency(read(spark, d, "part").select("p_partkey", "p_brand"), "p_brand", "f").select("p_partkey", rounded("f", 6).alias("f"))
 
 
-@query("""with t as (select o_custkey, count(*) as n from orders where o_orderkey % 9 = 0 group by 1),
+@query("""with t as (select o_custkey, count(*) as n from orders group by 1),
 r as (select o_custkey, case when n > 1 then row_number() over (order by n desc, o_custkey) - 1 else (select count(*) from t where n > 1) end as label from t)
-select o_orderkey, cast(label as bigint) as label from orders join r using (o_custkey) where o_orderkey % 9 = 0""")
+select o_orderkey, cast(label as bigint) as label from orders join r using (o_custkey)""")
 def e04_frequency_rank(spark: SparkSession, d: str) -> DataFrame:
-    t = read(spark, d, "orders").where("o_orderkey % 9 = 0").select("o_orderkey", "o_custkey")
+    t = read(spark, d, "orders").select("o_orderkey", "o_custkey")
     return enc.frequency_rank(t, "o_custkey", "label").select("o_orderkey", "label")
 
 
@@ -63,14 +63,16 @@ def e10_one_hot(spark: SparkSession, d: str) -> DataFrame:
     return nulled(spark, d).select("o_orderkey", *enc.one_hot("s", ["O", "P"]), *enc.one_hot("k", [1, 2], drop_first=True))
 
 
-@query("""with g as (select o_orderpriority as p, avg((o_totalprice > 150000)::int) as r, count(*) / (select count(*) from orders) as share from orders group by 1), a as (select avg((o_totalprice > 150000)::int) as r from orders)
-select g.p, round(share, 6) as share, round(abs(g.r - a.r), 6) as gap from g, a where share >= 0.05""")
+_CHOSEN = """with t as (select o_orderkey, p_brand as v, (l_quantity > 25)::int as y from orders join lineitem on o_orderkey = l_orderkey join part on l_partkey = p_partkey where l_linenumber = 1),
+a as (select avg(y) as m, count(*) as n from t), g as (select v, avg(y) as own, count(*) as k from t group by 1), c as (select v from g, a where k / n >= 0.03 and abs(own - m) > 0.5 * 0.5 / sqrt(k))"""
+
+
+@query(f"{_CHOSEN} select o_orderkey, coalesce(c.v, '') as flag from t left join c using (v)")
 def e12_selected_values(spark: SparkSession, d: str) -> DataFrame:
-    t = read(spark, d, "orders").select(F.col("o_orderpriority").alias("p"), (F.col("o_totalprice") > 150000).cast("int").alias("y"))
-    whole = t.agg(F.avg("y").alias("r"), F.count("*").alias("n"))
-    g = t.groupBy("p").agg(F.avg("y").alias("own"), F.count("*").alias("k")).crossJoin(F.broadcast(whole))  # one row
-    share = F.col("k") / F.col("n")
-    return g.where(share >= 0.05).select("p", rounded(share, 6).alias("share"), rounded(F.abs(F.col("own") - F.col("r")), 6).alias("gap"))
+    """The flag of each row: its value if that is frequent and its mean target is far from the whole."""
+    line = read(spark, d, "lineitem").where("l_linenumber = 1").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_partkey").alias("p_partkey"), (F.col("l_quantity") > 25).cast("int").alias("y"))
+    t = line.join(read(spark, d, "part").select("p_partkey", F.col("p_brand").alias("v")), "p_partkey").join(read(spark, d, "orders").select("o_orderkey"), "o_orderkey")
+    return enc.selected_flag(t, "v", "y", "flag", 0.03, 0.5).select("o_orderkey", F.coalesce("flag", F.lit("")).alias("flag"))
 
 
 @query("""with t as (select o_orderkey, o_custkey, (o_totalprice > 150000)::int as y from orders), p as (select avg(y) as prior from t), g as (select o_custkey, avg(y) as m, count(*) as n from t group by 1)
@@ -122,12 +124,27 @@ def e20_equal_frequency(spark: SparkSession, d: str) -> DataFrame:
     return t.crossJoin(F.broadcast(edges)).select("event_id", (at("a") + at("b") + at("c")).alias("bin"))  # one row
 
 
-@query("""with t as (select p_brand, count(*) as n from part group by 1) select p_partkey, case when n > 0.045 * (select count(*) from part) then p_brand else 'rest' end as grp from part join t using (p_brand)""")
+@query("""with t as (select p_brand, count(*) as n from part group by 1), r as (select p_brand, coalesce(sum((n > 0.04 * (select count(*) from part))::int) over (order by n desc, p_brand rows between unbounded preceding and 1 preceding), 0) as label from t)
+select p_partkey, cast(label as bigint) as grp from part join r using (p_brand)""")
 def e21_frequency_cutoff(spark: SparkSession, d: str) -> DataFrame:
-    part = read(spark, d, "part").select("p_partkey", "p_brand")
-    t = part.groupBy("p_brand").agg(F.count("*").alias("n"))
-    t = t.crossJoin(F.broadcast(t.agg(F.sum("n").alias("all"))))  # one row
-    return part.join(t, "p_brand").select("p_partkey", F.when(F.col("n") > 0.045 * F.col("all"), F.col("p_brand")).otherwise("rest").alias("grp"))
+    return enc.frequency_cutoff(read(spark, d, "part").select("p_partkey", "p_brand"), "p_brand", "grp", 0.04).select("p_partkey", "grp")
+
+
+_H = "cast(('0x' || substr(md5({}cast(o_orderkey as varchar)), 1, 8)) as bigint)"
+
+
+@query(f"""with t as (select o_orderkey, o_custkey, o_totalprice as y, {_H.format('')} % 10 as f, {_H.format("'i' || ")} % 5 as g from orders),
+c as (select o_custkey, f, g, sum(y) as s, count(*) as n from t group by all), w as (select o_custkey, f, sum(s) as s, sum(n) as n from c group by all), k as (select o_custkey, sum(s) as s, sum(n) as n from c group by 1),
+a as (select avg(y) as m from t), o as (select k.o_custkey, i.f, o.g, (k.s - coalesce(w.s, 0) - coalesce(x.s, 0)) / nullif(k.n - coalesce(w.n, 0) - coalesce(x.n, 0), 0) as inner_mean
+  from k cross join (select unnest(range(10)) as f) i cross join (select unnest(range(5)) as g) o left join w on w.o_custkey = k.o_custkey and w.f = i.f
+  left join (select o_custkey, g, f, s, n from (select o_custkey, g, null as f, sum(s) as s, sum(n) as n from c group by o_custkey, g)) x0 on false
+  left join (select c.o_custkey, j.f, c.g, sum(c.s) as s, sum(c.n) as n from c cross join (select unnest(range(10)) as f) j where c.f <> j.f group by all) x on x.o_custkey = k.o_custkey and x.f = i.f and x.g = o.g),
+m as (select o_custkey, f, avg(coalesce(inner_mean, (select m from a))) as code from o group by all)
+select o_orderkey, round(code, 4) as code from t join m using (o_custkey, f)""")
+def e14_nested_impact(spark: SparkSession, d: str) -> DataFrame:
+    t = read(spark, d, "orders").select("o_orderkey", "o_custkey", F.col("o_totalprice").alias("y"), folds.fold_of("o_orderkey", 10).alias("f"), folds.fold_of("o_orderkey", 5, "i").alias("g"))
+    codes, _, _ = enc.nested_impact(t, "o_custkey", "y", "f", "g", 10, 5, "code")
+    return codes.select("o_orderkey", rounded("code", 4).alias("code"))
 
 
 @query("select p_partkey, case when p_size >= 40 then 'high' when p_size >= 20 then 'middle' else 'low' end as band from part")

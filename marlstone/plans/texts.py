@@ -71,6 +71,15 @@ def t16_punctuation(spark: SparkSession, d: str) -> DataFrame:
     return docs(spark, d, "text").select("doc_id", tx.statistics("text")["punctuation"].alias("punctuation"))
 
 
+@query(r"""with t as (select doc_id, list_filter(string_split_regex(text, '[ \t\n\x0B\f\r]+'), lambda x: x <> '') as w from documents)
+select doc_id, cast(len(list_filter(w, lambda x: lower(x) in ('the', 'of', 'and', 'la', 'de', 'der', 'die'))) as int) as stop_words,
+cast(len(list_filter(w, lambda x: regexp_matches(x, '^[^\p{Ll}]*\p{Lu}[^\p{Ll}]*$'))) as int) as upper_words, cast(len(list_filter(w, lambda x: regexp_matches(x, '^\p{Lu}\p{Ll}*[^\pL]*$'))) as int) as title_words from t""")
+def t16_word_kinds(spark: SparkSession, d: str) -> DataFrame:
+    s = tx.statistics("text")
+    stop = F.size(F.filter(tx.words(F.lower("text")), lambda v: v.isin("the", "of", "and", "la", "de", "der", "die")))
+    return docs(spark, d, "text").select("doc_id", stop.alias("stop_words"), s["upper_words"].alias("upper_words"), s["title_words"].alias("title_words"))
+
+
 @query("select doc_id, round(len(list_distinct(string_split(text, ''))) / length(text), 6) as diversity from documents")
 def t18_diversity(spark: SparkSession, d: str) -> DataFrame:
     return docs(spark, d, "text").select("doc_id", rounded(F.size(F.array_distinct(F.array_remove(F.split("text", ""), ""))) / F.length("text"), 6).alias("diversity"))
@@ -119,55 +128,78 @@ def t36_numbers(spark: SparkSession, d: str) -> DataFrame:
     return t.select("p_partkey", tx.space_numbers("x").alias("x"))
 
 
-@query("select doc_id, md5(strip_accents(lower(substr(text, 1, 400)))) as h from documents where lang in ('fr', 'es')")
+_WORDS = r"list_filter(string_split_regex(lower(text), '[^\pL]+'), lambda x: x <> '')"
+_LETTERS = r"[^\p{L}]+"
+
+
+@query("select doc_id, md5(strip_accents(lower(text))) as h from documents")
 def t38_strip_accents(spark: SparkSession, d: str) -> DataFrame:
-    t = docs(spark, d, "text", "lang").where(F.col("lang").isin("fr", "es"))
-    return t.select("doc_id", F.md5(tx.strip_accents(F.lower(F.substring("text", 1, 400))).cast("binary")).alias("h"))
+    return docs(spark, d, "text").select("doc_id", F.md5(tx.strip_accents(F.lower("text")).cast("binary")).alias("h"))
+
+
+@query("select doc_id, md5(replace(replace(replace(replace(replace(replace(text, '’', chr(39)), '‘', chr(39)), '“', chr(34)), '”', chr(34)), '–', '-'), '…', '...')) as h from documents")
+def t38_plain_punctuation(spark: SparkSession, d: str) -> DataFrame:
+    table = {"’": "'", "‘": "'", "“": '"', "”": '"', "–": "-", "…": "..."}
+    return docs(spark, d, "text").select("doc_id", F.md5(tx.plain_punctuation("text", table).cast("binary")).alias("h"))
 
 
-@query("""with w as (select doc_id, unnest(list_filter(string_split_regex(lower(text), '[^a-z]+'), lambda x: x <> '')) as word from documents where lang = 'en')
-select word, count(*) as n, count(distinct doc_id) as df from w group by word having count(*) >= 20""")
+@query(f"with w as (select doc_id, unnest({_WORDS}) as word from documents) select word, count(*) as n, count(distinct doc_id) as df from w group by word")
 def t48_vocabulary(spark: SparkSession, d: str) -> DataFrame:
-    t = docs(spark, d, "text", "lang").where("lang = 'en'")
-    return voc.vocabulary(voc.tokens(t, "doc_id", F.split(F.lower("text"), "[^a-z]+")), "doc_id").where("n >= 20")
+    return voc.vocabulary(voc.tokens(docs(spark, d, "text"), "doc_id", F.split(F.lower("text"), _LETTERS)), "doc_id")
 
 
-@query("""with w as (select doc_id, unnest(list_filter(string_split_regex(lower(text), '[^a-z]+'), lambda x: x <> '')) as word from documents where lang = 'en'),
-b as (select distinct unnest(list_filter(string_split_regex(lower(text), '[^a-z]+'), lambda x: x <> '')) as word from benchmark), v as (select word, count(*) as n from w group by 1)
+@query(f"""with w as (select doc_id, unnest({_WORDS}) as word from documents),
+b as (select distinct unnest({_WORDS}) as word from benchmark), v as (select word, count(*) as n from w group by 1)
 select round(avg((b.word is not null)::int), 6) as types, round(cast(sum(n) filter (b.word is not null) as double) / sum(n), 6) as tokens from v left join b using (word)""")
 def t49_coverage(spark: SparkSession, d: str) -> DataFrame:
-    split = lambda t: voc.tokens(t, t.columns[0], F.split(F.lower("text"), "[^a-z]+"))
-    v = voc.vocabulary(split(docs(spark, d, "text", "lang").where("lang = 'en'")), "doc_id")
+    split = lambda t: voc.tokens(t, t.columns[0], F.split(F.lower("text"), _LETTERS))
+    v = voc.vocabulary(split(docs(spark, d, "text")), "doc_id")
     known = split(read(spark, d, "benchmark").select("item_id", "text")).select("word").distinct()
     found = voc.coverage(v, known)
     return found.select(rounded("types", 6).alias("types"), rounded("tokens", 6).alias("tokens"))
 
 
-@query("""with w as (select item_id, unnest(list_filter(string_split_regex(lower(text), '[^a-z]+'), lambda x: x <> '')) as word from benchmark), n as (select count(distinct item_id) as n from w),
-tf as (select item_id, word, count(*) as k from w group by all), df as (select word, count(*) as df from tf group by 1),
-x as (select item_id, word, (1 + ln(k)) * (ln((1 + n) / (1.0 + df)) + 1) as v from tf join df using (word), n where df >= 2)
-select item_id, word, round(v / sqrt(sum(v * v) over (partition by item_id)), 6) as tfidf from x""")
+def _tfidf_sql(grams: str, least: int) -> str:
+    return f"""with w as (select doc_id, unnest({grams}) as word from (select doc_id, {_WORDS} as w from documents)), n as (select count(distinct doc_id) as n from w),
+    tf as (select doc_id, word, count(*) as k from w group by all), df as (select word, count(*) as df from tf group by 1),
+    x as (select doc_id, word, (1 + ln(k)) * (ln((1 + n) / (1.0 + df)) + 1) as v from tf join df using (word), n where df >= {least})
+    select doc_id, word, round(v / sqrt(sum(v * v) over (partition by doc_id)), 6) as tfidf from x"""
+
+
+def _grams_sql(n: int) -> str:
+    return f"list_transform(range(1, greatest(1, len(w) - {n} + 2)), lambda i: array_to_string(w[i:i + {n - 1}], ' '))"
+
+
+@query(_tfidf_sql("list_concat(" + ", ".join(_grams_sql(n) for n in (1, 2, 3, 4)) + ")", 5))
 def t46_tfidf(spark: SparkSession, d: str) -> DataFrame:
-    t = read(spark, d, "benchmark").select("item_id", "text")
-    t = voc.tfidf(voc.tokens(t, "item_id", F.split(F.lower("text"), "[^a-z]+")), "item_id", 2)
-    return t.select("item_id", "word", rounded("tfidf", 6).alias("tfidf"))
+    """Grams of one to four words in five documents at least."""
+    w = F.array_remove(F.split(F.lower("text"), _LETTERS), "")
+    t = voc.tfidf(voc.tokens(docs(spark, d, "text"), "doc_id", tx.ngrams(w, 1, 4)), "doc_id", 5)
+    return t.select("doc_id", "word", rounded("tfidf", 6).alias("tfidf"))
+
+
+@query(_tfidf_sql("flatten(list_transform(w, lambda x: list_transform(range(1, length(x) + 1), lambda i: substr(' ' || x || ' ', i, 3))))", 5))
+def t47_character_tfidf(spark: SparkSession, d: str) -> DataFrame:
+    """Grams of three characters inside the bounds of words, in five documents at least."""
+    w = F.array_remove(F.split(F.lower("text"), _LETTERS), "")
+    grams = F.flatten(F.transform(w, lambda x: tx.char_ngrams(x, 3)))
+    t = voc.tfidf(voc.tokens(docs(spark, d, "text"), "doc_id", grams), "doc_id", 5)
+    return t.select("doc_id", "word", rounded("tfidf", 6).alias("tfidf"))
 
 
-@query("""with w as (select item_id, list_filter(string_split_regex(lower(text), '[^a-z]+'), lambda x: x <> '') as w from benchmark),
-g as (select item_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) as gram from w)
-select gram, count(*) as n from g group by gram having count(*) >= 3""")
-def t47_ngrams(spark: SparkSession, d: str) -> DataFrame:
-    w = F.array_remove(F.split(F.lower("text"), "[^a-z]+"), "")
-    t = read(spark, d, "benchmark").select(F.explode(tx.ngrams(w, 1, 2)).alias("gram"))
-    return t.groupBy("gram").agg(F.count("*").alias("n")).where("n >= 3")
+@query(f"""with w as (select {_WORDS} as w from documents), g as (select unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) as gram from w)
+select gram, count(*) as n from g group by gram""")
+def t45_word_ngrams(spark: SparkSession, d: str) -> DataFrame:
+    w = F.array_remove(F.split(F.lower("text"), _LETTERS), "")
+    return docs(spark, d, "text").select(F.explode(tx.ngrams(w, 1, 2)).alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
 
 
-@query("""with w as (select item_id, unnest(list_filter(string_split_regex(lower(text), '[^a-z]+'), lambda x: x <> '')) as word, unnest(range(len(list_filter(string_split_regex(lower(text), '[^a-z]+'), lambda x: x <> '')))) as i from benchmark),
-v as (select word, row_number() over (order by count(*) desc, word) as id from w group by word), s as (select item_id, list(id order by i) as ids from w join v using (word) group by 1)
-select item_id, array_to_string(list_concat(list_transform(range(greatest(0, 60 - len(ids))), lambda x: 0), ids[greatest(1, len(ids) - 59):]), ' ') as padded from s""")
+@query(f"""with t as (select doc_id, {_WORDS} as w from documents), w as (select doc_id, unnest(w) as word, unnest(range(len(w))) as i from t),
+v as (select word, row_number() over (order by count(*) desc, word) as id from w group by word), s as (select doc_id, list(id order by i) as ids from w join v using (word) group by 1)
+select doc_id, array_to_string(list_concat(list_transform(range(greatest(0, 60 - len(ids))), lambda x: 0), ids[greatest(1, len(ids) - 59):]), ' ') as padded from s""")
 def t51_sequences(spark: SparkSession, d: str) -> DataFrame:
-    t = read(spark, d, "benchmark").select("item_id", "text")
-    return voc.sequences(t, "item_id", F.split(F.lower("text"), "[^a-z]+"), 60).select("item_id", F.array_join("padded", " ").alias("padded"))
+    t = docs(spark, d, "text")
+    return voc.sequences(t, "doc_id", F.split(F.lower("text"), _LETTERS), 60).select("doc_id", F.array_join("padded", " ").alias("padded"))
 
 
 @query("""select doc_id, regexp_matches(text, '\\b(?:\\d{1,3}\\.){3}\\d{1,3}\\b') as ip, len(regexp_extract_all(text, '\\b\\d{4}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12]\\d|3[01])\\b')) as dates from documents""".replace("\\\\", "\\"))

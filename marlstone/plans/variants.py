@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -12,17 +13,12 @@ from marlstone.functions import text as tx
 from marlstone.functions.numeric import rounded
 from marlstone.operators import aggregates as agg
 from marlstone.operators import encoders as enc
-from marlstone.operators import folds, joins, ordering, tabular
+from marlstone.operators import folds, joins, ordering, tabular, userfuncs
+from marlstone.operators import vocabulary as voc
 from marlstone.plans.projections import _NULLED, nulled
 from marlstone.plans.registry import query
 from marlstone.sources.tables import read
 
-# Lists of the text steps.
-ABBREVIATIONS = (("brb", "be right back"), ("imo", "in my opinion"), ("thx", "thanks"))
-EMOJI = (("😀", "EMO_POS"), ("😢", "EMO_NEG"))
-POSITIVE, NEGATIVE = ("good", "great"), ("bad", "poor")
-
-
 @query("select p_partkey, case when contains(p_type, 'PROMO') then 'promo' when contains(p_type, 'STANDARD') then 'plain' when starts_with(p_type, 'E') then 'e' else 'rest' end as family from part")
 def p15_substring_branches(spark: SparkSession, d: str) -> DataFrame:
     t = F.col("p_type")
@@ -97,9 +93,11 @@ def a14_collect(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "orders").groupBy("o_custkey").agg(F.array_join(F.array_sort(F.collect_list("o_orderkey")), ",").alias("keys"))
 
 
-@query("select count(value) as n, round(avg(value), 6) as mean, round(stddev_samp(value), 6) as std, min(value) as low, max(value) as high from events")
+@query("select count(value) as n, round(avg(value), 6) as mean, round(stddev_samp(value), 6) as std, min(value) as low, quantile_cont(value, 0.25) as q1, quantile_cont(value, 0.5) as q2, quantile_cont(value, 0.75) as q3, max(value) as high from events")
 def a18_describe_all(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "events").agg(F.count("value").alias("n"), rounded(F.avg("value"), 6).alias("mean"), rounded(F.stddev_samp("value"), 6).alias("std"), F.min("value").alias("low"), F.max("value").alias("high"))
+    t = read(spark, d, "events")
+    plain = t.agg(F.count("value").alias("n"), rounded(F.avg("value"), 6).alias("mean"), rounded(F.stddev_samp("value"), 6).alias("std"), F.min("value").alias("low"), F.max("value").alias("high"))
+    return plain.crossJoin(F.broadcast(ordering.percentiles(t, "value", {"q1": 0.25, "q2": 0.5, "q3": 0.75})))  # one row
 
 
 @query("select cast(floor(value / 10) as bigint) as bin, count(*) as n from events group by 1")
@@ -183,44 +181,61 @@ def u06_without_holdout(spark: SparkSession, d: str) -> DataFrame:
     return o.join(out, "o_orderkey", "left_anti")
 
 
-_SAID = "select event_id, case event_id % 4 when 0 then 'RT good stuff via x, so thx!' when 1 then 'not good at all 😢 hmmmm' when 2 then 'It''s a bad 😀 day (really)' else '''tis great imo' end as x from events"
+_SAID = "select doc_id, text as x from documents"
 
 
 def said(spark: SparkSession, d: str) -> DataFrame:
-    k = F.col("event_id") % 4
-    x = F.when(k == 0, "RT good stuff via x, so thx!").when(k == 1, "not good at all 😢 hmmmm").when(k == 2, "It's a bad 😀 day (really)").otherwise("'tis great imo")
-    return read(spark, d, "events").select("event_id", x.alias("x"))
+    return read(spark, d, "documents").select("doc_id", F.col("text").alias("x"))
+
+
+def _md5(c: Column) -> Column:
+    return F.md5(c.cast("binary"))
 
 
-@query(f"select event_id, regexp_replace(x, '\\b(RT|rt|FAV|fav|VIA|via)\\b', ' ', 'g') as a, translate(x, '!\"#$%&''()*+,-./:;<=>?@[\\]^_`{{|}}~', '') as b from ({_SAID})")
+# Words and signs of the tables' texts that stand for reserved words, emoji, abbreviations and moods.
+RESERVED = ("the", "la", "der")
+SIGNS = (("***", "EMO_POS"), ("%%%", "EMO_NEG"), ("###", "EMO_POS"))
+SHORT = (("th", "this here"), ("la", "over there"), ("sch", "be quick"))
+GOOD, BAD, NOT = ("the", "and", "que"), ("of", "la", "der"), ("in", "de")
+LETTERS = "abcdefghijklmnopqrstuvwxyzàáâãäåçèéêëìíîïñòóôõöùúûüýÿß"
+
+
+@query(f"select doc_id, md5(regexp_replace(x, '(the|la|der)', ' ', 'g')) as a, md5(translate(x, '!\"#$%&' || chr(39) || '()*+,-./:;<=>?@[\\]^_`{{|}}~', '')) as b from ({_SAID})")
 def t22_reserved_punctuation(spark: SparkSession, d: str) -> DataFrame:
-    return said(spark, d).select("event_id", F.regexp_replace("x", tx.RESERVED, " ").alias("a"), F.translate("x", tx.PUNCTUATION, "").alias("b"))
+    return said(spark, d).select("doc_id", _md5(F.regexp_replace("x", f"({'|'.join(RESERVED)})", " ")).alias("a"), _md5(F.translate("x", tx.PUNCTUATION, "")).alias("b"))
 
 
-@query(f"select event_id, trim(regexp_replace(regexp_replace(x, '([^\\pL\\pN\\s])', ' \\1 ', 'g'), '\\s+', ' ', 'g')) as x from ({_SAID})")
+@query(f"select doc_id, md5(trim(regexp_replace(regexp_replace(x, '([^\\pL\\pN\\s])', ' \\1 ', 'g'), '\\s+', ' ', 'g'))) as x from ({_SAID})")
 def t24_isolate_punctuation(spark: SparkSession, d: str) -> DataFrame:
-    return said(spark, d).select("event_id", tx.isolate_punctuation("x").alias("x"))
+    return said(spark, d).select("doc_id", _md5(tx.isolate_punctuation("x")).alias("x"))
 
 
-@query(f"select event_id, replace(replace(x, '😀', 'EMO_POS'), '😢', 'EMO_NEG') as x from ({_SAID})")
-def t31_emoji_tags(spark: SparkSession, d: str) -> DataFrame:
-    return said(spark, d).select("event_id", tx.rewrite("x", EMOJI).alias("x"))
+@query(f"select doc_id, md5(replace(replace(replace(x, '***', 'EMO_POS'), '%%%', 'EMO_NEG'), '###', 'EMO_POS')) as x from ({_SAID})")
+def t31_sign_tags(spark: SparkSession, d: str) -> DataFrame:
+    """Any table of signs and tags, in its order."""
+    return said(spark, d).select("doc_id", _md5(tx.rewrite("x", SIGNS)).alias("x"))
 
 
-@query(f"select event_id, array_to_string(list_transform(string_split(x, ' '), lambda w: case lower(w) when 'brb' then 'be right back' when 'imo' then 'in my opinion' when 'thx' then 'thanks' else w end), ' ') as x from ({_SAID})")
+@query(f"select doc_id, md5(array_to_string(list_transform(string_split(x, ' '), lambda w: case lower(w) when 'th' then 'this here' when 'la' then 'over there' when 'sch' then 'be quick' else w end), ' ')) as x from ({_SAID})")
 def t34_abbreviations(spark: SparkSession, d: str) -> DataFrame:
-    full = F.create_map(*[F.lit(v) for kv in ABBREVIATIONS for v in kv])
-    return said(spark, d).select("event_id", F.array_join(F.transform(F.split("x", " "), lambda w: F.coalesce(F.try_element_at(full, F.lower(w)), w)), " ").alias("x"))
+    full = F.create_map(*[F.lit(v) for kv in SHORT for v in kv])
+    return said(spark, d).select("doc_id", _md5(F.array_join(F.transform(F.split("x", " "), lambda w: F.coalesce(F.try_element_at(full, F.lower(w)), w)), " ")).alias("x"))
+
+
+def _squeezed(x: str) -> str:
+    for c in LETTERS + LETTERS.upper().replace("SS", ""):
+        x = f"regexp_replace({x}, '{c}{{3,}}', '{c}{c}', 'g')"
+    return x
 
 
-@query(f"select event_id, case event_id % 4 when 1 then 'not good at all 😢 hmm' else x end as x from ({_SAID})")
+@query(f"select doc_id, md5({_squeezed('x')}) as x from ({_SAID})")
 def t35_squeeze_letters(spark: SparkSession, d: str) -> DataFrame:
-    return said(spark, d).select("event_id", tx.squeeze_letters("x").alias("x"))
+    return said(spark, d).select("doc_id", _md5(tx.squeeze_letters("x")).alias("x"))
 
 
-@query(f"select event_id, array_to_string(list_transform(string_split(x, ' '), lambda w: regexp_replace(w, '^''', '')), ' ') as x from ({_SAID})")
+@query(f"select doc_id, md5(array_to_string(list_transform(string_split(x, ' '), lambda w: regexp_replace(w, '^[''\"(]', '')), ' ')) as x from ({_SAID})")
 def t40_leading_quotes(spark: SparkSession, d: str) -> DataFrame:
-    return said(spark, d).select("event_id", F.array_join(F.transform(F.split("x", " "), lambda w: F.regexp_replace(w, "^'", "")), " ").alias("x"))
+    return said(spark, d).select("doc_id", _md5(F.array_join(F.transform(F.split("x", " "), lambda w: F.regexp_replace(w, "^['\"(]", "")), " ")).alias("x"))
 
 
 @query("select n_name, cast(levenshtein(n_name, r_name) as int) as distance, round(length(replace(n_name, 'A', '')) / length(n_name), 6) as ratio from nation join region on n_regionkey = r_regionkey")
@@ -230,12 +245,12 @@ def t41_edit_distance(spark: SparkSession, d: str) -> DataFrame:
     return t.select("n_name", F.levenshtein("n_name", "r_name").alias("distance"), rounded(plain / F.length("n_name"), 6).alias("ratio"))
 
 
-@query(f"""with w as (select event_id, string_split(lower(x), ' ') as w from ({_SAID})), m as (select event_id, list_transform(range(1, len(w) + 1), lambda i: case when w[i] in ('good', 'great') then 1 when w[i] in ('bad', 'poor') then -1 else 0 end * case when i > 1 and w[i - 1] in ('not', 'no') then -1 else 1 end) as s from w)
-select event_id, cast(len(list_filter(s, lambda v: v > 0)) as int) as positive, cast(len(list_filter(s, lambda v: v < 0)) as int) as negative from m""")
+@query(f"""with w as (select doc_id, list_filter(string_split_regex(lower(x), '[ \\t\\n\\x0B\\f\\r]+'), lambda v: v <> '') as w from ({_SAID})), m as (select doc_id, list_transform(range(1, len(w) + 1), lambda i: case when w[i] in ('the', 'and', 'que') then 1 when w[i] in ('of', 'la', 'der') then -1 else 0 end * case when i > 1 and w[i - 1] in ('in', 'de') then -1 else 1 end) as s from w)
+select doc_id, cast(len(list_filter(s, lambda v: v > 0)) as int) as positive, cast(len(list_filter(s, lambda v: v < 0)) as int) as negative from m""")
 def t43_negated_sentiment(spark: SparkSession, d: str) -> DataFrame:
-    w = tx.negated(F.lower("x"))
-    good, bad = [*POSITIVE, *[f"not_{v}" for v in NEGATIVE]], [*NEGATIVE, *[f"not_{v}" for v in POSITIVE]]
-    return said(spark, d).select("event_id", F.size(F.filter(w, lambda v: v.isin(*good))).alias("positive"), F.size(F.filter(w, lambda v: v.isin(*bad))).alias("negative"))
+    w = tx.negated(F.lower("x"), NOT)
+    good, bad = [*GOOD, *[f"not_{v}" for v in BAD]], [*BAD, *[f"not_{v}" for v in GOOD]]
+    return said(spark, d).select("doc_id", F.size(F.filter(w, lambda v: v.isin(*good))).alias("positive"), F.size(F.filter(w, lambda v: v.isin(*bad))).alias("negative"))
 
 
 @query("select doc_id, cast(case when n_chars <= 500 then 500 when n_chars <= 2000 then 2000 when n_chars <= 8000 then 8000 else 32000 end as int) as padded from documents")
@@ -324,9 +339,10 @@ def f05_expanding_split(spark: SparkSession, d: str) -> DataFrame:
     return folds.in_folds(t, "day", plan).groupBy("fold").agg(F.count_if(F.col("part") == "train").alias("train"), F.count_if(F.col("part") == "valid").alias("valid"))
 
 
-@query("select event_id, cast(('0x' || substr(md5(cast(user_id as varchar)), 1, 8)) as bigint) % 4 as fold from events")
+@query("""with g as (select user_id, row_number() over (order by round(avg(value), 6), user_id) - 1 as i from events group by 1)
+select event_id, cast(i % 4 as bigint) as fold from events join g using (user_id)""")
 def f08_group_folds(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "events").select("event_id", folds.fold_of("user_id", 4).alias("fold"))
+    return folds.balanced_groups(read(spark, d, "events").select("event_id", "user_id", "value"), "user_id", "value", 4).select("event_id", "fold")
 
 
 @query("""with t as (select o_orderkey, o_custkey, o_totalprice as y, cast(('0x' || substr(md5(cast(o_orderkey as varchar)), 1, 8)) as bigint) % 3 as f from orders), c as (select o_custkey, f, sum(y) as s, count(*) as n from t group by all), w as (select o_custkey, sum(s) as s, sum(n) as n from c group by 1)
@@ -341,46 +357,48 @@ def b08_out_of_fold_predictions(spark: SparkSession, d: str) -> DataFrame:
 
 @query("select user_id, cast(unnest(range(cast(count(*) as bigint) // 50)) as bigint) as batch from events group by user_id")
 def h05_table_function(spark: SparkSession, d: str) -> DataFrame:
-    t = read(spark, d, "events").groupBy("user_id").agg(F.count("*").alias("n")).where("n >= 50")
-    return t.select("user_id", F.explode(F.expr("sequence(0L, n div 50 - 1)")).alias("batch"))
+    t = read(spark, d, "events").groupBy("user_id").agg(F.count("*").alias("n"))
+    return userfuncs.table_function(t, ["user_id"], ["n"], lambda n: ((k,) for k in range(n // 50)), "batch long")
 
 
 @query("select user_id, event_id, cast(row_number() over (partition by user_id order by value, event_id) as bigint) as place from events")
 def h04_group_apply(spark: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy("user_id").orderBy("value", "event_id")
-    return read(spark, d, "events").select("user_id", "event_id", F.row_number().over(w).cast("long").alias("place"))
+    def places(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(["value", "event_id"])
+        return group[["user_id", "event_id"]].assign(place=range(1, len(group) + 1))
 
+    t = read(spark, d, "events").select("user_id", "event_id", "value")
+    return userfuncs.group_apply(t, ["user_id"], places, "user_id long, event_id long, place long")
 
-@query(f"select event_id, replace(replace(x || ' :) :(', ':)', 'happy_face'), ':(', 'sad_face') as x from ({_SAID})")
-def t32_emoticon_names(spark: SparkSession, d: str) -> DataFrame:
-    t = said(spark, d).select("event_id", F.concat("x", F.lit(" :) :(")).alias("x"))
-    return t.select("event_id", tx.rewrite("x", ((":)", "happy_face"), (":(", "sad_face"))).alias("x"))
 
-
-@query("select item_id, length(lower(text)) - length(replace(lower(text), 'th', 'h')) as th, (length(lower(text)) - length(replace(lower(text), 'er', 'e'))) as er from benchmark")
+@query("select doc_id, (length(lower(text)) - length(replace(lower(text), 'th', 'h'))) as th, (length(lower(text)) - length(replace(lower(text), 'er', 'e'))) as er from documents")
 def t45_ngram_counts(spark: SparkSession, d: str) -> DataFrame:
     low = F.lower("text")
-    return read(spark, d, "benchmark").select("item_id", tx.count_of(low, "th").cast("long").alias("th"), tx.count_of(low, "er").cast("long").alias("er"))
+    return read(spark, d, "documents").select("doc_id", tx.count_of(low, "th").cast("long").alias("th"), tx.count_of(low, "er").cast("long").alias("er"))
 
 
-@query("""with w as (select distinct item_id, unnest(list_filter(string_split_regex(lower(text), '[^a-z]+'), lambda x: x <> '')) as word from benchmark), e as (select word, item_id from w where length(word) = 4)
-select count(*) as words, count(*) filter (word in (select word from e)) as known from (select distinct word from w)""")
-def t50_embedding_lookup(spark: SparkSession, d: str) -> DataFrame:
-    from marlstone.operators import vocabulary as voc
+_TOKENS = r"select doc_id, unnest(list_filter(string_split_regex(lower(text), '[^\pL]+'), lambda x: x <> '')) as word from documents"
 
-    rows = voc.tokens(read(spark, d, "benchmark").select("item_id", "text"), "item_id", F.split(F.lower("text"), "[^a-z]+")).select("word").distinct()
-    table = rows.where("length(word) = 4").select("word", F.array(F.lit(1.0)).alias("vector"))
-    return rows.join(table, "word", "left").agg(F.count("*").alias("words"), F.count("vector").alias("known"))
 
+def tokens(spark: SparkSession, d: str) -> DataFrame:
+    return voc.tokens(read(spark, d, "documents").select("doc_id", "text"), "doc_id", F.split(F.lower("text"), r"[^\p{L}]+"))
 
-@query("""with w as (select item_id, unnest(list_filter(string_split_regex(lower(text), '[^a-z]+'), lambda x: x <> '')) as word from benchmark), v as (select word, count(*) as n from w group by 1)
-select item_id, count(*) as kept from w join v using (word) where n between 3 and 40 group by 1""")
-def t53_drop_frequent_and_rare(spark: SparkSession, d: str) -> DataFrame:
-    from marlstone.operators import vocabulary as voc
 
-    rows = voc.tokens(read(spark, d, "benchmark").select("item_id", "text"), "item_id", F.split(F.lower("text"), "[^a-z]+"))
-    good = voc.vocabulary(rows, "item_id").where("n between 3 and 40").select("word")
-    return rows.join(good, "word", "left_semi").groupBy("item_id").agg(F.count("*").alias("kept"))
+@query(f"""with w as (select distinct word from ({_TOKENS})), v as (select n_name as name, substr(lower(n_name), 1, 2) as word, [n_nationkey, n_regionkey] as vector from nation),
+e as (select word, arg_min(vector, vector[1]) as vector from v group by word) select word, cast(vector[1] as bigint) as x, cast(vector[2] as bigint) as y, vector is null as unknown from w left join e using (word)""")
+def t50_embedding_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """The vector of every word of the corpus, or that it is unknown; vectors here are two numbers of a nation, by its first two letters."""
+    n = read(spark, d, "nation").select(F.substring(F.lower("n_name"), 1, 2).alias("word"), F.array(F.col("n_nationkey").cast("long"), F.col("n_regionkey").cast("long")).alias("vector"))
+    table = n.groupBy("word").agg(F.min_by("vector", F.col("vector")[0]).alias("vector"))
+    found = voc.vectors(tokens(spark, d), table)
+    return found.select("word", F.col("vector")[0].alias("x"), F.col("vector")[1].alias("y"), "unknown")
+
+
+@query(f"with w as ({_TOKENS}), v as (select word, count(*) as n from w group by 1) select doc_id, count(*) as kept from w join v using (word) where n between 3 and 400 group by 1")
+def t53_drop_frequent_and_rare(spark: SparkSession, d: str) -> DataFrame:
+    rows = tokens(spark, d)
+    good = voc.vocabulary(rows, "doc_id").where("n between 3 and 400").select("word")
+    return rows.join(good, "word", "left_semi").groupBy("doc_id").agg(F.count("*").alias("kept"))
 
 
 @query("select p_partkey, contains(lower(p_type), 'pro') or contains(lower(p_type), 'eco') as wanted from part")
@@ -389,10 +407,9 @@ def t56_substring_family(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "part").select("p_partkey", (t.contains("pro") | t.contains("eco")).alias("wanted"))
 
 
-@query(f"""with w as (select unnest(string_split(lower(x), ' ')) as word from ({_SAID})) select word, count(*) as n from w where word in ('good', 'bad', 'great', 'so') group by 1""")
+@query(f"with w as ({_TOKENS}) select word, count(*) as n from w where word in ('the', 'que', 'der', 'license') group by 1")
 def t59_keyword_frequency(spark: SparkSession, d: str) -> DataFrame:
-    w = said(spark, d).select(F.explode(F.split(F.lower("x"), " ")).alias("word"))
-    return w.where(F.col("word").isin("good", "bad", "great", "so")).groupBy("word").agg(F.count("*").alias("n"))
+    return tokens(spark, d).where(F.col("word").isin("the", "que", "der", "license")).groupBy("word").agg(F.count("*").alias("n"))
 
 
 @query("select o_orderkey, cast(floor(dayofyear(o_orderdate) / 7.0) as bigint) as week, round(year(o_orderdate) + (dayofyear(o_orderdate) - 1) / 365.0, 6) as fraction from orders")

@@ -21,6 +21,13 @@ def csv(spark: SparkSession, path: str, schema: str | T.StructType, columns: lis
     return df.select(*columns) if columns else df
 
 
+def csv_inferred(spark: SparkSession, path: str, columns: list[str] | None = None, share: float = 1.0, missing: str = "") -> DataFrame:
+    """CSV with a header and types found from the data (one more pass, over ``share`` of the lines)."""
+    reader = spark.read.option("header", True).option("inferSchema", True).option("samplingRatio", share).option("nullValue", missing)
+    df = reader.csv(path)
+    return df.select(*columns) if columns else df
+
+
 def text_table(spark: SparkSession, path: str) -> DataFrame:
     """CSV as text columns, nothing inferred."""
     return spark.read.option("header", True).option("inferSchema", False).csv(path)
@@ -52,6 +59,14 @@ def json_documents(spark: SparkSession, path: str, schema: str, key: str = "id")
     return df.select(F.regexp_replace(name, r"-(\d+)$", "").alias(key), F.nullif(F.regexp_extract(name, r"-(\d+)$", 1), F.lit("")).cast("int").alias("ordinal"), *df.columns)
 
 
+def until_gap(documents: DataFrame, key: str = "id", ordinal: str = "ordinal") -> DataFrame:
+    """The numbered documents 1, 2, ... of each key up to the first number that is absent."""
+    from pyspark.sql.window import Window
+
+    place = F.dense_rank().over(Window.partitionBy(key).orderBy(ordinal))
+    return documents.where(F.col(ordinal) >= 1).withColumn("__place", place).where(F.col("__place") == F.col(ordinal)).drop("__place")
+
+
 def files(spark: SparkSession, path: str) -> DataFrame:
     """The files under a path as a table: name, size, key (the name before its first dash or dot). Contents are not read."""
     df = spark.read.format("binaryFile").load(path)

@@ -137,3 +137,46 @@ def test_empty_tables(spark):
     assert agg.value_counts(empty, "k", normalize=True).count() == 0
     assert tabular.keep_top(empty, "k", 3, "x").count() == 0
     assert metrics.roc_auc(empty.select(F.col("v").alias("s"), F.lit(1).alias("y")), "s", "y").first().auc is None
+
+
+def test_reach_has_no_limit(spark):
+    from marlstone.operators import graph
+
+    chain = spark.createDataFrame([(k, k + 1) for k in range(60)] + [(100, 101), (None, 3)], "a long, b long")
+    start = spark.createDataFrame([(0,)], "node long")
+    assert {r.node: r.hops for r in graph.reach(chain, "a", "b", start, "node").collect()} == {k: k for k in range(61)}
+    goals = spark.createDataFrame([(4,), (9,), (100,)], "node long")
+    assert [tuple(r) for r in graph.nearest(chain, "a", "b", start, "node", goals).collect()] == [(4, 4)]
+    assert graph.nearest(chain, "a", "b", start, "node", goals.where("node = 100")).count() == 0
+
+
+def test_user_functions(spark):
+    from marlstone.operators import userfuncs
+
+    df = spark.createDataFrame([("a", 1.0), ("a", 3.0), ("b", None), (None, 5.0), ("a", None)], "k string, v double").repartition(3)
+    spread = userfuncs.Aggregate(lambda x: [x.min(), x.max()], lambda a, b: [min(a[0], b[0]), max(a[1], b[1])], lambda s: s[1] - s[0])
+    assert {tuple(r) for r in userfuncs.aggregate(df, ["k"], "v", spread, "s").collect()} == {("a", 2.0, 2), ("b", None, 0), (None, 0.0, 1)}
+    assert userfuncs.aggregate(df.limit(0), ["k"], "v", spread, "s").count() == 0
+    rows = userfuncs.table_function(df.where("v is not null"), ["k"], ["v"], lambda v: ((i, i * 2.0) for i in range(int(v))), "i long, d double")
+    assert rows.count() == 9 and rows.columns == ["k", "i", "d"]
+
+
+def test_percentiles(spark):
+    import numpy as np
+
+    from marlstone.operators import ordering
+
+    values = [float(x) for x in np.random.default_rng(3).integers(0, 40, 501)] + [None]
+    df = spark.createDataFrame([(x,) for x in values], "x double")
+    row = ordering.percentiles(df, "x", {"a": 0.01, "b": 0.5, "c": 0.99}).first()
+    assert np.allclose(tuple(row), np.percentile(values[:-1], [1, 50, 99]))
+    row = ordering.percentiles(df, "x", {"a": 0.0, "b": 0.5, "c": 1.0}, interpolate=False).first()
+    assert tuple(row) == tuple(np.percentile(values[:-1], [0, 50, 100], method="inverted_cdf"))
+
+
+def test_accents_of_every_script(spark):
+    from marlstone.functions import text as tx
+
+    df = spark.createDataFrame([("śčő ﬁ é",), (None,), ("",), ("“a” – b…",)], "x string")
+    got = [tuple(r) for r in df.select(tx.strip_accents("x"), tx.plain_punctuation("x")).collect()]
+    assert got == [("sco fi e", "śčő ﬁ é"), (None, None), ("", ""), ("“a” – b...", '"a" - b...')]

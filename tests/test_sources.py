@@ -40,3 +40,12 @@ def test_exports(spark, tmp_path):
     writers.text(df.select(F.lit("x").alias("v")), "v", str(tmp_path / "t"))
     assert spark.read.text(str(tmp_path / "t")).count() == 2
     assert [r.value for r in writers.feature_map(df).orderBy("position").collect()][0] == "0\ti\tq"
+
+
+def test_inferred_csv_and_numbered_files(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("i,x,d,s\n1,1.5,2024-01-02,a\n2,,2024-01-03,\n")
+    df = readers.csv_inferred(spark, str(tmp_path / "a.csv"))
+    assert [t for _, t in df.dtypes] == ["int", "double", "date", "string"] and df.where("x is null").count() == 1
+    assert readers.csv_inferred(spark, str(tmp_path / "a.csv"), ["s", "i"]).columns == ["s", "i"]
+    docs = spark.createDataFrame([("a", 1), ("a", 2), ("a", 4), ("b", 2), ("c", None), ("c", 1)], "id string, ordinal int")
+    assert sorted(tuple(r) for r in readers.until_gap(docs).collect()) == [("a", 1), ("a", 2), ("c", 1)]
