@@ -211,11 +211,16 @@ def t24_isolate_punctuation(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"select doc_id, md5(replace(replace(replace(x, '***', 'EMO_POS'), '%%%', 'EMO_NEG'), '###', 'EMO_POS')) as x from ({_SAID})")
-def t31_sign_tags(spark: SparkSession, d: str) -> DataFrame:
+def t31_emoji_tags(spark: SparkSession, d: str) -> DataFrame:
     """Any table of signs and tags, in its order."""
     return said(spark, d).select("doc_id", _md5(tx.rewrite("x", SIGNS)).alias("x"))
 
 
+@query(f"select doc_id, md5(replace(replace(x, '$$$', 'money_face'), '!', 'loud_face')) as x from ({_SAID})")
+def t32_emoticon_names(spark: SparkSession, d: str) -> DataFrame:
+    return said(spark, d).select("doc_id", _md5(tx.rewrite("x", (("$$$", "money_face"), ("!", "loud_face")))).alias("x"))
+
+
 @query(f"select doc_id, md5(array_to_string(list_transform(string_split(x, ' '), lambda w: case lower(w) when 'th' then 'this here' when 'la' then 'over there' when 'sch' then 'be quick' else w end), ' ')) as x from ({_SAID})")
 def t34_abbreviations(spark: SparkSession, d: str) -> DataFrame:
     full = F.create_map(*[F.lit(v) for kv in SHORT for v in kv])
