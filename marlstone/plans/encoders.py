@@ -140,11 +140,11 @@ a as (select avg(y) as m from t), o as (select k.o_custkey, i.f, o.g, (k.s - coa
   left join (select o_custkey, g, f, s, n from (select o_custkey, g, null as f, sum(s) as s, sum(n) as n from c group by o_custkey, g)) x0 on false
   left join (select c.o_custkey, j.f, c.g, sum(c.s) as s, sum(c.n) as n from c cross join (select unnest(range(10)) as f) j where c.f <> j.f group by all) x on x.o_custkey = k.o_custkey and x.f = i.f and x.g = o.g),
 m as (select o_custkey, f, avg(coalesce(inner_mean, (select m from a))) as code from o group by all)
-select o_orderkey, round(code, 4) as code from t join m using (o_custkey, f)""")
+select o_orderkey, round(code, 2) as code from t join m using (o_custkey, f)""")
 def e14_nested_impact(spark: SparkSession, d: str) -> DataFrame:
     t = read(spark, d, "orders").select("o_orderkey", "o_custkey", F.col("o_totalprice").alias("y"), folds.fold_of("o_orderkey", 10).alias("f"), folds.fold_of("o_orderkey", 5, "i").alias("g"))
     codes, _, _ = enc.nested_impact(t, "o_custkey", "y", "f", "g", 10, 5, "code")
-    return codes.select("o_orderkey", rounded("code", 4).alias("code"))
+    return codes.select("o_orderkey", rounded("code", 2).alias("code"))
 
 
 @query("select p_partkey, case when p_size >= 40 then 'high' when p_size >= 20 then 'middle' else 'low' end as band from part")
