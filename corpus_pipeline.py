@@ -45,7 +45,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("packing", pack),
 ]
 
-#: Robust estimates and verified similarity classes have no SQL; a test holds every stage against its brute-force version.
+#: Robust estimates and verified similarity classes have no SQL. The stages are tested on one constructed table, their operators by brute force.
 ORACLE_SQL = None
 
 
