@@ -118,18 +118,20 @@ def isolate_punctuation(x: str | Column) -> Column:
 
 def negated(x: str | Column, negators: Sequence[str] = ("not", "no")) -> Column:
     """Each word behind a negator marked by ``not_``; the first word is never negated."""
-    w = words(x)
-    return F.transform(w, lambda v, i: F.when((i > 0) & F.get(w, i - 1).isin(*negators), F.concat(F.lit("not_"), v)).otherwise(v))
+    # the words are split once, not for every word
+    mark = lambda w: F.transform(w, lambda v, i: F.when((i > 0) & F.get(w, i - 1).isin(*negators), F.concat(F.lit("not_"), v)).otherwise(v))
+    return F.transform(F.array(words(x)), mark)[0]
 
 
 def ngrams(items: Column, low: int, high: int, separator: str = " ") -> Column:
     """All n-grams of an array, shorter ones first."""
 
-    def of(n: int) -> Column:
-        grams = F.transform(F.sequence(F.lit(1), F.size(items) - (n - 1)), lambda i: F.array_join(F.slice(items, i, n), separator))
-        return F.when(F.size(items) >= n, grams).otherwise(F.array().cast("array<string>"))
+    def of(w: Column, n: int) -> Column:
+        grams = F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.array_join(F.slice(w, i, n), separator))
+        return F.when(F.size(w) >= n, grams).otherwise(F.array().cast("array<string>"))
 
-    return F.concat(*[of(n) for n in range(low, high + 1)])
+    # the array is computed once, not for every gram
+    return F.transform(F.array(items), lambda w: F.concat(*[of(w, n) for n in range(low, high + 1)]))[0]
 
 
 def char_ngrams(word: Column, n: int) -> Column:
