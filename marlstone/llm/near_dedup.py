@@ -62,7 +62,7 @@ HELD = 2_000_000
 BROADCAST_KEYS = 250_000
 U = np.uint64
 SPACES = re.compile(rb"[\x20\x09-\x0D]")
-Counts = tuple[np.ndarray, np.ndarray]  # sorted hashes, their document frequencies
+Cut = Callable[[list[bytes]], tuple[np.ndarray, np.ndarray, np.ndarray]]  # texts to (document, hash, times), by document and hash
 
 
 def tables() -> dict[str, np.ndarray]:
@@ -104,32 +104,32 @@ def slices(texts: list[str]) -> Iterator[tuple[int, list[bytes]]]:
         yield start, held
 
 
-def pieces(data: bytes) -> Iterator[bytes]:
-    """A long text in pieces of about ``SLICE`` bytes; each begins with the last ``WORDS - 1`` words of the one before."""
+def pieces(data: bytes, words: int = WORDS) -> Iterator[bytes]:
+    """A long text in pieces of about ``SLICE`` bytes; each begins with the last ``words - 1`` words of the one before."""
     at, end = 0, SLICE
     while True:
         cut = SPACES.search(data, end)
         if not cut:
             yield data[at:]
             return
-        tail = data[at : cut.start()].rsplit(None, WORDS - 1)
+        tail = data[at : cut.start()].rsplit(None, words - 1)
         end = cut.start() + SLICE
-        if len(tail) == WORDS:  # else the piece has too few words and grows
+        if len(tail) == words:  # else the piece has too few words and grows
             yield data[at : cut.start()]
             at += len(tail[0])
 
 
-def shingles(docs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def shingles(docs: list[bytes], words: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct shingle hashes of every document: (document, hash, times), sorted by document and hash."""
     if len(docs) == 1 and len(docs[0]) > SLICE:
-        parts = [few_shingles([x]) for k, x in enumerate(pieces(docs[0])) if not k or len(x.split(None, WORDS)) >= WORDS]
+        parts = [few_shingles([x], words) for k, x in enumerate(pieces(docs[0], words)) if not k or len(x.split(None, words)) >= words]
         h, back = np.unique(np.concatenate([x[1] for x in parts]), return_inverse=True)
         times = np.bincount(back, np.concatenate([x[2] for x in parts]), len(h)).astype("i8")
         return np.zeros(len(h), "i8"), h, times
-    return few_shingles(docs)
+    return few_shingles(docs, words)
 
 
-def few_shingles(docs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def few_shingles(docs: list[bytes], words: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     t = tables()
     data = np.frombuffer(b" ".join(docs) + b" ", "u1")
     space = (data == 32) | ((data >= 9) & (data <= 13))
@@ -147,16 +147,16 @@ def few_shingles(docs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     owner = np.searchsorted(ends, letters[at], side="right")
     n = np.bincount(owner, minlength=len(docs))
     hashes, owners = [], []
-    if len(word) >= WORDS:
-        m = len(word) - WORDS + 1
+    if len(word) >= words:
+        m = len(word) - words + 1
         total = np.zeros(m, "u8")
-        for k in range(WORDS):
+        for k in range(words):
             total += word[k : k + m] * t["place"][k]
-        whole = owner[:m] == owner[WORDS - 1 :]
+        whole = owner[:m] == owner[words - 1 :]
         hashes.append(mix(total[whole]))
         owners.append(owner[:m][whole])
     begins = np.concatenate([[0], np.cumsum(n)[:-1]])
-    short = np.flatnonzero((n > 0) & (n < WORDS))
+    short = np.flatnonzero((n > 0) & (n < words))
     if len(short):
         few = [int((word[begins[d] : begins[d] + n[d]] * t["place"][: n[d]]).sum(dtype="u8")) for d in short]
         hashes.append(mix(np.array(few, "u8") + n[short].astype("u8")))
@@ -174,15 +174,13 @@ def few_shingles(docs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return d[spots], h[spots], np.diff(np.append(spots, len(h)))
 
 
-def log_weights(h: np.ndarray, times: np.ndarray, known: Counts, n: int) -> np.ndarray:
+def log_weights(times: np.ndarray, df: np.ndarray, n: int) -> np.ndarray:
     """ln of the weights; 0 for a shingle that occurs once, in one text only."""
-    out = np.zeros(len(h))
-    many = times > 1
+    out = np.zeros(len(times))
+    many, common = times > 1, df > 1
     out[many] = np.log1p(np.log(times[many]))
-    if len(known[0]) and n > 1:
-        spot = np.minimum(np.searchsorted(known[0], h), len(known[0]) - 1)
-        found = known[0][spot] == h
-        out[found] += np.log1p(-np.log(known[1][spot[found]]) / (2 * math.log(n)))
+    if n > 1:
+        out[common] += np.log1p(-np.log(df[common]) / (2 * math.log(n)))
     return out
 
 
@@ -234,7 +232,7 @@ def hashes_of(first: bytes, often: bytes, rest: bytes) -> np.ndarray:
     return out.reshape(-1).view("<u8") | top.astype("u8") << U(48)
 
 
-def frequencies(texts: DataFrame, bits: int) -> DataFrame:
+def frequencies(texts: DataFrame, bits: int, cut: Cut = shingles) -> DataFrame:
     """chunk, hs, ns: hashes of a chunk that two texts or more of all have, with their document frequencies; several rows a chunk."""
 
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -251,7 +249,7 @@ def frequencies(texts: DataFrame, bits: int) -> DataFrame:
         for batch in batches:
             for chunk, some in batch.groupby("chunk")["t"]:
                 for _, docs in slices(some.tolist()):
-                    _, h, _ = shingles(docs)
+                    _, h, _ = cut(docs)
                     held.setdefault(chunk, []).append(h)
                     size += len(h)
             if size > HELD:
@@ -277,8 +275,8 @@ def frequencies(texts: DataFrame, bits: int) -> DataFrame:
     return sent.groupBy("part").applyInPandas(add, "chunk long, hs binary, ns binary")
 
 
-def weighed(texts: DataFrame, light: DataFrame, n: int, work: Callable[[int, np.ndarray, np.ndarray, np.ndarray], list[tuple]], schema: str) -> DataFrame:
-    """``work`` (documents, owner, hash, ln weight) of runs of texts: a row (key, ...) for each.
+def counted(texts: DataFrame, light: DataFrame, work: Callable[[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray], list[tuple]], schema: str, cut: Cut = shingles) -> DataFrame:
+    """``work`` (documents, owner, hash, times, document frequency) of runs of texts: a row (key, ...) for each.
 
     Chunks come one after another, the counts of each before its texts, so a
     task holds the counts of one chunk and one run of texts.
@@ -303,8 +301,12 @@ def weighed(texts: DataFrame, light: DataFrame, n: int, work: Callable[[int, np.
                     known, told = (h, np.concatenate([np.zeros(0, "u4"), *[x[1] for x in told]])[at]), []
                 keys = rows["key"].tolist()
                 for first, docs in slices(rows["t"].tolist()):
-                    owner, h, times = shingles(docs)
-                    made = work(len(docs), owner, h, log_weights(h, times, known, n))
+                    owner, h, times = cut(docs)
+                    df = np.ones(len(h), "u4")
+                    if len(known[0]):
+                        spot = np.minimum(np.searchsorted(known[0], h), len(known[0]) - 1)
+                        df = np.where(known[0][spot] == h, known[1][spot], df)
+                    made = work(len(docs), owner, h, times, df)
                     out += [(k, *x) for k, x in zip(keys[first : first + len(docs)], made, strict=True)]
             yield pd.DataFrame(out, columns=names)
 
@@ -320,21 +322,22 @@ def profiles(owner: np.ndarray, h: np.ndarray, w: np.ndarray, n: int) -> np.ndar
 def signatures(texts: DataFrame, light: DataFrame, n: int) -> DataFrame:
     """key, sig (4 bytes a sample, null without words), profile and shingles (their number) of every text."""
 
-    def sign(docs: int, owner: np.ndarray, h: np.ndarray, lnw: np.ndarray) -> list[tuple]:
+    def sign(docs: int, owner: np.ndarray, h: np.ndarray, times: np.ndarray, df: np.ndarray) -> list[tuple]:
+        lnw = log_weights(times, df, n)
         marks, sums, size = sample(owner, h, lnw, docs), profiles(owner, h, np.exp(lnw), docs), np.bincount(owner, minlength=docs)
         return [(m.tobytes() if m[0] else None, p.tobytes(), int(k)) for m, p, k in zip(marks, sums, size, strict=True)]
 
-    return weighed(texts, light, n, sign, "key binary, sig binary, profile binary, shingles long")
+    return counted(texts, light, sign, "key binary, sig binary, profile binary, shingles long")
 
 
 def vectors(texts: DataFrame, light: DataFrame, n: int) -> DataFrame:
     """key, h, w: sorted hashes (8 bytes) and weights (4 bytes) of every text."""
 
-    def make(docs: int, owner: np.ndarray, h: np.ndarray, lnw: np.ndarray) -> list[tuple]:
-        cuts, w = np.searchsorted(owner, np.arange(docs + 1)), np.exp(lnw).astype("f4")
+    def make(docs: int, owner: np.ndarray, h: np.ndarray, times: np.ndarray, df: np.ndarray) -> list[tuple]:
+        cuts, w = np.searchsorted(owner, np.arange(docs + 1)), np.exp(log_weights(times, df, n)).astype("f4")
         return [(h[a:b].tobytes(), w[a:b].tobytes()) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
-    return weighed(texts, light, n, make, "key binary, h binary, w binary")
+    return counted(texts, light, make, "key binary, h binary, w binary")
 
 
 def able(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -514,17 +517,25 @@ def block_links(left: DataFrame, sigs: DataFrame, vecs: DataFrame) -> DataFrame:
     return some.join(vecs, "key").groupBy(*cells).applyInPandas(compare, "a binary, b binary").distinct()
 
 
+def distinct_texts(docs: DataFrame, text: str, cut: Cut = shingles) -> tuple[DataFrame, DataFrame, DataFrame, int]:
+    """The written distinct texts; the same as key, t, chunk; frequencies of their shingles; how many texts there are.
+
+    Equal texts meet in one row before the shuffle; a chunk is what one task
+    writes, or a part of it chosen by the key.
+    """
+    written = docs.select(content_key(text).alias("key"), text_of(text).alias("t")).groupBy("key").agg(F.first("t").alias("t"))
+    written = materialize(written.select("key", "t", F.length("t").alias("signs"), F.spark_partition_id().alias("task")), "dedup-texts")
+    size = written.agg(F.count("*").alias("n"), F.coalesce(F.sum("signs"), F.lit(0)).alias("signs"), F.count_distinct("task").alias("tasks")).first()
+    split = max(1, math.ceil(size["signs"] / max(1, size["tasks"]) / CHUNK))
+    texts = written.select("key", "t", (F.col("task").cast("long") * split + F.pmod(F.hash("key"), F.lit(split))).alias("chunk"))
+    light = materialize(frequencies(texts, math.ceil(math.log2(max(1, size["signs"] / RANGE))), cut), "dedup-frequencies")
+    return written, texts, light, size["n"]
+
+
 def _classes(rows: DataFrame, docs: DataFrame, text: str) -> DataFrame:
-    small_batches(docs.sparkSession)
     spark = docs.sparkSession
-    # equal texts meet in one row before the shuffle; a chunk is what one task writes, or a part of it chosen by the key
-    texts = docs.select(content_key(text).alias("key"), text_of(text).alias("t")).groupBy("key").agg(F.first("t").alias("t"))
-    texts = materialize(texts.select("key", "t", F.length("t").alias("signs"), F.spark_partition_id().alias("task")), "dedup-texts")
-    size = texts.agg(F.count("*").alias("n"), F.coalesce(F.sum("signs"), F.lit(0)).alias("signs"), F.count_distinct("task").alias("tasks")).first()
-    n, split = size["n"], max(1, math.ceil(size["signs"] / max(1, size["tasks"]) / CHUNK))
-    texts = texts.select("key", "t", (F.col("task").cast("long") * split + F.pmod(F.hash("key"), F.lit(split))).alias("chunk"))
-    release(spark)
-    light = materialize(frequencies(texts, math.ceil(math.log2(max(1, size["signs"] / RANGE)))), "dedup-frequencies")
+    small_batches(spark)
+    written, texts, light, n = distinct_texts(docs, text)
     release(spark)
     sigs = materialize(signatures(texts, light, n), "dedup-signatures")
     release(spark)
@@ -534,7 +545,7 @@ def _classes(rows: DataFrame, docs: DataFrame, text: str) -> DataFrame:
     if needed.count() <= BROADCAST_KEYS:
         needed = F.broadcast(needed)  # its size was just counted
     vecs = materialize(vectors(texts.join(needed, "key", "left_semi"), light, n), "dedup-vectors")
-    discard(texts)
+    discard(written)
     discard(light)
 
     def checked(pairs: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import chat_format, html_extract, language_id, media_columns, near_dedup, packing, quality_rules, secret_scan, sentencepiece_bpe, toxicity
+from marlstone.llm import chat_format, collocations, html_extract, importance, language_id, media_columns, near_dedup, ngram_join, packing, quality_rules, secret_scan, sentencepiece_bpe, toxicity
 from marlstone.llm.common import scratch, spread, table
 
 #: The setting that names the folder of the durable ledger of secret scans; unset, each run has one of its own.
@@ -86,6 +86,19 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.col("lang").alias("label"), "source", *told)
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(spread(table(spark, sf_dir, "documents").select("text", "lang")))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return importance.resample(docs, table(spark, sf_dir, "benchmark").select("text"))
+
+
+def op13_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.link(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -99,6 +112,9 @@ QUERIES = {
         op8_sentencepiece,
         op9_media_columns,
         op10_language_id,
+        op11_collocations,
+        op12_importance_resampling,
+        op13_ngram_join,
     )
 }
 
@@ -125,6 +141,62 @@ def _spans_sql() -> str:
     return " union all ".join(out)
 
 
+_UPPER, _SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+#: Phrases of one to three words by language, their cuts, and what longer phrases cover.
+_COLLOCATIONS_SQL = rf"""
+with p as (select lang, list_filter(string_split_regex(x, '[\x20\t]+'), lambda w: w <> '') as w from (
+       select coalesce(lang, 'und') as lang, unnest(string_split_regex(translate(coalesce(text, ''), '{_UPPER}', '{_SMALL}'), '[.,;:!?\x0A-\x0D]')) as x from documents)),
+g as (select lang, k, array_to_string(w[i:i + k - 1], ' ') as phrase from (select lang, w, k, unnest(range(1, len(w) - k + 2)) as i from p, (values (1), (2), (3)) as v(k) where len(w) >= k)),
+f as materialized (select lang, k, phrase, count(*) as a from g group by all),
+size as (select lang, cast(sum(a) as bigint) as n from f where k = 1 group by lang),
+c as (select lang, k, phrase, string_split(phrase, ' ') as w, a from f where k > 1 and a >= 10),
+above as (select lang, array_to_string(w[i:i + 1], ' ') as phrase, max(a) as f from c, (values (1), (2)) as v(i) where k = 3 group by all),
+open as (select c.* from c left join above on c.lang = above.lang and c.phrase = above.phrase where above.f is null or 100 * above.f < 50 * c.a),
+cut as (select open.*, j from open, (values (1), (2)) as v(j) where j < k),
+s as (select cut.lang, cut.phrase, cut.a, j, l.a as l, r.a as r, (1000000::hugeint * cut.a * cut.a) // (l.a::hugeint * r.a) as score
+      from cut join f l on l.lang = cut.lang and l.phrase = array_to_string(w[:j], ' ') join f r on r.lang = cut.lang and r.phrase = array_to_string(w[j + 1:], ' ')),
+best as (select *, row_number() over (partition by lang, phrase order by score, j) as place from s),
+ranked as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from best where place = 1)
+select lang, rank, phrase, a, l, r, n, cast(score as bigint) as score from ranked join size using (lang) where rank <= 2000"""
+
+#: The CRC-32 of every distinct feature, from the table of its polynomial.
+_IMPORTANCE_SQL = rf"""
+with recursive tab0 as (select i, i as c, 0 as step from range(256) r(i) union all
+       select i, case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, step + 1 from tab0 where step < 8),
+tab as (select list(c order by i) as t from tab0 where step = 8),
+d as (select row_number() over () as rid, doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{_UPPER}', '{_SMALL}'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') as w from documents),
+b as (select list_filter(string_split_regex(translate(coalesce(text, ''), '{_UPPER}', '{_SMALL}'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') as w from benchmark),
+df as (select rid, f, count(*) as k from (select rid, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) as f from d) group by all),
+bf as (select f, count(*) as k from (select unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) as f from b) group by all),
+every as (select distinct f from (select f from df union all select f from bf)),
+crc as materialized (select f, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, octet_length(encode(f)) + 1), lambda i: cast('0x' || substr(hex(encode(f)), 2 * i - 1, 2) as bigint))),
+        lambda c, y: xor(tab.t[(xor(c, y) & 255) + 1], c >> 8)), 4294967295) % 10000 as bucket from every, tab),
+s as (select bucket, sum(k) as s from df join crc using (f) group by 1), t as (select bucket, sum(k) as t from bf join crc using (f) group by 1),
+whole as (select (select coalesce(sum(s), 0) from s) as big, (select coalesce(sum(t), 0) from t) as aim),
+gain as (select bucket, floor(1000 * ln((coalesce(t, 0) + 1)::double * (big + 10000) / ((coalesce(s, 0) + 1)::double * (aim + 10000)))) as g from s full join t using (bucket), whole),
+m as (select rid, sum(k) as n, floor(sum(k * g) / sum(k)) as weight from df join crc using (f) join gain using (bucket) group by rid),
+x as (select doc_id, len(w) as words, cast(coalesce(n, 0) as bigint) as n_features, cast(coalesce(weight, 0) as bigint) as weight,
+      cast('0x' || substr(sha256('7:' || doc_id), 1, 8) as bigint) as h from d left join m using (rid)),
+y as (select *, weight + cast(floor(-1000 * ln(-ln((h + 0.5::double) / 4294967296))) as bigint) as score from x),
+z as (select *, row_number() over (partition by words >= 20 order by score desc, doc_id) as place, count(*) filter (words >= 20) over () as many from y)
+select doc_id, n_features, weight, score, case when words >= 20 and place <= 25 * many // 100 then place end as rank from z"""
+
+#: Documents that share a shingle are counted; exact copies are one set.
+_JOIN_SQL = rf"""
+with recursive d as (select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{_UPPER}', '{_SMALL}'), '[\x20\x09-\x0D]+'), lambda w: w <> '') as w from documents),
+g as (select doc_id, case when len(w) = 0 then [] when len(w) < 4 then [array_to_string(w, ' ')] else list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) end as grams from d),
+size as (select doc_id, len(grams) as n from g),
+copy as (select doc_id, min(doc_id) over (partition by list_sort(grams)) as first, len(grams) as n, grams from g where len(grams) > 0),
+p as (select first as id, n, unnest(grams) as gram from copy where doc_id = first),
+shared as (select a.id as a, b.id as b, a.n as na, b.n as nb, count(*) as k from p a join p b on a.gram = b.gram and a.id < b.id group by all),
+link as (select a, b from shared where 100 * k >= 85 * (na + nb - k)),
+edge as (select a, b from link union select b, a from link),
+reach(id, other) as (select distinct first, first from copy union select r.id, edge.b from reach r join edge on edge.a = r.other),
+comp as (select id, min(other) as component from reach group by id)
+select size.doc_id, cast(size.n as bigint) as n_shingles, coalesce(component, size.doc_id) as component_id
+from size left join copy on size.doc_id = copy.doc_id left join comp on comp.id = copy.first"""
+
 SQL = {
     "op2_secret_scan": f"""
     with d as (select row_number() over () as rid, doc_id, coalesce(text, '') as t from documents), s as ({_spans_sql()})
@@ -143,4 +215,7 @@ SQL = {
            sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256,
            cast(sum(chars) as bigint) as formatted_chars
     from f group by conv_id""",
+    "op11_collocations": _COLLOCATIONS_SQL,
+    "op12_importance_resampling": _IMPORTANCE_SQL,
+    "op13_ngram_join": _JOIN_SQL,
 }
