@@ -141,7 +141,7 @@ def filter_bits(frequent: DataFrame, n: int) -> Broadcast:
             part = (at >> U(inner)).astype("i8")
             cuts = np.flatnonzero(np.diff(part, prepend=-1))
             inside = (at & U((1 << inner) - 1)).astype("<u4")
-            rows = [inside[a:b].tobytes() for a, b in zip(cuts, [*cuts[1:], len(at)], strict=True)]
+            rows = [inside[a:b].tobytes() for a, b in zip(cuts, [*cuts, len(at)][1:], strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(part[cuts], pa.int64()), pa.array(rows, pa.binary())], names=["slice", "at"])
 
     def merge(group: pd.DataFrame) -> pd.DataFrame:

@@ -147,7 +147,7 @@ def blocks_of(docs: DataFrame, key: str, text: str) -> DataFrame:
             rows = [(block, -1, narrow(words), narrow(sizes), b"", n)]
             part = bucket * PARTS // BUCKETS
             cuts = np.flatnonzero(np.diff(part, prepend=-1))
-            for a, b in zip(cuts, [*cuts[1:], len(part)], strict=True):
+            for a, b in zip(cuts, [*cuts, len(part)][1:], strict=True):
                 low = -(-int(part[a]) * BUCKETS // PARTS)
                 rows.append((block, int(part[a]), np.bincount(bucket[a:b] - low).astype("<u4").tobytes(), narrow(of[a:b]), narrow(counts[a:b]), b - a))
             own = pa.ListArray.from_arrays(pa.array([0, *[n] * len(rows)], pa.int32()), batch.column(0))
