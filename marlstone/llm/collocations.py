@@ -41,7 +41,7 @@ from marlstone.llm.word_bytes import LOWER, U, cut_out, joined, mix, run_hashes,
 
 # What ends a piece of text, and what stands between its words.
 BREAK, BLANK = table_of(b".,;:!?\n\x0b\x0c\r"), table_of(b" \t")
-WINDOW = 4 << 20
+WINDOW = 2 << 20
 SHARE, LEAST_BITS, MOST_BITS, SLICE_BITS = 32, 16, 29, 22
 #: Candidates of a language that are ranked in one task before its report is put together.
 RANKED = 100_000
@@ -76,11 +76,11 @@ def phrases(part: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
     blank = BLANK[low]
     keep = ~blank
     keep[1:] |= ~blank[:-1]
-    place = np.flatnonzero(keep)
+    place = np.flatnonzero(keep).astype("i4")
     low = np.where(blank, np.uint8(32), low)[place]
     end = BREAK[low]
     first, last = runs(~(end | (low == 32)))
-    piece = np.cumsum(end)[first]
+    piece = np.searchsorted(np.flatnonzero(end), first)
     m = max(0, len(first) - n + 1)
     return low, first, last, word_hashes(low, first, last), place[first], np.flatnonzero(piece[:m] == piece[n - 1 :][:m])
 

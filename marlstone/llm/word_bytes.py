@@ -51,16 +51,20 @@ def runs(inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edge[::2], edge[1::2]
 
 
+#: Words that are hashed at once: their letters fit a processor's cache, and memory stays small.
+CHUNK = 1 << 15
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hashes of the words between ``starts`` and ``ends``, which rise and do not overlap."""
-    if not len(starts):
-        return np.zeros(0, "u8")
-    made, sizes = numbers(), ends - starts
-    first = np.cumsum(sizes) - sizes
-    place = np.arange(int(sizes.sum())) - np.repeat(first, sizes)
-    at = place + np.repeat(starts, sizes)
-    power = np.cumprod(np.full(int(sizes.max()), made["step"][0], "u8"))
-    return mix(np.add.reduceat(made["byte"][data[at]] * power[place], first))
+    made, out = numbers(), np.zeros(len(starts), "u8")
+    power = np.cumprod(np.full(int((ends - starts).max(initial=1)), made["step"][0], "u8"))
+    for k in range(0, len(starts), CHUNK):
+        begin, sizes = starts[k : k + CHUNK], (ends - starts)[k : k + CHUNK]
+        first = np.cumsum(sizes) - sizes
+        place = np.arange(int(sizes.sum())) - np.repeat(first, sizes)
+        out[k : k + CHUNK] = np.add.reduceat(made["byte"][data[place + np.repeat(begin, sizes)]] * power[place], first)
+    return mix(out)
 
 
 def run_hashes(words: np.ndarray, n: int) -> np.ndarray:
@@ -76,5 +80,8 @@ def cut_out(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.
     """The bytes between ``starts`` and ``ends`` one after another, and 32-bit offsets into them."""
     sizes = ends - starts
     offsets = np.concatenate([[0], np.cumsum(sizes)])
-    at = np.arange(int(offsets[-1])) + np.repeat(starts - offsets[:-1], sizes)
-    return data[at], offsets.astype("i4")
+    out = np.empty(int(offsets[-1]), "u1")
+    for k in range(0, len(starts), CHUNK):
+        low, high = int(offsets[k]), int(offsets[min(k + CHUNK, len(starts))])
+        out[low:high] = data[np.arange(low, high) + np.repeat((starts - offsets[:-1])[k : k + CHUNK], sizes[k : k + CHUNK])]
+    return out, offsets.astype("i4")
