@@ -45,7 +45,7 @@ WORD = np.zeros(256, bool)
 WORD[48:58] = WORD[97:123] = WORD[128:] = True
 PARTS = 16
 WINDOW = 4 << 20
-GROUP_BYTES = 32 << 20
+GROUP_BYTES = 8 << 20
 #: Bytes of a word whose checksum is made for all words at once.
 SHORT = 64
 
