@@ -20,6 +20,16 @@ CONTRACTIONS = (("won't", "will not"), ("can't", "can not"), ("n't", " not"), ("
 PUNCTUATION_MAP = {"‘": "'", "’": "'", "“": '"', "”": '"', "´": "'", "`": "'", "–": "-", "—": "-", "…": "...", "«": '"', "»": '"', "•": "-", "×": "x", "−": "-"}
 HAPPY = (":)", ":-)", ":D", ";)", "=)")
 SAD = (":(", ":-(", ":'(", "=(")
+# Faces that are counted as happy and as sad.
+SMILIES = (
+    ":‑)", ":)", ":-]", ":]", ":-3", ":3", ":->", ":>", "8-)", "8)", ":-}", ":}", ":o)", ":c)", ":^)", "=]", "=)", ":‑D", ":D", "8‑D", "8D", "x‑D",
+    "xD", "X‑D", "XD", "=D", "=3", "B^D", ":-))", ";‑)", ";)", "*-)", "*)", ";‑]", ";]", ";^)", ":‑,", ";D", ":‑P", ":P", "X‑P", "XP", "x‑p", "xp",
+    ":‑p", ":p", ":‑Þ", ":Þ", ":‑þ", ":þ", ":‑b", ":b", "d:", "=p", ">:P", ":'‑)", ":')", ":-*", ":*", ":×",
+)
+SAD_FACES = (
+    ":-<", ":()", ";-()", ";(", ":‑(", ":(", ":‑c", ":c", ":‑<", ":<", ":‑[", ":[", ":-||", ">:[", ":{", ":@", ">:(", "D‑':", "D:<", "D:", "D8", "D;",
+    "D=", "DX", ":‑/", ":/", ":‑.", ">:\\", ">:/", ":\\", "=/", "=\\", ":L", "=L", ":S", ":‑|", ":|", "|‑O", "<:‑|",
+)
 IPV4 = r"\b(?:\d{1,3}\.){3}\d{1,3}\b"
 IPV4_STRICT = r"\b(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)\b"
 ISO_DATE = r"\b\d{4}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12]\d|3[01])\b"

@@ -42,6 +42,30 @@ def tfidf(rows: DataFrame, key: str, least_df: int = 1) -> DataFrame:
     return x.join(norm, key).select(key, "word", (F.col("v") / F.col("norm")).alias("tfidf"))
 
 
+def replace_words(df: DataFrame, key: str, column: str, entries: DataFrame, old: str = "old", new: str = "new") -> DataFrame:
+    """key and the text with every blank-separated word that is an entry replaced, by a join; for dictionaries of any size.
+
+    A null replacement takes the word out. Words keep their places and are joined
+    by one blank. ``key`` is unique; a null text stays null, a text without words is empty.
+    """
+    words = df.select(key, F.posexplode(F.array_remove(F.split(column, r"\s+"), "")).alias("__place", "__word"))
+    table = entries.groupBy(old).agg(F.min(new).alias("__new")).select(F.col(old).alias("__word"), "__new", F.lit(True).alias("__hit"))
+    said = words.join(table, "__word", "left").select(key, "__place", F.when(F.col("__hit"), F.col("__new")).otherwise(F.col("__word")).alias("__said"))
+    lists = said.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("__place", "__said"))).alias("__x"))
+    text = F.array_join(F.transform("__x", lambda v: v["__said"]), " ").alias("__text")
+    return df.join(lists.select(key, text), key, "left").select(key, F.when(F.col(column).isNotNull(), F.coalesce("__text", F.lit(""))).alias(column))
+
+
+def without_extremes(df: DataFrame, column: str, most: int, least: int) -> DataFrame:
+    """The text without the ``most`` frequent and the ``least`` frequent words (ties by word); the list of them is broadcast, its length is a parameter."""
+    words = lambda: F.array_remove(F.split(column, r"\s+"), "")
+    counts = df.select(F.explode(words()).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+    extremes = counts.orderBy(F.desc("n"), "w").limit(most).union(counts.orderBy("n", "w").limit(least))
+    gone = extremes.agg(F.collect_set("w").alias("__gone"))
+    kept = F.array_join(F.filter(words(), lambda w: ~F.array_contains("__gone", w)), " ")
+    return df.crossJoin(F.broadcast(gone)).withColumn(column, kept).drop("__gone")
+
+
 def sequences(df: DataFrame, key: str, words: Column, size: int) -> DataFrame:
     """Word ids by falling frequency (ties by word), the last ``size`` of each document, zeros before shorter ones."""
     rows = tokens(df, key, words)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,13 +60,17 @@ def t14_word_statistics(spark: SparkSession, d: str) -> DataFrame:
     return docs(spark, d, "text").select("doc_id", s["words"].alias("words"), s["unique_words"].alias("unique_words"), rounded(s["unique_share"], 6).alias("unique_share"), rounded(s["mean_word"], 6).alias("mean_word"))
 
 
-@query("""with t as (select conv_id, turn, text || case turn % 3 when 0 then ' :) :) :(' when 1 then ' :D' else '' end as x from conversations)
-select conv_id, turn, cast((length(x) - length(replace(x, ':)', ''))) // 2 + (length(x) - length(replace(x, ':D', ''))) // 2 as int) as happy, cast((length(x) - length(replace(x, ':(', ''))) // 2 as int) as sad from t""")
+def _faces_sql(faces: tuple[str, ...]) -> str:
+    sign = lambda f: "'" + f.replace("'", "''") + "'"
+    return "cast(" + " + ".join(f"(length(html) - length(replace(html, {sign(f)}, ''))) // {len(f)}" for f in faces) + " as int)"
+
+
+@query(f"select page_id, {_faces_sql(tx.SMILIES)} as happy, {_faces_sql(tx.SAD_FACES)} as sad from pages")
 def t15_emoticons(spark: SparkSession, d: str) -> DataFrame:
-    mood = F.when(F.col("turn") % 3 == 0, " :) :) :(").when(F.col("turn") % 3 == 1, " :D").otherwise("")
-    t = read(spark, d, "conversations").select("conv_id", "turn", F.concat("text", mood).alias("x"))
-    happy = tx.count_of("x", ":)") + tx.count_of("x", ":D")
-    return t.select("conv_id", "turn", happy.alias("happy"), tx.count_of("x", ":(").alias("sad"))
+    """Faces in raw pages; those that hold one another count for each, by design."""
+    t = read(spark, d, "pages")
+    total = lambda faces: functools.reduce(operator.add, [tx.count_of("html", f) for f in faces])
+    return t.select("page_id", total(tx.SMILIES).alias("happy"), total(tx.SAD_FACES).alias("sad"))
 
 
 @query("""select doc_id, cast(length(text) - length(translate(text, '!"#$%&''()*+,-./:;<=>?@[\\]^_`{|}~', '')) as int) as punctuation from documents""".replace("\\\\", "\\"))
@@ -90,12 +97,14 @@ def t19_url_pieces(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "pages").select("page_id", tx.url_piece("url", 2).alias("host"), tx.url_piece("url", 3).alias("piece"))
 
 
-@query("""with t as (select page_id, 'RT @someone see ' || url || ' #tag, ok' as x from pages)
-select page_id, regexp_replace(regexp_replace(regexp_replace(x, '(https?://|www\\.)\\S+', ' ', 'g'), '@\\w+', ' ', 'g'), '#\\w+', ' ', 'g') as plain from t""".replace("\\\\", "\\"))
+@query("""with t as (select 'p' || page_id as id, url as x from pages union all select 'd' || doc_id, text from documents)
+select id, md5(regexp_replace(regexp_replace(regexp_replace(x, '(https?://|www\\.)\\S+', ' ', 'g'), '@\\w+', ' ', 'g'), '#\\w+', ' ', 'g')) as h from t""".replace("\\\\", "\\"))
 def t20_remove_addresses(spark: SparkSession, d: str) -> DataFrame:
-    t = read(spark, d, "pages").select("page_id", F.concat(F.lit("RT @someone see "), "url", F.lit(" #tag, ok")).alias("x"))
+    """Addresses of pages, and mentions and tags in documents."""
+    t = read(spark, d, "pages").select(F.concat(F.lit("p"), "page_id").alias("id"), F.col("url").alias("x"))
+    t = t.unionByName(docs(spark, d, "text").select(F.concat(F.lit("d"), "doc_id").alias("id"), F.col("text").alias("x")))
     out = F.regexp_replace("x", tx.URL, " ")
-    return t.select("page_id", F.regexp_replace(F.regexp_replace(out, tx.MENTION, " "), tx.HASHTAG, " ").alias("plain"))
+    return t.select("id", F.md5(F.regexp_replace(F.regexp_replace(out, tx.MENTION, " "), tx.HASHTAG, " ").cast("binary")).alias("h"))
 
 
 @query("select doc_id, md5(trim(regexp_replace(text, '\\s+', ' ', 'g'))) as h from documents".replace("\\\\", "\\"))
@@ -116,16 +125,22 @@ def t29_cleaning_chain(spark: SparkSession, d: str) -> DataFrame:
     return docs(spark, d, "text").select("doc_id", tx.clean("text", ("the", "of")).alias("clean"))
 
 
-@query("select page_id, replace(replace(replace('I can''t, won''t: ' || url, 'won''t', 'will not'), 'can''t', 'can not'), 'n''t', ' not') as x from pages")
+def _rewrite_sql(x: str) -> str:
+    for old, new in tx.CONTRACTIONS:
+        x = "replace({}, '{}', '{}')".format(x, old.replace("'", "''"), new)
+    return x
+
+
+@query(f"select page_id, md5({_rewrite_sql('html')}) as h from pages")
 def t30_contractions(spark: SparkSession, d: str) -> DataFrame:
-    t = read(spark, d, "pages").select("page_id", F.concat(F.lit("I can't, won't: "), "url").alias("x"))
-    return t.select("page_id", tx.rewrite("x").alias("x"))
+    """Raw pages have the apostrophes."""
+    return read(spark, d, "pages").select("page_id", F.md5(tx.rewrite("html").cast("binary")).alias("h"))
 
 
-@query("select p_partkey, cast(p_size * 1000 as varchar) || ' ' || p_size || ' m' as x from part")
+@query(r"""select doc_id, md5(regexp_replace(regexp_replace(text, '(\d)[kK]([^\pL\pN_]|$)', '\1000\2', 'g'), '(\d)(\p{L})', '\1 \2', 'g')) as h from documents where not regexp_matches(text, '\d,\d')""".replace("\\\\", "\\"))
 def t36_numbers(spark: SparkSession, d: str) -> DataFrame:
-    t = read(spark, d, "part").select("p_partkey", F.concat(F.col("p_size").cast("string"), F.lit("k "), F.col("p_size").cast("string"), F.lit("m")).alias("x"))
-    return t.select("p_partkey", tx.space_numbers("x").alias("x"))
+    t = docs(spark, d, "text").where(~F.col("text").rlike(r"\d,\d"))
+    return t.select("doc_id", F.md5(tx.space_numbers("text").cast("binary")).alias("h"))
 
 
 _WORDS = r"list_filter(string_split_regex(lower(text), '[^\pL]+'), lambda x: x <> '')"
