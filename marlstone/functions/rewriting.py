@@ -89,16 +89,8 @@ PICTURES = ((0x203C, 0x203C), (0x2190, 0x21FF), (0x2300, 0x23FF), (0x2600, 0x27B
 def rewrite_patterns(x: str | Column, rules: Sequence[tuple[str, str]] = SUBSTITUTIONS) -> Column:
     r"""Regular expressions replaced one after another; ``\1`` in a replacement is a group (of one digit), everything else is literal."""
     t = F.col(x) if isinstance(x, str) else x
-    for pattern, new in rules:
-        pieces = new.split("\\")
-        plain = pieces[0].replace("$", r"\$") + "".join(f"${{g{p[0]}}}" + p[1:].replace("$", r"\$") for p in pieces[1:])
-        named, k = [], 0
-        for i, sign in enumerate(pattern):  # a digit may follow a group, so groups get names
-            named.append(sign)
-            if sign == "(" and (not i or pattern[i - 1] != "\\") and pattern[i + 1 : i + 2] != "?":
-                k += 1
-                named.append(f"?<g{k}>")
-        t = F.regexp_replace(t, "".join(named) if len(pieces) > 1 else pattern, plain)
+    for pattern, new in rules:  # fewer than ten groups, so that further digits are literal
+        t = F.regexp_replace(t, pattern, "$".join(p.replace("$", r"\$") for p in new.split("\\")))
     return t
 
 

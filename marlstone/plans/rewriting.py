@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from marlstone.functions import rewriting as rw
 from marlstone.functions import text as tx
+from marlstone.functions import tokens as tk
 from marlstone.functions.numeric import rounded
 from marlstone.operators import vocabulary as voc
 from marlstone.plans.registry import query
@@ -128,3 +129,21 @@ def t34_replace_words(spark: SparkSession, d: str) -> DataFrame:
     counts = t.select(F.explode(tx.words("text")).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
     entries = counts.select(F.col("word").alias("old"), F.when(F.col("n") > 2, F.concat_ws("|", "word", "n")).alias("new"))
     return voc.replace_words(t, "doc_id", "text", entries).where("text != ''").select("doc_id", md5("text"))
+
+
+_TREE = f"list_filter(string_split_regex({patterns_sql('text', tk.SPLITS)}, '{_BLANK}'), lambda w: w <> '')"
+
+
+@query(f"with t as (select doc_id, {_TREE} as w from documents) select doc_id, len(w) as n, md5(array_to_string(w, chr(10))) as h from t")
+def t39_treebank(spark: SparkSession, d: str) -> DataFrame:
+    """Treebank tokens of whole documents."""
+    w = docs(spark, d).select("doc_id", tk.treebank("text").alias("w"))
+    return w.select("doc_id", F.size("w").cast("long").alias("n"), md5(F.array_join("w", "\n")))
+
+
+@query(f"""with t as (select doc_id, {_TREE} as w from documents)
+select doc_id, md5(array_to_string(list_transform(w, lambda x: case when x in ('``', chr(39) || chr(39)) then '"' else x end), chr(10))) as h from t""")
+def t39_treebank_spans(spark: SparkSession, d: str) -> DataFrame:
+    """What the spans of the tokens cut out of the documents."""
+    w = docs(spark, d).select("doc_id", "text", tk.treebank("text").alias("w")).select("doc_id", "text", tk.treebank_spans("text", F.col("w")).alias("s"))
+    return w.select("doc_id", md5(F.array_join(tk.cut_spans("text", "s"), "\n")))
