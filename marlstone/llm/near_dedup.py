@@ -2,12 +2,16 @@
 
 1. Equal texts share one content key and take part once. Their word shingles
    (five words) are hashed to 64 bits. A shingle weighs (1 + ln tf) *
-   (1 + ln(N / df) / ln N) / 2, with its own document frequency df among the N
-   distinct texts. Frequencies come from one exchange: each chunk of texts sends
+   (1 - (ln df / ln N)^2 / 2), with its own document frequency df among the N
+   distinct texts: 1 for a shingle of one text, 1/2 for one of all texts. The
+   square keeps the few shared shingles of a small group near 1, so that what
+   plain Jaccard similarity calls 0.8 is 0.8 here too. Frequencies come from one exchange: each chunk of texts sends
    the ranges of its sorted hashes, with its own counts, to the tasks of those
    ranges, which add them up and answer each chunk with the hashes that two
-   texts or more have. A chunk sends a hash once, so no shingle is a hot key; a
-   range has about ``RANGE`` signs of text, whatever the size of the corpus.
+   texts or more have. A task sends a hash of a chunk once for each ``HELD``
+   hashes it has read, so no shingle is a hot key. A chunk and a range have
+   ``share_of`` the corpus, which grows with its square root up to ``MOST``: rows
+   between them stay long (25 hashes and more at 100 TB) and tasks bounded.
 2. Improved consistent weighted sampling gives ``BANDS * ROWS`` samples a
    document; equal samples have the weighted Jaccard similarity as probability.
 3. Documents that share a band meet in a bucket. No bucket is expanded into all
@@ -56,8 +60,8 @@ SMALL = 64
 #: Documents, and shingles of them, in a block.
 BLOCK, BLOCK_SHINGLES = 512, 1_000_000
 SLICE = 1 << 20
-#: Signs of text for which there is a range of hashes, and a chunk of texts.
-RANGE = CHUNK = 1 << 24
+#: Least and most signs of text for which there is a range of hashes, and a chunk of texts.
+LEAST, MOST = 1 << 24, 1 << 27
 HELD = 2_000_000
 BROADCAST_KEYS = 250_000
 U = np.uint64
@@ -180,7 +184,7 @@ def log_weights(times: np.ndarray, df: np.ndarray, n: int) -> np.ndarray:
     many, common = times > 1, df > 1
     out[many] = np.log1p(np.log(times[many]))
     if n > 1:
-        out[common] += np.log1p(-np.log(df[common]) / (2 * math.log(n)))
+        out[common] += np.log1p(-np.square(np.log(df[common]) / math.log(n)) / 2)
     return out
 
 
@@ -517,6 +521,11 @@ def block_links(left: DataFrame, sigs: DataFrame, vecs: DataFrame) -> DataFrame:
     return some.join(vecs, "key").groupBy(*cells).applyInPandas(compare, "a binary, b binary").distinct()
 
 
+def share_of(signs: int) -> int:
+    """Signs of text in a chunk, and in a range of hashes."""
+    return min(MOST, max(LEAST, 512 * math.isqrt(signs)))
+
+
 def distinct_texts(docs: DataFrame, text: str, cut: Cut = shingles) -> tuple[DataFrame, DataFrame, DataFrame, int]:
     """The written distinct texts; the same as key, t, chunk; frequencies of their shingles; how many texts there are.
 
@@ -526,9 +535,10 @@ def distinct_texts(docs: DataFrame, text: str, cut: Cut = shingles) -> tuple[Dat
     written = docs.select(content_key(text).alias("key"), text_of(text).alias("t")).groupBy("key").agg(F.first("t").alias("t"))
     written = materialize(written.select("key", "t", F.length("t").alias("signs"), F.spark_partition_id().alias("task")), "dedup-texts")
     size = written.agg(F.count("*").alias("n"), F.coalesce(F.sum("signs"), F.lit(0)).alias("signs"), F.count_distinct("task").alias("tasks")).first()
-    split = max(1, math.ceil(size["signs"] / max(1, size["tasks"]) / CHUNK))
+    share = share_of(size["signs"])
+    split = max(1, math.ceil(size["signs"] / max(1, size["tasks"]) / share))
     texts = written.select("key", "t", (F.col("task").cast("long") * split + F.pmod(F.hash("key"), F.lit(split))).alias("chunk"))
-    light = materialize(frequencies(texts, math.ceil(math.log2(max(1, size["signs"] / RANGE))), cut), "dedup-frequencies")
+    light = materialize(frequencies(texts, math.ceil(math.log2(max(1, size["signs"] / share))), cut), "dedup-frequencies")
     return written, texts, light, size["n"]
 
 
