@@ -2,26 +2,10 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Written to the folder of ``spark.checkpoint.dir`` and read again, which cuts the lineage."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        folder = tempfile.mkdtemp(prefix="marlstone-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from marlstone.sources.shared import forget, stored
 
 
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
@@ -32,8 +16,11 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         near = both.join(labels, F.col("v") == F.col("node")).groupBy("u").agg(F.min("label").alias("m"))
         lower = stored(labels.join(near, F.col("node") == F.col("u")).select("node", F.least("label", "m").alias("to"), "label"), "labels")
         jump = lower.join(lower.select(F.col("node").alias("n2"), F.col("to").alias("further")), F.col("to") == F.col("n2"))
-        labels = stored(jump.select("node", F.least("to", "further").alias("label"), (F.least("to", "further") != F.col("label")).alias("changed")), "labels")
+        after = stored(jump.select("node", F.least("to", "further").alias("label"), (F.least("to", "further") != F.col("label")).alias("changed")), "labels")
+        forget(labels, lower)
+        labels = after
         if not labels.where("changed").limit(1).count():
+            forget(both)
             return labels.select("node", F.col("label").alias("component"))
 
 
@@ -51,8 +38,11 @@ def reach(edges: DataFrame, a: str, b: str, start: DataFrame, node: str, goals:
             break
         hop += 1
         fresh = front.join(both, F.col("node") == F.col("u")).select(F.col("v").alias("node")).distinct().join(seen, "node", "left_anti")
+        last, before = front, seen
         front = stored(fresh.withColumn("hops", F.lit(hop)), "front")
-        seen = stored(seen.unionByName(front), "seen")
+        seen = stored(before.unionByName(front), "seen")
+        forget(*{id(t): t for t in (last, before)}.values())
+    forget(both, *([front] if front is not seen else []))
     return seen
 
 

@@ -59,6 +59,18 @@ def json_documents(spark: SparkSession, path: str, schema: str, key: str = "id")
     return df.select(F.regexp_replace(name, r"-(\d+)$", "").alias(key), F.nullif(F.regexp_extract(name, r"-(\d+)$", 1), F.lit("")).cast("int").alias("ordinal"), *df.columns)
 
 
+def documents_of(keys: DataFrame, documents: DataFrame, key: str = "id") -> DataFrame:
+    """Every key with its documents; a key whose file is missing is kept, its fields are null. ``found`` tells the two apart."""
+    return keys.select(key).join(documents.withColumn("found", F.lit(True)), key, "left").withColumn("found", F.coalesce("found", F.lit(False)))
+
+
+def dictionary_lines(spark: SparkSession, path: str, separator: str = ",") -> DataFrame:
+    """Lines ``key<separator>value`` as two text columns, the value up to the line's end; lines without a separator are left out."""
+    lines = spark.read.text(path)
+    at = F.instr("value", separator)
+    return lines.where(at > 0).select(F.trim(F.substring(F.col("value"), F.lit(1), at - 1)).alias("key"), F.trim(F.substring(F.col("value"), at + len(separator), F.length("value"))).alias("entry"))
+
+
 def until_gap(documents: DataFrame, key: str = "id", ordinal: str = "ordinal") -> DataFrame:
     """The numbered documents 1, 2, ... of each key up to the first number that is absent."""
     from pyspark.sql.window import Window
