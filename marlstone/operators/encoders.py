@@ -8,7 +8,8 @@ from itertools import pairwise
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.operators.ordering import running, text_position
+from marlstone.operators.joins import attach
+from marlstone.operators.ordering import running
 
 
 def _back(df: DataFrame, table: DataFrame, column: str, *values: str) -> DataFrame:
@@ -49,16 +50,21 @@ def first_appearance(df: DataFrame, column: str, order: Sequence[str], name: str
 def dense_ids(df: DataFrame, column: str, name: str) -> DataFrame:
     """Sorted factorisation: position of the value among all distinct values, from 0.
 
-    Values are cut into ranges (texts by the bytes behind their common beginning)
-    and numbered range by range, so the dictionary is never sorted in one task.
+    Values of any type are dealt into ranges and numbered range by range, so the
+    dictionary is never sorted in one task.
     """
     table = df.where(F.col(column).isNotNull()).select(column).distinct()
-    text = dict(df.dtypes)[column] == "string"
-    key = text_position(table, column) if text else F.col(column)
-    ids = running(table.withColumn("__order", key), "__order", {}, [column]).select(column, (F.col("__row") - 1).alias(name))
+    ids = running(table, column, {}).select(column, (F.col("__row") - 1).alias(name))
     return _back(df, ids, column, name)
 
 
+def tuple_ids(df: DataFrame, columns: Sequence[str], name: str) -> DataFrame:
+    """Position of each tuple of values among all distinct tuples, from 0; a null is a value of its own, before all others."""
+    table = df.select(*columns).distinct()
+    ids = running(table, columns[0], {}, columns[1:]).select(*columns, (F.col("__row") - 1).alias(name))
+    return attach(df, ids, columns)
+
+
 def train_ids(df: DataFrame, column: str, is_train: Column, name: str) -> DataFrame:
     """Ids of the values of the training part; a value unseen there is -1."""
     known = dense_ids(df.where(is_train).select(column).distinct(), column, name)
@@ -109,24 +115,30 @@ def nested_impact(df: DataFrame, column: str, target: str, outer: str, inner: st
 
     For an outer fold, each inner fold gives the mean of the value's rows outside
     of both; the code is the mean of these over the inner folds, the default (the
-    whole mean) standing in where no row is left. One aggregation by (value,
-    outer, inner) gives all of it. The key map is the mean over the outer folds.
+    whole mean) standing in where no row is left. What is outside of both is the
+    whole less the outer fold less the inner fold plus their cell, so a value has
+    one step for each cell. The key map is the mean over the outer folds.
     """
     default = df.agg(F.avg(target)).first()[0]
     cells = df.where(F.col(column).isNotNull()).groupBy(column, outer, inner).agg(F.struct(F.sum(target).alias("s"), F.count(target).alias("n")).alias("c"))
-    # at most n_outer * n_inner cells a value
-    lists = cells.groupBy(column).agg(F.collect_list(F.struct(F.col(outer).alias("f"), F.col(inner).alias("g"), F.col("c.s").alias("s"), F.col("c.n").alias("n"))).alias("cells"))
-    add = lambda a, x: F.struct((a["s"] + x["s"]).alias("s"), (a["n"] + x["n"]).alias("n"))
-    zero = F.struct(F.lit(0.0).alias("s"), F.lit(0).cast("long").alias("n"))
-
-    def mean(f: Column, g: Column) -> Column:
-        left = F.aggregate(F.filter("cells", lambda x: (x["f"] != f) & (x["g"] != g)), zero, add)
-        return F.transform(F.array(left), lambda t: F.coalesce(F.try_divide(t["s"], t["n"]), F.lit(default)))[0]
-
-    folds = lambda n: F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))
-    total = lambda f: F.aggregate(F.transform(folds(n_inner), lambda g: mean(f, g)), F.lit(0.0), lambda a, x: a + x) / n_inner
-    codes = lists.select(column, F.posexplode(F.transform(folds(n_outer), total)).alias("__f", name))
-    named = codes.select(F.col(column).alias("__v"), F.col("__f"), name)
+    plain = cells.select(column, outer, inner, F.col("c.s").alias("__s"), F.col("c.n").alias("__n"))
+    total = lambda *keys: plain.groupBy(column, *keys).agg(F.sum("__s").alias("s"), F.sum("__n").alias("n"))
+    spark = df.sparkSession
+    grid = spark.range(n_outer).select(F.col("id").alias("f")).crossJoin(spark.range(n_inner).select(F.col("id").alias("g")))  # as many rows as pairs of folds
+    whole, outers, inners, own = total(), total(outer), total(inner), plain
+    each = whole.select(F.col(column).alias("__v"), F.col("s").alias("ws"), F.col("n").alias("wn")).crossJoin(F.broadcast(grid))
+    for table, keys, tag in ((outers, {"f": outer}, "o"), (inners, {"g": inner}, "i"), (own.withColumnsRenamed({"__s": "s", "__n": "n"}), {"f": outer, "g": inner}, "c")):
+        part = table.select(F.col(column).alias("__u"), *[F.col(c).cast("long").alias(f"__{k}") for k, c in keys.items()], F.coalesce("s", F.lit(0)).alias(f"{tag}s"), F.col("n").alias(f"{tag}n"))
+        same = F.col("__v") == F.col("__u")
+        for k in keys:
+            same &= F.col(k) == F.col(f"__{k}")
+        each = each.join(part, same, "left").drop("__u", *[f"__{k}" for k in keys])
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    left = lambda k: F.coalesce(f"w{k}", F.lit(0)) - zero(F.col(f"o{k}")) - zero(F.col(f"i{k}")) + zero(F.col(f"c{k}"))
+    mean = F.when(left("n") > 0, left("s") / left("n")).otherwise(F.lit(default))
+    codes = each.groupBy("__v", "f").agg((F.sum(mean) / n_inner).alias(name))
+    named = codes.select("__v", F.col("f").alias("__f"), name)
+    codes = codes.select(F.col("__v").alias(column), "f", name)
     rows = df.join(named, F.col(column).eqNullSafe(F.col("__v")) & (F.col(outer) == F.col("__f")), "left").drop("__v", "__f")
     return rows.withColumn(name, F.coalesce(name, F.lit(default))), codes.groupBy(column).agg(F.avg(name).alias(name)), default
 

@@ -6,7 +6,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from marlstone.functions.numeric import rounded
 from marlstone.operators.joins import attach
@@ -35,8 +34,18 @@ def down_sampled(df: DataFrame, key: str, is_positive: Column, share: float) ->
 
 def stratified(df: DataFrame, key: str, stratum: str, k: int, name: str = "fold") -> DataFrame:
     """Folds of equal size inside each stratum: round robin in the order of the hash."""
-    w = Window.partitionBy(stratum).orderBy(hashed(key), key)
-    return df.withColumn(name, F.pmod(F.row_number().over(w) - 1, F.lit(k)).cast("long"))
+    placed = running(df.withColumn("__hash", hashed(key)), "__hash", {}, [key], by=[stratum])
+    return placed.withColumn(name, F.pmod(F.col("__row") - 1, F.lit(k))).drop("__hash", "__row")
+
+
+def tiles(df: DataFrame, key: str, stratum: str, k: int, name: str = "tile") -> DataFrame:
+    """Each stratum cut into ``k`` parts (from 1) in the order of the hash; the first parts have one row more where it does not divide."""
+    placed = running(df.withColumn("__hash", hashed(key)), "__hash", {}, [key], by=[stratum])
+    sizes = df.groupBy(stratum).agg(F.count("*").alias("__size"))
+    i, small, more = F.col("__row") - 1, F.expr(f"__size div {k}"), F.col("__size") % k
+    wide = more * (small + 1)
+    part = F.when(i < wide, F.floor(i / (small + 1))).otherwise(more + F.floor((i - wide) / F.greatest(small, F.lit(1))))
+    return attach(placed, sizes, [stratum]).withColumn(name, (part + 1).cast("long")).drop("__hash", "__row", "__size")
 
 
 def balanced_groups(df: DataFrame, group: str, target: str, k: int, name: str = "fold") -> DataFrame:

@@ -1,79 +1,80 @@
-"""Global order without one task: rows are cut into value ranges, ranges get offsets.
-
-The bounds are approximate percentiles, as many as the number of rows asks for
-(one range for ``RANGE_ROWS`` rows, at most ``RANGES``), from one aggregation.
-Equal values share a range, so ties never straddle two of them.
+"""Global order without one task: rows are dealt into ranges of the whole order, ranges get offsets.
+
+Ranges come from Spark's range partitioner, which samples splitters of all order
+columns together: numbers, texts, dates and tuples alike. A row number is the
+last order column, so that even rows that are equal in everything are dealt out
+evenly. The dealt rows are written to the shared folder, because range numbers
+hold only for one dealing; ``sources.shared.clear`` deletes what a session wrote.
+A table of at most ``RANGE_ROWS`` rows (they are counted first) is one range, and
+nothing is written. These functions run jobs while the plan is built.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from marlstone.operators.joins import attach
+from marlstone.sources.shared import stored
+
 RANGES = 4096
 RANGE_ROWS = 20_000
 
 
-def ranged(df: DataFrame, column: str, range_rows: int = RANGE_ROWS) -> DataFrame:
-    """Adds __range, rising with the column; nulls are in range -1.
+def _order(order: str, ties: Sequence[str], descending: bool) -> list[Column]:
+    return [F.desc_nulls_last(order) if descending else F.asc_nulls_first(order), *[F.asc_nulls_first(t) for t in ties]]
 
-    Values are compared as doubles here: different longs may share a double,
-    but their order is never turned around.
-    """
-    x = F.col(column)
-    kind = dict(df.dtypes)[column]
-    number = F.unix_micros(x.cast("timestamp")).cast("double") if kind.startswith(("timestamp", "date")) else x.cast("double")
-    shares = ",".join(f"{k / RANGES}D" for k in range(1, RANGES))
-    percentiles = F.expr(f"percentile_approx(x, array({shares}), {10 * RANGES})")
-    found = df.select(number.alias("x")).agg(F.count("x").alias("n"), percentiles.alias("b")).first()
-    wanted = min(RANGES, found["n"] // range_rows)
-    step = -(-RANGES // wanted) if wanted else RANGES
-    bounds = sorted(set((found["b"] or [])[step - 1 :: step]))
-    none = F.when(x.isNull(), -1)
-    if not bounds:
-        return df.withColumn("__range", none.otherwise(0))
-    cut = Bucketizer(splits=[-float("inf"), *bounds, float("inf")], inputCol="__number", outputCol="__cut", handleInvalid="keep")
-    return cut.transform(df.withColumn("__number", number)).withColumn("__range", none.otherwise(F.col("__cut").cast("int"))).drop("__number", "__cut")
-
-
-def running(df: DataFrame, order: str, sums: dict[str, Column], ties: Sequence[str] = (), descending: bool = False, range_rows: int = RANGE_ROWS) -> DataFrame:
-    """Adds running totals (and __row, from 1) over the global order of ``order``, then ``ties``."""
-    cut = ranged(df, order, range_rows).withColumns({f"__v_{n}": c for n, c in sums.items()}).withColumn("__v___row", F.lit(1))
-    names = [*sums, "__row"]
-    totals = cut.groupBy("__range").agg(*[F.sum(f"__v_{n}").alias(f"__t_{n}") for n in names])
-    before = Window.orderBy(F.desc("__range") if descending else F.asc("__range")).rowsBetween(Window.unboundedPreceding, -1)
-    # at most RANGES + 2 rows
-    starts = totals.select("__range", *[F.coalesce(F.sum(f"__t_{n}").over(before), F.lit(0)).alias(f"__s_{n}") for n in names])
-    first = F.desc_nulls_last(order) if descending else F.asc_nulls_first(order)
-    own = Window.partitionBy("__range").orderBy(first, *ties).rowsBetween(Window.unboundedPreceding, 0)
-    joined = cut.join(F.broadcast(starts), "__range")
-    out = joined.withColumns({n: F.sum(f"__v_{n}").over(own) + F.col(f"__s_{n}") for n in names})
-    return out.drop("__range", *[f"__v_{n}" for n in names], *[f"__s_{n}" for n in names])
-
-
-def text_position(df: DataFrame, column: str) -> Column:
-    """A number that rises (not strictly) with a text: six bytes behind what the least and the greatest text share."""
-    edge = df.agg(F.min(column).alias("a"), F.max(column).alias("b")).first()
-    a, b = (edge["a"] or "").encode(), (edge["b"] or "").encode()
-    same = next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
-    six = F.substring(F.col(column).cast("binary"), same + 1, 6)
-    return F.conv(F.rpad(F.hex(six), 12, "0"), 16, 10).cast("double")
 
+def dealt(df: DataFrame, keys: Sequence[Column], rows: int, range_rows: int | None = None) -> DataFrame:
+    """A written table with ``__range``, rising with the order of ``keys``, and ``__tie``, the order of rows that are equal there."""
+    n = min(RANGES, -(-rows // (range_rows or RANGE_ROWS)))
+    whole = df.withColumn("__tie", F.monotonically_increasing_id()).repartitionByRange(n, *keys, F.asc("__tie"))
+    return stored(whole.withColumn("__range", F.spark_partition_id()), "order")
 
-def percentiles(df: DataFrame, column: str, shares: dict[str, float], interpolate: bool = True) -> DataFrame:
-    """One row with percentiles of a column by name, exact; nulls are left out.
 
-    Values are counted, counts accumulated over ranges, and the neighbours of each
-    place picked by a filter, so no task holds all values. Between two neighbours
-    the value is interpolated, or else the least value that covers the share.
+def running(df: DataFrame, order: str, sums: dict[str, Column], ties: Sequence[str] = (), descending: bool = False, range_rows: int | None = None, by: Sequence[str] = ()) -> DataFrame:
+    """Adds running totals (and __row, from 1) over the global order of ``order``, then ``ties``; with ``by`` over each group's own order.
+
+    A group may be larger than a range, and a range may hold many groups: only
+    the first group of a range can have begun in an earlier one, so there are at
+    most ``RANGES`` offsets, which are broadcast. Ties beyond ``ties`` go in any order.
     """
-    counts = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("__n"))
-    placed = running(counts, column, {"__up": F.col("__n")})
-    whole = counts.agg(F.sum("__n").alias("__all"))
+    names = [*sums, "__row"]
+    valued = df.withColumns({f"__v_{n}": c for n, c in sums.items()} | {"__v___row": F.lit(1).cast("long")})
+    rows = df.count()
+    first = _order(order, ties, descending)
+    if rows <= (range_rows or RANGE_ROWS):
+        own = Window.partitionBy(*by or [F.lit(0)]).orderBy(*first).rowsBetween(Window.unboundedPreceding, 0)
+        return valued.withColumns({n: F.sum(f"__v_{n}").over(own) for n in names}).drop(*[f"__v_{n}" for n in names])
+    cut = dealt(valued, [*[F.asc_nulls_first(b) for b in by], *first], rows, range_rows)
+    totals = cut.groupBy("__range", *by).agg(*[F.sum(f"__v_{n}").alias(f"__t_{n}") for n in names])
+    before = Window.partitionBy(*by or [F.lit(0)]).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select(F.col("__range").alias("__r"), *[F.col(b).alias(f"__b_{b}") for b in by], *[F.sum(f"__t_{n}").over(before).alias(f"__s_{n}") for n in names]).where("__s___row is not null")
+    same = cut["__range"] == F.col("__r")
+    for b in by:
+        same &= cut[b].eqNullSafe(F.col(f"__b_{b}"))
+    own = Window.partitionBy("__range", *by).orderBy(*first, "__tie").rowsBetween(Window.unboundedPreceding, 0)
+    joined = cut.join(F.broadcast(starts), same, "left")  # at most RANGES rows
+    so_far = lambda n: F.coalesce(F.sum(f"__v_{n}").over(own) + F.col(f"__s_{n}"), F.sum(f"__v_{n}").over(own), F.col(f"__s_{n}"))
+    out = joined.withColumns({n: so_far(n) for n in names})
+    return out.drop("__range", "__tie", "__r", *[f"__b_{b}" for b in by], *[f"__{k}_{n}" for n in names for k in "vs"])
+
+
+def group_percentiles(df: DataFrame, by: Sequence[str], column: str, shares: dict[str, float], interpolate: bool = True) -> DataFrame:
+    """Exact percentiles of a column by name, one row for each group; nulls are left out.
+
+    Values are counted by group (a written table), counts accumulated over ranges,
+    and the neighbours of each place picked by a filter, so no task holds all
+    values of a group. Between two neighbours the value is interpolated, or else
+    it is the least value that covers the share.
+    """
+    counts = stored(df.where(F.col(column).isNotNull()).groupBy(*by, column).agg(F.count("*").alias("__n")), "counted")
+    placed = running(counts, column, {"__up": F.col("__n")}, by=by)
+    whole = counts.groupBy(*by).agg(F.sum("__n").alias("__all"))
+    both = attach(placed, whole, by) if by else placed.crossJoin(F.broadcast(whole))  # one row
     x, up, below = F.col(column), F.col("__up"), F.col("__up") - F.col("__n")
     out = []
     for name, share in shares.items():
@@ -81,12 +82,17 @@ def percentiles(df: DataFrame, column: str, shares: dict[str, float], interpolat
         low, high = F.floor(at), F.ceil(at)
         left, right = F.max(F.when((below <= low) & (low < up), x)), F.max(F.when((below <= high) & (high < up), x))
         out.append((left + (right - left) * F.max(at - low) if interpolate else left).alias(name))
-    return placed.crossJoin(F.broadcast(whole)).agg(*out)  # one row
+    return both.groupBy(*by).agg(*out)
+
+
+def percentiles(df: DataFrame, column: str, shares: dict[str, float], interpolate: bool = True) -> DataFrame:
+    """One row with exact percentiles of a column by name."""
+    return group_percentiles(df, [], column, shares, interpolate)
 
 
 def average_rank(df: DataFrame, column: str, name: str = "rank") -> DataFrame:
     """Rank from 1 with ties averaged: values are counted, counts are accumulated, ranks are joined back."""
-    counts = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("__n"))
+    counts = stored(df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("__n")), "counted")
     placed = running(counts, column, {"__up": F.col("__n")})
     ranks = placed.select(F.col(column).alias("__v"), (F.col("__up") - (F.col("__n") - 1) / 2).alias(name), F.col("__up").alias(f"{name}_max"))
     return df.join(ranks, F.col(column) == F.col("__v"), "left").drop("__v")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from marlstone.operators.joins import attach
-from marlstone.operators.ordering import percentiles
+from marlstone.operators.ordering import group_percentiles, percentiles
 
 
 def prefixed(df: DataFrame, prefix: str, keep: Sequence[str] = ()) -> DataFrame:
@@ -48,7 +48,7 @@ def null_count(columns: Sequence[str]) -> Column:
 
 def fill_group_median(df: DataFrame, value: str, group: Sequence[str]) -> DataFrame:
     """Nulls replaced by the median of their group (joined back, so a large group is never held by one task)."""
-    medians = df.groupBy(*group).agg(F.median(value).alias("__median"))
+    medians = group_percentiles(df, group, value, {"__median": 0.5})
     return attach(df, medians, group).withColumn(value, F.coalesce(value, "__median")).drop("__median")
 
 

@@ -29,8 +29,10 @@ def a04_sum_mean_std(spark: SparkSession, d: str) -> DataFrame:
 
 @query("select o_custkey, round(median(o_totalprice), 4) as o_totalprice_median, round(var_samp(o_totalprice), 2) as o_totalprice_var from orders group by o_custkey")
 def a06_median_variance(spark: SparkSession, d: str) -> DataFrame:
-    t = read(spark, d, "orders").groupBy("o_custkey")
-    return t.agg(rounded(F.median("o_totalprice"), 4).alias("o_totalprice_median"), rounded(F.var_samp("o_totalprice"), 2).alias("o_totalprice_var"))
+    t = read(spark, d, "orders").select("o_custkey", "o_totalprice")
+    medians = ordering.group_percentiles(t, ["o_custkey"], "o_totalprice", {"m": 0.5})
+    spread = t.groupBy("o_custkey").agg(rounded(F.var_samp("o_totalprice"), 2).alias("o_totalprice_var"))
+    return medians.join(spread, "o_custkey").select("o_custkey", rounded("m", 4).alias("o_totalprice_median"), "o_totalprice_var")
 
 
 @query(f"select o_custkey, round({G1.replace('x', 'o_totalprice')}, 5) as skew, round({G2.replace('x', 'o_totalprice')}, 5) as kurt from orders group by o_custkey".replace("mao_totalprice", "max"))
@@ -41,10 +43,9 @@ def a08_skew_kurtosis(spark: SparkSession, d: str) -> DataFrame:
 
 @query("select o_orderpriority, round(quantile_cont(o_totalprice, 0.25), 4) as q25, round(quantile_cont(o_totalprice, 0.75), 4) as q75, round(quantile_cont(o_totalprice, 0.75) - quantile_cont(o_totalprice, 0.25), 4) as iqr, round(quantile_cont(o_totalprice, 0.1), 4) as q10, round(quantile_cont(o_totalprice, 0.9), 4) as q90 from orders group by o_orderpriority")
 def a10_quantiles(spark: SparkSession, d: str) -> DataFrame:
-    q = F.percentile("o_totalprice", F.array(*[F.lit(x) for x in (0.1, 0.25, 0.75, 0.9)])).alias("q")
-    t = read(spark, d, "orders").groupBy("o_orderpriority").agg(q)
+    t = ordering.group_percentiles(read(spark, d, "orders"), ["o_orderpriority"], "o_totalprice", {"a": 0.1, "b": 0.25, "c": 0.75, "e": 0.9})
     r = lambda x, n: rounded(x, 4).alias(n)
-    return t.select("o_orderpriority", r(F.col("q")[1], "q25"), r(F.col("q")[2], "q75"), r(F.col("q")[2] - F.col("q")[1], "iqr"), r(F.col("q")[0], "q10"), r(F.col("q")[3], "q90"))
+    return t.select("o_orderpriority", r(F.col("b"), "q25"), r(F.col("c"), "q75"), r(F.col("c") - F.col("b"), "iqr"), r(F.col("a"), "q10"), r(F.col("e"), "q90"))
 
 
 @query("select l_returnflag, l_linestatus, count(l_quantity) as l_quantity_count, round(avg(l_quantity), 4) as l_quantity_mean, round(max(l_extendedprice), 2) as l_extendedprice_max, count(distinct l_suppkey) as l_suppkey_nunique from lineitem group by all")
@@ -200,5 +201,6 @@ def a44_conditional_count(spark: SparkSession, d: str) -> DataFrame:
 @query("select unnest([0.01, 0.05, 0.5, 0.95, 0.99]) as share, round(unnest(quantile_cont(l_extendedprice, [0.01, 0.05, 0.5, 0.95, 0.99])), 4) as value from lineitem".replace("[0.01", "[cast(0.01 as double)", 1))
 def a45_percentile_list(spark: SparkSession, d: str) -> DataFrame:
     shares = [0.01, 0.05, 0.5, 0.95, 0.99]
-    one = read(spark, d, "lineitem").agg(F.percentile("l_extendedprice", F.array(*[F.lit(x) for x in shares])).alias("p"))
-    return one.select(F.inline(F.arrays_zip(F.array(*[F.lit(x) for x in shares]).alias("share"), F.col("p").alias("value")))).toDF("share", "value").withColumn("value", rounded("value", 4))
+    one = ordering.percentiles(read(spark, d, "lineitem"), "l_extendedprice", {f"s{k}": x for k, x in enumerate(shares)})
+    rows = F.array(*[F.struct(F.lit(x).alias("share"), rounded(F.col(f"s{k}"), 4).alias("value")) for k, x in enumerate(shares)])
+    return one.select(F.inline(rows))

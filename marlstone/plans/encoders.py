@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from marlstone.functions.numeric import rounded
 from marlstone.operators import encoders as enc
-from marlstone.operators import folds
+from marlstone.operators import folds, ordering
 from marlstone.plans.projections import _NULLED, nulled
 from marlstone.plans.registry import query
 from marlstone.sources.tables import read
@@ -119,7 +119,7 @@ def e19_equal_width(spark: SparkSession, d: str) -> DataFrame:
 select event_id, (value >= a)::int + (value >= b)::int + (value >= c)::int as bin from events, q""")
 def e20_equal_frequency(spark: SparkSession, d: str) -> DataFrame:
     t = read(spark, d, "events").select("event_id", "value")
-    edges = t.agg(*[F.expr(f"percentile_disc({q}) within group (order by value)").alias(n) for n, q in (("a", 0.25), ("b", 0.5), ("c", 0.75))])
+    edges = ordering.percentiles(t, "value", {"a": 0.25, "b": 0.5, "c": 0.75}, interpolate=False)
     at = lambda n: (F.col("value") >= F.col(n)).cast("int")
     return t.crossJoin(F.broadcast(edges)).select("event_id", (at("a") + at("b") + at("c")).alias("bin"))  # one row
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from marlstone.functions.numeric import rounded
 from marlstone.operators import aggregates as agg
-from marlstone.operators import joins
+from marlstone.operators import encoders, joins
 from marlstone.plans.registry import query
 from marlstone.sources.tables import read
 
@@ -76,10 +76,7 @@ def j13_anti(spark: SparkSession, d: str) -> DataFrame:
 @query("""with t as (select p_partkey, p_brand, p_type from part), ids as (select p_brand, p_type, dense_rank() over (order by p_brand, p_type) - 1 as id from (select distinct p_brand, p_type from t))
 select p_partkey, cast(id as bigint) as id from t join ids using (p_brand, p_type)""")
 def j14_composite_id(spark: SparkSession, d: str) -> DataFrame:
-    from marlstone.operators.encoders import dense_ids
-
-    t = read(spark, d, "part").withColumn("pair", F.concat_ws("\x01", "p_brand", "p_type"))
-    return dense_ids(t, "pair", "id").select("p_partkey", "id")
+    return encoders.tuple_ids(read(spark, d, "part").select("p_partkey", "p_brand", "p_type"), ["p_brand", "p_type"], "id").select("p_partkey", "id")
 
 
 @query("""with e as (select event_id, epoch(ts) as lo, epoch(ts) + value * 60 as hi, user_id from events where event_type = 'click')

@@ -15,6 +15,7 @@ from marlstone.operators import aggregates as agg
 from marlstone.operators import encoders as enc
 from marlstone.operators import folds, joins, ordering, tabular, userfuncs
 from marlstone.operators import vocabulary as voc
+from marlstone.operators.joins import attach
 from marlstone.plans.projections import _NULLED, nulled
 from marlstone.plans.registry import query
 from marlstone.sources.tables import read
@@ -114,7 +115,8 @@ def a41_correlation_with_one(spark: SparkSession, d: str) -> DataFrame:
 
 @query("select event_id, round(value - median(value) over (partition by event_type), 6) as off from events")
 def w04_off_median(spark: SparkSession, d: str) -> DataFrame:
-    t = agg.join_back(read(spark, d, "events").select("event_id", "event_type", "value"), ["event_type"], F.median("value").alias("m"))
+    t = read(spark, d, "events").select("event_id", "event_type", "value")
+    t = attach(t, ordering.group_percentiles(t, ["event_type"], "value", {"m": 0.5}), ["event_type"])
     return t.select("event_id", rounded(F.col("value") - F.col("m"), 6).alias("off"))
 
 
@@ -333,8 +335,8 @@ def q12_shifts(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"select o_orderkey, case when ntile(10) over (partition by o_orderstatus order by {_HASH}, o_orderkey) <= 2 then 'valid' else 'train' end as part from orders")
 def f03_stratified_holdout(spark: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy("o_orderstatus").orderBy(folds.hashed("o_orderkey"), "o_orderkey")
-    return read(spark, d, "orders").select("o_orderkey", F.when(F.ntile(10).over(w) <= 2, "valid").otherwise("train").alias("part"))
+    t = folds.tiles(read(spark, d, "orders").select("o_orderkey", "o_orderstatus"), "o_orderkey", "o_orderstatus", 10)
+    return t.select("o_orderkey", F.when(F.col("tile") <= 2, "valid").otherwise("train").alias("part"))
 
 
 @query("with f as (select unnest(range(4)) as fold), e as (select event_id, date_diff('day', date '2024-01-01', cast(ts as date)) as day from events) select fold, count(*) filter (day < 10 + fold * 4) as train, count(*) filter (day between 12 + fold * 4 and 15 + fold * 4) as valid from e, f group by 1".replace("select unnest(range(4)) as fold", "select cast(unnest(range(4)) as int) as fold"))

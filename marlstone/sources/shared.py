@@ -20,6 +20,10 @@ def folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: What this session has stored and not yet forgotten.
+_STORED: list[DataFrame] = []
+
+
 def fresh(spark: SparkSession, name: str) -> str:
     """A path of its own in the shared folder."""
     return f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
@@ -31,6 +35,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._marlstone_path = path
+    _STORED.append(out)
     return out
 
 
@@ -41,3 +46,9 @@ def forget(*tables: DataFrame) -> None:
         if path:
             where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+            _STORED[:] = [t for t in _STORED if t is not df]
+
+
+def clear() -> None:
+    """Deletes everything that is still stored; results that read it have been collected or written before."""
+    forget(*_STORED)

@@ -61,7 +61,7 @@ def test_components_and_reach(spark):
 def test_global_order(spark):
     df = spark.range(1000).select((F.col("id") % 37).alias("x"), "id")
     t = ordering.running(df, "x", {"s": F.col("x")}, ["id"], range_rows=100)
-    assert ordering.ranged(df, "x", 100).select("__range").distinct().count() > 5
+    assert ordering.dealt(df, [F.asc("x")], df.count(), 100).select("__range").distinct().count() > 5
     rows = sorted(t.collect(), key=lambda r: (r.x, r.id))
     total = 0
     for k, r in enumerate(rows):
