@@ -33,18 +33,17 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.llm.common import discard, materialize, scratch, small_batches, text_of
 from marlstone.llm.word_bytes import LOWER, U, cut_out, joined, mix, run_hashes, runs, table_of, word_hashes
+from marlstone.operators.ordering import running
 
 # What ends a piece of text, and what stands between its words.
 BREAK, BLANK = table_of(b".,;:!?\n\x0b\x0c\r"), table_of(b" \t")
-WINDOW = 2 << 20
+WINDOW = 1 << 20
 SHARE, LEAST_BITS, MOST_BITS, SLICE_BITS = 32, 16, 29, 22
-#: Candidates of a language that are ranked in one task before its report is put together.
-RANKED = 100_000
 
 
 def windows(data: np.ndarray, n: int, size: int = WINDOW) -> Iterator[tuple[int, np.ndarray]]:
@@ -209,10 +208,6 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", longes
         whole, tables = levels(docs, text, lang, longest, least)
         keep(whole)
         every = keep(materialize(scored(uncovered(tables, cover), tables), "phrases-scored"))
-    order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
-    groups = max(1, math.ceil(every.count() / RANKED))
-    first = Window.partitionBy("lang", "group").orderBy(*order)
-    best = every.withColumn("group", F.pmod(F.hash("phrase"), F.lit(groups))).withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= top)
-    # at most ``top`` rows of each group are left
-    ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long")).where(F.col("rank") <= top)
+    # by language: score and count falling, then the phrase
+    ranked = running(every.withColumn("less", -F.col("a")), "score", {}, ["less", "phrase"], descending=True, by=["lang"]).withColumnRenamed("__row", "rank").where(F.col("rank") <= top)
     return ranked.join(whole, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")

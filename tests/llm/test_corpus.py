@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from marlstone.llm import collocations, importance, ngram_join
 from marlstone.llm.word_bytes import joined, runs
+from marlstone.operators import ordering
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -77,8 +78,8 @@ def test_collocations_with_a_full_filter(spark, monkeypatch):
     assert sorted(tuple(r) for r in collocations.collocations(frame(spark, rows), least=4).collect()) == brute_phrases(rows, 3, 4, 50, 2000)
 
 
-def test_collocations_ranked_in_groups(spark, monkeypatch):
-    monkeypatch.setattr(collocations, "RANKED", 3)
+def test_collocations_ranked_over_ranges(spark, monkeypatch):
+    monkeypatch.setattr(ordering, "RANGE_ROWS", 3)
     rows = phrase_rows()
     assert sorted(tuple(r) for r in collocations.collocations(frame(spark, rows), least=4, top=7).collect()) == brute_phrases(rows, 3, 4, 50, 7)
 

@@ -199,7 +199,7 @@ def shingle_weights(text, df, n):
     out = {}
     for i in range(max(1, len(w) - 4) if w else 0):
         out[tuple(w[i : i + 5])] = out.get(tuple(w[i : i + 5]), 0) + 1
-    return {s: (1 + np.log(t)) * (1 + np.log(n / df.get(s, 1)) / np.log(n)) for s, t in out.items()}
+    return {s: (1 + np.log(t)) * (1 - (np.log(df.get(s, 1)) / np.log(n)) ** 2 / 2) for s, t in out.items()}
 
 
 def near_texts():
@@ -223,8 +223,8 @@ def test_near_duplicates(spark, monkeypatch, small):
     if small == 4:  # many blocks, several passes over named shingles, no broadcast
         monkeypatch.setattr(near_dedup, "BLOCK", 32)
         monkeypatch.setattr(near_dedup, "SLICE", 300)
-        monkeypatch.setattr(near_dedup, "RANGE", 5000)
-        monkeypatch.setattr(near_dedup, "CHUNK", 20_000)
+        monkeypatch.setattr(near_dedup, "LEAST", 5000)
+        monkeypatch.setattr(near_dedup, "MOST", 5000)
         monkeypatch.setattr(near_dedup, "HELD", 700)
         monkeypatch.setattr(near_dedup, "BROADCAST_KEYS", 0)
     texts = near_texts()
