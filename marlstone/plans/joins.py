@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from marlstone.functions.numeric import rounded
 from marlstone.operators import aggregates as agg
-from marlstone.operators import encoders, joins
+from marlstone.operators import encoders, joins, slots
 from marlstone.plans.registry import query
 from marlstone.sources.tables import read
 
@@ -100,6 +100,27 @@ def j18_first_free_slot(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "part").groupBy("p_size").agg(F.min("p_partkey").alias("first_free"))
 
 
+@query("""with f as (select l_orderkey as floor, max(l_linenumber) + 1 as n from lineitem group by 1), s as (select floor, unnest(range(1, n + 1)) as slot, n from f),
+free as (select floor, min(slot) as first_free, count(*) as free from s anti join lineitem l on l.l_orderkey = s.floor and l.l_linenumber = s.slot group by floor)
+select f.floor as l_orderkey, cast(first_free as bigint) as first_free, coalesce(free, 0) as free from f left join free using (floor)""")
+def j18_free_slots(spark: SparkSession, d: str) -> DataFrame:
+    """The first line number of every order that is free, of as many as one beyond its last, and how many are free."""
+    lines = read(spark, d, "lineitem").select("l_orderkey", "l_linenumber")
+    floors = lines.groupBy("l_orderkey").agg((F.max("l_linenumber") + 1).alias("n"))
+    return slots.first_free(floors, lines, "l_orderkey", "l_linenumber", "n")
+
+
+@query("""with t as (select distinct o_custkey % 10 as floor, o_orderkey as slot from orders), n as (select max(o_orderkey) as n from orders), f as (select distinct floor from t),
+s as (select floor, unnest(range(1, n + 1)) as slot from f, n), free as (select * from s anti join t using (floor, slot)), g as (select *, slot - row_number() over (partition by floor order by slot) as run from free)
+select floor, cast(min(slot) as bigint) as first, cast(max(slot) as bigint) as last from g group by floor, run""")
+def j18_gaps(spark: SparkSession, d: str) -> DataFrame:
+    """All runs of free slots on ten floors that the orders occupy."""
+    orders = read(spark, d, "orders").select("o_orderkey", "o_custkey")
+    taken = orders.select((F.col("o_custkey") % 10).alias("floor"), F.col("o_orderkey").alias("slot"))
+    floors = taken.select("floor").distinct().crossJoin(F.broadcast(orders.agg(F.max("o_orderkey").alias("n"))))  # one row
+    return slots.gaps(floors, taken, "floor", "slot", "n")
+
+
 @query("""select e.event_id, (select max_by(value, (ts, event_id)) from events v where v.user_id = e.user_id and v.event_type = 'view' and v.ts <= e.ts) as last_view from events e where e.event_type = 'click'""")
 def j20_as_of(spark: SparkSession, d: str) -> DataFrame:
     e = read(spark, d, "events")
