@@ -45,6 +45,8 @@ ROOT = 0.2
 BLOCKS = frozenset("html body article main section nav header footer aside div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd form fieldset table thead tbody tfoot tr td th caption blockquote pre figure figcaption address details summary dialog center hr".split())
 RAW = frozenset("script style title textarea noscript iframe template xmp noembed noframes".split())
 SILENT = frozenset("select button option object audio video canvas map datalist svg".split())
+#: Those that never stand inside their like.
+FLAT = SILENT - {"object", "map"}
 CLOSED_BY_SAME = {"li": ("ul", "ol"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table")}
 ALIKE = {"td": ("td", "th"), "th": ("td", "th"), "dt": ("dt", "dd"), "dd": ("dt", "dd")}
 
@@ -65,13 +67,17 @@ class Node:
 def parse(page: str) -> list[Node]:
     """Block elements of a page, parents before children, with the text that stands directly in them.
 
-    The places of open blocks are kept by their tags, so an end tag costs no
-    search; the work is linear in the page.
+    The places of open blocks are kept by their tags, and open silent elements are
+    counted by theirs, so an end tag costs no search; the work is linear in the
+    page. A silent element that has no end tag of its own (none follows, or another
+    of its kind begins first) ends where the next block begins or its own ends.
     """
     nodes = [Node("#root", -1, frozenset(), None)]
     stack, order, link, at = [0], 0, False, 0
     where: dict[str, list[int]] = {}  # tag -> places in the stack of its open blocks
-    silent: list[tuple[str, int]] = []  # elements without text of their own that are open: tag, size of the stack inside
+    silent: list[tuple[str, int, bool]] = []  # elements without text of their own that are open: tag, size of the stack inside, whether the next block ends them
+    quiet: Counter[str] = Counter()  # how many of each tag are in it
+    ahead: dict[str, int] = {}  # pattern -> where it is found next
     fresh = True  # whether the next text begins a new segment
     end = len(page)
 
@@ -93,7 +99,24 @@ def parse(page: str) -> list[Node]:
         while len(stack) > depth:
             where[nodes[stack.pop()].tag].pop()
         while silent and silent[-1][1] > depth:
-            silent.pop()
+            hear()
+
+    def hear() -> str:
+        """Ends the last silent element."""
+        tag = silent.pop()[0]
+        quiet[tag] -= 1
+        return tag
+
+    def hush(tag: str, loose: bool = False) -> None:
+        silent.append((tag, len(stack), loose))
+        quiet[tag] += 1
+
+    def following(pattern: str) -> int:
+        """Where the pattern is found next; each place of the page is searched once for a pattern."""
+        if ahead.get(pattern, -1) < at:
+            m = re.compile(pattern, re.I).search(page, at)
+            ahead[pattern] = m.start() if m else end
+        return ahead[pattern]
 
     def last(*tags: str) -> int:
         return max((where[t][-1] for t in tags if where.get(t)), default=0)
@@ -109,8 +132,8 @@ def parse(page: str) -> list[Node]:
         if closing:
             tag = closing.lower()
             if tag in SILENT:
-                if any(t == tag for t, _ in silent):
-                    while silent.pop()[0] != tag:
+                if quiet[tag]:
+                    while hear() != tag:
                         pass
             elif tag == "a":
                 link = False
@@ -132,16 +155,17 @@ def parse(page: str) -> list[Node]:
             continue
         if tag in SILENT:
             if tag == "option" and silent and silent[-1][0] == tag:
-                silent.pop()
+                hear()
             if not attributes.endswith("/"):
-                silent.append((tag, len(stack)))
+                stop = following(f"</{tag}(?=[\\s/>])")
+                hush(tag, tag == "svg" or stop == end or (tag in FLAT and following(f"<{tag}(?=[\\s/>])") < stop))
         elif tag == "a":
             link = True
         elif tag in ("br", "wbr"):
             say(" ")
         elif tag in BLOCKS:
-            while silent and silent[-1][0] == "svg":  # a block ends a drawing that was left open
-                silent.pop()
+            while silent and silent[-1][2]:
+                hear()
             if nodes[stack[-1]].tag == "p":
                 close(len(stack) - 1)
             if tag in CLOSED_BY_SAME:
@@ -160,7 +184,7 @@ def parse(page: str) -> list[Node]:
             where.setdefault(tag, []).append(len(stack))
             stack.append(len(nodes) - 1)
             if "hidden" in told:
-                silent.append(("#hidden", len(stack)))
+                hush("#hidden")
     return nodes
 
 

@@ -26,7 +26,7 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = spark.conf.get(LEDGER, None)
     with scratch() as keep:
         ledger = secret_scan.record(docs, folder) if folder else secret_scan.scan(docs)
-        matches = keep(secret_scan.found_in(ledger))
+        matches = keep(secret_scan.found_in(ledger, history=docs if folder else None))
     found = secret_scan.attach(docs, matches)
     spans = F.col("spans")
     count = lambda rank: F.size(F.filter(spans, lambda s: s["rank"] == rank)).cast("long")

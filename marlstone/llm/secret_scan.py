@@ -106,26 +106,35 @@ def all_spans(text: Column, missing: Column, rules: tuple[Rule, ...] = RULES) ->
     return F.array_sort(F.flatten(F.transform(parts, spans))).cast(SPANS)
 
 
+def blob_of(content: str) -> Column:
+    """The address of a content: its SHA-256."""
+    return F.unhex(F.sha2(F.encode(text_of(content), "UTF-8"), 256))
+
+
 def address(history: DataFrame, path: str, content: str) -> DataFrame:
     """(path, blob) of every historical version."""
-    return history.select(F.col(path).alias("path"), F.unhex(F.sha2(F.encode(text_of(content), "UTF-8"), 256)).alias("blob"))
+    return history.select(F.col(path).alias("path"), blob_of(content).alias("blob"))
 
 
 def unseen_rows(history: DataFrame, content: str, ledger: DataFrame | None, rules: tuple[Rule, ...]) -> DataFrame:
     """The ledger rows that this history adds: blob, rule_version, spans.
 
     Equal contents meet in one row before the shuffle (partial aggregation), so a
-    blob that a third of all paths hold costs no more than any other. Pairs that
-    ``ledger`` holds already are not scanned again.
+    blob that a third of all paths hold costs no more than any other. With a
+    ``ledger``, addresses are joined first: contents are fetched for the pairs only
+    that it does not hold.
     """
-    versions = list(dict.fromkeys(r.version for r in rules))
-    blobs = history.select(F.unhex(F.sha2(F.encode(text_of(content), "UTF-8"), 256)).alias("blob"), text_of(content).alias("content")).groupBy("blob").agg(F.first("content").alias("content"))
-    every = F.array(*[F.lit(v) for v in versions])
+    every = F.array(*[F.lit(v) for v in dict.fromkeys(r.version for r in rules)])
+    rows = history.select(blob_of(content).alias("blob"), text_of(content).alias("content"))
     if ledger is None:
-        unseen = blobs.withColumn("missing", every)
+        unseen = rows.groupBy("blob").agg(F.first("content").alias("content")).withColumn("missing", every)
     else:
         seen = ledger.groupBy("blob").agg(F.collect_set("rule_version").alias("seen"))  # as many as rule versions
-        unseen = blobs.join(seen, "blob", "left").withColumn("missing", F.array_except(every, F.coalesce("seen", F.array().cast("array<string>")))).where(F.size("missing") > 0)
+        known = rows.select("blob").distinct().join(seen, "blob", "left")
+        fresh = known.select("blob", F.array_except(every, F.coalesce("seen", F.array().cast("array<string>"))).alias("missing")).where(F.size("missing") > 0)
+        fresh = materialize(fresh, "secret-unseen")
+        few = F.broadcast(fresh) if fresh.count() <= BROADCAST_ROWS else fresh  # its rows were just counted
+        unseen = rows.join(few, "blob").groupBy("blob").agg(F.first("content").alias("content"), F.first("missing").alias("missing"))
     found = unseen.select("blob", "missing", all_spans(F.col("content"), F.col("missing"), rules).alias("spans"))
     of = F.array(*[F.lit(r.version) for r in rules])
     rows = found.select("blob", F.explode("missing").alias("rule_version"), "spans")
@@ -148,13 +157,15 @@ def record(history: DataFrame, folder: str, content: str = "text", rules: tuple[
     return spark.read.schema(LEDGER).parquet(folder)
 
 
-def found_in(ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def found_in(ledger: DataFrame, rules: tuple[Rule, ...] = RULES, history: DataFrame | None = None, content: str = "text") -> DataFrame:
     """(blob, spans) of the blobs in which the rules found something, as a written table with one row for each blob.
 
-    A join with it is a join of two plain shuffles, of which the side with a hot
+    With a ``history``, only of the blobs that it holds, joined by their addresses. A join with it is a join of two plain shuffles, of which the side with a hot
     blob can be split by adaptive execution.
     """
     known = ledger.where((F.size("spans") > 0) & F.col("rule_version").isin([r.version for r in rules]))
+    if history is not None:
+        known = known.join(history.select(blob_of(content).alias("blob")).distinct(), "blob", "left_semi")
     # pairs that two writers recorded count once; as many rows as rule versions remain
     rows = known.groupBy("blob", "rule_version").agg(F.first("spans").alias("spans")).groupBy("blob").agg(F.collect_list("spans").alias("spans"))
     return materialize(rows.select("blob", F.array_sort(F.flatten("spans")).alias("spans")), "secret-findings")

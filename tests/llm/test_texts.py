@@ -44,6 +44,12 @@ def test_html_markup():
     assert text_of("<p>one <button>x</p><p>two") == ["one", "two"]
     assert text_of("<p>one <svg><path d='x'><text>drawn</p><p>two</p><div>three") == ["one", "two", "three"]
     assert text_of("<p>one <svg><title>t</title></svg> two") == ["one two"]
+    assert text_of("<article><p>x</p><button>Click<p>rest</p></article><div>more text") == ["x", "rest", "more text"]
+    assert text_of("<p>a</p><button>Click<p>b</p><button><div>c</div></button><p>d") == ["a", "b", "d"]
+    for tag in ("video", "audio", "canvas", "select", "datalist", "object", "map"):
+        assert text_of(f"<div>a <{tag}>in<p>b</p></div>c") == ["a", "b", "c"]
+        assert text_of(f"<div>a <{tag}><p>in</p></{tag}> b</div>") == ["a", "b"]
+    assert text_of("<object>x<object><p>y</p></object><p>z</p></object><p>w") == ["w"]
     assert text_of("<p>where <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds") == ["where x=1 holds"]
     assert text_of("<div hidden><p>secret</p></div><p alt='a hidden gem'>shown</p><p hidden=''>no</p>yes") == ["shown", "yes"]
     node = html_extract.parse("<div data-id='sidebar' data-class=menu title='class=x' Class='Main text' id=top>x")[1]
@@ -60,6 +66,13 @@ def test_html_is_linear_and_whole(spark):
         return time.perf_counter() - start
 
     assert seconds(40_000) < 12 * seconds(10_000) + 0.1
+
+    def silent(n):
+        start = time.perf_counter()
+        html_extract.parse("<select>" * n + "</button>" * n + "<button>x" * n + "</video>" * n)
+        return time.perf_counter() - start
+
+    assert silent(40_000) < 12 * silent(10_000) + 0.1
     m = html_extract.train(spark, 300)
     body = [f"Paragraph {k} of a very long article with words enough to be text." for k in range(20_000)]
     page = "<body><nav><a href='/'>Home</a></nav><article>" + "".join(f"<p>{x}</p>" for x in body) + "</article>"
