@@ -11,7 +11,7 @@ from marlstone.functions import tokens as tk
 from marlstone.functions.numeric import rounded
 from marlstone.operators import vocabulary as voc
 from marlstone.plans.registry import query
-from marlstone.sources.tables import read
+from marlstone.sources.tables import read, spread
 
 
 def patterns_sql(x: str, rules) -> str:
@@ -26,7 +26,7 @@ def md5(x: str | Column) -> Column:
 
 
 def docs(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "documents").select("doc_id", "text")
+    return spread(read(spark, d, "documents").select("doc_id", "text"))
 
 
 @query(f"select doc_id, md5(trim({patterns_sql('text', rw.SUBSTITUTIONS)})) as h from documents")

@@ -12,7 +12,7 @@ from marlstone.functions import text as tx
 from marlstone.functions.numeric import rounded
 from marlstone.operators import vocabulary as voc
 from marlstone.plans.registry import query
-from marlstone.sources.tables import read
+from marlstone.sources.tables import read, spread
 
 
 def docs(spark: SparkSession, d: str, *columns: str) -> DataFrame:
@@ -189,7 +189,7 @@ def _grams_sql(n: int) -> str:
 def t46_tfidf(spark: SparkSession, d: str) -> DataFrame:
     """Grams of one to four words in five documents at least."""
     w = F.array_remove(F.split(F.lower("text"), _LETTERS), "")
-    t = voc.tfidf(voc.tokens(docs(spark, d, "text"), "doc_id", tx.ngrams(w, 1, 4)), "doc_id", 5)
+    t = voc.tfidf(spread(docs(spark, d, "text")), "doc_id", tx.ngrams(w, 1, 4), 5)
     return t.select("doc_id", "word", rounded("tfidf", 6).alias("tfidf"))
 
 
@@ -198,7 +198,7 @@ def t47_character_tfidf(spark: SparkSession, d: str) -> DataFrame:
     """Grams of three characters inside the bounds of words, in five documents at least."""
     w = F.array_remove(F.split(F.lower("text"), _LETTERS), "")
     grams = F.flatten(F.transform(w, lambda x: tx.char_ngrams(x, 3)))
-    t = voc.tfidf(voc.tokens(docs(spark, d, "text"), "doc_id", grams), "doc_id", 5)
+    t = voc.tfidf(spread(docs(spark, d, "text")), "doc_id", grams, 5)
     return t.select("doc_id", "word", rounded("tfidf", 6).alias("tfidf"))
 
 
@@ -206,14 +206,14 @@ def t47_character_tfidf(spark: SparkSession, d: str) -> DataFrame:
 select gram, count(*) as n from g group by gram""")
 def t47_ngrams(spark: SparkSession, d: str) -> DataFrame:
     w = F.array_remove(F.split(F.lower("text"), _LETTERS), "")
-    return docs(spark, d, "text").select(F.explode(tx.ngrams(w, 1, 2)).alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
+    return spread(docs(spark, d, "text")).select(F.explode(tx.ngrams(w, 1, 2)).alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
 
 
 @query(f"""with t as (select doc_id, {_WORDS} as w from documents), w as (select doc_id, unnest(w) as word, unnest(range(len(w))) as i from t),
 v as (select word, row_number() over (order by count(*) desc, word) as id from w group by word), s as (select doc_id, list(id order by i) as ids from w join v using (word) group by 1)
 select doc_id, array_to_string(list_concat(list_transform(range(greatest(0, 60 - len(ids))), lambda x: 0), ids[greatest(1, len(ids) - 59):]), ' ') as padded from s""")
 def t51_sequences(spark: SparkSession, d: str) -> DataFrame:
-    t = docs(spark, d, "text")
+    t = spread(docs(spark, d, "text"))
     return voc.sequences(t, "doc_id", F.split(F.lower("text"), _LETTERS), 60).select("doc_id", F.array_join("padded", " ").alias("padded"))
 
 

@@ -8,3 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table as Spark's Parquet reader gives it, so that filters and column choices reach the scan."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A table in fewer splits than there are cores, dealt out over all of them before heavy work on its rows; any other as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
