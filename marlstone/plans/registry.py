@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 QUERIES: dict[str, Callable] = {}
 ORACLE: dict[str, str] = {}
-MODULES = ("projections", "joins", "aggregates", "windows", "encoders", "texts", "analytics", "exports", "variants", "rewriting")
+MODULES = ("projections", "joins", "aggregates", "windows", "encoders", "texts", "analytics", "exports", "variants", "rewriting", "roundtrips")
 
 
 def tie_safe(sql: str) -> str:

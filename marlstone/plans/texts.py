@@ -120,7 +120,17 @@ def t27_stop_words(spark: SparkSession, d: str) -> DataFrame:
     return docs(spark, d, "text").select("doc_id", F.md5(F.array_join(kept, " ").cast("binary")).alias("h"))
 
 
-@query(None)
+def _clean_sql() -> str:
+    twice = lambda x, p: "regexp_replace(regexp_replace({0}, '{1}', '\\1 \\2', 'g'), '{1}', '\\1 \\2', 'g')".format(x, p)
+    x = r"regexp_replace(text, '(?i)(https?://|www\.)\S+', ' ', 'g')"
+    x = rf"regexp_replace(regexp_replace({x}, '@\w+', ' ', 'g'), '#\w+', ' ', 'g')"
+    x = twice(x, r"(^|[^\pL\pN\pM_])(?:RT|rt|FAV|fav|VIA|via)([^\pL\pN\pM_]|$)")
+    signs = tx.PUNCTUATION.replace("'", "''")
+    x = twice(f"lower(translate({x}, '{signs}', ''))", r"(^|[^\pL\pN])\pL([^\pL\pN]|$)")
+    return f"array_to_string(list_filter(string_split_regex({x}, '\\s+'), lambda w: w <> '' and not regexp_matches(w, '^\\d+$') and w not in ('the', 'of')), ' ')"
+
+
+@query(f"select doc_id, {_clean_sql()} as clean from documents")
 def t29_cleaning_chain(spark: SparkSession, d: str) -> DataFrame:
     return docs(spark, d, "text").select("doc_id", tx.clean("text", ("the", "of")).alias("clean"))
 

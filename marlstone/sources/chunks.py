@@ -31,6 +31,10 @@ def process_in_chunks(spark: SparkSession, path: str, schema: str | T.StructType
         made.append(result.schema)
         result.write.mode("overwrite").parquet(f"{out}/chunk={number}")
 
+    one_file = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = one_file.getFileSystem(spark._jsc.hadoopConfiguration())
+    if system.exists(one_file) and system.getFileStatus(one_file).isFile():
+        path = f"{path[:-1]}[{path[-1]}]"  # streams read folders and patterns
     stream = reader.load(path).writeStream.foreachBatch(one).option("checkpointLocation", progress).trigger(availableNow=True).start()
     stream.awaitTermination()
     where = spark._jvm.org.apache.hadoop.fs.Path(out)
