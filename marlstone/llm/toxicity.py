@@ -16,7 +16,8 @@ Defined results: a null or empty text has no segment and gets ``LOWEST``, below
 which no statistic goes; documents without a label are only scored; different
 labels of one document are a training row each, equal ones are one; of several
 texts with a labelled id the least is the training text; where no usable label
-exists, every score is the prior 0.0; an empty table gives an empty table; equal
+exists, no unit is known and every score is that of the curve's first offset,
+1 / (1 + e^20); an empty table gives an empty table; equal
 texts get equal scores; language, source and id are never looked at, other
 columns are ignored.
 """
