@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from marlstone.operators.joins import attach
-from marlstone.sources.shared import stored
+from marlstone.sources.shared import forget, stored
 
 RANGES = 4096
 RANGE_ROWS = 20_000
@@ -29,10 +29,17 @@ def _order(order: str, ties: Sequence[str], descending: bool) -> list[Column]:
 
 
 def dealt(df: DataFrame, keys: Sequence[Column], rows: int, range_rows: int | None = None) -> DataFrame:
-    """A written table with ``__range``, rising with the order of ``keys``, and ``__tie``, the order of rows that are equal there."""
+    """A written table with ``__range``, rising with the order of ``keys``, and ``__tie``, the order of rows that are equal there.
+
+    The rows are written before they are numbered: a file is read in one order, so
+    a task that is repeated after a lost executor numbers and deals its rows as before.
+    """
     n = min(RANGES, -(-rows // (range_rows or RANGE_ROWS)))
-    whole = df.withColumn("__tie", F.monotonically_increasing_id()).repartitionByRange(n, *keys, F.asc("__tie"))
-    return stored(whole.withColumn("__range", F.spark_partition_id()), "order")
+    first = stored(df, "rows")
+    whole = first.withColumn("__tie", F.monotonically_increasing_id()).repartitionByRange(n, *keys, F.asc("__tie"))
+    out = stored(whole.withColumn("__range", F.spark_partition_id()), "order")
+    forget(first)
+    return out
 
 
 def running(df: DataFrame, order: str, sums: dict[str, Column], ties: Sequence[str] = (), descending: bool = False, range_rows: int | None = None, by: Sequence[str] = ()) -> DataFrame:

@@ -36,6 +36,15 @@ def k07_json_report(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.schema(t.schema).json(path)
 
 
+@query("select p_partkey, p_name, p_brand, p_size, p_retailprice from part")
+def s01_inferred_csv(spark: SparkSession, d: str) -> DataFrame:
+    """Types found from the file; identifiers are widened to those of the table."""
+    path = fresh(spark, "csv")
+    writers.csv(read(spark, d, "part"), path)
+    t = readers.csv_inferred(spark, path, ["p_partkey", "p_name", "p_brand", "p_size", "p_retailprice"])
+    return t.withColumn("p_partkey", F.col("p_partkey").cast("long"))
+
+
 @query("select cast(s_suppkey as varchar) as s_suppkey, s_name, cast(s_nationkey as varchar) as s_nationkey from supplier")
 def k08_text_columns(spark: SparkSession, d: str) -> DataFrame:
     """Written row by row, read as text columns."""
