@@ -21,7 +21,7 @@ from marlstone.operators.joins import attach
 from marlstone.sources.shared import forget, stored
 
 RANGES = 4096
-RANGE_ROWS = 20_000
+RANGE_ROWS = 200_000
 
 
 def _order(order: str, ties: Sequence[str], descending: bool) -> list[Column]:
