@@ -43,6 +43,8 @@ from marlstone.operators.ordering import running
 # What ends a piece of text, and what stands between its words.
 BREAK, BLANK = table_of(b".,;:!?\n\x0b\x0c\r"), table_of(b" \t")
 WINDOW = 1 << 20
+#: Candidates in a range of the order that ranks them.
+RANKED = 20_000
 SHARE, LEAST_BITS, MOST_BITS, SLICE_BITS = 32, 16, 29, 22
 
 
@@ -209,5 +211,5 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", longes
         keep(whole)
         every = keep(materialize(scored(uncovered(tables, cover), tables), "phrases-scored"))
     # by language: score and count falling, then the phrase
-    ranked = running(every.withColumn("less", -F.col("a")), "score", {}, ["less", "phrase"], descending=True, by=["lang"]).withColumnRenamed("__row", "rank").where(F.col("rank") <= top)
+    ranked = running(every.withColumn("less", -F.col("a")), "score", {}, ["less", "phrase"], descending=True, range_rows=RANKED, by=["lang"]).withColumnRenamed("__row", "rank").where(F.col("rank") <= top)
     return ranked.join(whole, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")

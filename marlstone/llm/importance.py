@@ -46,6 +46,8 @@ WORD[48:58] = WORD[97:123] = WORD[128:] = True
 PARTS = 16
 WINDOW = 4 << 20
 GROUP_BYTES = 8 << 20
+#: Documents in a range of the order that ranks them.
+RANKED = 20_000
 #: Bytes of a word whose checksum is made for all words at once.
 SHORT = 64
 
@@ -246,7 +248,7 @@ def resample(docs: DataFrame, target: DataFrame, percent: int = 25, least_words:
     scored = materialize(weighed.select("id", "n_words", "n_features", "weight", (F.col("weight") + noise).alias("score")), "importance-scores")
     long = F.col("n_words") >= least_words
     most = scored.where(long).count() * percent // 100
-    ranked = running(scored.where(long), "score", {}, ties=["id"], descending=True)
+    ranked = running(scored.where(long), "score", {}, ties=["id"], descending=True, range_rows=RANKED)
     rank = F.when(F.col("__row") <= most, F.col("__row").cast("long")).alias("rank")
     columns = [F.col("id").alias(key), "n_features", "weight", "score"]
     return ranked.select(*columns, rank).unionByName(scored.where(~long).select(*columns, F.lit(None).cast("long").alias("rank")))

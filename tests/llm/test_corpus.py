@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from marlstone.llm import collocations, importance, ngram_join
 from marlstone.llm.word_bytes import joined, runs
-from marlstone.operators import ordering
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -79,7 +78,7 @@ def test_collocations_with_a_full_filter(spark, monkeypatch):
 
 
 def test_collocations_ranked_over_ranges(spark, monkeypatch):
-    monkeypatch.setattr(ordering, "RANGE_ROWS", 3)
+    monkeypatch.setattr(collocations, "RANKED", 3)
     rows = phrase_rows()
     assert sorted(tuple(r) for r in collocations.collocations(frame(spark, rows), least=4, top=7).collect()) == brute_phrases(rows, 3, 4, 50, 7)
 
@@ -157,6 +156,7 @@ def test_importance(spark):
 
 def test_importance_with_salts(spark, monkeypatch):
     monkeypatch.setattr(importance, "GROUP_BYTES", 40)
+    monkeypatch.setattr(importance, "RANKED", 20)
     docs = [(i, " ".join(f"w{(i * k) % 17}" for k in range(i % 40))) for i in range(300)]
     d = spark.createDataFrame(docs, "doc_id long, text string").repartition(7)
     got = importance.resample(d, spark.createDataFrame([("w1 w2 w3",)], "text string"))
