@@ -216,7 +216,7 @@ def t47_character_tfidf(spark: SparkSession, d: str) -> DataFrame:
 select gram, count(*) as n from g group by gram""")
 def t47_ngrams(spark: SparkSession, d: str) -> DataFrame:
     w = F.array_remove(F.split(F.lower("text"), _LETTERS), "")
-    return spread(docs(spark, d, "text")).select(F.explode(tx.ngrams(w, 1, 2)).alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
+    return grams.counts(spread(docs(spark, d, "text")), w, 1, 2)
 
 
 @query(f"""with t as (select doc_id, {_WORDS} as w from documents), w as (select doc_id, unnest(w) as word, unnest(range(len(w))) as i from t),
