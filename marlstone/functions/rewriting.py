@@ -12,10 +12,12 @@ replacement counts; a null replacement is the empty text; a null text stays null
 
 from __future__ import annotations
 
+import sys
 import unicodedata
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -108,22 +110,51 @@ def share(entries: DataFrame, table: list[tuple[str, str]]) -> Broadcast:
     return entries.sparkSession.sparkContext.broadcast(table)
 
 
+#: Texts that are Python strings at one time; a batch of them stays in Arrow.
+SLICE = 128
+
+
+def each_text(texts: pa.Array, one: Callable[[str], str]) -> pa.Array:
+    """A function of one text on a batch, a slice at a time, so that a batch of long texts is never held as Python strings; null stays null."""
+    parts = [pa.array([None if t is None else one(t) for t in texts.slice(begin, SLICE).to_pylist()], pa.string()) for begin in range(0, len(texts), SLICE)]
+    return pa.concat_arrays(parts) if parts else pa.array([], pa.string())
+
+
+def code_points(signs: Iterable[str]) -> np.ndarray:
+    """By code point, whether it is one of these signs."""
+    out = np.zeros(sys.maxunicode + 1, bool)
+    out[[ord(c) for c in signs]] = True
+    return out
+
+
 def rewrite_longest(x: str | Column, entries: DataFrame, old: str = "old", new: str = "new") -> Column:
     """All entries replaced in one pass: the leftmost, and there the longest; what was replaced is not read again."""
     table = share(entries, load(entries, old, new))
 
-    @F.pandas_udf("string")
-    def rewrite(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("string")
+    def rewrite(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         import ahocorasick
 
+        known = dict(table.value)
+        if all(len(a) == 1 for a in known):  # signs: most texts have few of them, and an automaton tries every branch of its root at every sign
+            has = code_points(known)
+
+            def name(text: str) -> str:
+                out, last = [], 0
+                for i in np.flatnonzero(has[np.frombuffer(text.encode("utf-32-le"), "u4")]).tolist():
+                    out += [text[last:i], known[text[i]]]
+                    last = i + 1
+                return "".join([*out, text[last:]])
+
+            for texts in batches:
+                yield each_text(texts, name)
+            return
         automaton = ahocorasick.Automaton()
         for a, b in table.value:
             automaton.add_word(a, (len(a), b))
         automaton.make_automaton()
 
-        def one(text: str | None) -> str | None:
-            if text is None or not len(automaton):
-                return text
+        def one(text: str) -> str:
             longest = {}
             for end, (size, b) in automaton.iter(text):  # by their ends: the last of one start is its longest
                 longest[end - size + 1] = (end + 1, b)
@@ -136,24 +167,57 @@ def rewrite_longest(x: str | Column, entries: DataFrame, old: str = "old", new:
             return "".join([*out, text[at:]])
 
         for texts in batches:
-            yield texts.map(one, na_action=None)
+            yield each_text(texts, one)
 
     return rewrite(x)
 
 
+class InOrder:
+    """Entries replaced one after another, looking only for those that a text has or that a replacement may have made."""
+
+    def __init__(self, table: Sequence[tuple[str, str]]):
+        import ahocorasick
+
+        self.table, self.found = table, ahocorasick.Automaton()
+        for i, (a, _) in enumerate(table):
+            self.found.add_word(a, i)
+        if table:
+            self.found.make_automaton()
+        self.heads = {a[:k] for a, _ in table for k in range(1, len(a) + 1)}
+        self.tails = {a[-k:] for a, _ in table for k in range(1, len(a) + 1)}
+        self.keys = "\0".join(a for a, _ in table)
+        self.may_make: dict[str, bool] = {}
+
+    def makes(self, new: str) -> bool:
+        """Whether an entry may lie over this replacement or a part of it: they share a border, or one holds the other."""
+        if new not in self.may_make:
+            borders = any(new[k:] in self.heads or new[: k + 1] in self.tails for k in range(len(new)))
+            self.may_make[new] = not new or borders or new in self.keys or next(self.found.iter(new), None) is not None
+        return self.may_make[new]
+
+    def __call__(self, text: str) -> str:
+        if not self.table:
+            return text
+        waiting = sorted({i for _, i in self.found.iter(text)}, reverse=True)
+        while waiting:
+            i = waiting.pop()
+            old, new = self.table[i]
+            after = text.replace(old, new)
+            if after != text and self.makes(new):
+                waiting = sorted({k for _, k in self.found.iter(after) if k > i}, reverse=True)
+            text = after
+        return text
+
+
 def rewrite_in_order(x: str | Column, entries: DataFrame, old: str = "old", new: str = "new", order: str = "place") -> Column:
     """One entry after another replaced in the whole text, so that later ones read what earlier ones wrote."""
     table = share(entries, load(entries, old, new, order))
 
-    @F.pandas_udf("string")
-    def rewrite(texts: pd.Series) -> pd.Series:
-        def one(text: str | None) -> str | None:
-            if text is not None:
-                for a, b in table.value:
-                    text = text.replace(a, b)
-            return text
-
-        return texts.map(one, na_action=None)
+    @F.arrow_udf("string")
+    def rewrite(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        one = InOrder(table.value)
+        for texts in batches:
+            yield each_text(texts, one)
 
     return rewrite(x)
 
@@ -162,11 +226,11 @@ def expand_words(x: str | Column, entries: DataFrame, old: str = "old", new: str
     """Blank-separated words whose upper-case form is an entry replaced; words are joined by one blank."""
     table = share(entries, load(entries, old, new))
 
-    @F.pandas_udf("string")
-    def expand(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("string")
+    def expand(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         known = dict(table.value)
         for texts in batches:
-            yield texts.map(lambda t: None if t is None else " ".join(known.get(w.upper(), w) for w in t.split()), na_action=None)
+            yield each_text(texts, lambda t: " ".join(known.get(w.upper(), w) for w in t.split()))
 
     return expand(x)
 

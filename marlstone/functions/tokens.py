@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from array import array
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from marlstone.functions.rewriting import rewrite_patterns
+from marlstone.functions.rewriting import SLICE, rewrite_patterns
 
 # The splitting rules in their order; a quote becomes `` where it opens and '' where it closes.
 SPLITS = (
@@ -44,23 +47,26 @@ def treebank(x: str | Column) -> Column:
 def treebank_spans(x: str | Column, tokens: str | Column) -> Column:
     """Where each token stands in its text: begin and end (exclusive) in characters."""
 
-    @F.pandas_udf("array<struct<begin:int,end:int>>")
-    def spans(texts: pd.Series, tokens: pd.Series) -> pd.Series:
-        def one(text: str | None, words: list[str] | None) -> list[dict] | None:
-            if text is None:
-                return None
-            out, at = [], 0
-            for w in words:
+    @F.arrow_udf("array<struct<begin:int,end:int>>")
+    def spans(texts: pa.Array, tokens: pa.Array) -> pa.Array:
+        # numbers of all texts in two flat arrays; one text at a time is a Python string
+        begins, ends, offsets, null = array("i"), array("i"), array("i", [0]), []
+        for text, words in zip(texts, tokens, strict=True):
+            text = text.as_py()
+            null.append(text is None)
+            at = 0
+            for w in words.as_py() if text is not None else ():
                 begin = text.find(w, at)
                 if w in ("``", "''"):  # a quote, if that comes first
                     quote = text.find('"', at)
                     if quote >= 0 and (begin < 0 or quote < begin):
                         begin, w = quote, '"'
                 at = begin + len(w)
-                out.append({"begin": begin, "end": at})
-            return out
-
-        return pd.Series([one(t, w) for t, w in zip(texts, tokens, strict=True)])
+                begins.append(begin)
+                ends.append(at)
+            offsets.append(len(begins))
+        both = pa.StructArray.from_arrays([pa.array(np.asarray(begins)), pa.array(np.asarray(ends))], ["begin", "end"])
+        return pa.ListArray.from_arrays(pa.array(np.asarray(offsets)), both, mask=pa.array(null, pa.bool_()))
 
     return spans(x, tokens)
 
@@ -68,8 +74,15 @@ def treebank_spans(x: str | Column, tokens: str | Column) -> Column:
 def cut_spans(x: str | Column, spans: str | Column) -> Column:
     """The pieces of a text that spans name."""
 
-    @F.pandas_udf("array<string>")
-    def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
-        return pd.Series([None if t is None else [t[s["begin"] : s["end"]] for s in found] for t, found in zip(texts, spans, strict=True)])
+    @F.arrow_udf("array<string>")
+    def cut(texts: pa.Array, spans: pa.Array) -> pa.Array:
+        parts = [pa.array([], pa.list_(pa.string()))]
+        for begin in range(0, len(texts), SLICE):
+            out = []
+            for text, found in zip(texts.slice(begin, SLICE).to_pylist(), spans.slice(begin, SLICE), strict=True):
+                at = () if text is None else zip(*(np.asarray(found.values.field(k)).tolist() for k in ("begin", "end")), strict=True)
+                out.append(None if text is None else [text[a:b] for a, b in at])
+            parts.append(pa.array(out, pa.list_(pa.string())))
+        return pa.concat_arrays(parts)
 
     return cut(x, spans)

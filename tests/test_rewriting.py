@@ -94,3 +94,63 @@ def test_words_and_signs(spark):
     x = spark.createDataFrame([("well 😀❤ done",)], "t string").select(rewriting.name_signs("t", names).alias("t"))
     assert x.first()[0] == "well :grinning_face::heavy_black_heart: done"
     assert x.select(rewriting.name_signs(F.col("t"), names, back=True)).first()[0] == "well 😀❤ done"
+
+
+def test_in_order_reads_what_was_written():
+    """Replacements that make, break, border on or hold later entries, against one replace after another."""
+    rng = random.Random(3)
+    for _ in range(300):
+        keys = dict.fromkeys("".join(rng.choices("abc", k=rng.randint(1, 4))) for _ in range(rng.randint(0, 12)))
+        table = [(k, "".join(rng.choices("abx", k=rng.randint(0, 4)))) for k in keys]
+        one = rewriting.InOrder(table)
+        for _ in range(10):
+            text = want = "".join(rng.choices("abcx", k=rng.randint(0, 30)))
+            for k, v in table:
+                want = want.replace(k, v)
+            assert one(text) == want
+
+
+def test_in_order_looks_for_what_a_text_has():
+    """2,000 entries of which a text has one: one replacement, not 2,000."""
+
+    class Counted(str):
+        calls = 0
+
+        def replace(self, *a):
+            Counted.calls += 1
+            return Counted(str(self).replace(*a))
+
+    one = rewriting.InOrder([(f"word{i:04}", f"<{i}>") for i in range(2000)])
+    assert one(Counted("a word0007 b")) == "a <7> b"
+    assert Counted.calls == 1
+
+
+def test_signs_without_automaton(spark, monkeypatch):
+    import sys
+
+    monkeypatch.setitem(sys.modules, "ahocorasick", None)
+    d = spark.createDataFrame([("]a^b-\\é",), (None,), ("",)], "t string")
+    e = frame(spark, {"]": "1", "^": "2", "-": "3", "\\": "4", "é": "5"})
+    assert [r[0] for r in d.select(rewriting.rewrite_longest("t", e)).collect()] == ["1a2b345", None, ""]
+
+
+def test_a_batch_is_read_in_slices(monkeypatch):
+    import pyarrow as pa
+
+    seen = []
+    real = pa.Array.to_pylist
+
+    class Texts:
+        def __init__(self, a):
+            self.a = a
+
+        def __len__(self):
+            return len(self.a)
+
+        def slice(self, begin, n):
+            seen.append(len(self.a.slice(begin, n)))
+            return self.a.slice(begin, n)
+
+    out = rewriting.each_text(Texts(pa.array(["a", None, "b"] * 1000)), str.upper)
+    assert real(out) == ["A", None, "B"] * 1000
+    assert max(seen) <= rewriting.SLICE and sum(seen) == 3000

@@ -46,3 +46,14 @@ def test_spans(rows):
         cut = [r.t[s.begin : s.end] for s in r.s]
         assert cut == ['"' if w in ("``", "''") else w for w in r.w]
         assert all(a.end <= b.begin for a, b in zip(r.s, r.s[1:]))
+
+
+def test_spans_of_a_batch_stay_in_arrow(spark):
+    """A batch of long texts: spans come as flat numbers, and nulls and empty texts keep their places."""
+    texts = ['He said "no" (twice).'] * 3000 + [None, "", "x"]
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").coalesce(1)
+    w = d.select("i", "t", tokens.treebank("t").alias("w"))
+    s = w.select("i", "t", tokens.treebank_spans("t", F.col("w")).alias("s")).select("i", "s", tokens.cut_spans("t", "s").alias("c"))
+    got = {r.i: r.c for r in s.collect()}
+    assert got[0] == got[2999] == ["He", "said", '"', "no", '"', "(", "twice", ")", "."]
+    assert got[3000] is None and got[3001] == [] and got[3002] == ["x"]
