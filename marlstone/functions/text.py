@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -92,11 +92,25 @@ def rewrite(x: str | Column, rules: Sequence[tuple[str, str]] = CONTRACTIONS) ->
 
 def strip_accents(x: str | Column) -> Column:
     """Compatibility decomposition without combining marks, for every script; built-ins have no Unicode normal forms, so Arrow batches do it."""
+    import sys
     import unicodedata
 
-    @F.pandas_udf("string")
-    def plain(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: None if t is None else "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c)), na_action=None)
+    import numpy as np
+
+    from marlstone.functions.rewriting import code_points, each_text
+
+    @F.arrow_udf("string")
+    def plain(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        marks = code_points(c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.combining(c))
+
+        def one(text: str) -> str:
+            if text.isascii():
+                return text
+            signs = np.frombuffer(unicodedata.normalize("NFKD", text).encode("utf-32-le"), "u4")
+            return signs[~marks[signs]].tobytes().decode("utf-32-le")
+
+        for texts in batches:
+            yield each_text(texts, one)
 
     return plain(_col(x))
 
