@@ -10,6 +10,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Tasks that reduce the rows of one group.
+SALTS = 8
+
+
 @dataclass(frozen=True)
 class Aggregate:
     """An aggregate by its three steps: the state (a list of numbers) of a series, two states merged, the value of a state."""
@@ -22,8 +26,8 @@ class Aggregate:
 def aggregate(df: DataFrame, keys: Sequence[str], value: str, how: Aggregate, name: str) -> DataFrame:
     """``keys``, ``name`` and n (values that are not null) of every group.
 
-    Each batch is reduced to one state a group before the shuffle, and states are
-    merged one by one, so a group is never held whole. Groups without any value
+    Rows of a group are dealt to at most ``SALTS`` tasks, each batch is reduced to
+    one state a group, and states are merged one by one, so a group is never held whole. Groups without any value
     have a null; null keys are a group.
     """
     keys = list(keys)
@@ -31,7 +35,9 @@ def aggregate(df: DataFrame, keys: Sequence[str], value: str, how: Aggregate, na
 
     def reduce(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(*k, [float(x) for x in how.partial(v.dropna())] if v.notna().any() else None, int(v.notna().sum())) for k, v in batch.groupby(keys, dropna=False, sort=False)[value]]
+            some = batch[value].notna()
+            rows = [(*k, [float(x) for x in how.partial(v)], len(v)) for k, v in batch[some].groupby(keys, dropna=False, sort=False)[value]]
+            rows += [(*k, None, 0) for k in batch.loc[~some, keys].drop_duplicates().itertuples(index=False, name=None)]
             yield pd.DataFrame(rows, columns=[*keys, "state", "n"])
 
     def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -51,7 +57,9 @@ def aggregate(df: DataFrame, keys: Sequence[str], value: str, how: Aggregate, na
         if now is not None:
             yield pd.DataFrame([(*now, None if state is None else float(how.finish(state)), n)], columns=[*keys, name, "n"])
 
-    states = df.select(*keys, value).mapInPandas(reduce, f"{kinds}, state array<double>, n long")
+    # rows of a group meet in a few tasks first, in order: a state for some rows of a group costs as much as one for many
+    met = df.select(*keys, value, (F.spark_partition_id() % SALTS).alias("__salt")).repartition(*keys, "__salt").sortWithinPartitions(*keys).drop("__salt")
+    states = met.mapInPandas(reduce, f"{kinds}, state array<double>, n long")
     return states.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(finish, f"{kinds}, `{name}` double, n long")
 
 
