@@ -115,32 +115,28 @@ def nested_impact(df: DataFrame, column: str, target: str, outer: str, inner: st
 
     For an outer fold, each inner fold gives the mean of the value's rows outside
     of both; the code is the mean of these over the inner folds, the default (the
-    whole mean) standing in where no row is left. What is outside of both is the
-    whole less the outer fold less the inner fold plus their cell, so a value has
-    one step for each cell. The key map is the mean over the outer folds.
+    whole mean) standing in where no row is left. A value's cells (pairs of folds)
+    are one array, from which all its codes follow without another exchange. The
+    key map is the mean over the outer folds.
     """
     default = df.agg(F.avg(target)).first()[0]
-    cells = df.where(F.col(column).isNotNull()).groupBy(column, outer, inner).agg(F.struct(F.sum(target).alias("s"), F.count(target).alias("n")).alias("c"))
-    plain = cells.select(column, outer, inner, F.col("c.s").alias("__s"), F.col("c.n").alias("__n"))
-    total = lambda *keys: plain.groupBy(column, *keys).agg(F.sum("__s").alias("s"), F.sum("__n").alias("n"))
-    spark = df.sparkSession
-    grid = spark.range(n_outer).select(F.col("id").alias("f")).crossJoin(spark.range(n_inner).select(F.col("id").alias("g")))  # as many rows as pairs of folds
-    whole, outers, inners, own = total(), total(outer), total(inner), plain
-    each = whole.select(F.col(column).alias("__v"), F.col("s").alias("ws"), F.col("n").alias("wn")).crossJoin(F.broadcast(grid))
-    for table, keys, tag in ((outers, {"f": outer}, "o"), (inners, {"g": inner}, "i"), (own.withColumnsRenamed({"__s": "s", "__n": "n"}), {"f": outer, "g": inner}, "c")):
-        part = table.select(F.col(column).alias("__u"), *[F.col(c).cast("long").alias(f"__{k}") for k, c in keys.items()], F.coalesce("s", F.lit(0)).alias(f"{tag}s"), F.col("n").alias(f"{tag}n"))
-        same = F.col("__v") == F.col("__u")
-        for k in keys:
-            same &= F.col(k) == F.col(f"__{k}")
-        each = each.join(part, same, "left").drop("__u", *[f"__{k}" for k in keys])
-    zero = lambda c: F.coalesce(c, F.lit(0))
-    left = lambda k: F.coalesce(f"w{k}", F.lit(0)) - zero(F.col(f"o{k}")) - zero(F.col(f"i{k}")) + zero(F.col(f"c{k}"))
-    mean = F.when(left("n") > 0, left("s") / left("n")).otherwise(F.lit(default))
-    codes = each.groupBy("__v", "f").agg((F.sum(mean) / n_inner).alias(name))
-    named = codes.select("__v", F.col("f").alias("__f"), name)
-    codes = codes.select(F.col("__v").alias(column), "f", name)
-    rows = df.join(named, F.col(column).eqNullSafe(F.col("__v")) & (F.col(outer) == F.col("__f")), "left").drop("__v", "__f")
-    return rows.withColumn(name, F.coalesce(name, F.lit(default))), codes.groupBy(column).agg(F.avg(name).alias(name)), default
+    cells = df.where(F.col(column).isNotNull()).groupBy(column, outer, inner).agg(F.coalesce(F.sum(target).cast("double"), F.lit(0.0)).alias("s"), F.count(target).alias("n"))
+    # one row for a value: at most as many cells as there are pairs of folds
+    own = cells.groupBy(column).agg(F.array_sort(F.collect_list(F.struct(F.col(outer).cast("long").alias("f"), F.col(inner).cast("long").alias("g"), "s", "n"))).alias("c"))
+
+    def total(c: Column) -> Column:
+        return F.aggregate(c, F.struct(F.lit(0.0).alias("s"), F.lit(0).cast("long").alias("n")), lambda a, v: F.struct((a["s"] + v["s"]).alias("s"), (a["n"] + v["n"]).alias("n")))
+
+    def mean(f: Column, g: Column) -> Column:
+        # null folds are outside of every fold
+        left = total(F.filter("c", lambda v: ~F.coalesce(v["f"] == f, F.lit(False)) & ~F.coalesce(v["g"] == g, F.lit(False))))
+        return F.transform(F.array(left), lambda t: F.when(t["n"] > 0, t["s"] / t["n"]).otherwise(F.lit(default)))[0]
+
+    folds = lambda n: F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))
+    add = lambda x: F.aggregate(x, F.lit(0.0), lambda a, v: a + v)
+    codes = own.select(F.col(column).alias("__v"), F.transform(folds(n_outer), lambda f: add(F.transform(folds(n_inner), lambda g: mean(f, g))) / n_inner).alias("__codes"))
+    rows = df.join(codes, F.col(column) == F.col("__v"), "left").withColumn(name, F.coalesce(F.get("__codes", F.col(outer).cast("int")), F.lit(default))).drop("__v", "__codes")
+    return rows, codes.select(F.col("__v").alias(column), (add(F.col("__codes")) / n_outer).alias(name)), default
 
 
 def one_hot(column: str, values: Sequence[object], drop_first: bool = False) -> list[Column]:
