@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import re
 from array import array
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from marlstone.functions.rewriting import SLICE, rewrite_patterns
+from marlstone.functions.rewriting import SLICE, each_text
 
 # The splitting rules in their order; a quote becomes `` where it opens and '' where it closes.
 SPLITS = (
@@ -39,9 +41,73 @@ SPLITS = (
 )
 
 
+# Of the rules, that on : and , and those that set signs apart, whatever is beside them.
+COMMA, SIGNS = SPLITS[2], (SPLITS[4], SPLITS[5], SPLITS[7], SPLITS[9], SPLITS[10])
+# What the other rules need, apart from the ends of a text: a quote or one of these words.
+WORDS = frozenset("cannot gimme lemme gonna wanna gotta".split())
+#: Rewritten words with signs that a task keeps, and the longest of them.
+MOST_WORDS = 1 << 16
+LONGEST_WORD = 64
+
+
+class ByWords:
+    """The rules on a text, word by word: most words have no sign, and one with signs met before is looked up.
+
+    No rule reads beyond one word and the blanks beside it: what it takes of them
+    is a blank at most, and only the first and the last word can touch an end of
+    the text. Blanks are those of RE2 (no vertical tab), as is the case of letters.
+    """
+
+    def __init__(self):
+        self.rules, self.known = [], {}
+        for pattern, new in SPLITS:  # a word has no blank but those that are put beside it
+            pattern = pattern.replace(r"\s", " ").replace(r"\d", "0-9").replace(r"\z", r"\Z")
+            if pattern.startswith("(?i)"):
+                pattern = pattern.replace("s", "[s\u017f]")
+            self.rules.append((re.compile(pattern, re.ASCII), new))
+        self.others, self.comma = re.compile("|".join(["(?i)['\"]", *WORDS]), re.ASCII), self.rules[SPLITS.index(COMMA)][0]
+        self.signs = re.compile("|".join(pattern for pattern, _ in SIGNS))
+
+    def rewrite(self, text: str) -> str:
+        for pattern, new in self.rules:
+            text = pattern.sub(new, text)
+        return text.strip(" ")
+
+    def apart(self, word: str) -> str:
+        """A word with others on both sides."""
+        out = self.known.get(word)
+        if out is None:
+            if self.others.search(word):
+                out = self.rewrite(f" {word} x")[:-1]
+            else:
+                out = self.signs.sub(r" \g<0> ", self.comma.sub(COMMA[1], f"{word} "))
+            if len(word) <= LONGEST_WORD:
+                if len(self.known) >= MOST_WORDS:
+                    self.known.clear()
+                self.known[word] = out
+        return out
+
+    def __call__(self, text: str) -> str:
+        for sign in "\t\n\f\r":
+            text = text.replace(sign, " ")
+        words = text.strip(" ").split(" ")
+        before, after = " " * text.startswith(" "), " " * text.endswith(" ")
+        if len(words) == 1:
+            return self.rewrite(before + words[0] + after)
+        first, last = self.rewrite(f"{before}{words[0]} x")[:-1], self.rewrite(f"x {words[-1]}{after}")[1:]
+        return " ".join([first, *[w if w.isalnum() and w.lower() not in WORDS else self.apart(w) for w in words[1:-1]], last])
+
+
 def treebank(x: str | Column) -> Column:
     """The tokens of a text; none for an empty one, null for null."""
-    return F.array_remove(F.split(rewrite_patterns(x, SPLITS), r"\s+"), "")
+
+    @F.arrow_udf("string")
+    def rewrite(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        one = ByWords()
+        for texts in batches:
+            yield each_text(texts, one)
+
+    return F.array_remove(F.split(rewrite(x), r"\s+"), "")
 
 
 def treebank_spans(x: str | Column, tokens: str | Column) -> Column:

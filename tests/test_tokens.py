@@ -57,3 +57,33 @@ def test_spans_of_a_batch_stay_in_arrow(spark):
     got = {r.i: r.c for r in s.collect()}
     assert got[0] == got[2999] == ["He", "said", '"', "no", '"', "(", "twice", ")", "."]
     assert got[3000] is None and got[3001] == [] and got[3002] == ["x"]
+
+
+def test_words_apart_are_the_rules_on_the_whole_text(spark):
+    """Texts of signs and clitics against the SQL's rules; a vertical tab is no blank of these, and a long s is an s."""
+    import random
+
+    import duckdb
+
+    from marlstone.plans.rewriting import _TREE
+
+    rng = random.Random(39)
+    bits = [*"\"'.,:;?!()[]{}<>-@#$%&5as \t\n\r\x0b", *("'s n't 'LL cannot Gimme lemme gonna wanna gotta d'ye more'n 'tis ... .... -- '' \"\" é K ſ".split()), " ", "  "]
+    texts = ["a\x0bcannot b", "x 'tiſ x", '""x', ' ""x', "x's'", "x's' ", "x's' y", ",,5 ,,,a :,", "a..... b.) ", 'a. "', "ends (so.) \n"]
+    texts += ["".join(rng.choices(bits, k=rng.randrange(1, 24))) for _ in range(3000)]
+    out = spark.createDataFrame(list(enumerate(texts)), "i int, text string").select("i", tokens.treebank("text").alias("w"))
+    assert "regexp_replace" not in out._jdf.queryExecution().optimizedPlan().toString()
+    con = duckdb.connect()
+    con.execute("create table t (i int, text varchar)")
+    con.executemany("insert into t values (?, ?)", list(enumerate(texts)))
+    want = dict(con.execute(f"select i, {_TREE} from t").fetchall())
+    got = {r.i: r.w for r in out.collect()}
+    assert [(texts[i], got[i]) for i in want if got[i] != want[i]] == []
+
+
+def test_words_kept_are_bounded(monkeypatch):
+    monkeypatch.setattr(tokens, "MOST_WORDS", 10)
+    one = tokens.ByWords()
+    text = " ".join(f"w{i}," for i in range(100)) + " " + "y," * 100 + " z"
+    assert one(text).split() == [p for i in range(100) for p in (f"w{i}", ",")] + ["y", ","] * 100 + ["z"]
+    assert len(one.known) <= 10 and max(map(len, one.known)) <= tokens.LONGEST_WORD
