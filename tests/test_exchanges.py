@@ -6,7 +6,8 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from marlstone.operators import encoders, userfuncs, vocabulary
+from marlstone import plans
+from marlstone.operators import encoders, joins, userfuncs, vocabulary
 
 
 def test_rows_of_a_group_meet_before_they_are_reduced(spark):
@@ -55,3 +56,18 @@ def test_a_replaced_word_has_one_row_for_a_chunk(spark):
     out = vocabulary.replace_words(d, "k", "t", e)
     assert {r.k: r.t for r in out.collect()} == {0: "x y 1 x y", 1: "", 2: None, 3: "c"} | {i: "1 x y" for i in range(4, 304)}
     assert "posexplode" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_only_the_earlier_interval_is_copied_to_cells(spark):
+    rng = random.Random(15)
+    spans = [(a, a + rng.choice([0, 1, 5, 40, 400])) for a in (rng.randrange(-200, 2_000_000_000 if k % 9 == 0 else 300) for k in range(200))]
+    spans += [(7, 10), (7, 10), (7, 7), (10, 10), (11, 10), (None, 3), (3, None)]
+    d = spark.createDataFrame([(k, *s) for k, s in enumerate(spans)], "k int, lo int, hi int")
+    kept = [(k, a, b) for k, (a, b) in enumerate(spans) if a is not None and b is not None and a <= b]
+    want = sorted((x[0], y[0]) for x in kept for y in kept if x[0] < y[0] and x[1] <= y[2] and y[1] <= x[2])
+    for width in (1.0, 30.0, 1000.0):
+        out = joins.overlapping_pairs(d, "k", "lo", "hi", width)
+        assert sorted((r.x, r.y) for r in out.collect()) == want
+        assert out._jdf.queryExecution().optimizedPlan().toString().count("Generate explode") == 1
+    query = plans.queries()["j15_interval_overlap"](spark, "/root/testdata/sf0.001")
+    assert query._jdf.queryExecution().optimizedPlan().toString().count("Generate explode") == 1
