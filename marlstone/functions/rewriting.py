@@ -12,6 +12,7 @@ replacement counts; a null replacement is the empty text; a null text stays null
 
 from __future__ import annotations
 
+import re
 import sys
 import unicodedata
 from collections.abc import Callable, Iterable, Iterator, Sequence
@@ -222,15 +223,43 @@ def rewrite_in_order(x: str | Column, entries: DataFrame, old: str = "old", new:
     return rewrite(x)
 
 
+#: Words between blanks as RE2 and Java have them; Python's split takes more signs for blanks.
+_WORD = re.compile(r"[^ \t\n\x0b\f\r]+")
+
+
+def upper_form(word: str) -> str:
+    """Capitals sign by sign, as SQL has them: a sign whose capital would be several stays (or is its title form), but ``ß`` is SS."""
+    out = word.upper()
+    if len(out) == len(word):
+        return out
+    forms = ((c, c.upper(), c.title()) for c in word)
+    return "".join("SS" if c == "ß" else u if len(u) == 1 else t if len(t) == 1 else c for c, u, t in forms)
+
+
+def lower_form(word: str) -> str:
+    """Small letters sign by sign, whatever stands beside them."""
+    return "".join(c.lower()[0] for c in word)
+
+
+def in_form(x: str | Column, form: Callable[[str], str]) -> Column:
+    """Words of a column in one of these forms; null stays null."""
+
+    @F.arrow_udf("string")
+    def each(words: pa.Array) -> pa.Array:
+        return each_text(words, form)
+
+    return each(x)
+
+
 def expand_words(x: str | Column, entries: DataFrame, old: str = "old", new: str = "new") -> Column:
-    """Blank-separated words whose upper-case form is an entry replaced; words are joined by one blank."""
+    """Blank-separated words whose ``upper_form`` is an entry replaced; words are joined by one blank."""
     table = share(entries, load(entries, old, new))
 
     @F.arrow_udf("string")
     def expand(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         known = dict(table.value)
         for texts in batches:
-            yield each_text(texts, lambda t: " ".join(known.get(w.upper(), w) for w in t.split()))
+            yield each_text(texts, lambda t: " ".join([known.get(upper_form(w), w) for w in _WORD.findall(t)]))
 
     return expand(x)
 

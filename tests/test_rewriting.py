@@ -96,6 +96,23 @@ def test_words_and_signs(spark):
     assert x.select(rewriting.name_signs(F.col("t"), names, back=True)).first()[0] == "well 😀❤ done"
 
 
+def test_expanded_words_are_those_of_the_sql(spark, tmp_path):
+    """Signs that only Python takes for blanks, capitals of several letters, a last sigma, texts without words and null."""
+    import duckdb
+
+    from marlstone import plans
+
+    words = ["straße", "STRASSE", "ﬁn", "FIN", "ΟΔΟΣ", "οδος", "οδοσ", "ŉa", "ʼNA", "ᾳ", "ᾼ", "ΑΙ", "İx", "ix", "ǰ", "plain", "éa"]
+    texts = [" ".join(words), "plain\u00a0plain", "plain\x1cplain \x85 plain", "\u2003", "plain\u3000éa\u2028Éa", "", " \t\n\x0b", None, "PLAIN", "unseen ẞ ß"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, f"{w}, {w.swapcase()}") for i, w in enumerate(words)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"create view {t} as select * from read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
+    want = sorted(con.execute(plans.oracle_sql()["t34_expand_words"]).fetchall())
+    assert sorted(map(tuple, plans.queries()["t34_expand_words"](spark, str(tmp_path)).collect())) == want
+
+
 def test_in_order_reads_what_was_written():
     """Replacements that make, break, border on or hold later entries, against one replace after another."""
     rng = random.Random(3)
