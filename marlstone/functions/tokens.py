@@ -48,6 +48,8 @@ WORDS = frozenset("cannot gimme lemme gonna wanna gotta".split())
 #: Rewritten words with signs that a task keeps, and the longest of them.
 MOST_WORDS = 1 << 16
 LONGEST_WORD = 64
+#: What parts tokens, as Java has it.
+_BLANKS = re.compile(r"[ \t\n\x0b\f\r]+")
 
 
 class ByWords:
@@ -110,29 +112,48 @@ def treebank(x: str | Column) -> Column:
     return F.array_remove(F.split(rewrite(x), r"\s+"), "")
 
 
+def _of_slice(texts: list[str | None], tokens: Iterator[list[str]]) -> pa.Array:
+    """Spans of some texts as flat numbers; the tokens of one text at a time are Python strings."""
+    begins, ends, offsets = array("i"), array("i"), array("i", [0])
+    for text in texts:
+        at = 0
+        for w in next(tokens) if text is not None else ():
+            begin = text.find(w, at)
+            if w in ("``", "''"):  # a quote, if that comes first
+                quote = text.find('"', at)
+                if quote >= 0 and (begin < 0 or quote < begin):
+                    begin, w = quote, '"'
+            at = begin + len(w)
+            begins.append(begin)
+            ends.append(at)
+        offsets.append(len(begins))
+    both = pa.StructArray.from_arrays([pa.array(np.asarray(begins)), pa.array(np.asarray(ends))], ["begin", "end"])
+    return pa.ListArray.from_arrays(pa.array(np.asarray(offsets)), both, mask=pa.array([text is None for text in texts], pa.bool_()))
+
+
+def _pieces(texts: list[str | None], spans: pa.Array) -> pa.Array:
+    out = []
+    for text, found in zip(texts, spans, strict=True):
+        at = () if text is None else zip(*(np.asarray(found.values.field(k)).tolist() for k in ("begin", "end")), strict=True)
+        out.append(None if text is None else [text[a:b] for a, b in at])
+    return pa.array(out, pa.list_(pa.string()))
+
+
+def _slices(*columns: pa.Array) -> Iterator[tuple[pa.Array, ...]]:
+    """A batch by slices, which leave the task as they are made."""
+    for begin in range(0, len(columns[0]), SLICE):
+        yield tuple(c.slice(begin, SLICE) for c in columns)
+
+
 def treebank_spans(x: str | Column, tokens: str | Column) -> Column:
     """Where each token stands in its text: begin and end (exclusive) in characters."""
 
     @F.arrow_udf("array<struct<begin:int,end:int>>")
-    def spans(texts: pa.Array, tokens: pa.Array) -> pa.Array:
-        # numbers of all texts in two flat arrays; one text at a time is a Python string
-        begins, ends, offsets, null = array("i"), array("i"), array("i", [0]), []
-        for text, words in zip(texts, tokens, strict=True):
-            text = text.as_py()
-            null.append(text is None)
-            at = 0
-            for w in words.as_py() if text is not None else ():
-                begin = text.find(w, at)
-                if w in ("``", "''"):  # a quote, if that comes first
-                    quote = text.find('"', at)
-                    if quote >= 0 and (begin < 0 or quote < begin):
-                        begin, w = quote, '"'
-                at = begin + len(w)
-                begins.append(begin)
-                ends.append(at)
-            offsets.append(len(begins))
-        both = pa.StructArray.from_arrays([pa.array(np.asarray(begins)), pa.array(np.asarray(ends))], ["begin", "end"])
-        return pa.ListArray.from_arrays(pa.array(np.asarray(offsets)), both, mask=pa.array(null, pa.bool_()))
+    def spans(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for batch in batches:
+            for some, words in _slices(*batch):
+                texts = some.to_pylist()
+                yield _of_slice(texts, (w.as_py() for text, w in zip(texts, words, strict=True) if text is not None))
 
     return spans(x, tokens)
 
@@ -141,14 +162,24 @@ def cut_spans(x: str | Column, spans: str | Column) -> Column:
     """The pieces of a text that spans name."""
 
     @F.arrow_udf("array<string>")
-    def cut(texts: pa.Array, spans: pa.Array) -> pa.Array:
-        parts = [pa.array([], pa.list_(pa.string()))]
-        for begin in range(0, len(texts), SLICE):
-            out = []
-            for text, found in zip(texts.slice(begin, SLICE).to_pylist(), spans.slice(begin, SLICE), strict=True):
-                at = () if text is None else zip(*(np.asarray(found.values.field(k)).tolist() for k in ("begin", "end")), strict=True)
-                out.append(None if text is None else [text[a:b] for a, b in at])
-            parts.append(pa.array(out, pa.list_(pa.string())))
-        return pa.concat_arrays(parts)
+    def cut(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for batch in batches:
+            for some, found in _slices(*batch):
+                yield _pieces(some.to_pylist(), found)
 
     return cut(x, spans)
+
+
+def treebank_pieces(x: str | Column) -> Column:
+    """What the spans of its tokens cut out of a text: ``treebank``, ``treebank_spans`` and ``cut_spans`` in one pass, so that a task has one Python worker and tokens and spans never leave it."""
+
+    @F.arrow_udf("array<string>")
+    def pieces(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        one = ByWords()
+        for batch in batches:
+            for (some,) in _slices(batch):
+                texts = some.to_pylist()
+                tokens = ([w for w in _BLANKS.split(one(text)) if w] for text in texts if text is not None)
+                yield _pieces(texts, _of_slice(texts, tokens))
+
+    return pieces(x)

@@ -59,6 +59,22 @@ def test_spans_of_a_batch_stay_in_arrow(spark):
     assert got[3000] is None and got[3001] == [] and got[3002] == ["x"]
 
 
+def test_pieces_need_one_worker_and_leave_by_slices(spark):
+    """One Python step from text to pieces, which are those of the three functions; a batch is not held as pieces."""
+    import pyarrow as pa
+
+    from marlstone import plans
+
+    texts = [*SENTENCES, None] * 40
+    d = spark.createDataFrame(list(enumerate(texts)), "i int, t string").coalesce(1)
+    s = d.select("i", "t", tokens.treebank("t").alias("w")).select("i", "t", tokens.treebank_spans("t", F.col("w")).alias("s"))
+    want = {r.i: r.c for r in s.select("i", tokens.cut_spans("t", "s").alias("c")).collect()}
+    assert {r.i: r.c for r in d.select("i", tokens.treebank_pieces("t").alias("c")).collect()} == want
+    plan = plans.queries()["t39_treebank_spans"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+    assert [len(x) for (x,) in tokens._slices(pa.array(["x"] * 300))] == [128, 128, 44]
+
+
 def test_words_apart_are_the_rules_on_the_whole_text(spark):
     """Texts of signs and clitics against the SQL's rules; a vertical tab is no blank of these, and a long s is an s."""
     import random
